@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._shared import spans, written
 
-HASHES, TABLES, PROBES, WIDTH, SEED = 12, 6, 128, 3.0, 11
+HASHES, TABLES, PROBES, WIDTH, SEED = 12, 6, 256, 3.0, 11
 #: Rows of a bucket from which it is split (at least; one in 10,000 of the table beyond), rows of a cell.
 BUCKET_ROWS, CELL_ROWS = 20_000, 100_000
 
