@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,3 +79,33 @@ def row_chunks(offs: np.ndarray, limit: int):
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+
+
+#: Bits of a key bitmap: at most 2**20 words of 64 bits, whatever the input.
+BITMAP_BITS = 26
+
+
+def key_bitmap(keys: DataFrame, key: Column) -> np.ndarray:
+    """A bitmap of hashed keys. Its size is fixed, so it may be broadcast; it admits every key and few others."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[np.asarray(words["w"])] = np.asarray(words["b"]).view(np.uint64)
+    return out
+
+
+def admitted(df: DataFrame, key: Column, bitmap: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose key may be in the bitmap, so that a join on the key need not shuffle the others."""
+    table = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        words = table.value
+        for batch in batches:
+            p = np.asarray(batch.column(batch.num_columns - 1))
+            on = (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+            if on.any():
+                yield batch.filter(pa.array(on))
+
+    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)).alias("__place")
+    marked = df.select("*", place)
+    return marked.mapInArrow(run, marked.schema).drop("__place")

@@ -3,12 +3,13 @@
 A text's canonical form is its NFKC form, case-folded, brought to NFKC again, with every run of white space as one
 blank and none at its ends. Documents are grouped by the 128-bit xxhash of that form; where a bucket has two rows or
 more, their canonical bytes are compared (least against greatest, which combine before the shuffle), and a bucket
-that holds different bytes is told apart by SHA-256. So equal canonical texts have equal fingerprints and different
+that holds different bytes is told apart by half a SHA-256. So equal canonical texts have equal fingerprints and different
 ones different fingerprints.
 
 ``edited_pairs`` also fingerprints each text with its end replaced by the beginning of the next document: rows are
 range-partitioned by id, paired within partitions, and the last row of each partition is paired with the first of
-the next in a second, small step. Each text is shuffled once.
+the next in a second, small step. Each text is shuffled once; the texts whose bytes are to be compared are picked from
+the table by a bitmap of fixed size before they are joined.
 
 Null texts are empty; repeated ids are ordered by their text; null ids come first; an empty table gives an empty
 result; columns other than the two named are ignored.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import admitted, key_bitmap, written
 
 
 def canonical(text: str) -> bytes:
@@ -37,9 +38,9 @@ def canonical(text: str) -> bytes:
 
 
 def digests(text: str) -> tuple[bytes, bytes]:
-    """128-bit xxhash and SHA-256 of the canonical form."""
+    """128-bit xxhash and the first half of the SHA-256 of the canonical form."""
     form = canonical(text)
-    return xxhash.xxh3_128_digest(form), hashlib.sha256(form).digest()
+    return xxhash.xxh3_128_digest(form), hashlib.sha256(form).digest()[:16]
 
 
 def edited(text: str, following: str) -> str:
@@ -89,20 +90,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = written(df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint binary, sha binary"), "fingerprints")
     shared = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fingerprint").alias("hash"))
     wanted = rows.join(shared, F.col("fingerprint") == F.col("hash"), "left_semi").select(F.col(id_col).alias("_id")).distinct()
-    texts = df.join(wanted, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    texts = admitted(df.select(id_col, text_col), F.col(id_col), key_bitmap(wanted, F.col("_id")))
+    texts = texts.join(wanted, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     mixed = written(mixed_buckets(canonical_forms(texts, text_col)), "mixed")
     return named("fingerprint", "sha", None if mixed.isEmpty() else mixed, rows).select(id_col, "fingerprint")
 
 
 # --- documents and their edited texts -------------------------------------------------------------------------------
 
-_PAIR = "`{id}` {kind}, n_chars long, edited_sha256 string, h binary, hs binary, eh binary, ehs binary, nh binary, nhs binary, next_id {kind}, part int, place string, body string"
+_PAIR = "`{id}` {kind}, n_chars long, edited_sha256 binary, h binary, hs binary, eh binary, ehs binary, nh binary, nhs binary, next_id {kind}, part int, place string, body string"
 _NAMES = ["n_chars", "edited_sha256", "h", "hs", "eh", "ehs", "nh", "nhs", "next_id", "part", "place", "body"]
 
 
 def _pair(text: str, own: tuple[bytes, bytes], following: str, after: tuple[bytes, bytes]) -> tuple:
     changed = edited(text, following)
-    return len(text), hashlib.sha256(changed.encode()).hexdigest(), *own, *digests(changed), *after
+    return len(text), hashlib.sha256(changed.encode()).digest(), *own, *digests(changed), *after
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -161,14 +163,17 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; exact digests are alike (1) or not (0)."""
-    pairs = written(edited_pairs(df, id_col, text_col), "compared")
+    pairs = edited_pairs(df, id_col, text_col)
     both = pairs.select(F.col("h").alias("hash")).union(pairs.select("eh"))
     shared = written(both.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "shared")
 
     def of(column: str) -> DataFrame:
         return pairs.join(shared, F.col(column) == F.col("hash"), "left_semi")
 
+    ids = of("h").select(id_col).union(of("eh").select(id_col)).union(of("eh").select("next_id"))
+    bitmap = key_bitmap(ids, F.col(id_col))
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = written(admitted(texts, F.col("_id"), bitmap), "repeated")
     plain = texts.join(of("h").select(F.col(id_col).alias("_want")).distinct(), F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
     forms = canonical_forms(plain, "_text")
     ends = of("eh").select(F.col(id_col).alias("_a"), F.col("next_id").alias("_b"), "eh").distinct()
@@ -188,4 +193,4 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for digest, sha in (("h", "hs"), ("eh", "ehs"), ("nh", "nhs")):
         pairs = named(digest, sha, some, pairs)
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return pairs.select(id_col, "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), same("h", "eh").alias("near_edited"), same("h", "nh").alias("near_next"))
+    return pairs.select(id_col, "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), same("h", "eh").alias("near_edited"), same("h", "nh").alias("near_next"))
