@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rule_queries, scalar_queries, snapshot_queries  # noqa: F401
+from . import feed_queries, rule_queries, scalar_queries, snapshot_queries  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
 
