@@ -131,7 +131,7 @@ def j17_rows_for_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- mentions and checks --------------------------------------------------------------------------------------------
 
 
-@query(with_sql(ITEMS_SQL, then=f"""SELECT window_name, project, count(*) AS tweet_count, sum(metric) AS engagement_sum, sum(k) AS view_sum, count(DISTINCT source) AS n_accounts, array_to_string(list(item_id ORDER BY item_id)[1:5], ',') AS sample FROM (
+@query(with_sql(ITEMS_SQL, then=f"""SELECT window_name, project, count(*) AS tweet_count, CAST(sum(metric) AS BIGINT) AS engagement_sum, CAST(sum(k) AS BIGINT) AS view_sum, count(DISTINCT source) AS n_accounts, array_to_string(list(item_id ORDER BY item_id)[1:5], ',') AS sample FROM (
   SELECT i.*, unnest(['p' || (k % 10), 'q' || (user_id % 5)]) AS project FROM items i) j, (VALUES ('24h', 24.0), ('7d', 168.0)) v(window_name, h) WHERE greatest(epoch({_NOW}) - epoch(ts), 0) / 3600.0 <= h GROUP BY window_name, project"""))
 def a2_mention_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.filter(W.age_windows(F.col("ts"), now()), lambda w: w.isin("24h", "7d"))
@@ -268,7 +268,7 @@ def l2_l3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("group_id", "score", L.legacy_score().alias("legacy"))
 
 
-@query(with_sql(GROUPS_SQL, then="""SELECT group_id, ok AND strong > 0 AS included, CASE WHEN NOT ok THEN 0.0 ELSE [0.35, 0.75, 0.85, 0.95][strong + 1] END AS scout_score FROM (SELECT group_id, is_product_or_repo AND object_type NOT IN ('article', 'news') AS ok, CAST(workflow_shift >= 70 AS INT) + CAST(technical_substance >= 70 AS INT) + CAST(product_market_fit >= 70 AS INT) AS strong FROM groups)"""))
+@query(with_sql(GROUPS_SQL, then="""SELECT group_id, ok AND strong > 0 AS included, CASE WHEN NOT ok THEN CAST(0 AS DOUBLE) ELSE CAST([0.35, 0.75, 0.85, 0.95][strong + 1] AS DOUBLE) END AS scout_score FROM (SELECT group_id, is_product_or_repo AND object_type NOT IN ('article', 'news') AS ok, CAST(workflow_shift >= 70 AS INT) + CAST(technical_substance >= 70 AS INT) + CAST(product_market_fit >= 70 AS INT) AS strong FROM groups)"""))
 def l4_scout_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = [F.when(F.col(a) >= 70, "strong").otherwise("weak") for a in L.NOVELTY]
     included, score = L.scout_decision(F.col("is_product_or_repo"), F.col("object_type"), axes)
@@ -333,7 +333,7 @@ def l8_l9_fact_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(fact)), 1, 3), lambda f: f["t"]), "|").alias("facts"))
 
 
-@query("SELECT conv_id, sum(CASE WHEN role = 'system' THEN e ELSE 0 END) AS fixed, sum(e) AS total, sum(e) <= 28500 AS fits FROM (SELECT conv_id, role, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS e FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, CAST(sum(CASE WHEN role = 'system' THEN e ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(e) AS BIGINT) AS total, sum(e) <= 28500 AS fits FROM (SELECT conv_id, role, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS e FROM conversations) GROUP BY conv_id")
 def l10_context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.token_estimate(F.col("text"))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "system", e).otherwise(0)).alias("fixed"), F.sum(e).alias("total"))

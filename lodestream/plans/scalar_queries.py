@@ -95,7 +95,7 @@ def x10_url_mention_hashtag_lists(spark: SparkSession, sf_dir: str) -> DataFrame
     return links(spark, sf_dir).select("event_id", F.try_element_at(F.regexp_extract_all(t, F.lit(X.LINK), F.lit(0)), F.lit(1)).alias("first_url"), low("@([A-Za-z0-9_]{1,15})").alias("mentions"), low("#([A-Za-z0-9_]+)").alias("hashtags"))
 
 
-@query(with_sql(LINKS_SQL, then=r"""SELECT event_id, CAST(nullif(regexp_replace(u, '[^0-9]', '', 'g'), '') AS HUGEINT) % 1000000007 AS n, TRY_CAST(regexp_replace(trim(CASE WHEN k % 3 = 0 THEN '1,' || (100 + k) || '.5%' ELSE 'n/a ' || k END), '[,%]', '', 'g') AS DOUBLE) AS x FROM links"""))
+@query(with_sql(LINKS_SQL, then=r"""SELECT event_id, CAST(CAST(nullif(regexp_replace(u, '[^0-9]', '', 'g'), '') AS HUGEINT) % 1000000007 AS BIGINT) AS n, TRY_CAST(regexp_replace(trim(CASE WHEN k % 3 = 0 THEN '1,' || (100 + k) || '.5%' ELSE 'n/a ' || k END), '[,%]', '', 'g') AS DOUBLE) AS x FROM links"""))
 def x12_numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.regexp_replace("u", "[^0-9]", "")
     text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("1,"), (100 + F.col("k")).cast("string"), F.lit(".5%"))).otherwise(F.concat(F.lit("n/a "), F.col("k").cast("string")))

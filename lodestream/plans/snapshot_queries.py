@@ -185,7 +185,7 @@ def a13_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_status(c.withColumn("status", status), ["conv_id"])
 
 
-@query("SELECT role AS component, count(*) AS calls, sum(length(text)) AS size, avg(length(text)) AS mean_size, max(length(text)) AS largest FROM conversations GROUP BY role")
+@query("SELECT role AS component, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS size, avg(length(text)) AS mean_size, max(length(text)) AS largest FROM conversations GROUP BY role")
 def a18_call_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("component")).agg(F.count(F.lit(1)).alias("calls"), F.sum(n).alias("size"), F.avg(n).alias("mean_size"), F.max(n).alias("largest"))
