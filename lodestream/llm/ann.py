@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import spans, written
 
 HASHES, TABLES, PROBES, WIDTH, SEED = 12, 6, 256, 3.0, 11
-#: Rows of a bucket from which it is split (at least; one in 10,000 of the table beyond), rows of a cell.
-BUCKET_ROWS, CELL_ROWS = 20_000, 100_000
+#: Rows of a bucket from which it is split (at least; one in 10,000 of the table beyond), index rows of a cell, queries of a block.
+BUCKET_ROWS, CELL_ROWS, QUERY_ROWS = 20_000, 50_000, 64
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -116,25 +116,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _nearest(matrix: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the k best ids, ties to the smaller id, each id once.
+def _nearest(rough: np.ndarray, slack: float, matrix: np.ndarray, ids: np.ndarray, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows ``at``: places and scores of the k best ids, ties to the smaller id, each id once.
 
-    A first product picks candidates with room for rounding and for ids met in several tables; the scores that decide
-    are summed in one fixed order, so equal vectors score alike wherever they stand.
+    ``rough`` scores, right to within ``slack``, pick candidates with room for it and for ids met in several tables; the
+    scores that decide are summed in one fixed order, so equal vectors score alike wherever they stand.
     """
-    rough, take = matrix @ query, 4 * k
+    take = 4 * k
     while True:
-        if len(rough) > take:
-            edge = np.partition(rough, len(rough) - take)[len(rough) - take]
-            at = np.flatnonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))
-        else:
-            at = np.arange(len(rough))
-        score = (matrix[at] * query).sum(1)
-        order = np.lexsort((ids[at], -score))
-        _, once = np.unique(ids[at[order]], return_index=True)
-        if len(once) >= k or len(at) == len(rough):
+        near = at[rough >= np.partition(rough, len(rough) - take)[len(rough) - take] - slack] if len(rough) > take else at
+        score = (matrix[near] * query).sum(1)
+        order = np.lexsort((ids[near], -score))
+        _, once = np.unique(ids[near[order]], return_index=True)
+        if len(once) >= k or len(near) == len(rough):
             order = order[np.sort(once)[:k]]
-            return at[order], score[order]
+            return near[order], score[order]
         take *= 2
 
 
@@ -167,23 +163,27 @@ def search_cells(rows: DataFrame, k: int, own: bool = True) -> DataFrame:
                 if index is None:
                     bucket = np.concatenate([p[0] for p in parts])
                     order = np.argsort(bucket, kind="stable")
-                    index = bucket[order], np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])[order]
+                    matrix = np.concatenate([p[2] for p in parts])[order]
+                    longest = float(np.sqrt((matrix * matrix).sum(1).max()))
+                    index = bucket[order], np.concatenate([p[1] for p in parts])[order], matrix, matrix.astype(np.float32), longest
                     parts = parts[:1]
-                bucket, members, matrix = index
+                bucket, members, matrix, light, longest = index
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for r in range(a, z):
+                    if (r - a) % QUERY_ROWS == 0:  # one product for a block of queries; a query's buckets then pick from its row
+                        block = vec[r : min(z, r + QUERY_ROWS)].astype(np.float32) @ light.T
                     visits = flat[ends[r] : ends[r + 1]]
                     if len(visits):
                         lo = np.searchsorted(bucket, visits, "left")
-                        at = np.unique(spans(lo, np.searchsorted(bucket, visits, "right") - lo))
+                        at = spans(lo, np.searchsorted(bucket, visits, "right") - lo)
                     else:
                         at = np.arange(len(members))
                     if own:
                         at = at[members[at] != ids[r]]
                     if not len(at):
                         continue
-                    near, score = _nearest(matrix[at], members[at], vec[r], k)
-                    near = at[near]
+                    slack = 1e-5 * longest * float(np.sqrt(vec[r] @ vec[r]))
+                    near, score = _nearest(block[(r - a) % QUERY_ROWS, at], slack, matrix, members, at, vec[r], k)
                     out.append((np.full(len(near), ids[r]), members[near], score))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
@@ -208,7 +208,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     table = spark.sparkContext.broadcast(Hashing(about["dim"], about["norm"], tables, hashes, probes, width, seed))
     item = rows.schema["vec"].dataType.elementType.simpleString()
     queries = rows.filter(is_query)
-    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tables * n // cell_rows))
+    cells = max(1, -(-tables * n // cell_rows))
     limit = max(bucket_rows, n // 10_000)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
