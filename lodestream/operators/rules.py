@@ -126,11 +126,24 @@ def cross_source(evidence: DataFrame, since: Column, now: Column) -> DataFrame:
     return _evidence(n, "verified_cross_source", "verified_cross_source_two_weak_48h", F.lit("potential"), "weak_source_families_48h", F.col("n"), now)
 
 
-def promoted(evidence: DataFrame) -> DataFrame:
-    """entity_key, level, families, reasons, first_trigger_at: the greatest level, the sets, the least time."""
-    out = evidence.groupBy("entity_key").agg(F.max(X.level_rank(F.col("level"))).alias("r"), F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_set("rule")).alias("reasons"), F.min("event_at").alias("first_trigger_at"))
-    level = F.element_at(F.array(*[F.lit(x) for x in ("none", "watch", "potential", "high_potential")]), F.col("r") + 1)
-    return out.select("entity_key", level.alias("level"), "families", "reasons", "first_trigger_at")
+def promoted(evidence: DataFrame, since: Column | None = None, now: Column | None = None) -> DataFrame:
+    """entity_key, level, families, reasons, first_trigger_at: the greatest level, the sets, the least time.
+
+    With ``since`` and ``now`` the cross-source rule counts too: its weak families are gathered in the same aggregation,
+    so the evidence is read once and not once more for the rule that reads the others' results.
+    """
+    weak = F.lit(False)
+    if since is not None:
+        weak = (F.col("level") == "watch") & F.col("event_at").between(since, now) & F.col("entity_key").rlike("^(github|domain):")
+    out = evidence.groupBy("entity_key").agg(
+        F.max(X.level_rank(F.col("level"))).alias("r"), F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_set("rule")).alias("reasons"),
+        F.min("event_at").alias("first_trigger_at"), F.size(F.collect_set(F.when(weak, F.col("family")))).alias("weak"),
+    )
+    crossed = F.col("weak") >= RULES["verified_cross_source"]["weak_signals_48h_potential"]
+    more = lambda c, x: F.when(crossed, F.array_sort(F.array_append(c, F.lit(x)))).otherwise(F.col(c))
+    level = F.element_at(F.array(*[F.lit(x) for x in ("none", "watch", "potential", "high_potential")]), F.when(crossed, F.greatest("r", F.lit(2))).otherwise(F.col("r")) + 1)
+    first = F.col("first_trigger_at") if now is None else F.when(crossed, F.least("first_trigger_at", now)).otherwise(F.col("first_trigger_at"))
+    return out.select("entity_key", level.alias("level"), more("families", "verified_cross_source").alias("families"), more("reasons", "verified_cross_source_two_weak_48h").alias("reasons"), first.alias("first_trigger_at"))
 
 
 def backfill_jobs(producers: list[DataFrame], most: int = RULES["backfill"]["max_jobs"]) -> DataFrame:

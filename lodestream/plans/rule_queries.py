@@ -115,9 +115,8 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _with_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = _evidence(spark, sf_dir)
-    return evidence.unionByName(R.cross_source(evidence, ago(2), now()))
+def _promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.promoted(_evidence(spark, sf_dir), ago(2), now())
 
 
 @query(with_sql(ITEMS_SQL, _R1, then=f"SELECT {_COLS} FROM r1"))
@@ -188,7 +187,7 @@ def r10_a10_cross_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(*_RULES_SQL, _EVIDENCE, _R10, _PROMOTED, then="SELECT * FROM promoted"))
 def r11_a11_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = R.promoted(_with_cross_source(spark, sf_dir))
+    p = _promoted(spark, sf_dir)
     return p.select("entity_key", "level", F.array_join("families", ",").alias("families"), F.array_join("reasons", ",").alias("reasons"), "first_trigger_at")
 
 
@@ -196,7 +195,7 @@ def r11_a11_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.functions.scalars import stable_id
 
-    p = R.promoted(_with_cross_source(spark, sf_dir)).filter("level != 'none'")
+    p = _promoted(spark, sf_dir).filter("level != 'none'")
     return p.select(stable_id("entity:", F.col("entity_key")).alias("entity_id"), "level", F.array_join("families", ",").alias("families"), F.array_join("reasons", ",").alias("reasons"), F.when(F.col("level") == "watch", "edge_watch").otherwise("candidate").alias("list"))
 
 
@@ -207,7 +206,7 @@ def r12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r13_w14_backfill_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.functions.scalars import level_rank
 
-    p, i = R.promoted(_with_cross_source(spark, sf_dir)), items(spark, sf_dir)
+    p, i = _promoted(spark, sf_dir), items(spark, sf_dir)
     stars = p.filter("level in ('potential', 'high_potential') and entity_key like 'github:%'").select("entity_key", F.lit("stars").alias("reason"), (1_000_000 + level_rank(F.col("level"))).alias("priority"))
     rising = i.filter("source = 'github_trending' and key_type = 'github' and metric >= 50").groupBy("entity_key").agg((100_000 + F.max("metric")).alias("priority")).withColumn("reason", F.lit("stars"))
     weekly = i.filter("source = 'npm_registry' and metric * 30 >= 3000").groupBy("entity_key").agg((500_000 + F.max(F.col("metric") * 30)).alias("priority")).withColumn("reason", F.lit("downloads"))
