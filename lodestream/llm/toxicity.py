@@ -29,6 +29,8 @@ from ._shared import row_chunks, utf8
 from .pretokens import mixed, padded, piece_hash
 
 BITS = 20
+#: Bytes of text whose features are held at once.
+CHUNK_BYTES = 1 << 20
 #: Bytes of a longer word that stand for its stem.
 STEMS = (4, 5, 6)
 #: Most labelled rows that are learned from, and those that one task learns from.
@@ -70,6 +72,13 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
+def feature_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, coordinates, rows within) of a column of texts, about a MB at a time."""
+    _, offs = utf8(column)
+    for a, b in row_chunks(offs, CHUNK_BYTES):
+        yield a, b, *features(*_texts(column.slice(a, b - a)))
+
+
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pc.utf8_lower(column.cast(pa.large_string())))
 
@@ -116,25 +125,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     most = 2 * shard_rows * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: dict[int, list[tuple[np.ndarray, float]]] = {}
+        shard, held = None, []
+
+        def learned() -> Iterator[pa.RecordBatch]:
+            if held:
+                model = Ftrl()
+                for _ in range(EPOCHS):
+                    for at, label in held:
+                        model.learn(at, label)
+                at, w = model.nonzero()
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["at", "w"])
+
         for batch in batches:
-            raw, offs = _texts(batch.column(0))
             y, own = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b in row_chunks(offs, 4 << 20):
-                at, row = features(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            for a, b, at, row in feature_chunks(batch.column(0)):
                 key = np.unique(row << BITS | at)
                 cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
                 for k in range(b - a):
-                    held = shard.setdefault(own[a + k], [])
+                    if own[a + k] != shard:  # rows come sorted by shard
+                        yield from learned()
+                        shard = own[a + k]
                     if len(held) < most:  # only if one id were repeated without end
                         held.append(((key[cut[k] : cut[k + 1]] & ((1 << BITS) - 1)).astype(np.int32), y[a + k]))
-        for held in shard.values():
-            model = Ftrl()
-            for _ in range(EPOCHS):
-                for at, label in held:
-                    model.learn(at, label)
-            at, w = model.nonzero()
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["at", "w"])
+        yield from learned()
 
     dealt = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_h")
     learned = dealt.mapInArrow(run, "at long, w double")
@@ -146,26 +160,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {at: w / models for at, (w, _) in got.items()}
 
 
-def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, row_hash (of the text), score from 0 to 1: the logistic of the weights of the features present."""
+def _scorer(docs: DataFrame, weights: dict[int, float]):
+    """A function from a column of texts to (row range, scores), over a broadcast of the non-zero weights."""
     at = np.array([k for k in weights if k >= 0], np.int64)
     table = docs.sparkSession.sparkContext.broadcast((at, np.array([weights[k] for k in at.tolist()], np.float64), weights.get(-1, 0.0)))
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         at, w, base = table.value
-        dense = np.zeros(1 << BITS)
+        dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
+        for a, b, where, row in feature_chunks(column):
+            on = np.flatnonzero(dense[where])
+            key = np.unique(row[on] << BITS | where[on])
+            total = base + np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], minlength=b - a)
+            yield a, b, 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    return scores
+
+
+def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, score from 0 to 1: the logistic of the weights of the features present."""
+    scores, kind = _scorer(docs, weights), docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = _texts(batch.column(2))
-            for a, b in row_chunks(offs, 4 << 20):
-                where, row = features(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                on = np.flatnonzero(dense[where])
-                key = np.unique(row[on] << BITS | where[on])
-                total = base + np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [id_col, "row_hash", "score"])
+            for a, b, p in scores(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p)], [id_col, "score"])
+            pa.default_memory_pool().release_unused()
 
-    return docs.select(id_col, F.xxhash64(F.col(text_col)), text_col).mapInArrow(run, f"`{id_col}` {kind}, row_hash long, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,15 +197,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_hash, held_out, score, predicted for every row of ``docs``, learned from labels that are not held out."""
+    """doc_id, held_out, score, predicted for every row of ``docs``, learned from labels that are not held out."""
     weights = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs, weights).select("doc_id", "row_hash", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns, each row as often as it came."""
-    weights = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    toxic = score(docs, weights).filter(F.col("score") >= threshold).select("doc_id", "row_hash").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    gone = F.col("doc_id").eqNullSafe(F.col("_toxic_id")) & (F.col("_hash") == F.col("_toxic_hash"))
-    return rows.join(toxic.select(F.col("doc_id").alias("_toxic_id"), F.col("row_hash").alias("_toxic_hash")), gone, "left_anti").select(*docs.columns)
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more: all columns, each row as often as it came, no shuffle."""
+    scores = _scorer(docs, train(docs, labels.filter(~held_out(F.col("doc_id"))), text_col=text_col))
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, p in scores(batch.column(where)):
+                yield batch.slice(a, b - a).filter(pa.array(p < threshold))
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)
