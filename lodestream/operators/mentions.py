@@ -11,7 +11,7 @@ TIERS, CONFIDENCES = ("none", "watch", "potential", "high"), ("linked", "exact_h
 
 
 def mention_buckets(posts: DataFrame, samples: int = 5) -> DataFrame:
-    """Per window and project: posts, engagement, views, accounts, and the first sample posts.
+    """Per window and project: posts, engagement, views, distinct accounts, and the first sample posts.
 
     posts: post_id, author, engagement, views, windows array, projects array, ord (the order of first sight).
     """
@@ -21,10 +21,15 @@ def mention_buckets(posts: DataFrame, samples: int = 5) -> DataFrame:
 
     sample = first_per(long, ["window_name", "project"], [F.col("ord").asc(), F.col("post_id").asc()], samples)
     sample = sample.groupBy("window_name", "project").agg(first.alias("sample"))
-    total = long.groupBy("window_name", "project").agg(F.count(F.lit(1)).alias("tweet_count"), F.sum("engagement").alias("engagement_sum"), F.sum("views").alias("view_sum"), F.array_sort(F.collect_set("author")).alias("accounts"))
+    total = long.groupBy("window_name", "project").agg(F.count(F.lit(1)).alias("tweet_count"), F.sum("engagement").alias("engagement_sum"), F.sum("views").alias("view_sum"), F.count_distinct("author").alias("n_accounts"))
     return total.join(sample, ["window_name", "project"])
 
 
+def mention_accounts(posts: DataFrame) -> DataFrame:
+    """The accounts themselves, a row for each window, project and account."""
+    return posts.withColumn("window_name", F.explode("windows")).withColumn("project", F.explode("projects")).select("window_name", "project", "author").distinct()
+
+
 def entity_windows(mentions: DataFrame, now: Column, credible: Column) -> DataFrame:
     """Per entity and window (24h, 7d): distinct and credible authors, mentions. Only the window's beginning bounds it.
 

@@ -83,8 +83,8 @@ def j10_previous_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(ITEMS_SQL, then="SELECT DISTINCT i.item_id FROM items i WHERE i.entity_key IN (SELECT entity_key FROM items GROUP BY entity_key HAVING max(metric) >= 1000)"))
 def j11_candidate_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    hot = i.groupBy("entity_key").agg(F.max("metric").alias("m"), F.collect_set("item_id").alias("ids")).filter("m >= 1000")
-    return i.join(hot.select(F.explode("ids").alias("item_id")), "item_id", "left_semi").select("item_id")
+    hot = i.groupBy("entity_key").agg(F.max("metric").alias("m")).filter("m >= 1000")
+    return i.join(hot, "entity_key", "left_semi").select("item_id")
 
 
 @query("SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0) THEN 'hit' ELSE 'miss' END AS cached FROM documents")
@@ -137,7 +137,7 @@ def a2_mention_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = F.filter(W.age_windows(F.col("ts"), now()), lambda w: w.isin("24h", "7d"))
     posts = items(spark, sf_dir).select(F.col("item_id").alias("post_id"), F.col("source").alias("author"), F.col("metric").alias("engagement"), F.col("k").alias("views"), age.alias("windows"), F.array(F.concat(F.lit("p"), (F.col("k") % 10).cast("string")), F.concat(F.lit("q"), (F.col("user_id") % 5).cast("string"))).alias("projects"), F.col("item_id").alias("ord"))
     out = M.mention_buckets(posts)
-    return out.select("window_name", "project", "tweet_count", "engagement_sum", "view_sum", F.size("accounts").cast("long").alias("n_accounts"), F.array_join(F.transform("sample", lambda s: s.cast("string")), ",").alias("sample"))
+    return out.select("window_name", "project", "tweet_count", "engagement_sum", "view_sum", "n_accounts", F.array_join(F.transform("sample", lambda s: s.cast("string")), ",").alias("sample"))
 
 
 _A3 = f"""wins AS (SELECT entity_key, window_name, count(DISTINCT source) AS distinct_authors, count(DISTINCT CASE WHEN source IN ('hn_algolia', 'product_hunt') THEN source END) AS credible_authors, count(*) AS mention_count
@@ -247,9 +247,12 @@ def a12_g3_merged_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged_bullets(rows).select("entity_key", "label", "strength", F.size("refs").cast("long").alias("refs"))
 
 
-@query(with_sql(ITEMS_SQL, then="SELECT entity_key, sha256(array_to_string(list_sort(list(sha256(item_id || '|' || source || '|' || metric))), '|')) AS evidence_hash FROM items GROUP BY entity_key"))
+_HASH = "lpad(printf('%x', bit_xor(CAST('0x' || substr(h, {0}, 15) AS BIGINT))), 15, '0')"
+
+
+@query(with_sql(ITEMS_SQL, then="SELECT entity_key, " + " || ".join(_HASH.format(i) for i in (1, 16, 31, 46)) + " || '-' || count(*) AS evidence_hash FROM (SELECT entity_key, sha256(item_id || '|' || source || '|' || metric) AS h FROM items) GROUP BY entity_key"))
 def g4_evidence_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.evidence_hash(items(spark, sf_dir), "entity_key", ["source", "metric"], ["item_id"])
+    return G.evidence_hash(items(spark, sf_dir), "entity_key", ["item_id", "source", "metric"])
 
 
 # --- scores and feed ------------------------------------------------------------------------------------------------
@@ -329,8 +332,10 @@ def l1_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT conv_id, array_to_string(list(left(trim(text), 40) ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn)[1:3], '|') AS facts FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
 def l8_l9_fact_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter("trim(text) != ''")
-    fact = F.struct(F.when(F.col("role") == "user", 0).otherwise(1).alias("a"), F.col("turn").alias("b"), F.substring(F.trim("text"), 1, 40).alias("t"))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(fact)), 1, 3), lambda f: f["t"]), "|").alias("facts"))
+    first = F.when(F.col("role") == "user", 0).otherwise(1)
+    top = W.first_per(c.withColumn("a", first), ["conv_id"], [F.col("a").asc(), F.col("turn").asc()], 3)
+    fact = F.struct("a", "turn", F.substring(F.trim("text"), 1, 40).alias("t"))
+    return top.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(fact)), lambda f: f["t"]), "|").alias("facts"))
 
 
 @query("SELECT conv_id, CAST(sum(CASE WHEN role = 'system' THEN e ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(e) AS BIGINT) AS total, sum(e) <= 28500 AS fits FROM (SELECT conv_id, role, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS e FROM conversations) GROUP BY conv_id")

@@ -133,10 +133,12 @@ def k6_guarded_job_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.guarded_jobs(old, new, ["job"])
 
 
-@query(with_sql(GROUPS_SQL, then="""SELECT level, '[' || string_agg('{"id":' || group_id || ',"name":"' || canonical_name || '"}', ',' ORDER BY group_id) || ']' AS document FROM groups WHERE n_orders > 12 GROUP BY level"""))
+@query(with_sql(GROUPS_SQL, then="""SELECT level, (n - 1) // 1000 AS part, '[' || string_agg('{"id":' || group_id || ',"name":"' || canonical_name || '"}', ',' ORDER BY group_id) || ']' AS document FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY group_id) AS n FROM groups WHERE n_orders > 5) GROUP BY level, (n - 1) // 1000"""))
 def k7_candidate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered JSON arrays of each list, a thousand rows a part, so that no part grows with the list."""
+    g = W.ranked(groups(spark, sf_dir).filter("n_orders > 5"), "n", ["level"], [F.col("group_id").asc()])
     row = F.struct(F.col("group_id").alias("id"), F.col("canonical_name").alias("name"))
-    return groups(spark, sf_dir).filter("n_orders > 12").groupBy("level").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("document"))
+    return g.groupBy("level", F.floor((F.col("n") - 1) / 1000).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("document"))
 
 
 @query(with_sql(ITEMS_SQL, then="SELECT source, item_id, n AS place FROM (SELECT source, item_id, row_number() OVER (PARTITION BY source ORDER BY metric DESC, item_id) AS n FROM items) WHERE n <= 20"))
