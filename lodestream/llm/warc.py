@@ -37,8 +37,8 @@ def unescaped(texts: pd.Series) -> pd.Series:
 def plain_text(page: Column) -> Column:
     text = F.regexp_replace(F.coalesce(page, F.lit("")), _HIDDEN, "")
     text = F.regexp_replace(F.regexp_replace(text, _LINE, "\n"), _TAG, "")
-    text = F.regexp_replace(unescaped(text), r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    text = F.regexp_replace(unescaped(text), r"[ \t\r\f]{2,}|[\t\r\f]", " ")  # a lone blank needs no change
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def _uuid(of: Column) -> Column:
@@ -71,15 +71,16 @@ def derivatives(found: DataFrame) -> DataFrame:
         F.lit("\r\nsource-headers: "), F.regexp_replace("http_headers", r"\r\n", " | "),
         F.array_join(F.transform(links, lambda x: F.concat(F.lit("\r\noutlink: "), x)), ""),
     )
-    made = found.withColumn("_text", plain_text(page)).withColumn(
-        "_both",
-        F.array(
-            F.struct(F.lit("metadata").alias("warc_type"), metadata.alias("record_id"), conversion.alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-            F.struct(F.lit("conversion").alias("warc_type"), conversion.alias("record_id"), metadata.alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_text").alias("block")),
-        ),
-    )
-    rows = made.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"), F.explode("_both").alias("r"))
-    return rows.select("source_id", "r.warc_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "warc_date", "r.content_type", "source_headers", "source_digest", "r.block", _digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"))
+    made = found.select("*", plain_text(page).alias("_text"), fields.alias("_fields"))
+    kinds = F.array(F.lit("metadata"), F.lit("conversion"))  # a constant, so that nothing above it is worked out again for it
+    both = made.select("*", F.explode(kinds).alias("warc_type"))
+    meta = F.col("warc_type") == "metadata"
+    rows = both.select(
+        "source_id", "warc_type", F.when(meta, metadata).otherwise(conversion).alias("new_id"), F.col("record_id").alias("refers_to"), F.when(meta, conversion).otherwise(metadata).alias("concurrent_to"),
+        "target_uri", "warc_date", F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8").alias("content_type"), F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"),
+        F.when(meta, F.col("_fields")).otherwise(F.col("_text")).alias("block"),
+    )
+    return rows.select("source_id", "warc_type", F.col("new_id").alias("record_id"), "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block", _digest(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"))
 
 
 def write_warc(records: DataFrame, path: str, compression: str | None = "gzip") -> None:
