@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import shared_dir, spans, utf8
-from .bpe import CHUNK_BYTES, MEMO, encode_chunks
+from .bpe import encode_chunks
 from .pretokens import distinct_pieces, piece_starts
 
 #: Ids a shard holds; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
+#: Bytes of text that one round of array work covers, and pieces that a Python worker remembers between rounds.
+CHUNK_BYTES, MEMO = 4 << 20, 300_000
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
@@ -149,7 +151,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
         for batch in batches:
             raw, offs = utf8(batch.column(1))
-            for a, b, ids, n in encode_chunks(raw, offs, encoder):
+            for a, b, ids, n in encode_chunks(raw, offs, encoder, CHUNK_BYTES):
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
                 ends = np.cumsum(n)
