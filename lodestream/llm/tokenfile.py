@@ -31,7 +31,7 @@ from .pretokens import distinct_pieces, piece_starts
 #: Ids a shard holds; a longer document has a shard of its own.
 SHARD_TOKENS = 1 << 20
 #: Bytes of text that one round of array work covers, and pieces that a Python worker remembers between rounds.
-CHUNK_BYTES, MEMO = 4 << 20, 300_000
+CHUNK_BYTES, MEMO = 4 << 20, 500_000
 
 
 # --- the code -------------------------------------------------------------------------------------------------------
