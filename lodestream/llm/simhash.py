@@ -183,19 +183,22 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id_col, row_hash, fp, component_id (the least id reachable by links), one row per row."""
+    """id_col, row_hash, fp, component (its least fingerprint), component_id (the least id reachable by links), one row per row."""
     rows = written(fingerprints(df, id_col, text_col, words), "simhash")
     distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     stars = connected_components(links(distinct))
     of_fp = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = of_fp.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return rows.join(of_fp.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "row_hash", "fp", "component_id")
+    return rows.join(of_fp.join(least, "component").select("fp", "component", "component_id"), "fp").select(id_col, "row_hash", "fp", "component", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``df`` with one row of each component: that of the least id (then of the least hash of the text)."""
+    """``df`` with one row of each component: that of the least id (then of the least hash of the text).
+
+    Components are told apart by their own name and not by component_id, which unrelated ones share where ids are null or repeated.
+    """
     found = near_duplicates(df, id_col, text_col, words)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias("k"))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias("k"))
     kept = kept.select(F.col("k.n").alias("_no_id"), F.coalesce(F.col("k.i").cast("string"), F.lit("")).alias("_id"), F.col("k.h").alias("_hash")).distinct()
     keys = ["_no_id", "_id", "_hash"]
     rows = df.withColumns({"_no_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(F.col(text_col))}).join(kept, keys)

@@ -91,3 +91,12 @@ def test_nulls_repeats_and_one_of_each(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, 8, None]
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
+
+
+def test_one_of_each_keeps_unrelated_texts_under_null_and_repeated_ids(spark):
+    a, b = "one two three four five six seven eight nine ten", "quite another text with words of its own kind"
+    c, d = "alone in the world of words and more", "the last of these has nothing in common with them"
+    docs = [(None, a), (None, b), (None, b.upper()), (7, c), (7, d), (12, d.upper())]
+    kept = simhash.one_of_each(spark.createDataFrame([(*x, None, None, None) for x in docs], SCHEMA)).collect()
+    assert len(kept) == 4
+    assert {(r.doc_id, r.text.lower()) for r in kept} == {(None, a), (None, b), (7, c), (7, d)}
