@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import scalars as X
+from lodestream.operators.windows import seconds
 
 #: Thresholds and floors of the rules.
 RULES = {
@@ -43,11 +44,14 @@ def daily_stars(rows: DataFrame) -> DataFrame:
     return _evidence(best, "github", "github_trending_daily", _ladder(F.col("b.stars"), RULES["github_trending"]), "stars_today", F.col("b.stars"), F.col("b.at"))
 
 
+def _rises() -> Column:
+    t = RULES["trending_repos"]
+    return ((F.col("stars_velocity") >= t["stars_velocity_floor"]) | (F.col("forks_velocity") >= t["forks_velocity_floor"])) & (F.col("slope") > 0)
+
+
 def rising_direction(rows: DataFrame) -> DataFrame:
     """Rows with enough velocity whose sparkline rises. rows: entity_key, stars_velocity, forks_velocity, slope, at."""
-    t = RULES["trending_repos"]
-    ok = ((F.col("stars_velocity") >= t["stars_velocity_floor"]) | (F.col("forks_velocity") >= t["forks_velocity_floor"])) & (F.col("slope") > 0)
-    return _evidence(rows.filter(ok), "github", "trending_repos_direction", F.lit("watch"), "trending_direction_slope", F.col("slope"), F.col("at"))
+    return _evidence(rows.filter(_rises()), "github", "trending_repos_direction", F.lit("watch"), "trending_direction_slope", F.col("slope"), F.col("at"))
 
 
 def star_acceleration(rows: DataFrame) -> DataFrame:
@@ -146,6 +150,36 @@ def promoted(evidence: DataFrame, since: Column | None = None, now: Column | Non
     return out.select("entity_key", level.alias("level"), more("families", "verified_cross_source").alias("families"), more("reasons", "verified_cross_source_two_weak_48h").alias("reasons"), first.alias("first_trigger_at"))
 
 
+def _in_turn() -> Column:
+    """The order in which a source's rows are read: by rank, those without one last, then by id."""
+    return F.struct(F.col("source_rank").isNull(), "source_rank", "item_id")
+
+
+def backfill_producers(promoted: DataFrame, search: DataFrame, trending: DataFrame, packages: DataFrame, boards: DataFrame, repofomo: DataFrame, now: Column) -> list[DataFrame]:
+    """The four producers of backfill jobs, each with reasons of its own; where rows of a producer make one job, the last wins.
+
+    promoted: entity_key, level. search: entity_key, item_id, source_rank, stars, created, pushed. trending: entity_key, stars_velocity,
+    forks_velocity, slope. packages: entity_key, item_id, source_rank, package, weekly. boards, repofomo: entity_key of what is on them.
+    """
+    b, github = RULES["backfill"], F.col("entity_key").startswith("github:")
+    potential = promoted.filter(F.col("level").isin("potential", "high_potential"))
+    candidates = potential.filter(github).select("entity_key", F.lit("potential_candidate").alias("reason"), (1_000_000 + X.level_rank(F.col("level"))).alias("priority"))
+
+    found = search.filter(github).withColumn("_speed", F.col("stars") / F.greatest((seconds(now) - seconds(F.col("created"))) / 86400, F.lit(1.0)))
+    within = lambda at, days: F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")
+    found = found.filter((F.col("_speed") >= b["min_stars_per_day"]) & within("pushed", b["pushed_within_days"]) & within("created", b["created_within_days"]))
+    fast = found.join(boards.select("entity_key").distinct(), "entity_key", "left_anti").groupBy("entity_key").agg(F.max_by("_speed", _in_turn()).alias("priority"))
+    fast = fast.withColumn("reason", F.lit("github_search_velocity_prefilter"))
+
+    known = repofomo.select("entity_key").union(potential.select("entity_key")).distinct()
+    rising = trending.filter(github & _rises()).join(known, "entity_key", "left_anti")
+    rising = rising.groupBy("entity_key").agg((100_000 + F.max(F.coalesce("stars_velocity", F.lit(0)))).alias("priority")).withColumn("reason", F.lit("trending_repos_rising_watch"))
+
+    named = packages.withColumn("package", F.trim("package")).filter((F.col("package") != "") & (F.col("weekly") >= RULES["npm_registry"]["daily_downloads_floor"]))
+    downloads = named.groupBy("entity_key", F.concat(F.lit("package_downloads:"), "package").alias("reason")).agg((500_000 + F.max_by("weekly", _in_turn())).alias("priority"))
+    return [candidates, fast, rising, downloads]
+
+
 def backfill_jobs(producers: list[DataFrame], most: int = RULES["backfill"]["max_jobs"]) -> DataFrame:
     """Jobs of all producers, (entity_key, reason, priority) each: the last producer of a job wins; the most urgent are kept."""
     rows = None

@@ -211,3 +211,23 @@ def r13_w14_backfill_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rising = i.filter("source = 'github_trending' and key_type = 'github' and metric >= 50").groupBy("entity_key").agg((100_000 + F.max("metric")).alias("priority")).withColumn("reason", F.lit("stars"))
     weekly = i.filter("source = 'npm_registry' and metric * 30 >= 3000").groupBy("entity_key").agg((500_000 + F.max(F.col("metric") * 30)).alias("priority")).withColumn("reason", F.lit("downloads"))
     return R.backfill_jobs([stars, rising, weekly])
+
+
+@query(with_sql(*_RULES_SQL, _EVIDENCE, _R10, _PROMOTED, """i AS (SELECT *, CASE WHEN k % 5 <> 0 THEN k END AS source_rank, ts - to_days(CAST(k * 2 AS INTEGER)) AS created FROM items),
+turn AS (SELECT *, struct_pack(a := source_rank IS NULL, b := coalesce(source_rank, 0), c := item_id) AS turn FROM i),
+known AS (SELECT entity_key FROM promoted WHERE level IN ('potential', 'high_potential') UNION SELECT entity_key FROM items WHERE source = 'github_trending' AND user_id % 4 = 0),
+jobs AS (SELECT entity_key, 'potential_candidate' AS reason, CAST(1000000 + CASE level WHEN 'high_potential' THEN 3 ELSE 2 END AS DOUBLE) AS priority FROM promoted WHERE starts_with(entity_key, 'github:') AND level IN ('potential', 'high_potential')
+  UNION ALL SELECT entity_key, 'github_search_velocity_prefilter', max_by(speed, turn) FROM (SELECT *, metric * 20 / greatest(date_diff('microsecond', created, """ + _NOW + """) / 1000000.0 / 86400, 1.0) AS speed FROM turn WHERE source = 'hn_algolia' AND key_type = 'github')
+    WHERE speed >= 50 AND ts >= """ + _NOW + """ - INTERVAL 14 DAY AND created >= """ + _NOW + """ - INTERVAL 180 DAY AND entity_key NOT IN (SELECT entity_key FROM items WHERE source = 'github_trending' AND user_id % 2 = 0) GROUP BY entity_key
+  UNION ALL SELECT entity_key, 'trending_repos_rising_watch', 100000 + CAST(max(metric) AS DOUBLE) FROM items WHERE source = 'github_trending' AND key_type = 'github' AND (metric >= 150 OR k >= 50) AND k % 10 > 3 AND entity_key NOT IN (SELECT entity_key FROM known) GROUP BY entity_key
+  UNION ALL SELECT entity_key, 'package_downloads:pkg' || (k % 7), 500000 + CAST(max_by(metric * 30, turn) AS DOUBLE) FROM turn WHERE source = 'npm_registry' AND metric * 30 >= 3000 AND k % 7 > 0 GROUP BY entity_key, k % 7)""",
+  then="SELECT * FROM jobs ORDER BY priority DESC, entity_key, reason LIMIT 40"))
+def r13_w14_four_producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, k = items(spark, sf_dir).withColumn("source_rank", F.when(F.col("k") % 5 != 0, F.col("k"))), F.col("k")
+    of = lambda source: i.filter(F.col("source") == source)
+    search = of("hn_algolia").select("entity_key", "item_id", "source_rank", (F.col("metric") * 20).alias("stars"), (F.col("ts") - F.make_dt_interval(k.cast("int") * 2)).alias("created"), F.col("ts").alias("pushed"))
+    trending = of("github_trending").select("entity_key", F.col("metric").alias("stars_velocity"), k.alias("forks_velocity"), (k % 10 - 3).alias("slope"))
+    package = F.when(k % 7 > 0, F.concat(F.lit(" pkg"), (k % 7).cast("string"))).otherwise(" ")
+    packages = of("npm_registry").select("entity_key", "item_id", "source_rank", package.alias("package"), (F.col("metric") * 30).alias("weekly"))
+    boards = of("github_trending")
+    return R.backfill_jobs(R.backfill_producers(_promoted(spark, sf_dir), search, trending, packages, boards.filter("user_id % 2 = 0"), boards.filter("user_id % 4 = 0"), now()))

@@ -103,3 +103,20 @@ def test_budget_passes_over_what_does_not_fit(spark):
 
     rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("size")) for i, n in enumerate((50, 60, 10, 30))])
     assert spark.range(1).select(W.fitted(rows, 100).alias("f")).first()["f"].kept == [0, 2, 3]
+
+
+def test_backfill_jobs_of_all_producers(spark):
+    from lodestream.operators import rules as R
+
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    promoted = spark.createDataFrame([("github:p/1", "potential"), ("domain:x", "high_potential"), ("github:w/1", "watch")], "entity_key string, level string")
+    rows = [("github:s/1", 1, 5, 600, "2024-01-21", "2024-01-30"), ("github:s/1", 2, None, 700, "2024-01-21", "2024-01-30"), ("github:board/1", 3, 1, 900, "2024-01-21", "2024-01-30"), ("github:slow/1", 4, 1, 490, "2024-01-21", "2024-01-30"),
+            ("github:idle/1", 5, 1, 900, "2024-01-01", "2024-01-16"), ("github:old/1", 6, 1, 99999, "2023-08-03", "2024-01-30"), ("github:none/1", 7, 1, 900, None, "2024-01-30"), ("domain:y", 8, 1, 900, "2024-01-21", "2024-01-30")]
+    search = spark.createDataFrame(rows, "entity_key string, item_id int, source_rank int, stars int, created string, pushed string").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created", "pushed")})
+    trending = spark.createDataFrame([("github:p/1", 500, 0, 1.0), ("github:fomo/1", 500, 0, 1.0), ("github:w/1", 200, 0, 0.5), ("github:w/1", 300, 0, 0.1), ("github:flat/1", 500, 0, 0.0), ("github:few/1", 149, 49, 1.0)], "entity_key string, stars_velocity int, forks_velocity int, slope double")
+    packages = spark.createDataFrame([("e", 1, 1, " a ", 3000), ("e", 2, 2, "a", 4000), ("e", 3, 1, "b", 5000), ("e", 4, 1, "c", 2999), ("e", 5, 1, " ", 9000)], "entity_key string, item_id int, source_rank int, package string, weekly int")
+    boards, fomo = (spark.createDataFrame([(x,)], "entity_key string") for x in ("github:board/1", "github:fomo/1"))
+    producers = R.backfill_producers(promoted, search, trending, packages, boards, fomo, at("2024-01-31"))
+    want = [("github:p/1", "potential_candidate", 1_000_002.0), ("e", "package_downloads:b", 505_000.0), ("e", "package_downloads:a", 504_000.0), ("github:w/1", "trending_repos_rising_watch", 100_300.0), ("github:s/1", "github_search_velocity_prefilter", 70.0)]
+    assert [tuple(r) for r in R.backfill_jobs(producers).collect()] == want
+    assert [tuple(r) for r in R.backfill_jobs(producers, 2).collect()] == want[:2]
