@@ -49,11 +49,16 @@ def chosen_windows(windows: DataFrame, most: int) -> DataFrame:
     return one.orderBy(*order, F.desc(F.col("window_name") == "24h"), F.desc("entity_key")).limit(most)
 
 
-def story_units(rows: DataFrame, most: int) -> DataFrame:
+def story_units(rows: DataFrame, most: int, floor: float | None = None, since: Column | None = None, now: Column | None = None) -> DataFrame:
     """Stories of one link or title as a unit: representative, best score and comments, rows, impact, likeness.
 
-    rows: unit_key, item_id, score, comments, title, url, impact.
+    rows: unit_key, item_id, score, comments, title, url, impact, and at where a window is given. Rows under the floor or
+    out of the window count for nothing; a unit without others is none.
     """
+    if floor is not None:
+        rows = rows.filter(F.coalesce("score", F.lit(0)) >= floor)
+    if since is not None:
+        rows = rows.filter(F.col("at").between(since, now))
     u = rows.groupBy("unit_key").agg(F.min("item_id").alias("item_id"), F.min_by("title", "item_id").alias("title"), F.min_by("url", "item_id").alias("url"), F.max("score").alias("best_score"), F.max("comments").alias("best_comments"), F.count(F.lit(1)).alias("row_count"), F.max("impact").alias("impact"))
     t = F.lower("title")
     like = F.when(t.startswith("show hn:") | t.startswith("launch hn:") | t.startswith("launch:"), 20).otherwise(0) + F.when(F.col("url").contains("github.com/"), 12).otherwise(0) + F.when(F.col("url").contains("npmjs.com/package/"), 10).otherwise(0) + F.when(F.col("unit_key").startswith("url:"), 4).otherwise(0)
@@ -61,6 +66,11 @@ def story_units(rows: DataFrame, most: int) -> DataFrame:
     return u.orderBy(*[F.desc(c) for c in ("best_score", "impact", "likeness", "best_comments", "row_count", "unit_key")]).limit(most)
 
 
+def newest(rows: DataFrame, since: Column, now: Column, most: int) -> DataFrame:
+    """The ``most`` newest posts of the window, to be dealt to batches. rows: post_id, at, ..."""
+    return rows.filter(F.col("at").between(since, now)).orderBy(F.desc("at"), "post_id").limit(most)
+
+
 def batches(rows: DataFrame, order: list[Column], size: int, keys: list[str]) -> DataFrame:
     """Rows dealt to numbered batches of ``size`` within each key."""
     from .windows import ranked
@@ -101,3 +111,18 @@ def exact_name_link(entity_key: Column, key: Column) -> Column:
     by_host = (labels[0] == slug) | (F.concat_ws("-", labels[0], F.element_at(labels, -1)) == slug)
     last = F.element_at(F.split(rest, "/"), -1)
     return ~entity_key.startswith("name:") | F.when(key.startswith("domain:"), by_host).otherwise(last == slug)
+
+
+def split_links(links: DataFrame, known: DataFrame, floor: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Aliases (sure enough, once per entity and key, not known yet) and merge proposals (the others).
+
+    links: entity_id, key, confidence, ... known: entity_id, key of the resolver's aliases so far.
+    """
+    named, sure = links.filter(F.col("key") != ""), F.coalesce("confidence", F.lit(0.0)) >= floor
+    aliases = named.filter(sure).select("entity_id", "key").distinct().join(known.select("entity_id", "key"), ["entity_id", "key"], "left_anti")
+    return aliases, named.filter(~sure)
+
+
+def uncached(keys: DataFrame, cached: DataFrame) -> DataFrame:
+    """Keys without a cached text that was read well. keys: key. cached: key, status."""
+    return keys.select("key").distinct().join(cached.filter("status = 'ok'").select("key"), "key", "left_anti")

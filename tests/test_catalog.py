@@ -120,3 +120,24 @@ def test_backfill_jobs_of_all_producers(spark):
     want = [("github:p/1", "potential_candidate", 1_000_002.0), ("e", "package_downloads:b", 505_000.0), ("e", "package_downloads:a", 504_000.0), ("github:w/1", "trending_repos_rising_watch", 100_300.0), ("github:s/1", "github_search_velocity_prefilter", 70.0)]
     assert [tuple(r) for r in R.backfill_jobs(producers).collect()] == want
     assert [tuple(r) for r in R.backfill_jobs(producers, 2).collect()] == want[:2]
+
+
+def test_story_units_drop_rows_before_they_count(spark):
+    from lodestream.operators import mentions as M
+
+    rows = [("url:a", 1, 5, 9, "low", "u", 2, 5), ("url:a", 2, 50, 1, "old", "u", 2, 1), ("url:a", 3, 20, 2, "kept", "u", 0, 5), ("url:b", 4, 5, 0, "low", "u", 0, 5), ("url:c", 5, 90, 0, "undated", "u", 0, None)]
+    df = spark.createDataFrame(rows, "unit_key string, item_id int, score int, comments int, title string, url string, impact int, at int")
+    got = M.story_units(df, 10, 10, F.lit(3), F.lit(7)).collect()
+    assert [(r.unit_key, r.item_id, r.title, r.best_score, r.best_comments, r.row_count, r.impact) for r in got] == [("url:a", 3, "kept", 20, 2, 1, 0)]
+
+
+def test_newest_posts_link_split_and_uncached_keys(spark):
+    from lodestream.operators import mentions as M
+
+    posts = spark.createDataFrame([(1, 2), (2, 9), (3, 8), (4, 8), (5, 11), (6, None)], "post_id int, at int")
+    assert [r.post_id for r in M.newest(posts, F.lit(3), F.lit(10), 2).collect()] == [2, 3]
+    links = spark.createDataFrame([("e", "github:a/b", 0.8), ("e", "github:a/b", 0.9), ("e", "github:c/d", 0.79), ("e", "npm:x", None), ("e", "", 1.0), ("e", "domain:k", 1.0)], "entity_id string, key string, confidence double")
+    aliases, proposals = M.split_links(links, spark.createDataFrame([("e", "domain:k")], "entity_id string, key string"))
+    assert [tuple(r) for r in aliases.collect()] == [("e", "github:a/b")] and sorted(r.key for r in proposals.collect()) == ["github:c/d", "npm:x"]
+    cached = spark.createDataFrame([("a", "ok"), ("b", "failed")], "key string, status string")
+    assert sorted(r.key for r in M.uncached(spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "key string"), cached).collect()) == ["b", "c"]
