@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators.windows import ranked
@@ -18,6 +18,15 @@ def _array(*fields: Column, order: str) -> Column:
     return F.to_json(rows)
 
 
+#: Rows of a landed page.
+PAGE = 1000
+
+
+def _pages(df: DataFrame, key: str, order: str, size: int = PAGE) -> GroupedData:
+    """Rows grouped by key and page; ``before`` counts the rows of the key's earlier pages."""
+    return ranked(df, "_n", [key], [F.col(order).asc()]).groupBy(key, (F.floor((F.col("_n") - 1) / size) * size).alias("before"))
+
+
 def _object(name: str, array: Column) -> Column:
     return F.concat(F.lit(f'{{"{name}":'), array, F.lit("}"))
 
@@ -38,16 +47,17 @@ def s2_repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s5_story_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir).filter("source = 'hn_algolia'")
     hit = [F.col("item_id").cast("string").alias("objectID"), F.when(F.col("item_id") % 3 != 0, F.col("url")).alias("url"), F.when(F.col("k") % 4 != 0, F.col("k")).alias("points")]
-    landed = i.groupBy("user_id").agg(_object("hits", _array(*hit, order="item_id")).alias("payload"))
+    landed = _pages(i, "user_id", "item_id").agg(_object("hits", _array(*hit, order="item_id")).alias("payload"))
     label = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    out = S.story_hits(landed.select(F.lit("24h").alias("window"), label.alias("query"), label.alias("query_label"), "payload"))
+    out = S.story_hits(landed.select(F.lit("24h").alias("window"), label.alias("query"), label.alias("query_label"), "before", "payload"))
     return out.select("external_id", "source_rank", "url", F.col("metadata")["points"].alias("points"))
 
 
 @query("""SELECT 'list' || user_id || ':' || event_id AS external_id, n AS source_rank, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 30 AND event_id % 6 <> 0""")
 def s6_story_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    lists = e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("payload")).select(F.concat(F.lit("list"), F.col("user_id").cast("string")).alias("list"), "payload")
+    first = ranked(e, "_n", ["user_id"], [F.col("event_id").asc()]).filter("_n <= 30")
+    lists = first.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("payload")).select(F.concat(F.lit("list"), F.col("user_id").cast("string")).alias("list"), "payload")
     payloads = e.filter("event_id % 6 != 0").select(F.col("event_id").alias("item_id"), F.to_json(F.struct(F.floor("value").alias("score"), F.col("event_type").alias("title"))).alias("payload"))
     return S.story_lists(lists, payloads, 30).select("external_id", "source_rank", F.col("metadata")["score"].alias("score"))
 
@@ -56,7 +66,7 @@ def s6_story_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s7_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.struct(F.struct(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("dailyRank"), F.col("p_size").alias("votesCount")).alias("node"))
     edges = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", node.alias("e")))), lambda r: r["e"])
-    landed = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit('{"data":{"posts":{"edges":'), F.to_json(edges), F.lit("}}}")).alias("payload"))
+    landed = _pages(table(spark, sf_dir, "part"), "p_brand", "p_partkey").agg(F.concat(F.lit('{"data":{"posts":{"edges":'), F.to_json(edges), F.lit("}}}")).alias("payload"))
     return S.launches(landed).select("external_id", "source_rank", F.col("metadata")["votes"].alias("votes"))
 
 
@@ -66,7 +76,7 @@ def s8_s9_model_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     key = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     entry = [key.alias("id"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("likes"), F.col("p_size").cast("double").alias("trendingScore")]
-    landed = part.groupBy("p_brand").agg(_array(*entry, order="p_partkey").alias("payload")).select(F.lit("models").alias("resource"), "payload")
+    landed = _pages(part, "p_brand", "p_partkey").agg(_array(*entry, order="p_partkey").alias("payload")).select(F.lit("models").alias("resource"), "before", "payload")
     cards = part.filter("p_partkey % 2 = 0").select(key.alias("external_id"), F.concat(F.lit("see https://github.com/o/r"), F.col("p_partkey").cast("string"), F.lit(".git now")).alias("text"))
     out = S.with_card_links(S.model_hub(landed), cards, 1_000_000_000)
     return out.select("source", "external_id", "source_rank", F.col("metadata")["likes"].alias("likes"), F.try_element_at("metadata", F.lit("repository")).alias("repository"))
@@ -77,8 +87,8 @@ def s10_package_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = F.array(F.struct(F.lit("a").alias("username")), F.struct(F.lit("b").alias("username")))
     package = F.struct(F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_size") % 2 == 0, who).otherwise(F.concat(who, F.slice(who, 1, 1))).alias("maintainers"))
     loads = F.struct(F.when(F.col("p_size") % 5 == 0, "n/a").otherwise(F.concat(F.lit("1,"), F.lpad(F.col("p_size").cast("string"), 3, "0"))).alias("weekly"))
-    landed = table(spark, sf_dir, "part").groupBy("p_brand").agg(_object("objects", _array(package.alias("package"), loads.alias("downloads"), order="p_partkey")).alias("payload"))
-    out = S.package_search(landed.select(F.col("p_brand").alias("query"), F.col("p_brand").alias("query_label"), "payload"))
+    landed = _pages(table(spark, sf_dir, "part"), "p_brand", "p_partkey").agg(_object("objects", _array(package.alias("package"), loads.alias("downloads"), order="p_partkey")).alias("payload"))
+    out = S.package_search(landed.select(F.col("p_brand").alias("query"), F.col("p_brand").alias("query_label"), "before", "payload"))
     return out.select("external_id", "source_rank", F.col("metadata")["maintainers_count"].alias("maintainers_count"), F.col("metadata")["weekly_downloads"].alias("weekly_downloads"))
 
 

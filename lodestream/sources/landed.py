@@ -34,6 +34,11 @@ def _window(period: Column) -> Column:
     return out
 
 
+def _before(landed: DataFrame) -> Column:
+    """How many rows of a result lie on earlier pages: the column ``before`` of landed pages, 0 where a payload is the whole."""
+    return (F.col("before") if "before" in landed.columns else F.lit(0)).cast("long").alias("before")
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -145,11 +150,11 @@ _STORY_PAGE = "https://news.ycombinator.com/item?id="
 def story_hits(landed: DataFrame) -> DataFrame:
     """Search hits. landed: window, query, query_label, payload. Points and comments default to 0, the link to the story's page."""
     hit = "hits array<struct<objectID:string,story_id:string,title:string,story_title:string,points:long,num_comments:long,url:string,story_text:string,author:string,created_at:string>>"
-    rows = landed.select("window", "query", "query_label", F.posexplode(F.from_json("payload", hit)["hits"]).alias("pos", "h"))
+    rows = landed.select("window", "query", "query_label", _before(landed), F.posexplode(F.from_json("payload", hit)["hits"]).alias("pos", "h"))
     story = F.coalesce("h.objectID", "h.story_id", F.lit(""))
     page = F.concat(F.lit(_STORY_PAGE), story)
     meta = _meta(query=F.col("query"), query_label=F.col("query_label"), window=F.col("window"), points=F.coalesce("h.points", F.lit(0)), comments=F.coalesce("h.num_comments", F.lit(0)), author=F.col("h.author"), created_at=F.col("h.created_at"), hn_url=page)
-    return _items(rows, "hn_algolia", F.concat_ws(":", "window", "query_label", story), F.coalesce("h.title", "h.story_title", F.lit("(untitled)")), F.coalesce(F.nullif("h.url", F.lit("")), page), F.col("pos") + 1, _plain(F.col("h.story_text")), meta)
+    return _items(rows, "hn_algolia", F.concat_ws(":", "window", "query_label", story), F.coalesce("h.title", "h.story_title", F.lit("(untitled)")), F.coalesce(F.nullif("h.url", F.lit("")), page), F.col("before") + F.col("pos") + 1, _plain(F.col("h.story_text")), meta)
 
 
 def story_lists(lists: DataFrame, payloads: DataFrame, most: int) -> DataFrame:
@@ -165,11 +170,11 @@ def story_lists(lists: DataFrame, payloads: DataFrame, most: int) -> DataFrame:
 def launches(landed: DataFrame) -> DataFrame:
     """Launch posts. landed: payload. The rank is the day's rank, else the place."""
     node = "id:string,slug:string,name:string,url:string,tagline:string,website:string,votesCount:long,commentsCount:long,dailyRank:long,weeklyRank:long,createdAt:string,featuredAt:string"
-    rows = landed.select(F.posexplode(F.from_json("payload", f"data struct<posts:struct<edges:array<struct<node:struct<{node}>>>>>")["data"]["posts"]["edges"]).alias("pos", "e"))
+    rows = landed.select(_before(landed), F.posexplode(F.from_json("payload", f"data struct<posts:struct<edges:array<struct<node:struct<{node}>>>>>")["data"]["posts"]["edges"]).alias("pos", "e"))
     n = F.col("e.node")
     key = F.coalesce(n["id"], n["slug"])
     meta = _meta(slug=n["slug"], window=F.lit("current"), website=n["website"], votes=F.coalesce(n["votesCount"], F.lit(0)), comments=F.coalesce(n["commentsCount"], F.lit(0)), daily_rank=n["dailyRank"], weekly_rank=n["weeklyRank"], created_at=n["createdAt"], featured_at=n["featuredAt"])
-    return _items(rows.filter(key.isNotNull()), "product_hunt", key, _text(n["name"]), _text(n["url"]), F.coalesce(n["dailyRank"], F.col("pos") + 1), _text(n["tagline"]), meta)
+    return _items(rows.filter(key.isNotNull()), "product_hunt", key, _text(n["name"]), _text(n["url"]), F.coalesce(n["dailyRank"], F.col("before") + F.col("pos") + 1), _text(n["tagline"]), meta)
 
 
 # --- registries -----------------------------------------------------------------------------------------------------
@@ -178,9 +183,9 @@ def launches(landed: DataFrame) -> DataFrame:
 def model_hub(landed: DataFrame) -> DataFrame:
     """Models, datasets and spaces, a source each. landed: resource, payload."""
     entry = "array<struct<id:string,description:string,likes:long,downloads:long,trendingScore:double,createdAt:string,lastModified:string,pipeline_tag:string,tags:array<string>>>"
-    rows = landed.select("resource", F.posexplode(F.from_json("payload", entry)).alias("pos", "e")).filter("e.id != ''")
+    rows = landed.select("resource", _before(landed), F.posexplode(F.from_json("payload", entry)).alias("pos", "e")).filter("e.id != ''")
     meta = _meta(resource=F.col("resource"), window=F.lit("current"), likes=F.coalesce("e.likes", F.lit(0)), downloads=F.coalesce("e.downloads", F.lit(0)), trending_score=F.coalesce("e.trendingScore", F.lit(0.0)), created_at=F.col("e.createdAt"), last_modified=F.col("e.lastModified"), pipeline_tag=F.col("e.pipeline_tag"), tags=F.to_json("e.tags"))
-    return _items(rows, F.concat(F.lit("huggingface_"), "resource"), F.col("e.id"), F.col("e.id"), F.concat(F.lit("https://huggingface.co/"), "e.id"), F.col("pos") + 1, _text(F.col("e.description")), meta)
+    return _items(rows, F.concat(F.lit("huggingface_"), "resource"), F.col("e.id"), F.col("e.id"), F.concat(F.lit("https://huggingface.co/"), "e.id"), F.col("before") + F.col("pos") + 1, _text(F.col("e.description")), meta)
 
 
 def with_card_links(items: DataFrame, cards: DataFrame, most: int) -> DataFrame:
@@ -200,14 +205,14 @@ def package_search(landed: DataFrame) -> DataFrame:
         "objects array<struct<package:struct<name:string,version:string,description:string,license:string,date:string,keywords:array<string>,publisher:struct<username:string>,maintainers:array<struct<username:string>>,links:struct<npm:string,homepage:string,repository:string,bugs:string>>,"
         "score:struct<final:double,detail:struct<quality:double,popularity:double,maintenance:double>>,searchScore:double,dependents:string,updated:string,downloads:struct<weekly:string,monthly:string>>>"
     )
-    rows = landed.select("query", "query_label", F.posexplode(F.from_json("payload", obj)["objects"]).alias("pos", "o")).filter("o.package.name != ''")
+    rows = landed.select("query", "query_label", _before(landed), F.posexplode(F.from_json("payload", obj)["objects"]).alias("pos", "o")).filter("o.package.name != ''")
     p, s = F.col("o.package"), F.col("o.score")
     meta = _meta(
         query=F.col("query"), query_label=F.col("query_label"), window=F.lit("current"), version=p["version"], keywords=F.to_json(p["keywords"]), license=p["license"], publisher=p["publisher"]["username"],
         maintainers_count=F.coalesce(F.size(p["maintainers"]), F.lit(0)), package_date=p["date"], updated=F.col("o.updated"), weekly_downloads=X.loose_number(F.col("o.downloads.weekly")), monthly_downloads=X.loose_number(F.col("o.downloads.monthly")),
         dependents=X.loose_number(F.col("o.dependents")), search_score=F.col("o.searchScore"), score_final=F.coalesce(s["final"], F.col("o.searchScore")), score_quality=s["detail"]["quality"], homepage=p["links"]["homepage"], repository=p["links"]["repository"],
     )
-    return _items(rows, "npm_search", F.concat_ws(":", "query_label", p["name"]), p["name"], F.coalesce(p["links"]["npm"], F.concat(F.lit("https://www.npmjs.com/package/"), p["name"])), F.col("pos") + 1, _text(p["description"]), meta)
+    return _items(rows, "npm_search", F.concat_ws(":", "query_label", p["name"]), p["name"], F.coalesce(p["links"]["npm"], F.concat(F.lit("https://www.npmjs.com/package/"), p["name"])), F.col("before") + F.col("pos") + 1, _text(p["description"]), meta)
 
 
 def package_feeds(entries: DataFrame, packages: DataFrame, most: int, enriched: int) -> DataFrame:

@@ -145,3 +145,21 @@ def test_broken_payloads_give_no_rows(spark, reader):
     f = getattr(S, reader)
     df = spark.createDataFrame([("{",), (None,)], "payload string")
     assert (f(df) if reader == "launches" else f(df, 3)).count() == 0
+
+
+@pytest.mark.parametrize("name, reader", [("s5_story_hits", "story_hits"), ("s6_story_lists", "story_lists"), ("s7_launches", "launches"), ("s8_s9_model_hub", "model_hub"), ("s10_package_search", "package_search")])
+def test_landed_rows_are_pages_of_bounded_size(spark, tmp_path, monkeypatch, name, reader):
+    from lodestream.plans import source_queries as Q
+    from lodestream.sources import landed as S
+
+    one = ["1 as user_id", "timestamp_ntz'2024-01-02' as ts", "'view' as event_type", "1.0D as value", "'{\"k\":1}' as props"]
+    spark.range(1, 2501).selectExpr("id as event_id", *one).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1, 2501).selectExpr("id as p_partkey", "1 as p_size", "'b' as p_brand", "'n' as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    seen, read = [], getattr(S, reader)
+    monkeypatch.setattr(S, reader, lambda landed, *more: (seen.append(landed), read(landed, *more))[1])
+    ranks = sorted(r.source_rank for r in getattr(Q, name)(spark, str(tmp_path)).collect())
+    longest = seen[0].selectExpr("max(length(payload))").first()[0]
+    if name == "s6_story_lists":
+        assert ranks == [n for n in range(1, 31) if n % 6] and longest < 200
+    else:
+        assert ranks == list(range(1, 2501)) and seen[0].count() == 3
