@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,17 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestream.operators.components import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext.getCheckpointDir()
-        if not got:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lodestream-"))
-            got = spark.sparkContext.getCheckpointDir()
-        where = got
-    return where.rstrip("/")
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset in local runs."""
+    return shared_folder(spark)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added while the table has such a column (Spark tells no upper from lower case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -1,19 +1,24 @@
 """Personal data by format-preserving Feistel pseudonyms, in DataFrame functions alone (operator 8).
 
-What is found: e-mail addresses, phone numbers (a group of three, three and four digits, with or without a country
-code), payment cards (13 to 19 digits, an issuer's first digits, Luhn), IBANs (mod 97), US social security numbers
-(no reserved area, group or serial), IPv4 addresses (four octets) and calendar dates (of 1900 to 2099). Strings that
-fail their check are left as they are.
+What is found: e-mail addresses, phone numbers (groups of three, three and four digits; with a country code eight to
+fifteen digits in any groups; with a leading zero nine to thirteen), payment cards (13 to 19 digits, an issuer's first digits, Luhn),
+IBANs (mod 97), US social security numbers (no reserved area, group or serial), IPv4 addresses (four octets) and
+calendar dates (of 1900 to 2099; day and month of two digits). IPv6 addresses and dates with one-digit days or months
+are not looked for. Strings that fail their check are left as they are, and what is valid within them is replaced:
+every kind is tried at every place, and only values that pass their check take part. Where valid values overlap the
+one that begins first is replaced, and of those that begin together the longest.
 
 Each value is permuted within its format by a keyed Feistel network: the value is read as a pair of numbers below a
 and b, and in turn each side is moved, modulo its size, by a keyed SHA-256 of the other. That is a bijection, so
 equal values get equal pseudonyms in every document, different values different ones, and the key's holder can undo
-it. Separators, letter case, country codes, a card's first two digits and an address's last domain label stay;
-check digits are computed anew. Letters and digits of addresses move within their class by the same network.
-
-A text is cut at its matches by one regular expression and put together again, in one pass without a shuffle.
-Null and empty texts stay as they are; equal rows get equal texts; all other columns are carried along, whatever
-their names; an empty table gives an empty result. Counts of what was replaced come in one struct column.
+it. Separators, letter case, country codes, a national number's leading zero, a card's first two digits and an
+address's last domain label stay; check digits are computed anew. Letters and digits of addresses move within their
+class by the same network.
+
+A text is cut where no value can cross, the pieces that hold a digit or an at sign are worked on, and all is put
+together again, in one pass without a shuffle. Null and empty texts stay as they are; equal rows get equal texts; all
+other columns are carried along, whatever their names; an empty table gives an empty result. Counts of what was
+replaced come in one struct column, whose name gets underscores while the table has a column of that name.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import free_names
+
 ROUNDS = 8
 #: Used where no key is given; a deployment passes a secret of its own.
 DEFAULT_KEY = "lodestream-pseudonyms"
@@ -28,16 +35,45 @@ KINDS = ("email", "iban", "date", "ssn", "phone", "ip", "card")
 
 _NO, _NOT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Forms of the values; the checks are apart.
+
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+
+
+def _iban() -> str:
+    """The known countries' lengths, so that a word after an IBAN is not taken into it; then any country's form."""
+    known = []
+    for size, lands in IBAN_LENGTHS.items():
+        fours, rest = divmod(size - 4, 4)
+        known.append(f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    other = r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+    return _NO + "(?:" + "|".join([*known, other]) + ")" + _NOT
+
+
+_PHONES = (
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    r"\+[1-9][0-9]{0,2}(?:[0-9]{6,12}|(?:[ .-](?:\([0-9]{1,5}\)|[0-9]{1,8})){1,6})",
+    r"0[0-9]{2,4}[ /-][0-9]{3,8}(?:[ -][0-9]{3,5})?",
+    r"0[0-9](?:[ .-][0-9]{2}){4}",
+)
+#: Forms of the values; the checks are apart. In a pattern \g and \h stand for its own first and second group.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": _NO + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _NOT,
-    "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\g(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[.](?:0[1-9]|1[0-2])[.](?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
+    "email": _NO + r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}" + _NOT,
+    "iban": _iban(),
+    "date": r"(?<![0-9A-Za-z./-])(?:(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\g(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[.](?:0[1-9]|1[0-2])[.](?:19|20)[0-9]{2}"
+    r"|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}|(?:1[3-9]|2[0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)[0-9]{2})(?![0-9A-SU-Za-z/-]|T(?![0-9]))",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _NOT,
+    "phone": r"(?<![0-9A-Za-z+])(?:" + "|".join(_PHONES) + ")" + _NOT,
     "ip": r"(?<![0-9A-Za-z.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![0-9A-Za-z]|\.[0-9])",
     "card": _NO + r"(?:[0-9]{13,19}|[0-9]{4}( |-)[0-9]{4}\g[0-9]{4}\g[0-9]{1,7}|[0-9]{4}( |-)[0-9]{6}\h[0-9]{5})" + _NOT,
 }
+#: Places that no value crosses: after marks that none holds, and between a blank and a lower-case or non-ASCII letter.
+CUT = r"""(?<=[\n\r\t,;:!?"'<>=])|(?<= )(?=[a-z]|[^\x00-\x7F])"""
 
 
 def _numbered(kind: str, before: int) -> str:
@@ -45,18 +81,6 @@ def _numbered(kind: str, before: int) -> str:
     return PATTERNS[kind].replace(r"\g", f"\\{before + 1}").replace(r"\h", f"\\{before + 2}")
 
 
-def _all() -> str:
-    parts, groups = [], 0
-    for kind in KINDS:
-        parts.append(_numbered(kind, groups))
-        groups += {"date": 1, "card": 2}.get(kind, 0)
-    return "|".join(parts)
-
-
-#: All forms in one, tried in the order of KINDS.
-PATTERN = _all()
-
-
 # --- the permutation ------------------------------------------------------------------------------------------------
 
 
@@ -202,15 +226,32 @@ def _pseudonyms(key: Column) -> dict[str, tuple]:
         plain = F.regexp_replace(v, " ", "")
         return _mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
 
-    def day_of(v: Column) -> Column:
-        form = F.when(v.rlike(r"^[0-9]{4}-"), "yyyy-MM-dd").when(v.rlike(r"^[0-9]{4}/"), "yyyy/MM/dd").when(v.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
+    def day_of(v: Column) -> tuple[Column, Column]:
+        form = F.when(v.rlike(r"^[0-9]{4}-"), "yyyy-MM-dd").when(v.rlike(r"^[0-9]{4}/"), "yyyy/MM/dd").when(v.contains("."), "dd.MM.yyyy")
+        form = form.when(F.substring(v, 1, 2) > "12", "dd/MM/yyyy").otherwise("MM/dd/yyyy")
         return form, F.try_to_timestamp(v, form).cast("date")
 
     def date(v: Column) -> Column:
         form, day = day_of(v)
         n = F.datediff(day, F.lit("1900-01-01").cast("date"))
         pair = feistel(F.floor(n / 4297), n % 4297, 17, 4297, key, F.lit("date"))
-        return _let(pair, lambda p: F.call_function("date_format", F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * 4297 + p["r"]).cast("int")), form))
+        return F.when(form == "dd/MM/yyyy", late_date(v)).otherwise(
+            _let(pair, lambda p: F.call_function("date_format", F.date_add(F.lit("1900-01-01").cast("date"), (p["l"] * 4297 + p["r"]).cast("int")), form))
+        )
+
+    def late_date(v: Column) -> Column:
+        """Day first and beyond 12, which tells the form, so the day stays beyond 12: days 13 to 28 move with month and year, later ones by year."""
+        d, m, y = F.substring(v, 1, 2).cast("int"), F.substring(v, 4, 2).cast("int"), F.substring(v, 7, 4).cast("int")
+
+        def text(d: Column, m: Column, y: Column) -> Column:
+            return F.concat_ws("/", F.lpad(d.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0"), y.cast("string"))
+
+        usual = feistel((y - 1900) * 12 + m - 1, d - 13, 2400, 16, key, F.lit("late-date"))
+        leap = feistel(F.floor((y - 1904) / 28), F.floor((y - 1904) / 4) % 7, 7, 7, key, F.lit("leap-day"))
+        late = feistel(F.floor((y - 1900) / 10), y % 10, 20, 10, key, F.concat(F.lit("late-date"), F.substring(v, 1, 5)))
+        out = F.when(d <= 28, _let(usual, lambda p: text(p["r"] + 13, p["l"] % 12 + 1, F.floor(p["l"] / 12) + 1900)))
+        out = out.when((d == 29) & (m == 2), _let(leap, lambda p: text(d, m, 1904 + 28 * p["l"] + 4 * p["r"])))
+        return out.otherwise(_let(late, lambda p: text(d, m, 1900 + 10 * p["l"] + p["r"])))
 
     def ssn(v: Column) -> Column:
         area, rest = F.substring(v, 1, 3).cast("int"), (F.substring(v, 5, 2).cast("int") - 1) * 9999 + F.substring(v, 8, 4).cast("int") - 1
@@ -224,10 +265,14 @@ def _pseudonyms(key: Column) -> dict[str, tuple]:
         return _let(pair, text)
 
     def phone(v: Column) -> Column:
-        land = F.regexp_extract(v, r"^(\+[0-9]{1,3}[ .-]?)?(.*)$", 1)
+        land = F.regexp_extract(v, r"^(\+[0-9]{1,3}[ .-]?|0)?(.*)$", 1)
         rest = F.substring(v, F.length(land) + 1, F.length(v))
         return F.concat(land, _refilled(rest, digits(_only_digits(rest), key, F.lit("phone")), "0-9"))
 
+    def phone_ok(v: Column) -> Column:
+        n = F.length(_only_digits(v))
+        return F.when(v.startswith("+"), n.between(8, 15)).when(v.startswith("0"), n.between(9, 13)).otherwise(True)
+
     def ip(v: Column) -> Column:
         o = F.split(v, r"\.")
         pair = feistel(o[0].cast("int") * 256 + o[1].cast("int"), o[2].cast("int") * 256 + o[3].cast("int"), 65536, 65536, key, F.lit("ip"))
@@ -243,44 +288,54 @@ def _pseudonyms(key: Column) -> dict[str, tuple]:
         return F.length(plain).between(13, 19) & plain.rlike("^(?:[3-6]|2[2-7])") & (_luhn_sum(plain, 1) % 10 == 0)
 
     always = lambda v: F.lit(True)
-    return {"email": (always, email), "iban": (iban_ok, iban), "date": (lambda v: day_of(v)[1].isNotNull(), date), "ssn": (always, ssn), "phone": (always, phone), "ip": (always, ip), "card": (card_ok, card)}
+    return {"email": (always, email), "iban": (iban_ok, iban), "date": (lambda v: day_of(v)[1].isNotNull(), date), "ssn": (always, ssn), "phone": (phone_ok, phone), "ip": (always, ip), "card": (card_ok, card)}
 
 
 def _is(kind: str):
-    return lambda x: x["kind"] == kind
+    return lambda x: x == kind
+
+
+def _raw(s: Column) -> Column:
+    return F.struct(s.alias("text"), F.array().cast("array<string>").alias("kinds"))
+
+
+def _replaced(s: Column, made: dict[str, tuple]) -> Column:
+    """struct(text, kinds) of a piece of text: valid values of all kinds, found at every place, replaced from the left."""
+
+    def valid(kind: str) -> Column:
+        check, pseudonym = made[kind]
+        found = F.regexp_extract_all(s, F.lit(f"(?=({_numbered(kind, 1)}))"), F.lit(1))
+        entry = lambda v: F.struct(v.alias("value"), F.lit(kind).alias("kind"), pseudonym(v).alias("new"))
+        return F.transform(F.filter(F.array_distinct(found), check), entry)
+
+    def put(values: Column) -> Column:
+        longest = F.array_sort(F.transform(values, lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("v"))))
+        any_of = F.array_join(F.transform(longest, lambda x: x["v"]), r"\E|\Q")
+        pattern = F.concat(F.lit(_NO + r"(?:\Q"), any_of, F.lit(r"\E)(?![0-9A-SU-Za-z]|T(?![0-9]))"))
+        return F.when(F.size(values) == 0, _raw(s)).otherwise(_let(pattern, lambda p: joined(values, p)))
+
+    def joined(values: Column, pattern: Column) -> Column:
+        picks = F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), lambda v: F.filter(values, lambda x: x["value"] == v)[0])
+
+        def text(got: Column, pieces: Column) -> Column:
+            made = F.zip_with(F.slice(pieces, 1, F.size(got)), got, lambda a, b: F.concat(a, b["new"]))
+            return F.struct(F.concat(F.array_join(made, ""), F.element_at(pieces, -1)).alias("text"), F.transform(got, lambda x: x["kind"]).alias("kinds"))
 
+        return _let(picks, lambda got: _let(F.split(s, pattern), lambda pieces: text(got, pieces)))
 
-def _kind_of(v: Column) -> Column:
-    """Which form a match has, by its whole."""
-    out = F.when(v.contains("@"), "email")
-    for kind in KINDS[1:]:
-        out = out.when(v.rlike(f"^(?:{_numbered(kind, 0)})$"), kind)
-    return out
+    return _let(F.concat(*[valid(k) for k in KINDS]), put)
 
 
 def pseudonymised(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", counts_col: str | None = "replaced") -> DataFrame:
     """``df`` with the personal data of ``text_col`` replaced, and a struct of counts by kind (none if ``counts_col`` is None)."""
-    text, secret = F.col(text_col), F.lit(key)
-    made = _pseudonyms(secret)
-
-    def entry(v: Column) -> Column:
-        kind = _kind_of(v)
-        out = F.when(F.lit(False), F.struct(F.lit("").alias("kind"), v.alias("text")))
-        for k, (check, pseudonym) in made.items():
-            out = out.when((kind == k) & check(v), F.struct(F.lit(k).alias("kind"), pseudonym(v).alias("text")))
-        return out.otherwise(F.struct(F.lit("").alias("kind"), v.alias("text")))
-
-    may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    found, new, parts = "__pii_matches", "__pii_new", "__pii_parts"
-    while {found, new, parts} & set(df.columns):
-        found, new, parts = found + "_", new + "_", parts + "_"
-    none = F.array().cast("array<string>")
-    out = df.withColumn(found, F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
-    some = F.size(found) > 0
-    out = out.withColumn(new, F.when(some, F.transform(found, entry)))
-    pieces = F.split(text, PATTERN)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(new)), F.col(new), lambda a, b: F.concat(a, b["text"])), ""), F.element_at(pieces, -1))
-    columns = [F.when(F.col(new).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    text, made = F.col(f"`{text_col}`"), _pseudonyms(F.lit(key))
+    (done,) = free_names(df, "__pii_pieces")
+    marked = F.transform(F.split(text, CUT), lambda s: F.when(s.rlike("[0-9@]"), _replaced(s, made)).otherwise(_raw(s)))
+    out = df.withColumn(done, F.when(text.rlike("[0-9@]"), marked))
+    new = F.array_join(F.transform(done, lambda d: d["text"]), "")
+    columns = [F.when(F.col(done).isNotNull(), new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if counts_col:
-        columns.append(F.struct(*[F.coalesce(F.size(F.filter(new, _is(k))), F.lit(0)).alias(k) for k in KINDS]).alias(counts_col))
+        kinds = F.flatten(F.transform(done, lambda d: d["kinds"]))
+        counts = [F.coalesce(F.size(F.filter(kinds, _is(k))), F.lit(0)).alias(k) for k in KINDS]
+        columns.append(F.struct(*counts).alias(free_names(df, counts_col)[0]))
     return out.select(*columns)
