@@ -11,7 +11,9 @@ Null texts encode as empty texts; repeated rows are encoded each; columns other
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -229,29 +231,56 @@ def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_co
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")
 
 
+def _runs(texts: pa.Array) -> np.ndarray:
+    """Places where a text differs from the one before it."""
+    kind = np.asarray(texts.dictionary_encode().indices.fill_null(-1))
+    return np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1]))) if len(kind) else np.zeros(0, np.int64)
+
+
 def coded_and_back(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``ids`` and ``decoded``: ``decode`` of ``encode`` in one pass, so that a task needs one Python worker, not two."""
+    """``id_col``, ``ids`` and ``decoded``: ``decode`` of ``encode`` in one pass, so that a task needs one Python worker, not two.
+
+    Equal texts in rows that follow each other, as a mix with repeats has them, are worked on once.
+    """
     table = df.sparkSession.sparkContext.broadcast(vocabulary)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = utf8(batch.column(1))
+            first = _runs(batch.column(1))
+            run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+            first = np.append(first, batch.num_rows)
+            raw, offs = utf8(batch.column(1).take(pa.array(first[:-1])))
             for a, b, ids, counts in encode_chunks(raw, offs, table.value.encode):
                 data, ends = table.value.decode(ids, counts)
                 places = np.concatenate(([0], np.cumsum(counts))) * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary_array(ids.astype("<u4").view(np.uint8), places), binary_array(data, ends)], [id_col, "ids", "decoded"])
+                lo, hi = int(first[a]), int(first[b])
+                coded, back = binary_array(ids.astype("<u4").view(np.uint8), places), binary_array(data, ends)
+                if hi - lo > b - a:
+                    times = pa.array(run_of[lo:hi] - a)
+                    coded, back = coded.take(times), back.take(times)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), coded, back], [id_col, "ids", "decoded"])
             pa.default_memory_pool().release_unused()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
-def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode, and tell both in digests: id, n_tokens, ids_sha256, decoded_sha256."""
-    vocabulary = Vocabulary.read(vocabulary_path)
-    return coded_and_back(df, vocabulary, id_col, text_col).select(
+@lru_cache(maxsize=4)
+def _read(path: str, changed: int) -> Vocabulary:
+    return Vocabulary.read(path)
+
+
+def vocabulary_at(path: str) -> Vocabulary:
+    """The vocabulary of a rank file, built once a driver while the file stays as it is."""
+    return _read(path, os.stat(path).st_mtime_ns)
+
+
+def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, decode, and tell both in digests: id, n_tokens, ids_sha256, decoded_sha256 and, if asked, ``ids`` (as ``encode`` gives them)."""
+    return coded_and_back(df, vocabulary_at(vocabulary_path), id_col, text_col).select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )

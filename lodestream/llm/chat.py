@@ -5,13 +5,16 @@ hashed with its position, role and text (two 64-bit hashes); the rolling hash of
 turns' hashes. A conversation whose whole hash, at its length, is that of a proper prefix of another is anti-joined
 away; of conversations with equal turns the one with the least id stays. What is left is rendered.
 
-Positions and rolling hashes are built in two levels (within runs of ``RUN`` turn numbers, then over the runs), so a
-conversation of any length spreads over tasks; rendering gives a conversation one row per ``SEGMENT`` turns, so a
-row's group is bounded and usually is the whole conversation.
+Equality rests on 128 hash bits and the number of turns; turns are not compared again.
+
+Positions and rolling hashes are built in two levels (within runs of ``RUN`` turn numbers, then over the runs), and
+what is known of a conversation reaches its turns by run, so a conversation of any length spreads over tasks. A
+rendered conversation is one row per turn, with its place and the number of turns: concatenated in order they are the
+conversation, and no row grows with it.
 
 Turns are ordered by turn (null first), role, text; null roles and texts render as empty and differ from empty ones
-in the comparison; repeated rows are turns of their own; turns without a conversation id form one conversation; an
-empty table gives an empty result; columns other than those named are ignored.
+in the comparison; repeated rows are turns of their own; turns without a conversation id form one conversation; ids may
+be of any type that has an order; an empty table gives an empty result; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN, SEGMENT = 1024, 1024
+RUN = 1024
 #: How a turn is written; "<|" within a text is spaced out, so that no text can end its turn.
 BEGIN, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -29,12 +32,13 @@ def _turn_hash(salt: int) -> Column:
 
 
 def with_prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv, run, pos, role, text, h1, h2: position from 1, and the rolling hashes of the conversation up to this turn."""
-    keys = ["_none", "_conv", "run"]
-    rows = turns.select(F.col("conv_id").isNull().alias("_none"), F.coalesce(F.col("conv_id"), F.lit(0)).alias("_conv"), F.floor(F.coalesce(F.col("turn"), F.lit(-RUN)) / RUN).alias("run"), "turn", "role", "text")
-    before = Window.partitionBy("_none", "_conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    """conv (a struct of the id), run, n_turns, pos, role, text, h1, h2: position from 1, and the rolling hashes of the conversation up to this turn."""
+    keys = ["conv", "run"]
+    conv = F.struct(F.col("conv_id").alias("id"))  # of one field, so that a null id is a key like any other
+    rows = turns.select(conv.alias("conv"), F.floor(F.coalesce(F.col("turn"), F.lit(-RUN)) / RUN).alias("run"), "turn", "role", "text")
+    before = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     count = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    base = count.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    base = count.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy("conv")).alias("n_turns"))
     in_run = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     rows = rows.withColumn("_own", F.row_number().over(in_run)).join(base, keys).withColumn("pos", F.col("_base") + F.col("_own")).drop("_base", "_own", "turn")
     rows = rows.withColumns({"t1": _turn_hash(1), "t2": _turn_hash(2)})
@@ -42,29 +46,28 @@ def with_prefix_hashes(turns: DataFrame) -> DataFrame:
     base = total.select(*keys, *[F.coalesce(F.bit_xor(f"r{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)])
     up_to = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"o{i}": F.bit_xor(f"t{i}").over(up_to) for i in (1, 2)}).join(base, keys)
-    return rows.select("_none", "_conv", "pos", "role", "text", *[F.col(f"o{i}").bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)])
+    return rows.select(*keys, "n_turns", "pos", "role", "text", *[F.col(f"o{i}").bitwiseXOR(F.col(f"b{i}")).alias(f"h{i}") for i in (1, 2)])
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
-    """_none, _conv, n_turns of the conversations that are not a prefix of another, one of each kind of equal ones."""
+    """conv of the conversations that are not a prefix of another, the least id of equal ones.
+
+    Copies are reduced to their least id, and prefixes to distinct ones, before the two meet.
+    """
     mark = ["n", "h1", "h2"]
-    whole = prefixes.groupBy("_none", "_conv").agg(F.max(F.struct(F.col("pos").alias("n"), "h1", "h2")).alias("w")).select("_none", "_conv", "w.*")
-    proper = prefixes.select("_none", "_conv", F.col("pos").alias("n"), "h1", "h2").join(whole.select("_none", "_conv", F.col("n").alias("_whole")), ["_none", "_conv"])
-    proper = proper.filter(F.col("n") < F.col("_whole")).select(*mark).distinct()
-    kept = whole.join(proper, mark, "left_anti").groupBy(*mark).agg(F.min(F.struct("_none", "_conv")).alias("k"))
-    return kept.select("k._none", "k._conv", F.col("n").alias("n_turns"))
+    whole = prefixes.filter("pos = n_turns").groupBy(F.col("pos").alias("n"), "h1", "h2").agg(F.min(F.struct(F.col("conv.id").isNull().alias("none"), "conv")).alias("k"))
+    proper = prefixes.filter("pos < n_turns").select(F.col("pos").alias("n"), "h1", "h2").distinct()
+    return whole.join(proper, mark, "left_anti").select("k.conv")
 
 
-def rendered(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment (from 0), n_turns (of the conversation), rendered: the maximal conversations, written turn by turn."""
+def rendered(turns: DataFrame) -> DataFrame:
+    """conv_id, turn_no (from 1), n_turns (of the conversation), rendered: the turns of the maximal conversations, as they are written."""
     prefixes = with_prefix_hashes(turns)
-    kept = maximal(prefixes)
-    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", "< |")
-    piece = F.concat(F.lit(BEGIN), F.regexp_replace(F.coalesce("role", F.lit("")), r"<\|", "< |"), F.lit(MIDDLE), said, F.lit("\n" + END))
-    rows = prefixes.join(kept, ["_none", "_conv"]).select("_none", "_conv", "n_turns", F.floor((F.col("pos") - 1) / segment).alias("segment"), F.struct("pos", piece.alias("piece")).alias("p"))
-    pieces = F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"])
-    out = rows.groupBy("_none", "_conv", "n_turns", "segment").agg(F.array_join(pieces, "").alias("rendered"))
-    return out.select(F.when(~F.col("_none"), F.col("_conv")).alias("conv_id"), "segment", "n_turns", "rendered")
+    runs = prefixes.select("conv", "run").distinct().join(maximal(prefixes), "conv", "left_semi")
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|", "< |")
+    piece = F.concat(F.lit(BEGIN), plain("role"), F.lit(MIDDLE), plain("text"), F.lit("\n" + END))
+    rows = prefixes.join(runs, ["conv", "run"], "left_semi")
+    return rows.select(F.col("conv.id").alias("conv_id"), F.col("pos").cast("long").alias("turn_no"), "n_turns", piece.alias("rendered"))
 
 
 ORACLE_SQL = r"""
@@ -74,8 +77,7 @@ WITH t AS (
 c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY pos) AS l FROM t GROUP BY conv_id),
 p AS (SELECT DISTINCT c.l[1:k.k] AS l FROM c, LATERAL (SELECT unnest(range(1, c.n)) AS k) AS k),
 m AS (SELECT min(conv_id) AS conv_id, n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = c.l) GROUP BY l, n)
-SELECT m.conv_id, (t.pos - 1) // 1024 AS segment, m.n AS n_turns,
-  string_agg('<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
+SELECT m.conv_id, t.pos AS turn_no, m.n AS n_turns,
+  '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS rendered
 FROM t JOIN m ON t.conv_id = m.conv_id
-GROUP BY m.conv_id, (t.pos - 1) // 1024, m.n
 """

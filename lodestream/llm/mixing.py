@@ -11,7 +11,8 @@ Only ids, sizes and hashes are shuffled, never texts.
 
 Null texts and texts without words have size 0; the null source is a source of its own, last in order; repeated
 rows are sampled each; an empty table gives an empty result; columns other than those named are ignored or, in
-``sampled``, carried along.
+``sampled``, carried along. Windows over all sources, and over the distinct sizes of a source, run in one task: they
+hold a row a source and a row a size, not a row a document.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import free_names, written
 
 #: Relative weights of the sources in code point order, repeating; share of all sizes that the mix takes; most copies of a document.
 WEIGHTS, SHARE, MAX_REPEATS = (3, 1, 2), 1.5, 2
@@ -94,22 +95,19 @@ def mix(df: DataFrame, seed: int = 20240131, weights: tuple[float, ...] = WEIGHT
 
 
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``df``, all its columns, as often as it is taken.
+    """The mix itself: each row of ``df``, all its columns, whatever their names, as often as it is taken; repeats stand together.
 
     Rows that share id and text are told apart by number, so each meets its own copies.
     """
     source = options.get("source_col", "source")
-    keys = ["_no_id", "_id", "_hash", "_no_source", "_source"]
-
-    def keyed(x: DataFrame, text_hash: Column) -> DataFrame:
-        named = {"_no_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": text_hash, "_no_source": F.col(source).isNull(), "_source": F.coalesce(source, F.lit(""))}
-        return x.withColumns(named)
-
-    plan = keyed(mix(df, id_col=id_col, text_col=text_col, **options).withColumnRenamed("source", source), F.col("row_hash"))
-    plan = plan.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rows = keyed(df, F.xxhash64(F.col(text_col))).join(plan, keys)
+    key, copies, total, nth, own, k = free_names(df, "_key", "_copies", "_rows", "_nth", "_own", "_k")
+    # A struct, so that null ids and sources are values like any other.
+    keyed = lambda i, h, s: F.struct(F.col(i).alias("i"), h.alias("h"), F.col(s).alias("s")).alias(key)
+    plan = mix(df, id_col=id_col, text_col=text_col, **options)
+    plan = plan.groupBy(keyed(id_col, F.col("row_hash"), "source")).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(total))
+    rows = df.select("*", keyed(id_col, F.xxhash64(F.col(text_col)), source)).join(plan.filter(F.col(copies) > 0), key)
     # Equal rows share their group's copies: each takes an equal part, and the first ones the rest.
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    rows = rows.withColumn("_own", own.cast("int")).filter("_own > 0")
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*df.columns)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    share = F.floor(F.col(copies) / F.col(total)) + F.when(F.col(nth) <= F.col(copies) % F.col(total), 1).otherwise(0)
+    rows = rows.withColumn(own, share.cast("int")).filter(F.col(own) > 0)
+    return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from lodestream.operators.components import connected_components
 
-from ._shared import utf8, written
+from ._shared import free_names, utf8, written
 
 WORDS, SEED, MOST_BITS, LEAST_BYTES, BLOCK = 4, 42, 4, 4, 4096
+#: A fingerprint of more than one in HOT rows is hot; there are fewer than HOT of them.
+HOT = 1000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -183,24 +185,35 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """id_col, row_hash, fp, component (its least fingerprint), component_id (the least id reachable by links), one row per row."""
+    """id_col, row_hash, fp, component (its fingerprint of the least id), component_id (the least id reachable by links), one row per row.
+
+    A node of the link graph is a fingerprint together with the least id that has it, ids first in its order, so the least
+    node of a component tells its least id and nothing has to be gathered by component. Fingerprints that many rows share
+    meet their component by a broadcast of at most ``HOT`` rows, the others by a shuffle.
+    """
     rows = written(fingerprints(df, id_col, text_col, words), "simhash")
-    distinct = rows.groupBy("fp").agg(F.min(id_col).alias("least_id"))
-    stars = connected_components(links(distinct))
-    of_fp = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = of_fp.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return rows.join(of_fp.join(least, "component").select("fp", "component", "component_id"), "fp").select(id_col, "row_hash", "fp", "component", "component_id")
+    node = F.struct(F.min(id_col).isNull().alias("none"), F.min(id_col).alias("id"), F.col("fp").alias("fp"))
+    distinct = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), node.alias("node")), "simhash-distinct")
+    end = lambda c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = links(distinct).join(end("a"), "a").join(end("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    stars = connected_components(edges)
+    of_fp = distinct.join(stars, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("c"))
+    total = rows.count()
+    hot = of_fp.filter(F.col("n") * HOT > total).select("fp", F.col("c").alias("hot"))
+    rows = rows.join(F.broadcast(hot), "fp", "left")
+    cold = rows.filter("hot is null").drop("hot").join(of_fp.filter(F.col("n") * HOT <= total).select("fp", "c"), "fp")
+    both = rows.filter("hot is not null").withColumnRenamed("hot", "c").unionByName(cold)
+    return both.select(id_col, "row_hash", "fp", F.col("c.fp").alias("component"), F.col("c.id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``df`` with one row of each component: that of the least id (then of the least hash of the text).
+    """``df`` with one row of each component, all its columns, whatever their names: that of the least id (then of the least hash of the text).
 
     Components are told apart by their own name and not by component_id, which unrelated ones share where ids are null or repeated.
     """
+    key, nth = free_names(df, "_key", "_nth")
     found = near_duplicates(df, id_col, text_col, words)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias("k"))
-    kept = kept.select(F.col("k.n").alias("_no_id"), F.coalesce(F.col("k.i").cast("string"), F.lit("")).alias("_id"), F.col("k.h").alias("_hash")).distinct()
-    keys = ["_no_id", "_id", "_hash"]
-    rows = df.withColumns({"_no_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_hash": F.xxhash64(F.col(text_col))}).join(kept, keys)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*df.columns)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias(key))
+    rows = df.select("*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias(key)).join(kept.select(key).distinct(), key)
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    return rows.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

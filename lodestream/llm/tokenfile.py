@@ -7,18 +7,22 @@ tells where. Any id is read from the levels with one rank per level: nothing is
 
 Documents are range-partitioned and sorted by id before they are encoded, so the only shuffle moves each text once.
 Null texts hold only the end id; repeated rows are stored each, in order of their text; null document ids come first;
-an empty table makes an empty file set; columns other than the two named are ignored.
+an empty table makes an empty file set; columns other than the two named are ignored. The definition's added tokens in a
+text get their ids, as the library has it.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,7 +95,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.memo: dict[bytes, list[int]] = {}
 
     def __call__(self, pad: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +121,54 @@ class PieceEncoder:
         return ids, np.diff(ends[np.searchsorted(start, offs)])
 
 
+class AddedTokens:
+    """A definition's added tokens, which the library cuts out of a text before anything else.
+
+    The texts between them are encoded as texts of their own. Tokens that also take the white space beside them, or stand
+    only as whole words, are left to the library: a text that holds one of those is given to it whole.
+    """
+
+    def __init__(self, definition: str):
+        found = json.loads(definition).get("added_tokens") or []
+        self.ids = {t["content"]: t["id"] for t in found if t["content"]}
+        self.plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in found)
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+    def rows(self, column: pa.Array) -> np.ndarray:
+        """Places of the texts that hold one."""
+        on = np.zeros(len(column), bool)
+        for token in self.ids:
+            on |= np.asarray(pc.fill_null(pc.match_substring(column, token), False))
+        return np.flatnonzero(on)
+
+    def encode(self, text: str, encoder: PieceEncoder) -> np.ndarray:
+        if not self.plain:
+            return np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        cut = self.pattern.split(text)
+        out = []
+        for k, part in enumerate(cut):
+            if k % 2:
+                out.append(np.array([self.ids[part]], np.uint32))
+            elif part:
+                raw, offs = utf8(pa.array([part], pa.large_string()))
+                out += [ids for _, _, ids, _ in encode_chunks(raw, offs, encoder, CHUNK_BYTES)]
+        return np.concatenate(out)
+
+
+def encoded(column: pa.Array, encoder: PieceEncoder, added: AddedTokens) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows [a, b), their ids, and how many each has, as the library gives them."""
+    at = 0
+    for special in [*added.rows(column).tolist(), len(column)]:
+        raw, offs = utf8(column.slice(at, special - at))
+        for a, b, ids, n in encode_chunks(raw, offs, encoder, CHUNK_BYTES):
+            yield at + a, at + b, ids, n
+        if special < len(column):
+            ids = added.encode(column[special].as_py(), encoder)
+            yield special, special + 1, ids, np.array([len(ids)], np.int64)
+        at = special + 1
+
+
 def _schema(id_type: T.DataType) -> T.StructType:
     binaries = T.ArrayType(T.BinaryType())
     fields = [("part", T.IntegerType()), ("seq", T.IntegerType()), ("n_tokens", T.LongType()), ("ids_of_documents", T.ArrayType(id_type)), ("ends", T.ArrayType(T.LongType())), ("levels", binaries), ("bitmaps", binaries), ("coarse_ranks", binaries), ("fine_ranks", binaries)]
@@ -136,7 +187,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held = TaskContext.get().partitionId(), 0, 0
-        encoder = PieceEncoder(definition.value)
+        encoder, added = PieceEncoder(definition.value), AddedTokens(definition.value)
         docs: list[pa.Array] = []
         parts: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -150,8 +201,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(own, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            raw, offs = utf8(batch.column(1))
-            for a, b, ids, n in encode_chunks(raw, offs, encoder, CHUNK_BYTES):
+            for a, b, ids, n in encoded(batch.column(1), encoder, added):
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
                 ends = np.cumsum(n)
@@ -222,17 +272,50 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_
 
 
 def tokens_at(spark: SparkSession, path: str, places: DataFrame, place_col: str = "place") -> DataFrame:
-    """place_col, token_id for global token places; each is one rank walk in its shard. Places outside the files have no row."""
-    shards = spark.read.parquet(path).join(shard_starts(spark, path), ["part", "seq"])
-    ranges = shards.select("part", "seq", "base", "n_tokens")
-    wanted = places.select(F.col(place_col).alias("place")).join(ranges, (F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("n_tokens")))
+    """place_col, token_id for global token places; each is one rank walk in its shard. Places outside the files have no row.
 
-    def walk(place: int, levels, bitmaps, coarse, fine) -> int:
-        return int(Codes(levels, bitmaps, coarse, fine).at(np.array([place], np.int64))[0])
+    A place finds its shard in a sorted list of the shards' first places, one number a shard (a million tokens), and the
+    places of a shard are read in one Arrow call against its codes, which come once a task.
+    """
+    files = spark.read.parquet(path)
+    starts = shard_starts(spark, path).join(files.select("part", "seq", "n_tokens"), ["part", "seq"]).orderBy("base", "n_tokens").toArrow()
+    table = spark.sparkContext.broadcast([np.asarray(starts[c], np.int64) for c in ("base", "n_tokens", "part", "seq")])
 
-    read = F.udf(walk, "long")
-    found = wanted.select("place", "part", "seq", "base").join(shards.drop("base", "n_tokens"), ["part", "seq"])
-    return found.select(F.col("place").alias(place_col), read(F.col("place") - F.col("base"), "levels", "bitmaps", "coarse_ranks", "fine_ranks").alias("token_id"))
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n, part, seq = table.value
+        for batch in batches:
+            place = np.asarray(batch.column(0).drop_null(), np.int64)
+            shard = np.searchsorted(base, place, side="right") - 1
+            on = (shard >= 0) & (place < (base + n)[shard]) if len(base) else np.zeros(len(place), bool)
+            place, shard = place[on], shard[on]
+            arrays = [part[shard].astype(np.int32), seq[shard].astype(np.int32), place, place - base[shard]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["part", "seq", "place", "own"])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, codes = None, None
+        for batch in batches:
+            of = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            at = 0
+            while at < len(of):
+                end = at
+                while end < len(of) and of[end] == of[at]:
+                    end += 1
+                lists = [batch.column(c)[at] for c in range(4, 8)]
+                if lists[0].is_valid:  # the shard's own row stands before its places
+                    shard, codes = of[at], Codes(*(x.as_py() for x in lists))
+                rows = batch.slice(at, end - at)
+                rows = rows.filter(rows.column(2).is_valid())
+                if rows.num_rows and shard == of[at]:
+                    ids = codes.at(np.asarray(rows.column(3))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([rows.column(2), pa.array(ids)], ["place", "token_id"])
+                at = end
+
+    wanted = places.select(F.col(place_col).cast("long")).mapInArrow(located, "part int, seq int, place long, own long")
+    codes = files.select("part", "seq", "levels", "bitmaps", "coarse_ranks", "fine_ranks")
+    both = wanted.unionByName(codes.join(wanted.select("part", "seq").distinct(), ["part", "seq"], "left_semi"), allowMissingColumns=True)
+    both = both.repartition("part", "seq").sortWithinPartitions("part", "seq", F.col("place").asc_nulls_first())
+    found = both.select("part", "seq", "place", "own", "levels", "bitmaps", "coarse_ranks", "fine_ranks").mapInArrow(walked, "place long, token_id long")
+    return found.select(F.col("place").alias(place_col), "token_id")
 
 
 def through_files(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,10 @@ Each response record gives two records that point to it by WARC-Refers-To and to
 ``conversion`` (text/plain: the page's text). Record ids derive from the response's id and the record type, so reruns
 write the same records. Digests are labelled SHA-256.
 
-Text: comments, head, scripts, styles and templates go, tags that end a line become line ends, other tags nothing;
-character references are resolved, blanks collapse, empty lines go. All of it is column functions but the character
+Text: comments, scripts, styles, templates and noscript parts go, each up to its own end tag, then the head; tags that
+end a line become line ends, other tags nothing; character references are resolved, blanks collapse, empty lines go. A
+comment or hidden element without an end hides the rest of the page, a head without one ends where the body begins; an
+element within another of its name ends both at the first end tag. All of it is column functions but the character
 references, which go through the standard library in Arrow batches. One pass, no shuffle.
 
 Null pages are empty payloads, null addresses leave out the address fields; repeated rows give records each; an empty
@@ -24,7 +26,11 @@ from pyspark.sql import types as T
 
 VERSION, DATE = "WARC/1.1", "2024-01-31T00:00:00Z"
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
-_HIDDEN = r"(?is)<!--.*?-->|<(head|script|style|template|noscript)\b[^>]*>.*?</(head|script|style|template|noscript)\s*>"
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)"
+_HEAD = r"(?is)<head\b[^>]*>.*?(?:</head\b[^>]*>|(<body\b)|\z)"
+#: A link's target in double, single or no quotes.
+_HREF = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"
+_TARGET = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 _LINE = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 _TAG = r"<[!/a-zA-Z][^>]*>"
 
@@ -35,7 +41,7 @@ def unescaped(texts: pd.Series) -> pd.Series:
 
 
 def plain_text(page: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(page, F.lit("")), _HIDDEN, "")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(page, F.lit("")), _HIDDEN, ""), _HEAD, "$1")
     text = F.regexp_replace(F.regexp_replace(text, _LINE, "\n"), _TAG, "")
     text = F.regexp_replace(unescaped(text), r"[ \t\r\f]{2,}|[\t\r\f]", " ")  # a lone blank needs no change
     return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
@@ -65,7 +71,7 @@ def derivatives(found: DataFrame) -> DataFrame:
     page = F.col("payload")
     title = F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"\s+", " "))
     lang = F.regexp_extract(page, r"(?is)<html[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)
-    links = F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\""), F.lit(1))
+    links = F.transform(F.regexp_extract_all(page, F.lit(f"{_HREF}({_TARGET})"), F.lit(1)), lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))
     fields = F.concat(
         F.lit("title: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\nsource-payload-digest: "), "payload_digest",
         F.lit("\r\nsource-headers: "), F.regexp_replace("http_headers", r"\r\n", " | "),
@@ -109,7 +115,8 @@ r AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '
 u AS (SELECT *, md5('metadata|' || record_id) AS m, md5('conversion|' || record_id) AS c FROM r),
 n AS (SELECT *, '<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' AS mid,
   '<urn:uuid:' || c[1:8] || '-' || c[9:12] || '-' || c[13:16] || '-' || c[17:20] || '-' || c[21:32] || '>' AS cid FROM u),
-x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<!--.*?-->|<(head|script|style|template|noscript)\b[^>]*>.*?</(head|script|style|template|noscript)\s*>', '', 'g'),
+x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<!--.*?(-->|\z)|<script\b[^>]*>.*?(</script\b[^>]*>|\z)|<style\b[^>]*>.*?(</style\b[^>]*>|\z)|<template\b[^>]*>.*?(</template\b[^>]*>|\z)|<noscript\b[^>]*>.*?(</noscript\b[^>]*>|\z)', '', 'g'),
+  '(?is)<head\b[^>]*>.*?(</head\b[^>]*>|(<body\b)|\z)', '\2', 'g'),
   '(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g') AS t0 FROM n),
 y AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(t0, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t1 FROM x),
 z AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t1, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS body,
@@ -117,7 +124,7 @@ z AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t1, '[ \t\r\f]+', '
   'language: ' || regexp_extract(payload, '(?is)<html[^>]*\blang=["'']?([a-zA-Z-]+)', 1) || chr(13) || chr(10) ||
   'source-payload-digest: ' || payload_digest || chr(13) || chr(10) ||
   'source-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8' ||
-  coalesce(array_to_string(list_transform(regexp_extract_all(payload, '(?is)<a\b[^>]*\bhref="([^"]*)"', 1), lambda v: chr(13) || chr(10) || 'outlink: ' || v), ''), '') AS fields FROM y),
+  coalesce(array_to_string(list_transform(regexp_extract_all(payload, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda v: chr(13) || chr(10) || 'outlink: ' || regexp_replace(v, '^["'']|["'']$', '', 'g')), ''), '') AS fields FROM y),
 b AS (SELECT page_id AS source_id, 'metadata' AS warc_type, mid AS record_id, record_id AS refers_to, cid AS concurrent_to, url AS target_uri, 'application/warc-fields' AS content_type, payload_digest AS source_digest, fields AS block FROM z
   UNION ALL SELECT page_id, 'conversion', cid, record_id, mid, url, 'text/plain; charset=utf-8', payload_digest, body FROM z)
 SELECT source_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '2024-01-31T00:00:00Z' AS warc_date, content_type,

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import pyarrow as pa  # noqa: E402
 import tiktoken  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 from lodestream.llm import bpe, tokenfile  # noqa: E402
@@ -34,9 +37,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def odd_texts(n=3000):
@@ -128,8 +129,31 @@ def test_op9_small_shards_nulls_and_random_access(spark, library, tmp_path):
     assert got == want
     every = [x for _, t in sorted(docs, key=lambda d: (d[0], d[1] or "")) for x in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
     places = [0, 5, 299, 300, 301, len(every) - 1, len(every) // 2]
-    found = tokenfile.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long"))
-    assert {r.place: r.token_id for r in found.collect()} == {p: every[p] for p in places}
+    found = tokenfile.tokens_at(spark, path, spark.createDataFrame([(p,) for p in [*places, 5, -1, len(every), None]], "place long"))
+    assert sorted((r.place, r.token_id) for r in found.collect()) == sorted((p, every[p]) for p in [*places, 5])
+
+
+def test_added_tokens_get_their_ids(spark, library):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>b", "<|endoftext|", "x" * 9000 + "<|endoftext|>" + " the cat" * 9000, None, "plain"]
+    df = spark.createDataFrame([(i, t, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(tuple(r) for r in tokenfile.through_files(df, JSON).collect())
+    assert got == expected(library, list(enumerate(texts)))
+    assert library.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    definition = json.loads(Path(JSON).read_text())
+    definition["added_tokens"].append({"id": 50257, "content": "<sep>", "single_word": False, "lstrip": True, "rstrip": True, "normalized": False, "special": True})
+    wider = json.dumps(definition)
+    encoder, added = tokenfile.PieceEncoder(wider), tokenfile.AddedTokens(wider)
+    column = pa.array(["a  <sep>  b", "plain", "x <|endoftext|> <sep>"])
+    ids = [x.tolist() for *_, ids, n in tokenfile.encoded(column, encoder, added) for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert ids == [Tokenizer.from_str(wider).encode(t, add_special_tokens=False).ids for t in column.to_pylist()]
+
+
+def test_repeated_neighbours_are_coded_like_others(spark):
+    rows = [(i, t, "x", "y", 0) for i, t in enumerate(["a b", "a b", None, None, "", "c", "a b", "c" * 5000, "c" * 5000])]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    one = {r.doc_id: r for r in bpe.round_trip(df, RANKS, with_ids=True).collect()}
+    two = {r.doc_id: r for r in bpe.round_trip(df.orderBy((F.col("doc_id") * 7) % 9), RANKS, with_ids=True).collect()}
+    assert one == two and len(one) == 9 and bytes(one[0].ids) == bytes(one[6].ids) != b""
 
 
 def test_op9_empty_table(spark, tmp_path):

@@ -15,22 +15,28 @@ def test_collapse_and_rendering(spark):
     convs = {1: long[:3], 2: long[:5], 3: long[:5], 4: [("user", "turn 0"), ("assistant", "other")], 5: long, 6: [("user", None)], 7: [("user", "")], 8: [("user", "a <|end|> b")], 9: long[1:3]}
     got = {}
     for r in chat.rendered(turns(spark, convs)).collect():
-        got.setdefault(r.conv_id, {})[r.segment] = r.rendered
+        got.setdefault(r.conv_id, {})[r.turn_no] = r.rendered
         assert r.n_turns == len(convs[r.conv_id])
     assert sorted(got) == [4, 5, 6, 7, 8, 9]
-    assert sorted(got[5]) == [0, 1, 2]
     write = lambda said: "".join(f"<|{r}|>\n{(x or '').replace('<|', '< |')}\n<|end|>\n" for r, x in said)
     for c, parts in got.items():
+        assert sorted(parts) == list(range(1, len(convs[c]) + 1))
         assert "".join(parts[k] for k in sorted(parts)) == write(convs[c])
 
 
 def test_equal_conversations_keep_the_least_id_and_ties_are_ordered(spark):
     rows = [(c, 0, "user", x, 0, 0, 0) for c in (5, 4) for x in ("b", "a")] + [(None, 1, "user", "z", 0, 0, 0)]
-    got = {r.conv_id: r.rendered for r in chat.rendered(spark.createDataFrame(rows, TURNS)).collect()}
-    assert sorted(got, key=str) == [4, None] and got[4].index("\na\n") < got[4].index("\nb\n")
+    got = {(r.conv_id, r.turn_no): r.rendered for r in chat.rendered(spark.createDataFrame(rows, TURNS)).collect()}
+    assert sorted(got, key=str) == [(4, 1), (4, 2), (None, 1)] and "\na\n" in got[4, 1] and "\nb\n" in got[4, 2]
     assert chat.rendered(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_ids_of_other_types(spark):
+    rows = [(c, t, "user", x, 0, 0, 0) for c, said in {"b": "xy", "a": "xy", "c": "x", None: "z"}.items() for t, x in enumerate(said)]
+    got = chat.rendered(spark.createDataFrame(rows, TURNS.replace("conv_id long", "conv_id string"))).collect()
+    assert sorted(((r.conv_id, r.turn_no) for r in got), key=str) == [("a", 1), ("a", 2), (None, 1)]
+
+
 def test_rolling_hash_of_a_hot_conversation_crosses_runs(spark):
     long = [("user", f"t{i}") for i in range(3000)]
     rows = chat.with_prefix_hashes(turns(spark, {1: long, 2: long[:2100]})).filter("pos = 2100").select("h1", "h2").distinct()
@@ -59,3 +65,36 @@ def test_derivatives(spark, tmp_path):
     assert sorted(r.block for r in back) == sorted(r.block for r in rows)
     assert sorted(r.fields["WARC-Record-ID"] for r in back) == sorted(r.record_id for r in rows)
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
+
+
+def test_hidden_regions_and_links(spark):
+    cases = {
+        "<head><script>a</script><title>TITLE</title></head><body><p>Hi</p>": "Hi",
+        "<p>a</p><script>if (x) { y('</style>') }</script><p>b</p>": "a\nb",
+        "<style>p{}</style ><p>a</p><STYLE>q{}</STYLE><p>b</p>": "a\nb",
+        "<p>a</p><!-- open <p>b</p>": "a",
+        "<p>a</p><script>var x = 1; <p>b</p>": "a",
+        "<head><title>t</title><body><p>a</p></body>": "a",
+        '<head><script>"</head>"</script><title>t</title></head><p>a</p>': "a",
+        "<template><p>x</p></template><noscript>y</noscript>z": "z",
+        "<header>top</header><p>a &amp; b&#x2014;c</p>": "top\na & b—c",
+        "<!-- <script> --><p>a</p>": "a",
+    }
+    links = "<a href=\"/1\">1</a><a class=x href='/2'>2</a><A HREF=/3>3</A><a data-href=\"/no\">4</a><a\n href = \"/5\" id=y>5</a>"
+    rows = [(k, "u", page, "", "") for k, page in enumerate([*cases, links])]
+    got = {(r.source_id, r.warc_type): r.block for r in warc.derivatives(warc.responses(spark.createDataFrame(rows, PAGES))).collect()}
+    for k, text in enumerate(cases.values()):
+        assert got[k, "conversion"] == text, rows[k]
+    assert [x[9:] for x in got[len(cases), "metadata"].split("\r\n") if x.startswith("outlink: ")] == ["/1", "/2", "/3", "/5"]
+
+
+def test_the_querys_records_as_files(spark, sf, tmp_path):
+    from lodestream.llm.queries import op5_warc
+
+    records = op5_warc(spark, sf)
+    path = f"file://{tmp_path}/warc"
+    warc.write_warc(records, path)
+    back = warc.read_warc(spark, path)
+    assert back.filter("complete").count() == records.count() == 2 * spark.read.parquet(f"{sf}/pages.parquet").count()
+    same = back.select(back.fields["WARC-Record-ID"].alias("record_id"), back.fields["WARC-Refers-To"].alias("refers_to"), back.fields["WARC-Source-Payload-Digest"].alias("source_digest"), "block")
+    assert records.select(same.columns).exceptAll(same).count() == 0

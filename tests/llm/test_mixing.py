@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import mixing
 
@@ -72,3 +73,12 @@ def test_hot_source_nulls_and_ties(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0 and mixing.sampled(df).count() == 0
+
+
+def test_clashing_columns_come_through(spark):
+    names = ["_id", "_hash", "_rows", "_copies", "_own", "_k", "_nth", "_key", "_source", "row_hash"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 5), "s", *[f"{n}{i}" for n in names]) for i in range(40)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.sampled(docs)
+    assert got.columns == docs.columns and got.exceptAll(docs.withColumn("x", F.explode(F.array(F.lit(1), F.lit(2)))).drop("x")).count() == 0 and got.count() > 40
+    text_ids = spark.createDataFrame([("a", "x y", None, 1), (None, "z", "s", 2)], "doc_id string, text string, source string, _key int")
+    assert mixing.sampled(text_ids).exceptAll(text_ids.union(text_ids)).count() == 0

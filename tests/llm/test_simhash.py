@@ -100,3 +100,14 @@ def test_one_of_each_keeps_unrelated_texts_under_null_and_repeated_ids(spark):
     kept = simhash.one_of_each(spark.createDataFrame([(*x, None, None, None) for x in docs], SCHEMA)).collect()
     assert len(kept) == 4
     assert {(r.doc_id, r.text.lower()) for r in kept} == {(None, a), (None, b), (7, c), (7, d)}
+
+
+def test_clashing_columns_other_ids_and_hot_fingerprints(spark, monkeypatch):
+    names = ["_id", "_hash", "_nth", "_key", "_rows", "row_hash", "node"]
+    t = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(k, x, *[n + k for n in names]) for k, x in (("b", t), ("a", t), ("c", "quite another text with words of its own kind"))], "doc_id string, text string, " + ", ".join(f"{n} string" for n in names))
+    for hot in (1, 1000):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        kept = simhash.one_of_each(docs)
+        assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+        assert sorted(r.doc_id for r in kept.collect()) == ["a", "c"]
