@@ -14,7 +14,8 @@ overloads no task. A query that meets fewer than k candidates is compared with a
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part;
 null ids neither; of repeated ids all vectors take part, and none of the query's own id is a candidate; an empty
-table gives an empty result; columns other than the two named are ignored.
+table gives an empty result; columns other than the two named are ignored. Ids are of an integer type, and the answers'
+ids long integers; other types are refused.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import spans, written
 
@@ -36,8 +38,11 @@ BUCKET_ROWS, CELL_ROWS, QUERY_ROWS = 20_000, 50_000, 64
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vec of the rows that take part."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} is of type {kind.simpleString()}, not of an integer type")
     v = F.col(vector_col)
-    rows = df.select(F.col(id_col).alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
     rows = rows.filter(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
     common = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     return rows.filter(F.size("vec") == (common[0]["n"] if common else 0))
@@ -283,6 +288,28 @@ def _part_code(code: int, piece: np.ndarray) -> np.ndarray:
     return np.where(piece == 0, np.int64(code), apart)
 
 
+def rows_met(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> DataFrame:
+    """query_id, met: the rows in the buckets that a query visits, a row counted once a table: what the probes leave to compare."""
+    rows = valid_vectors(df, id_col, vector_col)
+    about = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
+    table = df.sparkSession.sparkContext.broadcast(Hashing(about["dim"] or 1, about["norm"] or 1.0, tables, hashes, probes, width, seed))
+
+    def codes(of: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
+                    found = getattr(table.value, of)(_matrix(part.column(1)))
+                    times = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(times), pa.array(found.ravel())], ["query_id", "code"])
+
+        return run
+
+    held = rows.mapInArrow(codes("of_rows"), "query_id long, code long").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    asked = rows.filter(is_query).mapInArrow(codes("of_queries"), "query_id long, code long").distinct()
+    return asked.join(held, "code", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("met"))
+
+
 def exact(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 8) -> DataFrame:
     """The same by comparing every query with every row, in blocks: the measure of recall."""
     rows = valid_vectors(df, id_col, vector_col)

@@ -141,14 +141,10 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = written(ordered.mapInArrow(run, spec), "pairs")
     edge = rows.filter("place != 'pair'").select(F.col(id_col).alias("id"), "part", "place", "body")
-    firsts = edge.filter("place = 'first'")
-    whole = Window.orderBy("part")
-    firsts = firsts.select(
-        "part",
-        F.coalesce(F.lead("body").over(whole), F.first("body").over(whole)).alias("next_body"),
-        F.coalesce(F.lead(F.struct("id")).over(whole), F.first(F.struct("id")).over(whole))["id"].alias("next_id"),
-    )  # two rows for each partition, not for each document
-    lasts = edge.filter("place = 'last'").join(firsts, "part").select("id", "body", "next_id", "next_body", "part")
+    firsts = edge.filter("place = 'first'").select(F.col("part").alias("next_part"), F.col("id").alias("next_id"), F.col("body").alias("next_body"))
+    whole = Window.orderBy("part")  # one number for each partition; the texts meet by a join
+    after = edge.filter("place = 'first'").select("part", F.coalesce(F.lead("part").over(whole), F.first("part").over(whole)).alias("next_part"))
+    lasts = edge.filter("place = 'last'").join(after, "part").join(firsts, "next_part").select("id", "body", "next_id", "next_body", "part")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,13 +1,13 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams (operator 2).
 
 A text's words are the runs of letters of its lower-cased form (ASCII letters and all characters beyond ASCII), so
-digits, marks and layout around a word do not hide it. Features are the presence of words, of their stems (the first four, five and six bytes of longer words,
-which stand for inflected forms), of word pairs and of pairs with one or two words between them, hashed to 2**20
-coordinates.
+digits, marks and layout around a word do not hide it. Features are the presence of words, of word pairs and of pairs
+with one or two words between them, hashed to 2**20 coordinates; and, as the parameter ``stems`` says, of the first
+four, five and six characters of longer words, which stand for inflected forms ((): none).
 
-Learning is bounded by ``MAX_ROWS`` labelled rows, chosen by a hash of their id: the rows are dealt to
-tasks of about ``SHARD_ROWS``, each runs FTRL-proximal (a learning rate per coordinate, L1 that keeps most weights at exactly zero), and the
-shards' weights are averaged per coordinate. What is broadcast to score the corpus is the list of non-zero weights,
+Learning is bounded by about ``MAX_ROWS`` labelled ids, chosen by a hash of the id, one text each (the least, if an id has
+several): the rows are dealt to tasks of about ``SHARD_ROWS``, each runs FTRL-proximal (a learning rate per coordinate,
+L1 that keeps most weights at exactly zero), and the shards' weights are averaged per coordinate. What is broadcast to score the corpus is the list of non-zero weights,
 at most the 2**20 coordinates and in practice some thousands. Scoring is one pass over all texts, without a shuffle.
 
 Null and empty texts score the intercept alone; repeated rows score alike; a label that is given twice counts as
@@ -31,7 +31,7 @@ from .pretokens import mixed, padded, piece_hash
 BITS = 20
 #: Bytes of text whose features are held at once.
 CHUNK_BYTES = 1 << 20
-#: Bytes of a longer word that stand for its stem.
+#: Characters of a longer word that stand for its stem.
 STEMS = (4, 5, 6)
 #: Most labelled rows that are learned from, and those that one task learns from.
 MAX_ROWS, SHARD_ROWS = 24_000, 6_000
@@ -43,7 +43,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[list(range(ord("a"), ord("z") + 1)) + list(range(128, 256))] = True
 
 
-def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: np.ndarray, offs: np.ndarray, stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
     """(coordinate, row) of every feature of the lower-cased texts between ``offs``, repeats included."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
@@ -61,9 +61,13 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     row = np.searchsorted(offs, start, side="right") - 1
     word = piece_hash(padded(raw), start, end - start)
     found, rows = [word], [row]
-    for k in STEMS:
-        at = np.flatnonzero(end - start > k)
-        found.append(piece_hash(padded(raw), start[at], np.full(len(at), k), seed=1))
+    if stems:
+        char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters begin
+        first = np.searchsorted(char, start)
+    for k in stems:
+        stop = char[np.minimum(first + k, len(char) - 1)]
+        at = np.flatnonzero(stop < end)
+        found.append(piece_hash(padded(raw), start[at], (stop - start)[at], seed=1))
         rows.append(row[at])
     for k, salt in ((1, 0xA5A5A5A5), (2, 0x5C5C5C5C), (3, 0x3B3B3B3B)):
         at = np.flatnonzero(row[k:] == row[:-k])
@@ -72,11 +76,11 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
-def feature_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def feature_chunks(column: pa.Array, stems: tuple[int, ...] = STEMS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, coordinates, rows within) of a column of texts, about a MB at a time."""
     _, offs = utf8(column)
     for a, b in row_chunks(offs, CHUNK_BYTES):
-        yield a, b, *features(*_texts(column.slice(a, b - a)))
+        yield a, b, *features(*_texts(column.slice(a, b - a)), stems)
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +114,8 @@ class Ftrl:
         return np.append(at, -1), np.append(w[at], float(self._weights(self.z0, self.n0, 0.0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> dict[int, float]:
-    """Non-zero weights by coordinate, with the intercept at -1, learned from at most ``max_rows`` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, stems: tuple[int, ...] = STEMS) -> dict[int, float]:
+    """Non-zero weights by coordinate, with the intercept at -1, learned from about ``max_rows`` labelled documents at most."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
     n = known.count()
     if not n:
@@ -121,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = min(1 << 30, max_rows * (1 << 30) // n)
     chosen = known.filter(F.pmod("_h", F.lit(1 << 30)) < part)  # max_rows or so ids of 24 bytes: a bounded broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select("_text", "_y", F.pmod(F.shiftright("_h", 30), F.lit(shards)).alias("_shard"), "_h")
-    most = 2 * shard_rows * 2
+    rows = rows.groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y"), F.first("_h").alias("_h"))
+    rows = rows.select("_text", "_y", F.pmod(F.shiftright("_h", 30), F.lit(shards)).cast("int").alias("_shard"), "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
@@ -139,18 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             y, own = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for a, b, at, row in feature_chunks(batch.column(0)):
+            for a, b, at, row in feature_chunks(batch.column(0), stems):
                 key = np.unique(row << BITS | at)
                 cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
                 for k in range(b - a):
                     if own[a + k] != shard:  # rows come sorted by shard
                         yield from learned()
                         shard = own[a + k]
-                    if len(held) < most:  # only if one id were repeated without end
-                        held.append(((key[cut[k] : cut[k + 1]] & ((1 << BITS) - 1)).astype(np.int32), y[a + k]))
+                    held.append(((key[cut[k] : cut[k + 1]] & ((1 << BITS) - 1)).astype(np.int32), y[a + k]))
         yield from learned()
 
-    dealt = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", "_h")
+    dealt = rows.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_h")
     learned = dealt.mapInArrow(run, "at long, w double")
     alone = learned.groupBy("at").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     got = {r["at"]: (r["w"], r["n"]) for r in alone.collect()}
@@ -160,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {at: w / models for at, (w, _) in got.items()}
 
 
-def _scorer(docs: DataFrame, weights: dict[int, float]):
+def _scorer(docs: DataFrame, weights: dict[int, float], stems: tuple[int, ...] = STEMS):
     """A function from a column of texts to (row range, scores), over a broadcast of the non-zero weights."""
     at = np.array([k for k in weights if k >= 0], np.int64)
     table = docs.sparkSession.sparkContext.broadcast((at, np.array([weights[k] for k in at.tolist()], np.float64), weights.get(-1, 0.0)))
@@ -169,7 +172,7 @@ def _scorer(docs: DataFrame, weights: dict[int, float]):
         at, w, base = table.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
-        for a, b, where, row in feature_chunks(column):
+        for a, b, where, row in feature_chunks(column, stems):
             on = np.flatnonzero(dense[where])
             key = np.unique(row[on] << BITS | where[on])
             total = base + np.bincount(key >> BITS, dense[key & ((1 << BITS) - 1)], minlength=b - a)
@@ -178,9 +181,9 @@ def _scorer(docs: DataFrame, weights: dict[int, float]):
     return scores
 
 
-def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", stems: tuple[int, ...] = STEMS) -> DataFrame:
     """id_col, score from 0 to 1: the logistic of the weights of the features present."""
-    scores, kind = _scorer(docs, weights), docs.schema[id_col].dataType.simpleString()
+    scores, kind = _scorer(docs, weights, stems), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,10 +199,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, stems: tuple[int, ...] = STEMS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, learned from labels that are not held out."""
-    weights = train(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs, weights).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    weights = train(docs, labels.filter(~held_out(F.col("doc_id"))), stems=stems)
+    return score(docs, weights, stems=stems).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

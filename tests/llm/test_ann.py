@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestream.llm import ann
@@ -68,3 +69,28 @@ def test_probe_order_is_by_expected_score():
     sets = ann.probe_sets(6, 40)
     assert sets[0] == () and sets[1] == (0,) and len(sets) == len(set(sets)) == 40
     assert all(11 - j not in s for s in sets for j in s)
+
+
+def test_ids_of_other_types(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    long = df.withColumn("vec_id", F.col("vec_id").cast("long"))
+    got, want = (sorted(ann.nearest(x, F.col("id") % 20 == 0, 5).collect()) for x in (df, long))
+    assert got == want and len(got) == 10
+    with pytest.raises(TypeError):
+        ann.nearest(df.withColumn("vec_id", F.col("vec_id").cast("string")), F.lit(True))
+
+
+def test_probes_leave_few_rows_where_the_data_have_structure(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    points = centres[np.arange(4000) % 40] + 0.05 * rng.standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<float>")
+    asked = F.col("id") % 100 == 0
+    pruning = {"tables": 6, "hashes": 12, "probes": 16, "width": 0.8}
+    best = {(r.query_id, r.vec_id) for r in ann.exact(df, asked, 20).collect()}
+    found = {(r.query_id, r.vec_id) for r in ann.nearest(df, asked, 20, **pruning).collect()}
+    assert len(best & found) >= 0.9 * len(best)
+    met = [r.met for r in ann.rows_met(df, asked, **pruning).collect()]
+    assert len(met) == 40 and sum(met) / len(met) < 0.1 * 4000 * 6
