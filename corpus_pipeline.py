@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Stages are written as Parquet
 in the shared folder and read again, so a lost executor costs one stage's tasks, not the run. All stages but the last
-return the columns of ``documents``. The mix holds a document as often as it is taken.
+return the columns of ``documents``. The mix holds a document as often as it is taken, in rows that follow each other, so
+each text is encoded once; the last stage returns each row's token ids and the digests that prove the round trip.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
 
 
 STAGES = [
