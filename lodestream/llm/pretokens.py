@@ -20,12 +20,15 @@ LETTER, NUMBER, SPACE = 1, 2, 3
 #: Unicode White_Space, which is what \s matches in the pattern.
 WHITE_SPACE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 PAD = 16
+#: Beyond planes 0 to 3 Unicode has no letters and no numbers.
+LAST_PLANES = 0x40000
 
 
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    table[:LAST_PLANES] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(LAST_PLANES)), np.uint8, LAST_PLANES)
     table[list(WHITE_SPACE)] = SPACE
     return table
 

@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,15 +88,30 @@ class Codes:
 # --- writing --------------------------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class PieceEncoder:
-    """The tokenizers library over the distinct pre-tokens of a batch; equal pieces have equal ids, so each is encoded once."""
+    """The tokenizers library's model over the distinct pre-tokens of a batch; equal pieces have equal ids, so each is encoded once.
+
+    ``by_piece`` tells whether the definition is byte-level BPE with the usual pattern, as this needs; if not, texts go
+    to the library whole.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.memo: dict[bytes, list[int]] = {}
+        told = json.loads(definition)
+        cut, model = told.get("pre_tokenizer") or {}, told["model"]
+        self.by_piece = model.get("type") == "BPE" and not model.get("dropout") and not told.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.letters = _byte_letters()
+        self.memo: dict[bytes, bytes] = {}
 
     def __call__(self, pad: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = piece_starts(pad, offs)
@@ -109,12 +125,12 @@ class PieceEncoder:
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = pieces
-        if new:
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            memo.update(zip(new, [x.ids for x in coded], strict=True))
+        model, letters = self.tokenizer.model.tokenize, self.letters
+        for p in new:
+            memo[p] = array("I", [t.id for t in model(p.decode("latin-1").translate(letters))]).tobytes()
         got = [memo[p] for p in pieces]
-        each = np.fromiter(map(len, got), np.int64, len(got))
-        pool = np.fromiter((x for ids in got for x in ids), np.uint32, int(each.sum()))
+        each = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        pool = np.frombuffer(b"".join(got), np.uint32)
         count = each[kind]
         ids = pool[spans((np.cumsum(each) - each)[kind], count)]
         ends = np.concatenate(([0], np.cumsum(count)))
@@ -143,7 +159,7 @@ class AddedTokens:
         return np.flatnonzero(on)
 
     def encode(self, text: str, encoder: PieceEncoder) -> np.ndarray:
-        if not self.plain:
+        if not (self.plain and encoder.by_piece):
             return np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         cut = self.pattern.split(text)
         out = []
@@ -159,12 +175,13 @@ class AddedTokens:
 def encoded(column: pa.Array, encoder: PieceEncoder, added: AddedTokens) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [a, b), their ids, and how many each has, as the library gives them."""
     at = 0
-    for special in [*added.rows(column).tolist(), len(column)]:
+    alone = added.rows(column) if encoder.by_piece else np.arange(len(column))
+    for special in [*alone.tolist(), len(column)]:
         raw, offs = utf8(column.slice(at, special - at))
         for a, b, ids, n in encode_chunks(raw, offs, encoder, CHUNK_BYTES):
             yield at + a, at + b, ids, n
         if special < len(column):
-            ids = added.encode(column[special].as_py(), encoder)
+            ids = added.encode(column[special].as_py() or "", encoder)
             yield special, special + 1, ids, np.array([len(ids)], np.int64)
         at = special + 1
 
