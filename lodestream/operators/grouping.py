@@ -53,14 +53,15 @@ def merged_bullets(rows: DataFrame) -> DataFrame:
 
 
 def evidence_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """A content hash of all evidence of a key, free of row order: the exclusive-or of its rows' hashes, and their number.
+    """A content hash of all evidence of a key, free of row order: the sums of its rows' hashes in 32-bit parts, and their number.
 
-    It combines before the shuffle, so a key with any number of rows costs one row a task.
+    Sums, unlike exclusive-ors, tell repeated rows. It combines before the shuffle, so a key with any number of rows (below
+    2**31, where a sum would overflow) costs one row a task.
     """
     h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256)
-    part = lambda i: F.bit_xor(F.conv(F.substring("_h", i, 15), 16, 10).cast("long"))
-    hexed = lambda i: F.lpad(F.lower(F.hex(part(i))), 15, "0")
-    return rows.withColumn("_h", h).groupBy(key).agg(F.concat(*[hexed(i) for i in (1, 16, 31, 46)], F.lit("-"), F.count(F.lit(1)).cast("string")).alias("evidence_hash"))
+    part = lambda i: F.sum(F.conv(F.substring("_h", i, 8), 16, 10).cast("long")) % (1 << 32)
+    hexed = lambda i: F.lpad(F.lower(F.hex(part(i))), 8, "0")
+    return rows.withColumn("_h", h).groupBy(key).agg(F.concat(*[hexed(i) for i in range(1, 65, 8)], F.lit("-"), F.count(F.lit(1)).cast("string")).alias("evidence_hash"))
 
 
 def relative_buckets(anchors: DataFrame, events: DataFrame, edges: list[int]) -> DataFrame:

@@ -73,9 +73,9 @@ def newest(rows: DataFrame, since: Column, now: Column, most: int) -> DataFrame:
 
 def batches(rows: DataFrame, order: list[Column], size: int, keys: list[str]) -> DataFrame:
     """Rows dealt to numbered batches of ``size`` within each key."""
-    from .windows import ranked
+    from .windows import spread_ranked
 
-    return ranked(rows, "_n", keys, order).withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    return spread_ranked(rows, "_n", keys, order).withColumn("batch", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
 def checked_responses(raw: DataFrame, payload: str = "payload") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.scalars import bounded_strings, clamped
 
+from .windows import spread_ranked
+
 #: Kinds of objects that are no product, for deep dives and for scouting.
 NO_DEEPDIVE = ("article", "funding", "model_release", "news", "resource_list", "tutorial")
 NO_SCOUTING = ("model", "article", "tutorial", "discussion", "news", "unknown")
@@ -57,27 +59,38 @@ def route(selected: Column, score_only: float = 50) -> Column:
     return F.when(F.col("failed"), "candidate_error").when(~ok, "suppress_or_low").when(selected, "score_plus_deepdive").when(F.col("score") >= score_only, "score_only").otherwise("suppress_or_low")
 
 
+def routed(scored: DataFrame, known: Column) -> DataFrame:
+    """``scored`` with brief_rank, route and section. What is known keeps its route but gets no brief."""
+    chosen = selected_for_brief(scored.filter(~known)).select("group_id", "brief_rank")
+    out = scored.join(F.broadcast(chosen), "group_id", "left")  # at most ten rows
+    out = out.withColumn("route", route(F.col("brief_rank").isNotNull()))
+    return out.withColumn("section", F.when(F.col("route") == "candidate_error", "diagnostics").when(F.col("route") == "score_plus_deepdive", "today_focus").otherwise("scored"))
+
+
 def feed(scored: DataFrame, known: Column) -> DataFrame:
     """group_id, section, place, route: focus by brief rank, scored (score only, then suppressed, one running place), diagnostics."""
-    chosen = selected_for_brief(scored.filter(~known)).select("group_id", "brief_rank")
-    routed = scored.join(F.broadcast(chosen), "group_id", "left")  # at most ten rows
-    routed = routed.withColumn("route", route(F.col("brief_rank").isNotNull()))
-    section = F.when(F.col("route") == "candidate_error", "diagnostics").when(F.col("route") == "score_plus_deepdive", "today_focus").otherwise("scored")
-    routed = routed.withColumn("section", section)
     lane = F.when(F.col("route") == "score_only", 0).otherwise(1)
     order = [F.coalesce("brief_rank", F.lit(0)), lane, F.desc("score"), F.asc("group_id")]
-    return routed.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy(*order))).select("group_id", "section", "place", "route")
+    rows = routed(scored, known).select("group_id", "section", "route", "brief_rank", "score")
+    return spread_ranked(rows, "place", ["section"], order).select("group_id", "section", "place", "route")
 
 
 def scheduled(groups: DataFrame, previous: DataFrame, score_cap: int | None, scout_cap: int = 50) -> DataFrame:
-    """group_id, lane: unchanged hashes are skipped; the rest goes, most urgent first, to its lane up to the lane's cap."""
+    """group_id, lane: unchanged hashes are skipped; the rest goes, most urgent first, to its lane up to the lane's cap.
+
+    A lane's first rows are an ordered prefix of as many rows as its cap, so no task sorts a lane.
+    """
     before = previous.select("group_id", F.col("evidence_hash").alias("_before"))
     g = groups.join(before, "group_id", "left").withColumn("_same", F.coalesce(F.col("_before") == F.col("evidence_hash"), F.lit(False)))
     scout = F.col("level") == "edge_watch"
-    w = Window.partitionBy("_same", scout).orderBy(F.desc("level_rank"), F.lower("canonical_name"), "group_id")
-    g = g.withColumn("_n", F.row_number().over(w))
-    in_cap = F.when(scout, F.col("_n") <= scout_cap).otherwise(F.lit(True) if not score_cap or score_cap <= 0 else F.col("_n") <= score_cap)
-    return g.select("group_id", F.when(F.col("_same"), "skipped").when(~in_cap, "pending").when(scout, "scout").otherwise("score_now").alias("lane"))
+    order = [F.desc("level_rank"), F.lower("canonical_name"), F.col("group_id")]
+    first = lambda of, cap: g.filter(~F.col("_same") & of).orderBy(*order).limit(cap).select("group_id", F.lit(True).alias("_in"))
+    chosen, capped = first(scout, scout_cap), bool(score_cap and score_cap > 0)
+    if capped:
+        chosen = chosen.union(first(~scout, score_cap))
+    g = g.join(F.broadcast(chosen), "group_id", "left")  # as many rows as both caps
+    within = F.col("_in").isNotNull() | (F.lit(not capped) & ~scout)
+    return g.select("group_id", F.when(F.col("_same"), "skipped").when(~within, "pending").when(scout, "scout").otherwise("score_now").alias("lane"))
 
 
 def checked_claims(claims: DataFrame, refs: DataFrame, axes: tuple[str, ...]) -> DataFrame:

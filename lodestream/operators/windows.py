@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import shared_folder
+
 #: Hours of the age windows; a row is in every window that its age fits.
 WINDOW_HOURS = {"24h": 24, "7d": 168, "30d": 720}
 
@@ -30,6 +34,24 @@ def ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> Da
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> DataFrame:
+    """``ranked`` for few keys with many rows each: no task holds a key.
+
+    Rows are dealt by ranges of (keys, order), sorted and numbered within their part, and written once, so that the
+    numbers stay; what a key has in earlier parts comes from one row a part and key.
+    """
+    spark, key = df.sparkSession, F.struct(*keys) if keys else F.lit(0)
+    sort = [*[F.col(k).asc() for k in keys], *order]
+    rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key)
+    path = f"{shared_folder(spark)}/lodestream/ranked-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy("_key", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_key", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return rows.join(parts, ["_key", "_part"]).withColumn(name, (F.col("_at") + F.col("_base")).cast("long")).select(*df.columns, name)
+
+
 def fitted(rows: Column, budget: int) -> Column:
     """Of an ordered array of struct(id, size): ids that fit a budget in turn; one too large is passed over, later ones may fit."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("kept"))

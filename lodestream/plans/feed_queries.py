@@ -90,8 +90,8 @@ def j11_candidate_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0) THEN 'hit' ELSE 'miss' END AS cached FROM documents")
 def j12_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    cache = d.filter("doc_id % 4 = 0").select("h").distinct()
-    return d.join(cache, "h", "left_semi").select("doc_id", F.lit("hit").alias("cached")).union(d.join(cache, "h", "left_anti").select("doc_id", F.lit("miss").alias("cached")))
+    cache = d.filter("doc_id % 4 = 0").select("h", F.lit("hit").alias("cached")).distinct()
+    return d.join(cache, "h", "left").select("doc_id", F.coalesce("cached", F.lit("miss")).alias("cached"))
 
 
 @query("""WITH l AS (SELECT lower(p_type) AS name_key, p_brand AS ref, row_number() OVER (PARTITION BY lower(p_type) ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 3 = 0)
@@ -247,10 +247,10 @@ def a12_g3_merged_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged_bullets(rows).select("entity_key", "label", "strength", F.size("refs").cast("long").alias("refs"))
 
 
-_HASH = "lpad(printf('%x', bit_xor(CAST('0x' || substr(h, {0}, 15) AS BIGINT))), 15, '0')"
+_HASH = "printf('%08x', CAST(sum(CAST('0x' || substr(h, {0}, 8) AS BIGINT)) % 4294967296 AS BIGINT))"
 
 
-@query(with_sql(ITEMS_SQL, then="SELECT entity_key, " + " || ".join(_HASH.format(i) for i in (1, 16, 31, 46)) + " || '-' || count(*) AS evidence_hash FROM (SELECT entity_key, sha256(item_id || '|' || source || '|' || metric) AS h FROM items) GROUP BY entity_key"))
+@query(with_sql(ITEMS_SQL, then="SELECT entity_key, " + " || ".join(_HASH.format(i) for i in range(1, 65, 8)) + " || '-' || count(*) AS evidence_hash FROM (SELECT entity_key, sha256(item_id || '|' || source || '|' || metric) AS h FROM items) GROUP BY entity_key"))
 def g4_evidence_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evidence_hash(items(spark, sf_dir), "entity_key", ["item_id", "source", "metric"])
 
@@ -296,7 +296,7 @@ def l6_l7_w12_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(GROUPS_SQL, _L2, _FEED, then="SELECT route, count(*) AS n FROM feed GROUP BY route"))
 def a14_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.feed(_scored(spark, sf_dir), F.col("group_id") % 50 == 0).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    return L.routed(_scored(spark, sf_dir), F.col("group_id") % 50 == 0).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_sql(GROUPS_SQL, _L2, then="SELECT group_id FROM scored WHERE score >= 60 ORDER BY score DESC, level_rank DESC, lower(canonical_name) LIMIT 15"))
@@ -361,7 +361,7 @@ def j3_q1_q5_feed_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(GROUPS_SQL, then="SELECT group_id, row_number() OVER (PARTITION BY segment ORDER BY CASE level WHEN 'high_potential' THEN 0 WHEN 'potential' THEN 1 ELSE 2 END, lower(canonical_name)) AS place, n_name AS nation FROM groups JOIN nation ON n_nationkey = c_nationkey"))
 def q2_candidate_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = groups(spark, sf_dir).join(F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))), "c_nationkey")  # a fixed list of nations
-    return W.ranked(g, "place", ["segment"], [F.desc("level_rank"), F.lower("canonical_name")]).select("group_id", "place", "nation")
+    return W.spread_ranked(g, "place", ["segment"], [F.desc("level_rank"), F.lower("canonical_name")]).select("group_id", "place", "nation")
 
 
 @query(with_sql(ITEMS_SQL, then="SELECT item_id, entity_key, row_number() OVER (PARTITION BY entity_key ORDER BY ts DESC, item_id DESC) AS place FROM items WHERE entity_key IN (SELECT entity_key FROM items WHERE metric > 1000)"))

@@ -136,7 +136,7 @@ def k6_guarded_job_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(GROUPS_SQL, then="""SELECT level, (n - 1) // 1000 AS part, '[' || string_agg('{"id":' || group_id || ',"name":"' || canonical_name || '"}', ',' ORDER BY group_id) || ']' AS document FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY group_id) AS n FROM groups WHERE n_orders > 5) GROUP BY level, (n - 1) // 1000"""))
 def k7_candidate_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered JSON arrays of each list, a thousand rows a part, so that no part grows with the list."""
-    g = W.ranked(groups(spark, sf_dir).filter("n_orders > 5"), "n", ["level"], [F.col("group_id").asc()])
+    g = W.spread_ranked(groups(spark, sf_dir).filter("n_orders > 5"), "n", ["level"], [F.col("group_id").asc()])
     row = F.struct(F.col("group_id").alias("id"), F.col("canonical_name").alias("name"))
     return g.groupBy("level", F.floor((F.col("n") - 1) / 1000).alias("part")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("document"))
 
@@ -231,12 +231,12 @@ def w4_cap_per_author(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place FROM events WHERE value > 20")
 def w5_metric_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.ranked(table(spark, sf_dir, "events").filter("value > 20"), "place", ["event_type"], [F.desc("value"), F.col("event_id").asc()]).select("event_id", "place")
+    return W.spread_ranked(table(spark, sf_dir, "events").filter("value > 20"), "place", ["event_type"], [F.desc("value"), F.col("event_id").asc()]).select("event_id", "place")
 
 
 @query(with_sql(GROUPS_SQL, then="SELECT group_id, row_number() OVER (PARTITION BY segment ORDER BY momentum DESC, level_rank DESC, lower(canonical_name)) AS place FROM groups WHERE n_orders > 0"))
 def w6_channel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.ranked(groups(spark, sf_dir).filter("n_orders > 0"), "place", ["segment"], [F.desc("momentum"), F.desc("level_rank"), F.lower("canonical_name")]).select("group_id", "place")
+    return W.spread_ranked(groups(spark, sf_dir).filter("n_orders > 0"), "place", ["segment"], [F.desc("momentum"), F.desc("level_rank"), F.lower("canonical_name")]).select("group_id", "place")
 
 
 @query(with_sql(ITEMS_SQL, then="SELECT item_id, row_number() OVER (PARTITION BY entity_key ORDER BY CASE family WHEN 'github' THEN 0 WHEN 'hn' THEN 1 WHEN 'package_family' THEN 3 ELSE 6 END, item_id) AS place FROM items"))

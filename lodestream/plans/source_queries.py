@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators.windows import ranked
+from lodestream.operators.windows import ranked, spread_ranked
 from lodestream.sources import landed as S
 
 from .fixtures import ITEMS_SQL, items, now, with_sql
@@ -24,7 +24,7 @@ PAGE = 1000
 
 def _pages(df: DataFrame, key: str, order: str, size: int = PAGE) -> GroupedData:
     """Rows grouped by key and page; ``before`` counts the rows of the key's earlier pages."""
-    return ranked(df, "_n", [key], [F.col(order).asc()]).groupBy(key, (F.floor((F.col("_n") - 1) / size) * size).alias("before"))
+    return spread_ranked(df, "_n", [key], [F.col(order).asc()]).groupBy(key, (F.floor((F.col("_n") - 1) / size) * size).alias("before"))
 
 
 def _object(name: str, array: Column) -> Column:
@@ -34,7 +34,7 @@ def _object(name: str, array: Column) -> Column:
 @query("""SELECT 'github_search' AS source, o_orderpriority || ':o/' || o_orderkey AS external_id, n AS source_rank, CAST(o_custkey AS VARCHAR) AS stars, CAST(1 + (n - 1) // 100 AS VARCHAR) AS search_page FROM
   (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 500""")
 def s2_repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = ranked(table(spark, sf_dir, "orders"), "n", ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey").asc()])
+    o = spread_ranked(table(spark, sf_dir, "orders"), "n", ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey").asc()])
     name = F.concat(F.lit("o/"), F.col("o_orderkey").cast("string"))
     pages = o.withColumn("page", (1 + F.floor((F.col("n") - 1) / 100)).cast("int")).groupBy("o_orderpriority", "page")
     landed = pages.agg(_object("items", _array(name.alias("full_name"), name.alias("html_url"), F.col("o_custkey").alias("stargazers_count"), order="n")).alias("payload"))
@@ -71,14 +71,14 @@ def s7_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
-SELECT 'huggingface_models' AS source, 'm' || p_partkey AS external_id, n AS source_rank, CAST(coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 0) AS VARCHAR) AS likes, CASE WHEN p_partkey % 2 = 0 THEN 'https://github.com/o/r' || p_partkey END AS repository FROM p""")
+SELECT 'huggingface_models' AS source, 'm' || p_partkey AS external_id, n AS source_rank, CAST(coalesce(CASE WHEN p_size % 3 = 0 THEN p_size END, 0) AS VARCHAR) AS likes, CASE WHEN p_partkey % 2 = 0 AND top <= 150 THEN 'https://github.com/o/r' || p_partkey END AS repository FROM (SELECT *, row_number() OVER (ORDER BY p_size DESC, n, p_partkey) AS top FROM p)""")
 def s8_s9_model_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     key = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     entry = [key.alias("id"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("likes"), F.col("p_size").cast("double").alias("trendingScore")]
     landed = _pages(part, "p_brand", "p_partkey").agg(_array(*entry, order="p_partkey").alias("payload")).select(F.lit("models").alias("resource"), "before", "payload")
     cards = part.filter("p_partkey % 2 = 0").select(key.alias("external_id"), F.concat(F.lit("see https://github.com/o/r"), F.col("p_partkey").cast("string"), F.lit(".git now")).alias("text"))
-    out = S.with_card_links(S.model_hub(landed), cards, 1_000_000_000)
+    out = S.with_card_links(S.model_hub(landed), cards, 150)
     return out.select("source", "external_id", "source_rank", F.col("metadata")["likes"].alias("likes"), F.try_element_at("metadata", F.lit("repository")).alias("repository"))
 
 

@@ -191,11 +191,12 @@ def model_hub(landed: DataFrame) -> DataFrame:
 def with_card_links(items: DataFrame, cards: DataFrame, most: int) -> DataFrame:
     """The top ``most`` of each source by score get the first repository link of their card. cards: external_id, text."""
     score = F.coalesce(F.col("metadata")["trending_score"].try_cast("double"), F.lit(0.0))
-    top = ranked(items, "_n", ["source"], [score.desc(), F.col("source_rank").asc()])
+    order = [score.desc(), F.col("source_rank").asc(), F.col("external_id").asc()]
+    top = first_per(items.select("source", "external_id", "source_rank", "metadata"), ["source"], order, most).select("source", "external_id")
     link = F.regexp_extract("text", X.GITHUB_LINK, 0)
     found = cards.select("external_id", F.regexp_replace(link, r"\.git$", "").alias("_link")).filter("_link != ''")
-    out = top.join(found, "external_id", "left")
-    meta = F.when((F.col("_n") <= most) & F.col("_link").isNotNull(), F.map_concat(F.col("metadata"), F.create_map(F.lit("repository"), F.col("_link")))).otherwise(F.col("metadata"))
+    out = items.join(top.join(found, "external_id"), ["source", "external_id"], "left")  # ``most`` rows a source
+    meta = F.when(F.col("_link").isNotNull(), F.map_concat(F.col("metadata"), F.create_map(F.lit("repository"), F.col("_link")))).otherwise(F.col("metadata"))
     return out.withColumn("metadata", meta).select(*ITEM)
 
 

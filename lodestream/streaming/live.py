@@ -14,29 +14,64 @@ def deduplicated(posts: DataFrame, key: str = "post_id", at: str = "created_at",
 
 
 def mention_counts(mentions: DataFrame, at: str = "created_at", late: str = "1 hour", length: str = "24 hours", slide: str = "6 hours") -> DataFrame:
-    """Mentions and (about) distinct authors per entity and sliding window, emitted once a window is complete."""
+    """Mentions and distinct authors per entity and sliding window, emitted once a window is complete.
+
+    Authors are counted exactly: first one row for each author of a window, then the rows.
+    """
     w = F.window(at, length, slide)
-    counts = mentions.withWatermark(at, late).groupBy(w, "entity_key").agg(F.count(F.lit(1)).alias("mentions"), F.approx_count_distinct("author").alias("authors"))
+    authors = mentions.withWatermark(at, late).groupBy(w, "entity_key", "author").agg(F.count(F.lit(1)).alias("n"))
+    counts = authors.groupBy("window", "entity_key").agg(F.sum("n").alias("mentions"), F.count("author").alias("authors"))
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "entity_key", "mentions", "authors")
 
 
 class UpsertStore:
-    """A keyed table in numbered Parquet versions. Each micro-batch writes the next version from the last; replays of a batch rewrite their own."""
+    """A keyed table in Parquet: ``epoch=E/bucket=B`` holds all rows of a bucket of keys as of micro-batch E.
+
+    A micro-batch rewrites the buckets that it has keys of, from their latest version before it, so a replayed batch gives
+    what it gave before. What there is is read from the folder, never from memory, so a restarted stream goes on where the
+    last one stopped. Of each bucket the last two versions are kept: the present one and the one that a replay starts from.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, first: str = "first_seen", last: str = "last_seen", buckets: int = 64):
+        self.spark, self.path, self.key, self.first, self.last, self.buckets = spark, path.rstrip("/"), key, first, last, buckets
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> dict[int, list[int]]:
+        """Epochs of each bucket, ascending."""
+        fs, root = self._files()
+        found: dict[int, list[int]] = {}
+        for folder in fs.globStatus(root.suffix("/epoch=*/bucket=*")) or []:
+            epoch, bucket = (int(part.split("=")[1]) for part in str(folder.getPath().toString()).rsplit("/", 2)[1:])
+            found.setdefault(bucket, []).append(epoch)
+        return {b: sorted(e) for b, e in found.items()}
 
-    def __init__(self, spark: SparkSession, path: str, key: str, first: str = "first_seen", last: str = "last_seen"):
-        self.spark, self.path, self.key, self.first, self.last = spark, path.rstrip("/"), key, first, last
-        self.versions: list[int] = []
+    def _rows(self, latest: dict[int, int]) -> DataFrame | None:
+        folders = [f"{self.path}/epoch={e}/bucket={b}" for b, e in latest.items()]
+        return self.spark.read.parquet(*folders) if folders else None
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v={self.versions[-1]}") if self.versions else None
+        """The table as of the last micro-batch; None if there was none yet."""
+        return self._rows({b: e[-1] for b, e in self.versions().items()})
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         """For foreachBatch. Within a batch the latest row of a key counts."""
-        self.versions = [v for v in self.versions if v < epoch]
-        store = self.read()
-        empty = batch.limit(0) if store is None else store
-        upserted(empty, batch, self.key, self.first, self.last).write.mode("overwrite").parquet(f"{self.path}/v={epoch}")
-        self.versions.append(epoch)
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        batch = batch.persist()
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
+        versions = self.versions()
+        before = {b: max(past) for b in touched if (past := [e for e in versions.get(b, []) if e < epoch])}
+        store = self._rows(before)
+        after = upserted(batch.limit(0) if store is None else store.select(*batch.columns), batch, self.key, self.first, self.last)
+        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/epoch={epoch}")
+        batch.unpersist()
+        fs, root = self._files()
+        for b, kept in before.items():
+            for old in versions[b]:
+                if old < kept:
+                    fs.delete(root.suffix(f"/epoch={old}/bucket={b}"), True)
 
 
 def keep_store(posts: DataFrame, store: UpsertStore, checkpoint: str, available_now: bool = False):

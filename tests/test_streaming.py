@@ -33,6 +33,23 @@ def test_upsert_stream_equals_the_batch(spark, tmp_path):
     assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
 
 
+def test_a_restarted_stream_goes_on_from_the_folder(spark, tmp_path):
+    data = rows(24)
+    whole = spark.createDataFrame(data, SCHEMA)
+    want = {(r.post_id, r.first_seen, r.last_seen) for r in upserted(whole.limit(0), whole, "post_id").collect()}
+    path = f"{tmp_path}/in"
+    for part in (data[:8], data[8:16], data[16:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(SCHEMA).parquet(path)
+        live.keep_store(stream, live.UpsertStore(spark, f"{tmp_path}/store", "post_id", buckets=4), f"{tmp_path}/cp", available_now=True).awaitTermination(120)
+    store = live.UpsertStore(spark, f"{tmp_path}/store", "post_id", buckets=4)
+    assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
+    assert all(len(e) <= 2 for e in store.versions().values())
+    last = max(e for es in store.versions().values() for e in es)
+    store.write(spark.createDataFrame(data[16:], SCHEMA), last)  # a replay
+    assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
+
+
 def test_windows_of_a_bounded_replay_equal_the_batch(spark, tmp_path):
     data = rows(48)
     stream = landed(spark, tmp_path, [data[:24], data[24:], [("late", "e0", "a0", T0 + dt.timedelta(days=9), T0, T0)]])
