@@ -1,10 +1,12 @@
-"""Scalar functions over link, name, time and metric columns. All are column expressions; nothing leaves the JVM."""
+"""Scalar functions over link, name, time and metric columns. All are column expressions; only the references of markup leave the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import unescaped
+
 #: Hosts that many projects share, words too general to name one, path beginnings of articles.
 SHARED_DOMAINS = ("github.io", "vercel.app", "netlify.app", "huggingface.co", "npmjs.com", "pypi.org", "producthunt.com", "x.com", "twitter.com", "t.co", "github.com", "news.ycombinator.com", "ycombinator.com")
 GENERIC_NAMES = ("agent", "agents", "open", "studio", "browser", "desktop", "assistant", "code", "mcp", "ai", "app", "tool", "tools", "sdk", "api")
@@ -135,23 +137,47 @@ def key_strength(key: Column) -> Column:
 
 
 def stripped_html(text: Column) -> Column:
-    """Tags become blanks, the named references of markup are resolved, blanks collapse."""
-    out = F.regexp_replace(text, "<[^>]+>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f\x{0B}\x{A0}]+", " "))
+    """Tags become blanks, all references are resolved, blanks collapse."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(text, "<[^>]+>", " ")), f"{_BLANK}+", " "))
+
+
+#: White space of any script.
+_BLANK = r"[ \t\n\r\f\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: What a preview leaves out, in turn, before and after references are resolved.
+PREVIEW_MARKUP = (
+    (r"(?s)```.*?```", " "),
+    (r"(?s)~~~.*?~~~", " "),
+    (r"(?s)<!--.*?-->", " "),
+    (r"\[\s*!\[[^\]]*\]\s*\]\([^)]*\)", " "),
+    (r"\[\s*!\[[^\]]*\]\s*\]\[[^\]]*\]", " "),
+    (r"(?d)\[\s*!\[[^\]]*\](?:\[[^\]]*\]|\([^)]*)?.*$", " "),
+    (r"(?dm)^\s*\[[^\]]+\]:\s*\S+.*$", " "),
+    (r"(?d)!\[[^\]]*$", " "),
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"(?i)<(?:img|source)\b\s+[A-Za-z_:.-]+=[\"']?\s*(?=[^<>]*<)", " "),
+    (r"(?di)<(?:img|source)\b[^<>]*$", " "),
+    (r"<[^>]+>", " "),
+)
+PREVIEW_TEXT = (
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"https?://\S+", " "),
+    (r"<([^<>]{1,80})>", "$1"),
+    (r"(^|\s)#{1,6}\s*", " "),
+    (r"(^|\s)>+\s*", " "),
+    (r"(^|\s)[*-]\s+", " "),
+    (r"[`*]", ""),
+)
 
 
 def preview(text: Column) -> Column:
-    """Readable excerpt of Markdown: fences, comments, images, tags and bare links go, link texts stay."""
+    """Readable excerpt of Markdown: fences, comments, badges, images (broken ones too), tags and bare links go, link texts stay."""
     out = text
-    for pattern, to in (
-        (r"(?s)```.*?```", " "), (r"(?s)~~~.*?~~~", " "), (r"(?s)<!--.*?-->", " "), (r"\[\s*!\[[^\]]*\]\s*\]\([^)]*\)", " "),
-        (r"(?m)^\s*\[[^\]]+\]:\s*\S+.*$", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"<[^>]+>", " "), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"https?://\S+", " "), (r"(^|\s)#{1,6}\s*", " "), (r"(^|\s)>+\s*", " "), (r"(^|\s)[*-]\s+", " "), (r"[`*]", ""), (r"\s+", " "),
-    ):
+    for pattern, to in PREVIEW_MARKUP:
+        out = F.regexp_replace(out, pattern, to)
+    out = unescaped(out)
+    for pattern, to in PREVIEW_TEXT:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.trim(F.regexp_replace(out, f"{_BLANK}+", " "))
 
 
 def digits_only(text: Column) -> Column:
@@ -232,13 +258,13 @@ def bounded_strings(values: Column, items: int, chars: int) -> Column:
 
 
 def content_domain(domain: Column) -> Column:
-    d = F.regexp_replace(F.lower(F.trim(domain)), r"^www\.", "")
+    d = F.regexp_replace(F.regexp_replace(F.lower(F.trim(domain)), r"^www\.", ""), r"^\.+|\.+$", "")
     out = d.isin(*CONTENT_DOMAINS)
     for s in CONTENT_SUFFIXES:
         out = out | d.endswith(s)
     for p in CONTENT_PREFIXES:
         out = out | d.startswith(p)
-    return out
+    return out & (d != "")
 
 
 def content_path(url: Column) -> Column:

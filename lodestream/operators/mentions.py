@@ -126,3 +126,81 @@ def split_links(links: DataFrame, known: DataFrame, floor: float = 0.8) -> tuple
 def uncached(keys: DataFrame, cached: DataFrame) -> DataFrame:
     """Keys without a cached text that was read well. keys: key. cached: key, status."""
     return keys.select("key").distinct().join(cached.filter("status = 'ok'").select("key"), "key", "left_anti")
+
+
+#: What admits a story's project, and where an item names its home.
+ADMITTED, LINK_FIELDS = ("project", "package"), ("repository", "repo", "homepage", "website", "url")
+
+
+def window_refs(mentions: DataFrame, now: Column) -> DataFrame:
+    """entity_key, window_name, ref: the distinct posts of each entity's windows, a row each. mentions: entity_key, at, ref."""
+    day, week = (now - F.expr(f"INTERVAL {d} DAYS") for d in (1, 7))
+    names = F.array_compact(F.array(F.when(F.col("at") >= day, F.lit("24h")), F.when(F.col("at") >= week, F.lit("7d"))))
+    return mentions.select("entity_key", F.explode(names).alias("window_name"), "ref").distinct()
+
+
+def internal_links(matches: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
+    """entity_key, key, confidence: keys in the texts of the newest items that a lookup matched; name keys take exact names only.
+
+    matches: entity_key, item_id; items: item_id, name, url, description, metadata.
+    """
+    from lodestream.functions import scalars as X
+
+    from .windows import first_per
+
+    newest = first_per(matches.select("entity_key", "item_id").distinct(), ["entity_key"], [F.desc("item_id")], most)
+    found = [F.try_element_at("metadata", F.lit(f)) for f in LINK_FIELDS]
+    texts = items.select("item_id", F.concat_ws(" ", "name", "url", "description", *found).alias("text"))
+    links = F.regexp_extract_all("text", F.lit(X.LINK), F.lit(0))
+    tidy = F.transform(links, lambda u: F.regexp_replace(u, r"[.,;:!?)\"\]}']+$", ""))
+    keys = F.array_distinct(F.concat(X.github_keys_in_prose(F.col("text")), X.domain_keys(F.col("text"), F.lit(False)), F.array_compact(F.transform(tidy, X.npm_key))))
+    rows = newest.join(texts, "item_id").select("entity_key", F.explode(keys).alias("key")).distinct()
+    return rows.filter(exact_name_link(F.col("entity_key"), F.col("key"))).withColumn("confidence", F.lit(1.0))
+
+
+def kept_aliases(known: DataFrame, selected: DataFrame) -> DataFrame:
+    """Resolver aliases after a run: of a name key that got new aliases only those stay that the run named again.
+
+    known: entity_id, entity_key, key; selected: entity_id, key.
+    """
+    renewed = selected.select("entity_id").distinct().withColumn("_renewed", F.lit(True))
+    again = selected.select("entity_id", "key").distinct().withColumn("_again", F.lit(True))
+    rows = known.join(renewed, "entity_id", "left").join(again, ["entity_id", "key"], "left")
+    return rows.filter(~F.col("entity_key").startswith("name:") | F.col("_renewed").isNull() | F.col("_again").isNotNull()).select(*known.columns)
+
+
+def classified(outputs: DataFrame, unit_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence, aliases and proposals of classified stories: a unit's answer goes to each of its rows.
+
+    outputs: unit_key, projectness, canonical_name, summary, sure_links (array of key), proposed_links (array of key,
+    confidence); unit_rows: unit_key, item_id, external_id, title. The entity is the first sure link, else the story itself.
+    """
+    rows = unit_rows.join(outputs, "unit_key")
+    entity = F.coalesce(F.try_element_at("sure_links", F.lit(1)), F.concat(F.lit("hn:"), F.col("item_id").cast("string")))
+    rows = rows.withColumn("entity_key", entity)
+    label = F.when(F.col("projectness").isin(*ADMITTED), "watch").when(F.col("projectness") == "company_product", "context").otherwise("noise")
+    name = F.coalesce(F.nullif("canonical_name", F.lit("")), "title")
+    evidence = rows.select("entity_key", "item_id", F.lit("hn_projectness").alias("metric_name"), F.col("projectness").alias("metric_value"), label.alias("signal_label"), F.trim(F.concat(name, F.lit(": "), F.col("summary"))).alias("note"), F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("ref"))
+    aliases = rows.select("entity_key", "external_id", F.explode("sure_links").alias("alias")).groupBy("entity_key", "alias").agg(F.min("external_id").alias("external_id"))
+    proposals = rows.select("entity_key", "item_id", F.explode("proposed_links").alias("p")).select("entity_key", "item_id", F.col("p.key").alias("orphan"), F.col("p.confidence").alias("confidence"))
+    return evidence, aliases, proposals
+
+
+def download_signals(jobs: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Evidence, repository aliases and job states from landed registry responses.
+
+    jobs: job_id, entity_key, package; responses: package, kind (metadata, last-day, last-week), payload. A job without
+    readable metadata or daily downloads has failed and gives nothing; weekly downloads and a repository are welcome.
+    """
+    from lodestream.functions.scalars import repository_key
+
+    of = lambda kind, path: F.max(F.when(F.col("kind") == kind, F.get_json_object("payload", path)))
+    got = responses.groupBy("package").agg(of("metadata", "$.name").alias("name"), of("metadata", "$.repository.url").alias("url"), of("metadata", "$.repository").alias("plain"), of("last-day", "$.downloads").alias("day"), of("last-week", "$.downloads").alias("week"))
+    rows = jobs.join(got, "package", "left").withColumns({"day": F.col("day").try_cast("long"), "week": F.col("week").try_cast("long"), "repo": repository_key(F.coalesce("url", "plain"))})
+    done = F.col("name").isNotNull() & F.col("day").isNotNull()
+    states = rows.select("job_id", F.when(done, "completed").otherwise("failed").alias("status"))
+    good = rows.filter(done)
+    metrics = F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(c).cast("string").alias("metric_value")) for n, c in (("daily_downloads", "day"), ("downloads_7d", "week"), ("npm_repository_link", "repo"))])
+    evidence = good.select("entity_key", "package", F.inline(F.filter(metrics, lambda m: m["metric_value"].isNotNull())))
+    aliases = good.filter("repo is not null").select("entity_key", F.col("repo").alias("alias")).distinct()
+    return evidence, aliases, states

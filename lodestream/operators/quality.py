@@ -37,3 +37,47 @@ def project_margin(cases: DataFrame, keys: list[str], expected: str = "expected"
     )
     margin = F.coalesce(F.col("_best") - F.col("_other"), F.lit(0.0))
     return out.withColumn("margin", margin).withColumn("ok", F.col("margin") > 0).drop("_best", "_other")
+
+
+def call_rollup(calls: DataFrame) -> DataFrame:
+    """Model calls by component: how many, how many failed, tokens in and out, mean, median and 95th percentile of latency.
+
+    calls: component, status, prompt_tokens, completion_tokens, latency_ms.
+    """
+    p = lambda q: F.percentile_approx("latency_ms", q, 10_000)
+    return calls.groupBy("component").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
+        F.avg("latency_ms").alias("mean_latency"), p(0.5).alias("median_latency"), p(0.95).alias("p95_latency"),
+    )
+
+
+def stages_of_log(lines: DataFrame) -> DataFrame:
+    """stage: those that a log of JSON lines says have ended well. Lines that are no JSON count for nothing. lines: value."""
+    line = F.from_json("value", "stage string, event string, returncode int")
+    return lines.select(line.alias("l")).filter("l.event = 'completed' and l.returncode = 0 and l.stage is not null").select("l.stage").distinct()
+
+
+def coverage_problems(cases: DataFrame, required: DataFrame) -> DataFrame:
+    """name, problem: required names without a case, names of several cases, cases without input or expectation.
+
+    cases: name, input, expected; required: name.
+    """
+    missing = required.select("name").distinct().join(cases.select("name").distinct(), "name", "left_anti").withColumn("problem", F.lit("missing"))
+    repeated = cases.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", F.lit("duplicate").alias("problem"))
+    partial = cases.filter("input is null or expected is null").select("name", F.lit("incomplete").alias("problem")).distinct()
+    return missing.unionByName(repeated).unionByName(partial)
+
+
+#: Families in the order they are offered, and their names.
+FACETS = {"github": "GitHub", "hn": "Hacker News", "x_social": "X / social", "product_hunt": "Product Hunt", "package_family": "npm", "npm": "npm", "huggingface": "Hugging Face", "hf": "Hugging Face"}
+NO_FACETS = ("", "rule", "resolver", "cross_source")
+
+
+def source_facets(candidates: DataFrame) -> DataFrame:
+    """family, label, place, n: how many candidates each family has. candidates: families (an array)."""
+    f = F.col("family")
+    label, place = F.initcap(F.regexp_replace(f, "_", " ")), F.lit(99)
+    for i, (name, shown) in enumerate(FACETS.items()):
+        label, place = F.when(f == name, shown).otherwise(label), F.when(f == name, i).otherwise(place)
+    rows = candidates.select(F.explode(F.array_distinct("families")).alias("family")).filter(~f.isin(*NO_FACETS))
+    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", label.alias("label"), place.alias("place"), "n")

@@ -55,6 +55,112 @@ def channel_ranks(items: DataFrame, order: list[Column], key: str = "channel", w
     return out.join(base, key).withColumn("rank", F.col("_base") + F.col("channel_rank")).drop("_base")
 
 
+#: Order of windows, and of a source's lists, within a channel.
+WINDOW_ORDER = ("24h", "7d", "30d", "30d+", "current")
+LIST_ORDER = ("topstories", "newstories", "beststories")
+#: What each source ranks by, a field of its metadata; other sources rank by their own place.
+NATIVE_METRIC = {
+    "github_trending": "period_stars",
+    "github_search": "stars",
+    "github_movers_trending_repos": "stars_velocity",
+    "github_movers_repofomo": "stars_7d",
+    "product_hunt": "votes",
+    "huggingface_models": "trending_score",
+    "huggingface_datasets": "trending_score",
+    "huggingface_spaces": "trending_score",
+    "npm_search": "weekly_downloads",
+    "x_seed_accounts": "followers_count",
+}
+
+
+def _field(metadata: Column, name: str) -> Column:
+    return F.try_element_at(metadata, F.lit(name))
+
+
+def _place(value: Column, order: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(value == v, i) for i, v in enumerate(order)], F.lit(99))
+
+
+def native_metric(source: Column, metadata: Column, rank: Column) -> Column:
+    """The number that a source itself ranks by; stories have points, or a score where those are none or zero."""
+    points = F.coalesce(F.nullif(_field(metadata, "points").try_cast("double"), F.lit(0.0)), _field(metadata, "score").try_cast("double"))
+    out = F.when(source.isin("hn_algolia", "hn_firebase"), points)
+    for name, field in NATIVE_METRIC.items():
+        out = out.when(source == name, _field(metadata, field).try_cast("double"))
+    return out.otherwise(rank.cast("double"))
+
+
+def native_order(source: Column, window: Column, metadata: Column, rank: Column, name: Column) -> Column:
+    """The place of an item among its source's, as a struct to sort by: window or list, scope or query, rank (10,000 if none), name."""
+    scope = F.coalesce(F.nullif(_field(metadata, "scope_language"), F.lit("")), F.lit("all"))
+    label = F.coalesce(F.nullif(_field(metadata, "query_label"), F.lit("")), _field(metadata, "query"), F.lit(""))
+    windowed = source.isin("github_trending", "hn_algolia", "github_movers_trending_repos", "x_tweets")
+    first = F.when(windowed, _place(window, WINDOW_ORDER)).when(source == "hn_firebase", _place(_field(metadata, "list"), LIST_ORDER)).otherwise(0)
+    second = F.when((source == "github_trending") & (scope != "all"), 1).otherwise(0)
+    text = F.when(source == "github_trending", scope).when(source.isin("github_search", "hn_algolia", "npm_search"), label).otherwise("")
+    return F.struct(first.alias("a"), second.alias("b"), text.alias("c"), F.coalesce(rank, F.lit(10_000)).cast("long").alias("d"), name.alias("e"))
+
+
+def matches_text(columns: list[Column], metadata: Column, needle: str) -> Column:
+    """Whether a row's fields, or the values of its metadata, hold the text, whatever the case."""
+    return F.lower(F.concat_ws(" ", *columns, F.array_join(F.map_values(metadata), " "))).contains(needle.lower())
+
+
+def in_range(metric: Column, window: Column, wanted: str) -> Column:
+    """Whether a row belongs to a range: a window by its name, else any metric above zero."""
+    return (window == wanted) if wanted in WINDOW_ORDER else F.coalesce(metric.try_cast("double"), F.lit(0.0)) > 0
+
+
+def append_snapshot(batch: DataFrame, path: str) -> None:
+    """Items of a run, the first of each (source, external_id), added to the folder by source and run. batch: source, run_id, external_id, ord, ..."""
+    first_of_batch(batch, ["source", "run_id", "external_id"], [F.col("ord").asc()]).write.mode("append").partitionBy("source", "run_id").parquet(path)
+
+
+def replace_runs(rows: DataFrame, path: str) -> None:
+    """Rows of whole runs in place of what the folder has of those runs; other runs stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def insert_absent(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The store and, once each, the new rows whose key it lacks."""
+    return store.unionByName(new.dropDuplicates(keys).join(store.select(*keys).distinct(), keys, "left_anti"))
+
+
+def referenced(ids: list[DataFrame], key: str) -> DataFrame:
+    """Distinct ids of several tables of references."""
+    out = ids[0].select(key)
+    for other in ids[1:]:
+        out = out.union(other.select(key))
+    return out.distinct()
+
+
+def persisted_entities(store: DataFrame, built: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The stored entities, and those built of which something refers to and which are not stored yet."""
+    return insert_absent(store, built.join(ids.select(key).distinct(), key, "left_semi"), [key])
+
+
+def since_date(cursors: DataFrame, handles: DataFrame, now: Column, fallback_days: int = 30, safety_days: int = 2) -> DataFrame:
+    """since: two days before the oldest cursor if every handle has one, else the fallback. cursors: handle, latest_at; handles: handle."""
+    name = F.regexp_replace(F.lower("handle"), "^@+", "")
+    asked = handles.filter("handle != ''").select(name.alias("handle")).distinct()
+    known = cursors.filter("latest_at is not null").groupBy(name.alias("handle")).agg(F.max("latest_at").alias("latest_at"))
+    got = asked.join(known, "handle", "left").agg(F.count(F.lit(1)).alias("n"), F.count("latest_at").alias("k"), F.min("latest_at").alias("oldest"))
+    since = F.when((F.col("n") > 0) & (F.col("n") == F.col("k")), F.col("oldest") - F.expr(f"INTERVAL {safety_days} DAYS")).otherwise(now - F.expr(f"INTERVAL {fallback_days} DAYS"))
+    return got.select(F.date_format(since, "yyyy-MM-dd").alias("since"))
+
+
+def source_channels(items: DataFrame, errors: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
+    """channel, label, place, count, windows, error: the channels that have items, in display order, hidden ones left out.
+
+    items: source, window; errors: source, error (the latest of each source).
+    """
+    rows = items.withColumn("channel", channel(F.col("source"))).filter(F.col("channel").isNotNull() & ~F.col("channel").isin(*hidden))
+    counts = rows.groupBy("channel", "window").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("channel").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("window", "n"))).alias("windows"))
+    bad = errors.withColumn("channel", channel(F.col("source"))).groupBy("channel").agg(F.max("error").alias("error"))
+    return per.join(bad, "channel", "left").select("channel", channel_label(F.col("channel")).alias("label"), _place(F.col("channel"), CHANNELS).alias("place"), "count", "windows", "error")
+
+
 def snapshot_status(error: Column, rows: Column) -> Column:
     return F.when(error.isNull(), "ok").when(rows > 0, "partial").otherwise("error")
 

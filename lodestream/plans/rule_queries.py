@@ -30,29 +30,30 @@ def e1_item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(F.col("event_id").alias("item_id"), F.explode(keys).alias("key"))
 
 
-_NODES_SQL = """items2 AS (SELECT event_id AS item_id, user_id, CASE WHEN value >= 30 THEN ['u' || user_id, 'v' || CAST(round(value * 100) AS BIGINT)] ELSE ['u' || user_id] END AS keys, 'n' || (event_id % 50) AS name FROM events WHERE event_type = 'purchase'),
+_NODES_SQL = """items2 AS (SELECT event_id AS item_id, user_id, CASE WHEN event_type = 'purchase' AND value >= 30 THEN ['u' || user_id, 'v' || CAST(round(value * 100) AS BIGINT)] ELSE ['u' || user_id] END AS keys, 'n' || (event_id % 50) AS name FROM events),
 pairs AS (SELECT DISTINCT keys[1] AS u, keys[2] AS v FROM items2 WHERE len(keys) > 1),
 adj AS (SELECT DISTINCT a.u AS x, b.u AS y FROM pairs a JOIN pairs b ON a.v = b.v),
 reach(x, y) AS (SELECT DISTINCT keys[1], keys[1] FROM items2 UNION SELECT r.x, a.y FROM reach r JOIN adj a ON a.x = r.y),
 roots AS (SELECT x AS u, min(least(y, coalesce(v, y))) AS root FROM reach LEFT JOIN pairs ON pairs.u = y GROUP BY x)"""
 
 
-def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with their user's key; a purchase has its value's key too."""
+    e = table(spark, sf_dir, "events")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     value = F.concat(F.lit("v"), F.round(F.col("value") * 100).cast("long").cast("string"))
-    return e.select(F.col("event_id").alias("item_id"), F.when(F.col("value") >= 30, F.array(user, value)).otherwise(F.array(user)).alias("keys"), F.concat(F.lit("n"), (F.col("event_id") % 50).cast("string")).alias("name"))
+    return e.select(F.col("event_id").alias("item_id"), F.when((F.col("event_type") == "purchase") & (F.col("value") >= 30), F.array(user, value)).otherwise(F.array(user)).alias("keys"), F.concat(F.lit("n"), (F.col("event_id") % 50).cast("string")).alias("name"))
 
 
 @query("WITH RECURSIVE " + _NODES_SQL + " SELECT item_id, root FROM items2 JOIN roots ON roots.u = keys[1]")
 def e2_resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.resolve(_purchases(spark, sf_dir))
+    return E.resolve(_keyed_events(spark, sf_dir))
 
 
 @query("WITH RECURSIVE " + _NODES_SQL + """, k AS (SELECT root, unnest(keys) AS key, name, item_id FROM items2 JOIN roots ON roots.u = keys[1])
 SELECT root, 'entity:' || substr(sha1(min(key)), 1, 16) AS entity_id, min(key) AS canonical_key, min_by(name, struct_pack(n := length(name), a := name)) AS canonical_entity, count(DISTINCT item_id) AS n_items, count(DISTINCT name) AS n_aliases FROM k GROUP BY root""")
 def e3_canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _purchases(spark, sf_dir)
+    p = _keyed_events(spark, sf_dir)
     return E.entities(p, E.resolve(p))
 
 

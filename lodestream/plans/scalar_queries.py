@@ -78,12 +78,27 @@ def x8_stripped_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.stripped_html(F.col("html")).alias("text"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m,
-  '(?s)```.*?```', ' ', 'g'), '(?s)~~~.*?~~~', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '\[\s*!\[[^\]]*\]\s*\]\([^)]*\)', ' ', 'g'), '(?m)^\s*\[[^\]]+\]:\s*\S+.*$', ' ', 'g'), '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'),
-  'https?://\S+', ' ', 'g'), '(^|\s)#{1,6}\s*', ' ', 'g'), '(^|\s)>+\s*', ' ', 'g'), '(^|\s)[*-]\s+', ' ', 'g'), '[`*]', '', 'g'), '\s+', ' ', 'g')) AS preview
-FROM (SELECT page_id, '# Title' || chr(10) || '[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '- **item** `x`' || chr(10) || left(html, 2000) AS m FROM pages)""")
+@query(r"""WITH m AS (SELECT page_id, '# Title' || chr(10) || '[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '- **item** `x`' || chr(10) || html AS m FROM pages),
+a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m,
+  '(?s)```.*?```', ' ', 'g'),
+  '(?s)~~~.*?~~~', ' ', 'g'),
+  '(?s)<!--.*?-->', ' ', 'g'),
+  '\[\s*!\[[^\]]*\]\s*\]\([^)]*\)', ' ', 'g'),
+  '(?m)^\s*\[[^\]]+\]:\s*\S+.*$', ' ', 'g'),
+  '!\[[^\]]*\]\([^)]*\)', ' ', 'g'),
+  '<[^>]+>', ' ', 'g') AS t FROM m),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '\[([^\]]+)\]\([^)]*\)', '\1', 'g'),
+  'https?://\S+', ' ', 'g'),
+  '<([^<>]{1,80})>', '\1', 'g'),
+  '(^|\s)#{1,6}\s*', ' ', 'g'),
+  '(^|\s)>+\s*', ' ', 'g'),
+  '(^|\s)[*-]\s+', ' ', 'g'),
+  '[`*]', '', 'g'),
+  '[\s\x{A0}]+', ' ', 'g')) AS preview FROM b""")
 def x9_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.concat(F.lit("# Title\n[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c\n```\ncode\n```\n- **item** `x`\n"), F.substring("html", 1, 2000))
+    m = F.concat(F.lit("# Title\n[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c\n```\ncode\n```\n- **item** `x`\n"), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", X.preview(m).alias("preview"))
 
 

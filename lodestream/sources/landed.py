@@ -8,7 +8,6 @@ Only the cut of a balanced object out of script text is Python, in Arrow batches
 
 from __future__ import annotations
 
-import html
 import json
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.functions import scalars as X
+from lodestream.functions.markup import unescaped
 from lodestream.operators.snapshots import WINDOW_OF_PERIOD
 from lodestream.operators.windows import first_per, ranked
 
@@ -48,13 +48,8 @@ def _items(df: DataFrame, source: Column | str, external_id: Column, name: Colum
     return df.select(source.alias("source"), external_id.alias("external_id"), name.alias("name"), url.alias("url"), rank.cast("long").alias("source_rank"), description.alias("description"), metadata.alias("metadata"))
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
-
-
 def _plain(markup: Column) -> Column:
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(_text(markup), "<[^>]+>", " ")), r"\s+", " "))
+    return X.stripped_html(_text(markup))
 
 
 # --- repositories ---------------------------------------------------------------------------------------------------
