@@ -100,14 +100,14 @@ def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     Rows that share id and text are told apart by number, so each meets its own copies.
     """
     source = options.get("source_col", "source")
-    key, copies, total, nth, own, k = free_names(df, "_key", "_copies", "_rows", "_nth", "_own", "_k")
+    key, other, copies, total, nth, own, k = free_names(df, "_key", "_other", "_copies", "_rows", "_nth", "_own", "_k")
     # A struct, so that null ids and sources are values like any other.
-    keyed = lambda i, h, s: F.struct(F.col(i).alias("i"), h.alias("h"), F.col(s).alias("s")).alias(key)
+    keyed = lambda i, h, s: F.struct(F.col(i).alias("i"), h.alias("h"), F.col(s).alias("s"))
     plan = mix(df, id_col=id_col, text_col=text_col, **options)
-    plan = plan.groupBy(keyed(id_col, F.col("row_hash"), "source")).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(total))
-    rows = df.select("*", keyed(id_col, F.xxhash64(F.col(text_col)), source)).join(plan.filter(F.col(copies) > 0), key)
+    plan = plan.groupBy(keyed(id_col, F.col("row_hash"), "source").alias(other)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(total))
+    rows = df.select("*", keyed(id_col, F.xxhash64(F.col(text_col)), source).alias(key)).join(plan.filter(F.col(copies) > 0), F.col(key) == F.col(other))
     # Equal rows share their group's copies: each takes an equal part, and the first ones the rest.
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(F.lit(0))))  # by the plan's key, whose type the join deals by
     share = F.floor(F.col(copies) / F.col(total)) + F.when(F.col(nth) <= F.col(copies) % F.col(total), 1).otherwise(0)
     rows = rows.withColumn(own, share.cast("int")).filter(F.col(own) > 0)
     return rows.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -211,9 +211,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     Components are told apart by their own name and not by component_id, which unrelated ones share where ids are null or repeated.
     """
-    key, nth = free_names(df, "_key", "_nth")
+    key, other, nth = free_names(df, "_key", "_other", "_nth")
     found = near_duplicates(df, id_col, text_col, words)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias(key))
-    rows = df.select("*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias(key)).join(kept.select(key).distinct(), key)
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias(other)).select(other).distinct()
+    rows = df.select("*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias(key)).join(kept, F.col(key) == F.col(other))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(F.lit(0))))  # by the kept rows' key, whose type the join deals by
     return rows.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
