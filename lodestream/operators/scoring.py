@@ -109,16 +109,26 @@ def checked_claims(claims: DataFrame, refs: DataFrame, axes: tuple[str, ...]) ->
     return claims.join(unknown, "claim_id", "left").select("claim_id", error.alias("error"))
 
 
-def preflight(readme_chars: Column, context_chars: Column, evidence: Column, families: Column, key: Column) -> dict[str, Column]:
-    """How much is known for each axis, and how the candidate is to be scored."""
+#: Characters of a rich readme, and how much attributable evidence lets a candidate be scored at once.
+RICH_README, ENOUGH_EVIDENCE = 180, 2
+
+
+def preflight(readme_chars: Column, context_chars: Column, evidence: Column, families: Column, key: Column, open_matters: Column | None = None) -> dict[str, Column]:
+    """How much is known for each axis, and how the candidate is to be scored.
+
+    ``open_matters`` says whether evidence was left out or momentum is to be verified: then nothing is scored at once.
+    """
     repo = key.startswith("github:")
     resolved = key.rlike("^(github|domain|npm):")
-    rich = repo & (readme_chars >= 800)
+    rich = repo & (readme_chars >= RICH_README)
+    ready = resolved & rich & (evidence >= ENOUGH_EVIDENCE)
+    if open_matters is not None:
+        ready &= ~F.coalesce(open_matters, F.lit(False))
     return {
         "identity": F.when(resolved, "strong").when((key != "") | (evidence > 0), "medium").otherwise("weak"),
         "workflow_shift": F.when(rich, "strong").when(context_chars > 0, "medium").otherwise("weak"),
         "technical_substance": F.when(rich, "strong").when(repo, "medium").otherwise("weak"),
         "product_market_fit": F.when((context_chars > 0) | (evidence > 0), "medium").otherwise("weak"),
         "momentum": F.when(families >= 3, "strong").when((families > 0) | (evidence > 0), "medium").otherwise("weak"),
-        "mode": F.when((key == "") & (evidence == 0) & (readme_chars == 0), "cannot_score").when(resolved & rich & (evidence >= 2), "score_from_context").otherwise("investigate"),
+        "mode": F.when((key == "") & (evidence == 0) & (readme_chars == 0), "cannot_score").when(ready, "score_from_context").otherwise("investigate"),
     }

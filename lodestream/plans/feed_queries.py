@@ -321,11 +321,11 @@ def l5_claim_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.checked_claims(claims, docs.select(F.concat(F.lit("doc:"), d.cast("string")).alias("ref")), ("momentum", "workflow_shift"))
 
 
-@query(with_sql(ITEMS_SQL, then="""SELECT entity_key, CASE WHEN resolved THEN 'strong' ELSE 'medium' END AS identity, CASE WHEN rich THEN 'strong' WHEN ctx > 0 THEN 'medium' ELSE 'weak' END AS workflow_shift, CASE WHEN rich THEN 'strong' WHEN repo THEN 'medium' ELSE 'weak' END AS technical_substance, CASE WHEN fam >= 3 THEN 'strong' ELSE 'medium' END AS momentum, CASE WHEN resolved AND rich AND n >= 2 THEN 'score_from_context' ELSE 'investigate' END AS mode
-FROM (SELECT entity_key, starts_with(entity_key, 'github:') AS repo, NOT starts_with(entity_key, 'name:') AS resolved, starts_with(entity_key, 'github:') AND max(metric) >= 800 AS rich, max(k) AS ctx, count(DISTINCT family) AS fam, count(*) AS n FROM items GROUP BY entity_key)"""))
+@query(with_sql(ITEMS_SQL, then="""SELECT entity_key, CASE WHEN resolved THEN 'strong' ELSE 'medium' END AS identity, CASE WHEN rich THEN 'strong' WHEN ctx > 0 THEN 'medium' ELSE 'weak' END AS workflow_shift, CASE WHEN rich THEN 'strong' WHEN repo THEN 'medium' ELSE 'weak' END AS technical_substance, CASE WHEN fam >= 3 THEN 'strong' ELSE 'medium' END AS momentum, CASE WHEN resolved AND rich AND n >= 2 AND n % 3 > 0 THEN 'score_from_context' ELSE 'investigate' END AS mode
+FROM (SELECT entity_key, starts_with(entity_key, 'github:') AS repo, NOT starts_with(entity_key, 'name:') AS resolved, starts_with(entity_key, 'github:') AND max(metric) >= 180 AS rich, max(k) AS ctx, count(DISTINCT family) AS fam, count(*) AS n FROM items GROUP BY entity_key)"""))
 def l1_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = items(spark, sf_dir).groupBy("entity_key").agg(F.max("metric").alias("readme"), F.max("k").alias("ctx"), F.count_distinct("family").alias("fam"), F.count(F.lit(1)).alias("n"))
-    known = L.preflight(F.col("readme"), F.col("ctx"), F.col("n"), F.col("fam"), F.col("entity_key"))
+    known = L.preflight(F.col("readme"), F.col("ctx"), F.col("n"), F.col("fam"), F.col("entity_key"), open_matters=F.col("n") % 3 == 0)
     return e.select("entity_key", *[known[c].alias(c) for c in ("identity", "workflow_shift", "technical_substance", "momentum", "mode")])
 
 
