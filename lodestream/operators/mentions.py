@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.scalars import name_key
+
 #: What a classifier may answer.
 PROJECTNESS = ("project", "package", "news_article", "topic_discussion", "research_paper", "unknown")
 TIERS, CONFIDENCES = ("none", "watch", "potential", "high"), ("linked", "exact_handle", "fuzzy_name")
@@ -204,3 +206,28 @@ def download_signals(jobs: DataFrame, responses: DataFrame) -> tuple[DataFrame,
     evidence = good.select("entity_key", "package", F.inline(F.filter(metrics, lambda m: m["metric_value"].isNotNull())))
     aliases = good.filter("repo is not null").select("entity_key", F.col("repo").alias("alias")).distinct()
     return evidence, aliases, states
+
+
+def mentioned(posts: DataFrame) -> DataFrame:
+    """post_id, entity_key, entity_name, entity_confidence: what each post that deserves a closer look speaks of.
+
+    posts: post_id, ord (a total order of the posts), closer_look, refs (array of struct entity_key, entity_name,
+    entity_confidence), names (array of product names). A post's own references count. One without any speaks of its
+    names: of the first linked reference, in order of posts, references and names, that goes with an equal name, else of
+    the name itself. Names without a key are dropped. The first reference of a name is a minimum that combines before the
+    shuffle, so no task holds a name.
+    """
+    looked = posts.filter(F.coalesce("closer_look", F.lit(False))).select("post_id", "ord", "refs", "names")
+    own = looked.select("post_id", F.explode("refs").alias("r")).select("post_id", "r.entity_key", "r.entity_name", "r.entity_confidence")
+    refs = looked.select("ord", "names", F.posexplode("refs").alias("at", "r")).filter(F.col("r.entity_confidence").isin(*CONFIDENCES[:2]))
+    known = refs.select("ord", "at", "r", F.posexplode(F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array("r.entity_name"))).alias("nth", "name"))
+    known = known.withColumn("key", name_key(F.col("name"))).filter("key is not null")
+    known = known.groupBy("key").agg(F.min_by("r", F.struct("ord", "at", "nth")).alias("linked"))
+    bare = looked.filter(F.coalesce(F.size("refs"), F.lit(0)) <= 0).select("post_id", F.explode("names").alias("name")).withColumn("key", name_key(F.col("name"))).filter("key is not null")
+    named = bare.join(known, "key", "left").select(
+        "post_id",
+        F.coalesce("linked.entity_key", "key").alias("entity_key"),
+        F.when(F.col("linked").isNotNull(), F.col("linked.entity_name")).otherwise(F.col("name")).alias("entity_name"),
+        F.coalesce("linked.entity_confidence", F.lit(CONFIDENCES[2])).alias("entity_confidence"),
+    )
+    return own.unionByName(named)

@@ -111,6 +111,25 @@ def in_range(metric: Column, window: Column, wanted: str) -> Column:
     return (window == wanted) if wanted in WINDOW_ORDER else F.coalesce(metric.try_cast("double"), F.lit(0.0)) > 0
 
 
+def channel_view(rows: DataFrame, column: str, kind: str, descending: bool, keys: list[str], native: list[str], name: str, last: str, label: str = "place") -> DataFrame:
+    """``rows`` with their place in each channel's view: sorted by a chosen column and direction, ties by native rank, name, ``last``.
+
+    kind is what the column holds: "name" (in lower case), "time" (none is the epoch) or "number" (numbers before other
+    text, which sorts in lower case). The native rank is the first of the given ranks that there is, else 999,999.
+    """
+    value = F.col(column)
+    if kind == "time":
+        sort = [F.coalesce(value.cast("string").try_cast("timestamp"), F.lit(0).cast("timestamp"))]
+    elif kind == "number":
+        number = value.cast("string").try_cast("double")
+        sort = [number.isNull(), F.coalesce(number, F.lit(0.0)), F.lower(F.coalesce(value.cast("string"), F.lit("")))]
+    else:
+        sort = [F.lower(F.coalesce(value.cast("string"), F.lit("")))]
+    chosen = [c.desc() if descending else c.asc() for c in sort]
+    rank = F.coalesce(*[F.col(c).cast("long") for c in native], F.lit(999_999))
+    return spread_ranked(rows, label, keys, [*chosen, rank.asc(), F.lower(F.coalesce(name, F.lit(""))).asc(), F.col(last).asc()])
+
+
 def append_snapshot(batch: DataFrame, path: str) -> None:
     """Items of a run, the first of each (source, external_id), added to the folder by source and run. batch: source, run_id, external_id, ord, ..."""
     first_of_batch(batch, ["source", "run_id", "external_id"], [F.col("ord").asc()]).write.mode("append").partitionBy("source", "run_id").parquet(path)

@@ -522,3 +522,47 @@ def v6_coverage_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     cases = d.filter(i % 3 == 0).select(F.concat_ws("-", "source", _s(i % 50)).alias("name"), F.when(i % 20 != 0, "x").alias("input"), F.when(i % 30 != 1, "y").alias("expected"))
     return V.coverage_problems(cases, d.select(F.concat_ws("-", "source", _s(i % 60)).alias("name")))
+
+
+# --- channel views and linked names ---------------------------------------------------------------------------------
+
+_VIEW_SQL = """v AS (SELECT group_id, segment, canonical_name, momentum, CASE WHEN group_id % 3 > 0 THEN CAST(momentum AS VARCHAR) ELSE 'N' || (group_id % 5) END AS mixed,
+  CASE WHEN group_id % 4 > 0 THEN date '2024-01-01' + CAST(group_id % 50 AS INTEGER) END AS seen, coalesce(CASE WHEN group_id % 5 > 0 THEN group_id % 7 END, CASE WHEN group_id % 2 = 0 THEN group_id % 11 END, 999999) AS native FROM groups)"""
+
+
+@query(with_sql(GROUPS_SQL, _VIEW_SQL, then="""SELECT group_id,
+  row_number() OVER (PARTITION BY segment ORDER BY lower(canonical_name) DESC, native, group_id) AS by_name,
+  row_number() OVER (PARTITION BY segment ORDER BY coalesce(seen, date '1970-01-01'), native, lower(canonical_name), group_id) AS by_time,
+  row_number() OVER (PARTITION BY segment ORDER BY TRY_CAST(mixed AS DOUBLE) IS NULL DESC, coalesce(TRY_CAST(mixed AS DOUBLE), 0) DESC, lower(mixed) DESC, native, lower(canonical_name), group_id) AS by_number
+FROM v"""))
+def w6_chosen_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three views of the same rows: by name down, by time up, by a number down."""
+    g = F.col("group_id")
+    rows = groups(spark, sf_dir).select(
+        "group_id",
+        "segment",
+        "canonical_name",
+        F.when(g % 3 > 0, _s("momentum")).otherwise(_cat("N", _s(g % 5))).alias("mixed"),
+        F.when(g % 4 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (g % 50).cast("int"))).alias("seen"),
+        F.when(g % 5 > 0, g % 7).alias("window_rank"),
+        F.when(g % 2 == 0, g % 11).alias("source_rank"),
+    )
+    for label, column, kind, descending in (("by_name", "canonical_name", "name", True), ("by_time", "seen", "time", False), ("by_number", "mixed", "number", True)):
+        rows = S.channel_view(rows, column, kind, descending, ["segment"], ["window_rank", "source_rank"], "canonical_name", "group_id", label)
+    return rows.select("group_id", "by_name", "by_time", "by_number")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_size % 7 > 0 AS look, lower(p_type) AS name, CASE p_partkey % 4 WHEN 0 THEN 'linked' WHEN 1 THEN 'exact_handle' WHEN 2 THEN 'fuzzy_name' END AS confidence FROM part),
+k AS (SELECT *, CASE WHEN length(name) >= 6 THEN 'name:' || regexp_replace(name, '[^a-z0-9]+', '-', 'g') END AS key FROM p WHERE look),
+f AS (SELECT key, min(id) AS first FROM k WHERE confidence IN ('linked', 'exact_handle') AND key IS NOT NULL GROUP BY key)
+SELECT id AS post_id, 'github:own/r' || id AS entity_key, 'Tool of ' || id AS entity_name, confidence AS entity_confidence FROM k WHERE confidence IS NOT NULL
+UNION ALL
+SELECT id, CASE WHEN first IS NULL THEN key ELSE 'github:own/r' || first END, CASE WHEN first IS NULL THEN name ELSE 'Tool of ' || first END,
+  CASE WHEN first IS NULL THEN 'fuzzy_name' WHEN first % 4 = 0 THEN 'linked' ELSE 'exact_handle' END FROM k LEFT JOIN f USING (key) WHERE confidence IS NULL AND key IS NOT NULL""")
+def j13_first_linked_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as posts: three in four have a reference of their own, the others a product name alone."""
+    k = F.col("p_partkey")
+    confidence = F.when(k % 4 == 0, "linked").when(k % 4 == 1, "exact_handle").otherwise("fuzzy_name")
+    ref = F.struct(_cat("github:own/r", _s(k)).alias("entity_key"), _cat("Tool of ", _s(k)).alias("entity_name"), confidence.alias("entity_confidence"))
+    posts = table(spark, sf_dir, "part").select(k.alias("post_id"), k.alias("ord"), (F.col("p_size") % 7 > 0).alias("closer_look"), F.when(k % 4 < 3, F.array(ref)).alias("refs"), F.array(F.lower("p_type")).alias("names"))
+    return M.mentioned(posts)

@@ -52,3 +52,46 @@ def test_requests_tell_nulls_and_order(spark):
     df = spark.createDataFrame([(1, None, "b"), (2, "b", None), (3, "b", None)], "id int, y string, x string")
     one, two, three = A.requests(df, "id", ["y", "x"]).orderBy("id").collect()
     assert one.request == '{"x":"b","y":null}' and two.content_hash == three.content_hash != one.content_hash
+
+
+def test_a_post_without_references_takes_the_first_linked_one_of_its_name(spark):
+    from lodestream.operators import mentions as M
+
+    ref = "array<struct<entity_key string, entity_name string, entity_confidence string>>"
+    rows = [
+        (1, 1, True, [("github:a/a", "Other", "fuzzy_name")], ["My Tool"]),  # not linked, so it lends nothing
+        (2, 2, False, [("github:b/b", "Other", "linked")], ["My Tool"]),  # not looked at
+        (3, 4, True, [("github:c/c", "My Tool", "linked")], []),
+        (4, 3, True, [("github:x/x", "Other", "fuzzy_name"), ("github:d/d", "Thing", "exact_handle")], ["my-tool"]),  # before 3 in order
+        (5, 5, True, [], ["MY TOOL", "agent", "Lonely One"]),
+        (6, 6, True, None, ["my tool"]),
+        (7, 7, None, None, ["my tool"]),
+        (8, 8, True, None, None),
+    ]
+    posts = spark.createDataFrame(rows, f"post_id int, ord int, closer_look boolean, refs {ref}, names array<string>")
+    got = {(r.post_id, r.entity_key, r.entity_name, r.entity_confidence) for r in M.mentioned(posts).collect()}
+    assert got == {
+        (1, "github:a/a", "Other", "fuzzy_name"),
+        (3, "github:c/c", "My Tool", "linked"),
+        (4, "github:x/x", "Other", "fuzzy_name"),
+        (4, "github:d/d", "Thing", "exact_handle"),
+        (5, "github:d/d", "Thing", "exact_handle"),
+        (5, "name:lonely-one", "Lonely One", "fuzzy_name"),
+        (6, "github:d/d", "Thing", "exact_handle"),
+    }
+
+
+def test_a_channel_view_sorts_numbers_texts_and_times(spark):
+    from lodestream.operators import snapshots as S
+
+    rows = [(1, "c", "10", 5, "b", None), (2, "c", "9", 5, "a", "2024-02-01"), (3, "c", None, 1, "z", "bad"), (4, "c", "x", None, "y", "2024-01-01"), (5, "c", "9", 5, "A", None), (6, "d", "1", 1, "q", None)]
+    items = spark.createDataFrame(rows, "id int, channel string, v string, rank int, name string, at string")
+
+    def order(column, kind, descending):
+        found = S.channel_view(items, column, kind, descending, ["channel"], ["rank"], "name", "id").filter("channel = 'c'")
+        return [r.id for r in found.orderBy("place").collect()]
+
+    assert order("v", "number", False) == [2, 5, 1, 3, 4]
+    assert order("v", "number", True) == [4, 3, 1, 2, 5]
+    assert order("at", "time", False) == [3, 5, 1, 4, 2]
+    assert order("name", "name", False) == [2, 5, 1, 4, 3]
