@@ -20,12 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: A node in more than one in HOT of all edges is hot; there are fewer than twice HOT of them.
+HOT = 1000
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of each u. The hot u meet theirs by a broadcast, the others by a shuffle."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = least.filter(F.col("n") * HOT > total).select("u", F.col("m").alias("hot"))
+    dealt = edges.join(F.broadcast(hot), "u", "left")
+    cold = dealt.filter("hot is null").select("u", "v").join(least.filter(F.col("n") * HOT <= total).select("u", "m"), "u")
+    return dealt.filter("hot is not null").select("u", "v", F.col("hot").alias("m")).union(cold.select("u", "v", "m"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for every node that has an edge to another; component is the least node reachable.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014). A round is two grouped minima, which
-    combine before the shuffle, and two joins of edge rows; each round is written to the shared folder, so the
-    lineage stays one round long. Ends when a round changes nothing. Null ends and self loops are ignored.
+    combine before the shuffle, and the joins that bring them back to the edges, where no task holds the edges of a
+    hub; each round is written to the shared folder, so the lineage stays one round long. Ends when a round changes
+    nothing. Null ends and self loops are ignored.
     """
     spark = edges.sparkSession
     folder = f"{shared_folder(spark)}/lodestream/components-{uuid.uuid4().hex}"
@@ -41,8 +55,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         state, k = seen, k + 1
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(both, seen["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, seen["n"])
+        # each lesser neighbour, and the node itself, comes under the least one
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = small.filter("u != v").distinct()
