@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.shipping import ship
 
-from . import ann, bpe, chat, fingerprints, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, chat, exactdedup, fingerprints, mixing, pii, simhash, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,14 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return exactdedup.deduplicated(spark, f"{sf_dir}/documents.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files, op10_neighbours)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files, op10_neighbours, op11_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
+    return {"op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_exact_dedup": exactdedup.ORACLE_SQL}
