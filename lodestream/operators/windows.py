@@ -34,11 +34,12 @@ def ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> Da
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> DataFrame:
+def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column], total: str | None = None) -> DataFrame:
     """``ranked`` for few keys with many rows each: no task holds a key.
 
     Rows are dealt by ranges of (keys, order), sorted and numbered within their part, and written once, so that the
-    numbers stay; what a key has in earlier parts comes from one row a part and key.
+    numbers stay; what a key has in earlier parts comes from one row a part and key, and so does ``total``, the number
+    of its rows, where that is asked for.
     """
     spark, key = df.sparkSession, F.struct(*keys) if keys else F.lit(0)
     sort = [*[F.col(k).asc() for k in keys], *order]
@@ -47,9 +48,12 @@ def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
     parts = rows.groupBy("_key", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_key", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
-    return rows.join(parts, ["_key", "_part"]).withColumn(name, (F.col("_at") + F.col("_base")).cast("long")).select(*df.columns, name)
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base")
+    parts = parts.select("_key", "_part", base, F.sum("_n").over(whole).alias("_total"))
+    found = rows.join(parts, ["_key", "_part"]).withColumn(name, (F.col("_at") + F.col("_base")).cast("long"))
+    return found.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
 
 
 def fitted(rows: Column, budget: int) -> Column:
