@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.shipping import ship
 
-from . import ann, bpe, chat, exactdedup, fingerprints, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, chat, exactdedup, fingerprints, merkle, mixing, pii, simhash, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,13 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.deduplicated(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files, op10_neighbours, op11_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files, op10_neighbours, op11_exact_dedup, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_exact_dedup": exactdedup.ORACLE_SQL}
+    return {"op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_exact_dedup": exactdedup.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
