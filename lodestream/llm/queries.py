@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestream.shipping import ship
 
-from . import ann, bpe, chat, exactdedup, fingerprints, merkle, mixing, pii, simhash, tokenfile, toxicity, warc
+from . import ann, bpe, chat, clustering, exactdedup, fingerprints, merkle, mixing, pii, simhash, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,20 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(_table(spark, sf_dir, "documents"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files, op10_neighbours, op11_exact_dedup, op12_merkle)}
+    found = (
+        op1_bpe, op2_toxicity, op3_fingerprints, op4_chat, op5_warc, op6_mixing, op7_simhash, op8_pii, op9_token_files,
+        op10_neighbours, op11_exact_dedup, op12_merkle, op13_clustering,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_exact_dedup": exactdedup.ORACLE_SQL, "op12_merkle": merkle.ORACLE_SQL}
+    return {
+        "op4_chat": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op11_exact_dedup": exactdedup.ORACLE_SQL,
+        "op12_merkle": merkle.ORACLE_SQL, "op13_clustering": clustering.ORACLE_SQL,
+    }
