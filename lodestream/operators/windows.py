@@ -34,16 +34,20 @@ def ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> Da
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column], total: str | None = None) -> DataFrame:
+def spread_ranked(
+    df: DataFrame, name: str, keys: list[str], order: list[Column], total: str | None = None, part: str | None = None, deal: list[Column] | None = None
+) -> DataFrame:
     """``ranked`` for few keys with many rows each: no task holds a key.
 
     Rows are dealt by ranges of (keys, order), sorted and numbered within their part, and written once, so that the
     numbers stay; what a key has in earlier parts comes from one row a part and key, and so does ``total``, the number
-    of its rows, where that is asked for.
+    of its rows, where that is asked for. ``part`` names a column for the number of a row's part, parts being in order.
+    Where the order has long values, ``deal`` gives shorter ones to deal by that agree with it (the beginnings of texts).
     """
     spark, key = df.sparkSession, F.struct(*keys) if keys else F.lit(0)
-    sort = [*[F.col(k).asc() for k in keys], *order]
-    rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key)
+    first = [F.col(k).asc() for k in keys]
+    rows = df.repartitionByRange(*first, *(deal or order)).sortWithinPartitions(*first, *order)
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key)
     path = f"{shared_folder(spark)}/lodestream/ranked-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
@@ -53,7 +57,8 @@ def spread_ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]
     base = (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base")
     parts = parts.select("_key", "_part", base, F.sum("_n").over(whole).alias("_total"))
     found = rows.join(parts, ["_key", "_part"]).withColumn(name, (F.col("_at") + F.col("_base")).cast("long"))
-    return found.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
+    more = [F.col(c).alias(n) for c, n in (("_total", total), ("_part", part)) if n]
+    return found.select(*df.columns, name, *more)
 
 
 def fitted(rows: Column, budget: int) -> Column:
