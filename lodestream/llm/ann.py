@@ -48,6 +48,18 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("vec") == (common[0]["n"] if common else 0))
 
 
+def _norm(vec: str) -> Column:
+    """A vector's Euclidean norm in double precision, by its greatest component, so that no square overflows or vanishes."""
+    x = F.transform(vec, lambda v: F.abs(v.cast("double")))
+    most = F.array_max(x)
+    return most * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v / most) * (v / most)))
+
+
+def _power(x: np.ndarray) -> float:
+    """A power of two that brings the greatest component to between 0.5 and 1; products with it are exact."""
+    return float(np.ldexp(1.0, -min(max(int(np.frexp(np.abs(x).max())[1]), -1000), 1000)))
+
+
 def probe_sets(hashes: int, count: int) -> list[tuple[int, ...]]:
     """Sets of places in the order of distance to the 2 * hashes slot edges, by their expected score, the empty set first.
 
@@ -97,6 +109,7 @@ class Hashing:
 
     def of_queries(self, q: np.ndarray) -> np.ndarray:
         """(queries, tables * probes) codes, in visiting order within a table."""
+        q = q / np.abs(q).max(1, keepdims=True)
         q = np.column_stack((q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros(len(q))))
         out = []
         for t in range(len(self.a)):
@@ -169,14 +182,16 @@ def search_cells(rows: DataFrame, k: int, own: bool = True) -> DataFrame:
                     bucket = np.concatenate([p[0] for p in parts])
                     order = np.argsort(bucket, kind="stable")
                     matrix = np.concatenate([p[2] for p in parts])[order]
-                    longest = float(np.sqrt((matrix * matrix).sum(1).max()))
-                    index = bucket[order], np.concatenate([p[1] for p in parts])[order], matrix, matrix.astype(np.float32), longest
+                    scaled = matrix * _power(matrix)
+                    longest = float(np.sqrt((scaled * scaled).sum(1).max()))
+                    index = bucket[order], np.concatenate([p[1] for p in parts])[order], matrix, scaled.astype(np.float32), longest
                     parts = parts[:1]
                 bucket, members, matrix, light, longest = index
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for r in range(a, z):
                     if (r - a) % QUERY_ROWS == 0:  # one product for a block of queries; a query's buckets then pick from its row
-                        block = vec[r : min(z, r + QUERY_ROWS)].astype(np.float32) @ light.T
+                        asked = np.array([q * _power(q) for q in vec[r : min(z, r + QUERY_ROWS)]])
+                        block = asked.astype(np.float32) @ light.T
                     visits = flat[ends[r] : ends[r + 1]]
                     if len(visits):
                         lo = np.searchsorted(bucket, visits, "left")
@@ -187,7 +202,8 @@ def search_cells(rows: DataFrame, k: int, own: bool = True) -> DataFrame:
                         at = at[members[at] != ids[r]]
                     if not len(at):
                         continue
-                    slack = 1e-5 * longest * float(np.sqrt(vec[r] @ vec[r]))
+                    own_q = asked[(r - a) % QUERY_ROWS]
+                    slack = 1e-5 * longest * float(np.sqrt(own_q @ own_q))
                     near, score = _nearest(block[(r - a) % QUERY_ROWS, at], slack, matrix, members, at, vec[r], k)
                     out.append((np.full(len(near), ids[r]), members[near], score))
                 if out:
@@ -206,7 +222,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``is_query`` holds (of ``id``), its own id aside."""
     spark = df.sparkSession
     rows = valid_vectors(df, id_col, vector_col)
-    about = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
+    about = rows.agg(F.count(F.lit(1)).alias("n"), F.max(_norm("vec")).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
     n = about["n"]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -291,7 +307,7 @@ def _part_code(code: int, piece: np.ndarray) -> np.ndarray:
 def rows_met(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """query_id, met: the rows in the buckets that a query visits, a row counted once a table: what the probes leave to compare."""
     rows = valid_vectors(df, id_col, vector_col)
-    about = rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
+    about = rows.agg(F.max(_norm("vec")).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
     table = df.sparkSession.sparkContext.broadcast(Hashing(about["dim"] or 1, about["norm"] or 1.0, tables, hashes, probes, width, seed))
 
     def codes(of: str):

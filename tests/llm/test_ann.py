@@ -94,3 +94,34 @@ def test_probes_leave_few_rows_where_the_data_have_structure(spark):
     assert len(best & found) >= 0.9 * len(best)
     met = [r.met for r in ann.rows_met(df, asked, **pruning).collect()]
     assert len(met) == 40 and sum(met) / len(met) < 0.1 * 4000 * 6
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1e19, 1e21, 3e38])
+def test_any_finite_size(spark, scale):
+    """Squares beyond or below single precision lose no neighbour, and scores are those of double precision."""
+    v = (np.random.default_rng(5).uniform(-1, 1, (300, 16)) * scale).astype(np.float32)
+    rows = list(enumerate(v.tolist()))
+    df = spark.createDataFrame([(*r, 0, "a", "b", 1) for r in rows], SCHEMA)
+    want = brute(rows, lambda i: i % 20 == 0, 10)
+    for found, least in ((ann.exact(df, F.col("id") % 20 == 0, 10), 1.0), (ann.nearest(df, F.col("id") % 20 == 0, 10), 0.9)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got.keys() == want.keys()
+        hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want)
+        assert hits >= least * sum(map(len, want.values()))
+        for q, near in got.items():
+            assert all(abs(s - float(v[q].astype(np.float64) @ v[j].astype(np.float64))) <= 1e-12 * scale * scale * 16 for j, s in near)
+    met = ann.rows_met(df, F.col("id") % 20 == 0).agg(F.min("met")).first()[0]
+    assert met > 0
+
+
+def test_doubles_of_very_different_sizes(spark):
+    rows = [(i, [float(x) * 10.0 ** (i % 7 * 40 - 120) for x in np.random.default_rng(i).uniform(-1, 1, 8)]) for i in range(120)]
+    df = spark.createDataFrame([(*r, 0, "a", "b", 1) for r in rows], SCHEMA.replace("float", "double"))
+    want = brute(rows, lambda i: i % 20 == 0, 5)
+    for found in (ann.exact(df, F.col("id") % 20 == 0, 5), ann.nearest(df, F.col("id") % 20 == 0, 5)):
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: [j for j, _ in near] for q, near in want.items()}
