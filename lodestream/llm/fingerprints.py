@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from ._shared import admitted, key_bitmap, written
 
 
+#: Characters of a text that tell which of a range of equal ids it belongs to.
+BEGINNING = 64
+
+
 def canonical(text: str) -> bytes:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
@@ -118,7 +122,9 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     spec = _PAIR.format(id=id_col, kind=df.schema[id_col].dataType.simpleString())
     arrow = to_arrow_schema(_parse_datatype_string(spec))
-    ordered = df.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.coalesce(F.col(text_col), F.lit("")))
+    first, text = F.col(id_col).asc_nulls_first(), F.coalesce(F.col(text_col), F.lit(""))
+    # the beginning of the text spreads the rows of one id, and keeps the order
+    ordered = df.select(id_col, text_col).repartitionByRange(first, F.substring(text, 1, BEGINNING)).sortWithinPartitions(first, text)
     ordered = ordered.select(id_col, text_col, F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -235,7 +235,9 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
         if held:
             yield shard()
 
-    ordered = df.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    first, text = F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()
+    # the beginning of the text spreads the rows of one id, and keeps the order
+    ordered = df.select(id_col, text_col).repartitionByRange(first, F.substring(text_col, 1, 64).asc_nulls_first()).sortWithinPartitions(first, text)
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from lodestream.llm import fingerprints as fp
 from lodestream.llm.queries import op3_fingerprints
 
@@ -54,3 +56,13 @@ def test_different_bytes_in_one_bucket_are_told_apart(spark):
     rows = spark.createDataFrame([(b"h1", b"s1"), (b"h2", b"s2"), (b"h2", b"s3")], "d binary, s binary")
     got = [r.d for r in fp.named("d", "s", mixed, rows).collect()]
     assert len(set(got)) == 3 and b"h1".hex() in got
+
+
+def test_a_hot_id_spreads_over_parts(spark):
+    """A third of all rows under one id, and more without one, are dealt by the beginnings of their texts, in order."""
+    docs = [(7, f"{k:05} hot") for k in range(1000)] + [(None, f"{k:04} none") for k in range(500)] + [(k, f"text {k}") for k in range(8, 1500)]
+    df = spark.createDataFrame([(i, t, "h", "f", 0) for i, t in docs], SCHEMA).repartition(6)
+    check(fp.compared(df).collect(), docs)
+    first, text = F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit(""))
+    sizes = df.repartitionByRange(8, first, F.substring(text, 1, fp.BEGINNING)).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1000
