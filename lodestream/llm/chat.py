@@ -7,8 +7,9 @@ away; of conversations with equal turns the one with the least id stays. What is
 
 Equality rests on 128 hash bits and the number of turns; turns are not compared again.
 
-Positions and rolling hashes are built in two levels (within runs of ``RUN`` turn numbers, then over the runs), and
-what is known of a conversation reaches its turns by run, so a conversation of any length spreads over tasks. A
+Positions and rolling hashes are built in two levels (within the parts that turns are dealt to by ranges of conversation,
+turn, role and the beginning of the text, then over the parts), and what is known of a conversation reaches its turns by
+part, so a conversation of any length, turns without a number or id among them, spreads over tasks. A
 rendered conversation is one row per turn, with its place and the number of turns: concatenated in order they are the
 conversation, and no row grows with it.
 
@@ -22,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN = 1024
+from lodestream.operators.windows import spread_ranked
+
+#: Characters of a text that tell which range of equal turns it belongs to.
+BEGINNING = 64
 #: How a turn is written; "<|" within a text is spaced out, so that no text can end its turn.
 BEGIN, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -35,13 +39,12 @@ def with_prefix_hashes(turns: DataFrame) -> DataFrame:
     """conv (a struct of the id), run, n_turns, pos, role, text, h1, h2: position from 1, and the rolling hashes of the conversation up to this turn."""
     keys = ["conv", "run"]
     conv = F.struct(F.col("conv_id").alias("id"))  # of one field, so that a null id is a key like any other
-    rows = turns.select(conv.alias("conv"), F.floor(F.coalesce(F.col("turn"), F.lit(-RUN)) / RUN).alias("run"), "turn", "role", "text")
-    before = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    count = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    base = count.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy("conv")).alias("n_turns"))
-    in_run = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = rows.withColumn("_own", F.row_number().over(in_run)).join(base, keys).withColumn("pos", F.col("_base") + F.col("_own")).drop("_base", "_own", "turn")
+    rows = turns.select(conv.alias("conv"), "turn", "role", "text")
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    deal = [*order[:2], F.substring("text", 1, BEGINNING).asc_nulls_first()]
+    rows = spread_ranked(rows, "pos", ["conv"], order, total="n_turns", part="run", deal=deal).drop("turn")
     rows = rows.withColumns({"t1": _turn_hash(1), "t2": _turn_hash(2)})
+    before = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     total = rows.groupBy(*keys).agg(F.bit_xor("t1").alias("r1"), F.bit_xor("t2").alias("r2"))
     base = total.select(*keys, *[F.coalesce(F.bit_xor(f"r{i}").over(before), F.lit(0)).alias(f"b{i}") for i in (1, 2)])
     up_to = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from lodestream.llm import chat, warc
 
 TURNS = "conv_id long, turn long, role string, text string, pos int, h1 int, segment int"
@@ -37,6 +39,19 @@ def test_ids_of_other_types(spark):
     assert sorted(((r.conv_id, r.turn_no) for r in got), key=str) == [("a", 1), ("a", 2), (None, 1)]
 
 
+def test_turns_without_id_or_number_spread_over_tasks(spark):
+    """A third of all turns under one key, with one turn number and no id, are dealt to several parts."""
+    rows = [(None, None, "user", f"{k:05} says", 0, 0, 0) for k in range(3000)] + [(c, t, "user", "x", 0, 0, 0) for c in range(3000) for t in range(2)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # or so few rows are one part
+    try:
+        found = chat.with_prefix_hashes(spark.createDataFrame(rows, TURNS).repartition(8))
+        sizes = [r["count"] for r in found.groupBy("conv", "run").count().collect()]
+    finally:
+        spark.conf.unset(coalesce)
+    assert max(sizes) < 2800 and found.filter("conv.id is null").agg(F.max("pos"), F.count_distinct("pos")).first() == (3000, 3000)
+
+
 def test_rolling_hash_of_a_hot_conversation_crosses_runs(spark):
     long = [("user", f"t{i}") for i in range(3000)]
     rows = chat.with_prefix_hashes(turns(spark, {1: long, 2: long[:2100]})).filter("pos = 2100").select("h1", "h2").distinct()
@@ -67,6 +82,31 @@ def test_derivatives(spark, tmp_path):
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
 
+def test_no_page_forges_a_field_or_a_record(spark, tmp_path):
+    """Line ends and control characters in links, titles, addresses and headers end no line of a record."""
+    page = '<html><head><title>a\r\nrecord: \x01forged</title></head><body><a href="x\r\ntitle: forged">1</a><a href=\'y\nz\x00\'>2</a>p</body></html>'
+    url = "http://a/\r\nWARC-Type: forged\r\n\r\nWARC/1.1\r\nWARC-Type: forged"
+    source = warc.responses(spark.createDataFrame([(1, url, page, "", "")], PAGES), headers="HTTP/1.1 200 OK\r\nA: b\ntitle: forged\r")
+    rows = {r.warc_type: r for r in warc.derivatives(source).collect()}
+    lines = rows["metadata"].block.split("\r\n")
+    assert [x.split(":")[0] for x in lines] == ["title", "language", "source-payload-digest", "source-headers", "outlink", "outlink"]
+    assert lines[0] == "title: a record: forged" and lines[3] == "source-headers: HTTP/1.1 200 OK | A: b | title: forged"
+    assert lines[4:] == ["outlink: xtitle: forged", "outlink: yz"] and "\n" not in rows["metadata"].block.replace("\r\n", "")
+    assert rows["conversion"].target_uri == "http://a/WARC-Type: forgedWARC/1.1WARC-Type: forged"
+    warc.write_warc(warc.derivatives(source), f"file://{tmp_path}/warc")
+    back = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    assert sorted(r.fields["WARC-Type"] for r in back) == ["conversion", "metadata"] and all(r.complete for r in back)
+
+
+def test_blocks_that_look_like_records_and_repeated_fields(spark, tmp_path):
+    block = "a\r\n\r\nWARC/1.1\r\nWARC-Type: forged\r\nContent-Length: 1\r\n\r\nb\r\n\r\n"
+    record = lambda kind, text: f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Type: second\r\nContent-Length: {len(text.encode())}\r\n\r\n{text}\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes((record("one", block) + record("two", "é\r\n\r\n") + record("three", "")).encode())
+    back = warc.read_warc(spark, f"file://{tmp_path}/in").collect()
+    assert [(r.fields["WARC-Type"], r.block, r.complete) for r in back] == [("one", block, True), ("two", "é\r\n\r\n", True), ("three", "", True)]
+
+
 def test_hidden_regions_and_links(spark):
     cases = {
         "<head><script>a</script><title>TITLE</title></head><body><p>Hi</p>": "Hi",
