@@ -67,9 +67,12 @@ def test_rules_at_their_edges(spark):
     assert {r.entity_key: (r.level, r.metric_name) for r in R.launch_rank(rank).collect()} == {"a": ("potential", "daily_rank"), "b": ("watch", "weekly_rank")}
 
 
-def test_components_of_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("many", [100_000, 50])
+def test_components_of_long_paths_and_hubs(spark, monkeypatch, many):
+    from lodestream.operators import components
     from lodestream.operators.components import connected_components
 
+    monkeypatch.setattr(components, "MANY", many)  # so that the hub is hot
     path = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 400)]
     other = [(5000, 5001), (5001, 5000), (7, 7), (None, 3)]
@@ -78,6 +81,28 @@ def test_components_of_long_paths_and_hubs(spark):
     assert got == want
 
 
+def test_components_equal_union_find_on_random_graphs(spark):
+    import random
+
+    from lodestream.operators.components import connected_components
+
+    for seed, (n, m) in enumerate(((200, 150), (400, 420), (60, 300))):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+        assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def test_resolution_is_an_equivalence(spark):
     from lodestream.operators import entities as E
 
