@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder and read back, so that what follows reads it and works nothing out again."""
+    path = f"{shared_folder(df.sparkSession)}/lodestream/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A node is hot if it is in more than one in HOT of all edges, and in more than MANY: there are fewer than twice HOT of them.
 HOT, MANY = 1000, 100_000
 
