@@ -301,3 +301,34 @@ def origin_type(source: Column, family: Column) -> Column:
 
 def provenance_badge(origin: Column) -> Column:
     return F.when(origin == "source_classifier", "LLM classifier").when(origin == "cross_source_rule", "cross-source").when(origin == "deterministic_rule", "rule").otherwise(origin)
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text with the keys of all its objects in order (by UTF-8 bytes), without blanks, whatever its depth; null if it is no JSON.
+
+    A variant keeps the keys of an object sorted, so reading the text into one and writing it out does it. Numbers are in
+    one form: no zeros at the end of a fraction, none after the point of a whole number. Numbers written with an exponent, or of
+    more than 38 digits, are doubles and are written as doubles are.
+    """
+    written = F.to_json(F.try_parse_json(text))
+    whole = r'("(?:[^"\\]|\\.)*")|(?<![\d.])(-?\d+)\.0(?![\dE])'  # strings as they are, or a whole number with a point
+    return F.regexp_replace(written, whole, "$1$2")
+
+
+def content_hash(text: Column) -> Column:
+    """SHA-256 of canonical JSON: one for all ways to write the same content."""
+    return F.sha2(canonical_json(text), 256)
+
+
+def nested(document: Column, path: str) -> Column:
+    """The value at a dotted path of JSON text, as text; null if any step is missing. Names may hold blanks and hyphens."""
+    return F.get_json_object(document, "$" + "".join(f"['{step}']" for step in path.split(".")))
+
+
+def canonical_entity_key(key: Column) -> Column:
+    """name: and term: keys by the slug of their label, as it stands if that leaves nothing; other keys as they are, trimmed."""
+    value = F.trim(F.coalesce(key, F.lit("")))
+    kind = F.lower(F.substring(value, 1, 5))
+    named = name_key(F.substring(value, 6, 1 << 30))
+    term = F.regexp_replace(named, "^name:", "term:")
+    return F.when(kind == "name:", F.coalesce(named, value)).when(kind == "term:", F.coalesce(term, value)).otherwise(value)

@@ -81,3 +81,72 @@ def source_facets(candidates: DataFrame) -> DataFrame:
         label, place = F.when(f == name, shown).otherwise(label), F.when(f == name, i).otherwise(place)
     rows = candidates.select(F.explode(F.array_distinct("families")).alias("family")).filter(~f.isin(*NO_FACETS))
     return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", label.alias("label"), place.alias("place"), "n")
+
+
+#: Tiers in order.
+TIERS = ("none", "watch", "potential", "high")
+
+
+def _tier(name: Column) -> Column:
+    return F.coalesce(*[F.when(name == t, i) for i, t in enumerate(TIERS)])
+
+
+def _told(what: str, expected: Column, got: Column) -> Column:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    return F.concat(F.lit(f"{what} expected "), text(expected), F.lit(" got "), text(got))
+
+
+def story_failures(e, a) -> Column:
+    """What a story's answer misses of its case. e, a: functions from a field's name to a column; null expectations are absent.
+
+    expected: projectness, noise, requires_alias, deterministic_link_type; actual: projectness, noise, has_alias, deterministic_link_type.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.array_compact(F.array(
+        F.when(~e("projectness").eqNullSafe(a("projectness")), _told("projectness", e("projectness"), a("projectness"))),
+        F.when(e("noise").isNotNull() & ~e("noise").eqNullSafe(a("noise")), _told("noise", e("noise"), a("noise"))),
+        F.when(yes(e("requires_alias")) & ~yes(a("has_alias")), "expected deterministic alias link"),
+        F.when((F.coalesce(e("deterministic_link_type"), F.lit("")) != "") & ~e("deterministic_link_type").eqNullSafe(a("deterministic_link_type")), _told("deterministic_link_type", e("deterministic_link_type"), a("deterministic_link_type"))),
+    ))
+
+
+def tier_failures(e, a) -> Column:
+    """What a tier's answer misses. expected: x_tier, max_tier, requires_citations, noise; actual: accepted_x_tier, cited (a count)."""
+    got, given = a("accepted_x_tier"), lambda c: F.coalesce(c, F.lit("")) != ""
+    none = got == "none"
+    return F.array_compact(F.array(
+        F.when(given(e("x_tier")) & (got != e("x_tier")), _told("x_tier", e("x_tier"), got)),
+        F.when(given(e("max_tier")) & (_tier(got) > _tier(e("max_tier"))), F.concat(F.lit("accepted tier "), got, F.lit(" exceeds max_tier "), e("max_tier"))),
+        F.when(F.coalesce(e("requires_citations"), F.lit(False)) & ~none & (a("cited") == 0), "accepted non-none tier without citations"),
+        F.when((e("noise") == True) & ~none, _told("noise", F.lit("none"), got)),  # noqa: E712
+        F.when((e("noise") == False) & e("max_tier").isNull() & none, "expected non-noise x signal"),  # noqa: E712
+    ))
+
+
+def triage_failures(e, a) -> Column:
+    """What a first look misses. expected: noise; actual: closer_look, product_signals (counts)."""
+    return F.array_compact(F.array(
+        F.when((e("noise") == True) & (a("closer_look") != 0), "noise case should not request closer look"),  # noqa: E712
+        F.when((e("noise") == False) & (a("product_signals") == 0), "expected at least one product signal"),  # noqa: E712
+    ))
+
+
+def case_totals(cases: DataFrame, keys: list[str], failures: str = "failures") -> DataFrame:
+    """total, passed, failed for each key: a case without failures has passed."""
+    passed = F.count_if(F.size(failures) == 0)
+    return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), passed.alias("passed"), (F.count(F.lit(1)) - passed).alias("failed"))
+
+
+# --- quantiles that merge -------------------------------------------------------------------------------------------
+
+
+def latency_sketches(calls: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:
+    """keys, n, sketch: a quantile sketch (KLL, a few kilobytes) of each key's values, to be kept a run and merged later."""
+    v = F.col(value).cast("double")
+    return calls.filter(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(v).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """keys, n and a column for each named quantile, of all sketches of a key together; ranks are within about 0.03 of exact."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(name) for name, q in at.items()])

@@ -188,3 +188,35 @@ def backfill_jobs(producers: list[DataFrame], most: int = RULES["backfill"]["max
         rows = p if rows is None else rows.unionByName(p)
     last = rows.groupBy("entity_key", "reason").agg(F.max_by("priority", "_k").alias("priority"))
     return last.orderBy(F.desc("priority"), "entity_key", "reason").limit(most)
+
+
+def edge_watch_refs(promoted: DataFrame, items: DataFrame) -> DataFrame:
+    """entity_key, ref: all items of each entity at level watch, a row a reference, so no row grows with an entity. items: entity_key, item_id."""
+    watched = promoted.filter("level = 'watch'").select("entity_key")
+    refs = items.filter(F.col("item_id").isNotNull()).select("entity_key", F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("ref"))
+    return refs.join(watched, "entity_key", "left_semi")
+
+
+#: What backfilled metrics are safe for, and how their completeness is noted.
+BACKFILL_SAFETY = {"github_stars_24h": "as_of_safe", "github_stars_7d": "as_of_safe", "github_forks_total": "partial_as_of"}
+BACKFILL_NOTES = ("lower_bound_due_to_page_cap", "complete_recent_pages", "repo metadata snapshot")
+
+
+def backfill_evidence(jobs: DataFrame, stars: DataFrame, repos: DataFrame, now: Column) -> DataFrame:
+    """entity_key, metric_name, metric_value (text), historical_safety, note: three rows a job, over landed star events and repository records.
+
+    Star counts of the last day and week include both ends; where a repository's pages were capped they are lower bounds,
+    and say so. jobs: entity_key, repo; stars: repo, at; repos: repo, forks, lower_bound.
+    """
+    at, hours = F.col("at"), lambda h: now - F.expr(f"INTERVAL {h} HOURS")
+    within = lambda h: F.count_if((at >= hours(h)) & (at <= now))
+    recent = stars.filter((at >= hours(168)) & (at <= now)).groupBy("repo").agg(within(24).alias("s24"), within(168).alias("s7"))
+    rows = jobs.join(recent, "repo", "left").join(repos.select("repo", "forks", "lower_bound"), "repo", "left")
+    bound = F.when(F.coalesce("lower_bound", F.lit(False)), BACKFILL_NOTES[0]).otherwise(BACKFILL_NOTES[1])
+    values = (F.coalesce("s24", F.lit(0)), F.coalesce("s7", F.lit(0)), F.coalesce("forks", F.lit(0)))
+    notes = (bound, bound, F.lit(BACKFILL_NOTES[2]))
+    out = [
+        F.struct(F.lit(name).alias("metric_name"), value.cast("long").cast("string").alias("metric_value"), F.lit(safety).alias("historical_safety"), note.alias("note"))
+        for (name, safety), value, note in zip(BACKFILL_SAFETY.items(), values, notes, strict=True)
+    ]
+    return rows.select("entity_key", F.explode(F.array(*out)).alias("e")).select("entity_key", "e.*")

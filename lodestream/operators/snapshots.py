@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .windows import first_per, ranked, spread_ranked
+from .windows import first_per, spread_ranked
 
 #: Channels in display order.
 CHANNELS = ("github_trending", "github_movers_trending_repos", "github_movers_repofomo", "github_search", "hn_search", "hn_top", "product_hunt", "huggingface_models", "huggingface_datasets", "huggingface_spaces", "npm_search", "pypi_newest", "pypi_updates", "x_seed_accounts", "x_tweets")
@@ -135,6 +135,18 @@ def append_snapshot(batch: DataFrame, path: str) -> None:
     first_of_batch(batch, ["source", "run_id", "external_id"], [F.col("ord").asc()]).write.mode("append").partitionBy("source", "run_id").parquet(path)
 
 
+def latest_from_store(spark: SparkSession, path: str, snapshots: DataFrame) -> DataFrame:
+    """Items of each source's latest complete snapshot out of the folder that ``append_snapshot`` writes.
+
+    The folder is laid out by source and run, and the latest snapshots, one row a source, are the side that prunes it:
+    files of other runs are not opened. snapshots: source, run_id, status.
+    """
+    stored = spark.read.option("basePath", path).parquet(path)
+    kinds = {"source": "string", "run_id": "string"}
+    stored = stored.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds and stored.schema[c].dataType.simpleString() != "string" else F.col(c) for c in stored.columns])
+    return stored.join(F.broadcast(latest_snapshots(snapshots, "run_id", ok_only=True)), ["source", "run_id"])  # a row a source
+
+
 def replace_runs(rows: DataFrame, path: str) -> None:
     """Rows of whole runs in place of what the folder has of those runs; other runs stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
@@ -204,9 +216,13 @@ def cursors(posts: DataFrame, author: str, at: str, post_id: str) -> DataFrame:
 
 
 def pruned(items: DataFrame, keep: DataFrame, group: list[str], order: list[Column], most: int, key: str = "item_id") -> DataFrame:
-    """Items among the first ``most`` of their group or referenced from ``keep``."""
-    marked = ranked(items, "_n", group, order).join(keep.select(key).distinct().withColumn("_kept", F.lit(True)), key, "left")
-    return marked.filter((F.col("_n") <= most) | F.col("_kept")).drop("_n", "_kept")
+    """Items among the first ``most`` of their group or referenced from ``keep``; ``key`` tells items apart.
+
+    The first ones are an ordered prefix, which tasks cut short before the shuffle; the others come by a semi join.
+    """
+    first = first_per(items, group, order, most)
+    referenced_ = items.join(keep.select(key).distinct(), key, "left_semi").select(*items.columns)
+    return first.unionByName(referenced_).dropDuplicates([key])
 
 
 def without_secrets(fields: Column) -> Column:

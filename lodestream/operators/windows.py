@@ -76,3 +76,19 @@ def slope(points: DataFrame, keys: list[str], x: str, y: str, least: int = 3) ->
     """Least-squares slope of y over x for each key, over the mean of y (1 at least); keys with fewer points have none."""
     fit = points.groupBy(*keys).agg(F.regr_slope(y, x).alias("_slope"), F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("_n"))
     return fit.filter(F.col("_n") >= least).select(*keys, (F.col("_slope") / F.greatest("_mean", F.lit(1.0))).alias("slope"))
+
+
+def min_max_scaled(df: DataFrame, value: str, name: str, keys: list[str]) -> DataFrame:
+    """``df`` with ``value`` scaled to 0..1 between the least and the greatest of its keys; 1 above zero, else 0, where all are alike; 0 for none.
+
+    The ends are one row a key, combined before the shuffle, and come back by a join; nothing is sorted.
+    """
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    v = F.col(value)
+    scaled = F.when(v.isNull(), 0.0).when(F.col("_hi") <= F.col("_lo"), F.when(v > 0, 1.0).otherwise(0.0))
+    scaled = scaled.otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))))
+    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_lo", "_hi")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return df.join(ends if keys else F.broadcast(ends), same).select(*df.columns, scaled.alias(name))  # without keys, one row

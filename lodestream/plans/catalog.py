@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, context_queries, feed_queries, lookup_queries, rule_queries, scalar_queries, snapshot_queries, source_queries  # noqa: F401
+from . import answer_queries, context_queries, detail_queries, feed_queries, lookup_queries, rule_queries, scalar_queries, snapshot_queries, source_queries  # noqa: F401
 from .registry import ORACLE, QUERIES, Query
 
 

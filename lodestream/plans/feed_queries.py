@@ -211,9 +211,7 @@ def c8_c9_exact_name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c7_canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k").cast("string")
     raw = F.when(F.col("k") % 3 == 0, F.concat(F.lit("term:Tool "), k)).when(F.col("k") % 3 == 1, F.concat(F.lit("name:My Project "), k)).otherwise(F.col("entity_key"))
-    named = X.name_key(F.regexp_replace(raw, "^[a-z]+:", ""))
-    out = F.when(raw.startswith("name:") & (F.col("k") % 3 == 1), F.coalesce(named, raw)).when(raw.startswith("term:"), F.coalesce(F.regexp_replace(named, "^name:", "term:"), raw)).otherwise(raw)
-    return items(spark, sf_dir).select("item_id", out.alias("key"))
+    return items(spark, sf_dir).select("item_id", F.when(F.col("k") % 3 == 2, raw).otherwise(X.canonical_entity_key(raw)).alias("key"))
 
 
 # --- groups ---------------------------------------------------------------------------------------------------------
@@ -368,7 +366,7 @@ def q2_candidate_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q3_evidence_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     wanted = i.filter("metric > 1000").select("entity_key").distinct()
-    return W.ranked(i.join(wanted, "entity_key", "left_semi"), "place", ["entity_key"], [F.desc("ts"), F.desc("item_id")]).select("item_id", "entity_key", "place")
+    return W.spread_ranked(i.join(wanted, "entity_key", "left_semi"), "place", ["entity_key"], [F.desc("ts"), F.desc("item_id")]).select("item_id", "entity_key", "place")
 
 
 @query(with_sql(ITEMS_SQL, then="SELECT source AS channel, count(*) AS n, max(metric) AS top, count(DISTINCT entity_key) AS entities FROM items WHERE source <> 'huggingface_models' GROUP BY source"))

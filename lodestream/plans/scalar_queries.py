@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions import scalars as X
+from lodestream.operators import windows as W
 
 from .fixtures import ITEMS_SQL, LINKS_SQL, items, links, with_sql
 from .registry import query, table
@@ -158,15 +159,12 @@ def x19_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
 def x20_nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.a.b").alias("missing"))
+    return table(spark, sf_dir, "events").select("event_id", X.nested(F.col("props"), "k").alias("k"), X.nested(F.col("props"), "a.b").alias("missing"))
 
 
 @query("SELECT event_id, CASE WHEN hi <= lo THEN CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END ELSE (value - lo) / (hi - lo) END AS scaled FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events)")
 def x22_min_max_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    ends = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    scaled = F.when(F.col("hi") <= F.col("lo"), F.when(F.col("value") > 0, 1.0).otherwise(0.0)).otherwise((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return e.join(ends, "event_type").select("event_id", scaled.alias("scaled"))
+    return W.min_max_scaled(table(spark, sf_dir, "events"), "value", "scaled", ["event_type"]).select("event_id", "scaled")
 
 
 @query(with_sql(LINKS_SQL, then=rf"""SELECT event_id, regexp_matches(u, '^https?://') AND h <> '' AND NOT regexp_matches(h, '^(?:0|10|127|22[4-9]|2[3-5][0-9])\.[0-9]+\.[0-9]+\.[0-9]+$') AS public FROM (SELECT event_id, u, {_HOST} AS h FROM links)"""))

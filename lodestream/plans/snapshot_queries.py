@@ -243,7 +243,7 @@ def w6_channel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w7_evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.col("family")
     order = F.when(f == "github", 0).when(f == "hn", 1).when(f == "x_social", 2).when(f == "package_family", 3).otherwise(6)
-    return W.ranked(items(spark, sf_dir), "place", ["entity_key"], [order.asc(), F.col("item_id").asc()]).select("item_id", "place")
+    return W.spread_ranked(items(spark, sf_dir), "place", ["entity_key"], [order.asc(), F.col("item_id").asc()]).select("item_id", "place")
 
 
 @query(with_sql(ITEMS_SQL, then="SELECT entity_key, count(*) AS rows_kept, array_to_string(list(item_id ORDER BY ts DESC, item_id DESC), ',') AS ids FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY ts DESC, item_id DESC) AS n FROM items) WHERE n <= 80 GROUP BY entity_key"))
