@@ -1,11 +1,15 @@
-"""Streaming forms: keyed upserts of late and overlapping batches, and mention counts over sliding windows."""
+"""Streaming forms: the latest row of each key, mention counts over sliding windows, and mention counts as of now."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lodestream.operators.snapshots import upserted
+from lodestream.operators.mentions import entity_windows
 
 
 def deduplicated(posts: DataFrame, key: str = "post_id", at: str = "created_at", late: str = "3 days") -> DataFrame:
@@ -24,57 +28,107 @@ def mention_counts(mentions: DataFrame, at: str = "created_at", late: str = "1 h
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "entity_key", "mentions", "authors")
 
 
-class UpsertStore:
-    """A keyed table in Parquet: ``epoch=E/bucket=B`` holds all rows of a bucket of keys as of micro-batch E.
+# --- the latest row of each key -------------------------------------------------------------------------------------
 
-    A micro-batch rewrites the buckets that it has keys of, from their latest version before it, so a replayed batch gives
-    what it gave before. What there is is read from the folder, never from memory, so a restarted stream goes on where the
-    last one stopped. Of each bucket the last two versions are kept: the present one and the one that a replay starts from.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, first: str = "first_seen", last: str = "last_seen", buckets: int = 64):
-        self.spark, self.path, self.key, self.first, self.last, self.buckets = spark, path.rstrip("/"), key, first, last, buckets
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def versions(self) -> dict[int, list[int]]:
-        """Epochs of each bucket, ascending."""
-        fs, root = self._files()
-        found: dict[int, list[int]] = {}
-        for folder in fs.globStatus(root.suffix("/epoch=*/bucket=*")) or []:
-            epoch, bucket = (int(part.split("=")[1]) for part in str(folder.getPath().toString()).rsplit("/", 2)[1:])
-            found.setdefault(bucket, []).append(epoch)
-        return {b: sorted(e) for b, e in found.items()}
-
-    def _rows(self, latest: dict[int, int]) -> DataFrame | None:
-        folders = [f"{self.path}/epoch={e}/bucket={b}" for b, e in latest.items()]
-        return self.spark.read.parquet(*folders) if folders else None
-
-    def read(self) -> DataFrame | None:
-        """The table as of the last micro-batch; None if there was none yet."""
-        return self._rows({b: e[-1] for b, e in self.versions().items()})
-
-    def write(self, batch: DataFrame, epoch: int) -> None:
-        """For foreachBatch. Within a batch the latest row of a key counts."""
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        batch = batch.persist()
-        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most ``buckets`` numbers
-        versions = self.versions()
-        before = {b: max(past) for b in touched if (past := [e for e in versions.get(b, []) if e < epoch])}
-        store = self._rows(before)
-        after = upserted(batch.limit(0) if store is None else store.select(*batch.columns), batch, self.key, self.first, self.last)
-        after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/epoch={epoch}")
-        batch.unpersist()
-        fs, root = self._files()
-        for b, kept in before.items():
-            for old in versions[b]:
-                if old < kept:
-                    fs.delete(root.suffix(f"/epoch={old}/bucket={b}"), True)
-
-
-def keep_store(posts: DataFrame, store: UpsertStore, checkpoint: str, available_now: bool = False):
-    """Start the upsert stream; progress is kept under ``checkpoint``."""
-    out = posts.writeStream.foreachBatch(store.write).option("checkpointLocation", checkpoint)
+def keep(posts: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Land a stream under ``path`` by Spark's own file sink: readers see whole micro-batches, each once, whatever is replayed."""
+    out = posts.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
+
+
+def latest(landed: DataFrame, key: str, first: str = "first_seen", last: str = "last_seen") -> DataFrame:
+    """Of each key the row last seen (then the greatest), with the earliest first sight of all its rows.
+
+    One aggregate that combines before the shuffle, so late and overlapping batches need no order, and a key with any
+    number of rows costs one a task.
+    """
+    rest = [c for c in landed.columns if c not in (key, first, last)]
+    newest = F.max(F.struct(F.col(last), *[F.col(c) for c in sorted(rest)])).alias("_row")
+    rows = landed.groupBy(key).agg(F.min(first).alias("_first"), newest)
+    return rows.select(*[F.col("_first").alias(c) if c == first else F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in landed.columns])
+
+
+# --- counts as of now -----------------------------------------------------------------------------------------------
+
+_DAY_MS = 86_400_000
+AGING = "entity_key string, part int, seq long, now timestamp, mentions_24h long, authors_24h long, mentions_7d long, authors_7d long"
+
+
+class Aging(StatefulProcessor):
+    """Posts of an entity (one part of it) of the last seven days, counted anew whenever posts come or age out.
+
+    Now is the stream's watermark. A post counts while it was made no earlier than 24 hours or 7 days before now, as in the
+    batch form; a timer at either age tells when it leaves. Timers of one moment count once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.posts = handle.getMapState("posts", "post_id string", "at long, author string")
+        self.told = handle.getValueState("told", "seq long, now long")
+
+    def _counted(self, key: tuple, now: int) -> Iterator[Row]:
+        n, authors, gone = [0, 0], [set(), set()], []
+        for (post,), (at, author) in self.posts.iterator():
+            if at < now - 7 * _DAY_MS:
+                gone.append(post)
+            for i, days in enumerate((1, 7)):
+                if at >= now - days * _DAY_MS:
+                    n[i] += 1
+                    if author is not None:
+                        authors[i].add(author.lower())
+        for post in gone:
+            self.posts.removeKey((post,))
+        seq = self.told.get()[0] + 1 if self.told.exists() else 0
+        self.told.update((seq, now))
+        import datetime as dt
+
+        when = dt.datetime.fromtimestamp(now / 1000)
+        yield Row(entity_key=key[0], part=key[1], seq=seq, now=when, mentions_24h=n[0], authors_24h=len(authors[0]), mentions_7d=n[1], authors_7d=len(authors[1]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        now = max(timerValues.getCurrentWatermarkInMs(), 0)
+        for r in rows:
+            if r.at >= now - 7 * _DAY_MS:
+                self.posts.updateValue((r.post_id,), (r.at, r.author))
+                for days in (1, 7):
+                    if r.at + days * _DAY_MS >= now:
+                        self.handle.registerTimer(r.at + days * _DAY_MS + 1)
+        yield from self._counted(key, now)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.told.get()[1] < now:
+            yield from self._counted(key, now)
+
+    def close(self) -> None:
+        pass
+
+
+def counts_as_of_now(posts: DataFrame, parts: int = 16, late: str = "1 second") -> DataFrame:
+    """A stream of counts (``AGING``) of each entity and part whenever they change; ``standing`` adds the parts up.
+
+    posts: post_id, entity_key, author, created_at, seen_at. Time goes by ``seen_at``, when a post was read, so a post made
+    long ago counts as it should when it comes. An entity's posts are dealt to ``parts`` by author, so no task
+    holds a hot one, and authors of different parts differ. Needs the RocksDB state store.
+    """
+    part = F.pmod(F.xxhash64(F.lower("author")), F.lit(parts)).cast("int")
+    rows = posts.withWatermark("seen_at", late).select("seen_at", "entity_key", part.alias("part"), "post_id", "author", F.unix_millis(F.col("created_at").cast("timestamp")).alias("at"))
+    return rows.groupBy("entity_key", "part").transformWithState(statefulProcessor=Aging(), outputStructType=AGING, outputMode="Append", timeMode="eventtime")
+
+
+def standing(told: DataFrame) -> DataFrame:
+    """entity_key and its counts now, out of all that ``counts_as_of_now`` has told: the last word of each part, added up."""
+    counts = ["mentions_24h", "authors_24h", "mentions_7d", "authors_7d"]
+    last = told.groupBy("entity_key", "part").agg(F.max_by(F.struct(*counts), "seq").alias("c"))
+    return last.groupBy("entity_key").agg(*[F.sum(f"c.{c}").alias(c) for c in counts])
+
+
+def counted_as_of(posts: DataFrame, now: Column) -> DataFrame:
+    """The batch form of ``standing``: the same counts of landed posts as of a moment, by ``entity_windows``."""
+    rows = entity_windows(posts.withColumn("at", F.col("created_at")), now, F.lit(True))
+    pick = lambda w, c: F.coalesce(F.max(F.when(F.col("window_name") == w, F.col(c))), F.lit(0))
+    return rows.groupBy("entity_key").agg(
+        pick("24h", "mention_count").alias("mentions_24h"), pick("24h", "distinct_authors").alias("authors_24h"),
+        pick("7d", "mention_count").alias("mentions_7d"), pick("7d", "distinct_authors").alias("authors_7d"),
+    )

@@ -22,32 +22,49 @@ def landed(spark, tmp_path, parts):
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_upsert_stream_equals_the_batch(spark, tmp_path):
-    data = rows(20)
-    stream = landed(spark, tmp_path, [data[:8], data[5:14], data[12:]])
-    store = live.UpsertStore(spark, f"{tmp_path}/store", "post_id")
-    q = live.keep_store(stream, store, f"{tmp_path}/cp", available_now=True)
-    q.awaitTermination(120)
-    whole = spark.createDataFrame(data, SCHEMA)
-    want = {(r.post_id, r.first_seen, r.last_seen) for r in upserted(whole.limit(0), whole, "post_id").collect()}
-    assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
-
-
-def test_a_restarted_stream_goes_on_from_the_folder(spark, tmp_path):
+def test_kept_stream_equals_the_batch_over_restarts(spark, tmp_path):
     data = rows(24)
     whole = spark.createDataFrame(data, SCHEMA)
     want = {(r.post_id, r.first_seen, r.last_seen) for r in upserted(whole.limit(0), whole, "post_id").collect()}
     path = f"{tmp_path}/in"
-    for part in (data[:8], data[8:16], data[16:]):
+    for part in (data[16:], data[4:16], data[:8]):  # late and overlapping batches, a restart for each
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(SCHEMA).parquet(path)
-        live.keep_store(stream, live.UpsertStore(spark, f"{tmp_path}/store", "post_id", buckets=4), f"{tmp_path}/cp", available_now=True).awaitTermination(120)
-    store = live.UpsertStore(spark, f"{tmp_path}/store", "post_id", buckets=4)
-    assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
-    assert all(len(e) <= 2 for e in store.versions().values())
-    last = max(e for es in store.versions().values() for e in es)
-    store.write(spark.createDataFrame(data[16:], SCHEMA), last)  # a replay
-    assert {(r.post_id, r.first_seen, r.last_seen) for r in store.read().collect()} == want
+        live.keep(stream, f"{tmp_path}/store", f"{tmp_path}/cp", available_now=True).awaitTermination(120)
+    landed_ = spark.read.parquet(f"{tmp_path}/store")
+    assert landed_.count() == 8 + 12 + 8  # each batch once
+    got = live.latest(landed_, "post_id")
+    assert got.columns == landed_.columns and {(r.post_id, r.first_seen, r.last_seen) for r in got.collect()} == want
+
+
+def test_counts_as_of_now_equal_the_batch_at_each_trigger(spark, tmp_path):
+    """Posts come late and in restarts, time passes without posts of an entity, and posts age out of both windows."""
+    schema = "post_id string, entity_key string, author string, created_at timestamp, seen_at timestamp"
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    batches = [
+        [(f"p{i}", f"e{i % 3}", f"A{i % 4}", hour(i), hour(i)) for i in range(30)],
+        [("late", "e0", "a9", hour(2), hour(40)), ("old", "e1", "a1", hour(-200), hour(41)), ("p3", "e0", "a3", hour(3), hour(41)), ("q", "e2", None, hour(40), hour(41))],
+        [("only", "e0", "a1", hour(60), hour(60))],
+        [("later", "e2", "b", hour(150), hour(190))],
+        [("end", "e2", "b", hour(399), hour(400))],
+    ]
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = []
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/posts")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/posts")
+            live.keep(live.counts_as_of_now(stream, parts=2), f"{tmp_path}/told", f"{tmp_path}/cp2", available_now=True).awaitTermination(240)
+            seen += batch
+            now = max(b[4] for b in seen) - dt.timedelta(seconds=1)
+            posts = spark.createDataFrame(seen, schema).dropDuplicates(["post_id"])
+            want = {r.entity_key: tuple(r)[1:] for r in live.counted_as_of(posts, F.lit(now)).collect()}
+            got = {r.entity_key: tuple(r)[1:] for r in live.standing(spark.read.schema(live.AGING).parquet(f"{tmp_path}/told")).collect()}
+            assert {k: v for k, v in got.items() if any(v)} == want, now
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def test_windows_of_a_bounded_replay_equal_the_batch(spark, tmp_path):
