@@ -13,6 +13,7 @@ from lodestream.operators import identities, quality, rules, runs
 from lodestream.operators import snapshots as S
 from lodestream.operators import windows as W
 from lodestream.operators.components import saved, shared_folder
+from lodestream.streaming import live
 
 from .fixtures import ITEMS_SQL, SNAPSHOTS_SQL, items, snap_items, snapshots, with_sql
 from .registry import query, table
@@ -209,3 +210,19 @@ def a18_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = quality.merged_quantiles(kept, ["component"], {"p50": 0.5, "p95": 0.95})
     below = lambda q, name: F.abs(F.count_if(F.col("latency_ms") <= F.col(name)) / F.count(F.lit(1)) - q) <= F.lit(0.03) + F.count_if(F.col("latency_ms") == F.col(name)) / F.count(F.lit(1))
     return c.join(merged, "component").groupBy("component", "n").agg(below(0.5, "p50").alias("p50_near"), below(0.95, "p95").alias("p95_near"))
+
+
+@query("""WITH n AS (SELECT max(ts) - INTERVAL 1 SECOND AS t FROM events)
+SELECT CAST(user_id AS VARCHAR) AS entity_key, count(*) FILTER (ts >= t - INTERVAL 24 HOUR) AS mentions_24h, count(DISTINCT event_type) FILTER (ts >= t - INTERVAL 24 HOUR) AS authors_24h,
+count(*) FILTER (ts >= t - INTERVAL 168 HOUR) AS mentions_7d, count(DISTINCT event_type) FILTER (ts >= t - INTERVAL 168 HOUR) AS authors_7d FROM events, n GROUP BY user_id""")
+def a3_counts_as_of_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of posts: what stands once all are read and what is past has aged out of the counts."""
+    path, out = f"{sf_dir}/events.parquet".rstrip("/"), _folder(spark, "as-of-now")
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern of one name, for a folder or a single file
+    at = F.col("ts").cast("timestamp")
+    posts = e.select(_s("event_id").alias("post_id"), _s("user_id").alias("entity_key"), F.col("event_type").alias("author"), at.alias("created_at"), at.alias("seen_at"))
+    with live.settings(spark):
+        told = live.keep(live.counts_as_of_now(posts, parts=4), f"{out}/told", f"{out}/progress", available_now=True)
+    told.awaitTermination()
+    return live.standing(spark.read.schema(live.AGING).parquet(f"{out}/told"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -12,6 +13,29 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from lodestream.operators.mentions import entity_windows
 
 
+#: State on the executors' disks, in bounded memory, let go after each task and saved in the checkpoint folder.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str] = STATE) -> Iterator[None]:
+    """Settings that a stream takes over when it starts; the session's own are put back."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def deduplicated(posts: DataFrame, key: str = "post_id", at: str = "created_at", late: str = "3 days") -> DataFrame:
     """Posts of a stream once each, as long as repeats come within the watermark."""
     return posts.withWatermark(at, late).dropDuplicatesWithinWatermark([key])

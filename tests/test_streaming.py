@@ -48,10 +48,7 @@ def test_counts_as_of_now_equal_the_batch_at_each_trigger(spark, tmp_path):
         [("later", "e2", "b", hour(150), hour(190))],
         [("end", "e2", "b", hour(399), hour(400))],
     ]
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with live.settings(spark):
         seen = []
         for batch in batches:
             spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/posts")
@@ -63,8 +60,6 @@ def test_counts_as_of_now_equal_the_batch_at_each_trigger(spark, tmp_path):
             want = {r.entity_key: tuple(r)[1:] for r in live.counted_as_of(posts, F.lit(now)).collect()}
             got = {r.entity_key: tuple(r)[1:] for r in live.standing(spark.read.schema(live.AGING).parquet(f"{tmp_path}/told")).collect()}
             assert {k: v for k, v in got.items() if any(v)} == want, now
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def test_windows_of_a_bounded_replay_equal_the_batch(spark, tmp_path):
