@@ -44,12 +44,24 @@ def groups(rows: DataFrame) -> DataFrame:
     return g.select("presentation_key", F.concat(F.lit("group:"), F.substring(F.sha1(F.array_join("members", "|")), 1, 12)).alias("group_id"), F.col("c.entity_key").alias("canonical_entity"), F.col("c.level").alias("level"), "members", "families")
 
 
+BULLET = ["entity_key", "label", "family", "origin", "badge"]
+
+
+def _bullet_refs(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*BULLET, "ref").agg(F.min("id").alias("id"), F.min_by("strength", "id").alias("strength"))
+
+
 def merged_bullets(rows: DataFrame) -> DataFrame:
-    """Bullets of one label, family, origin and badge as one: the first strength, all refs in order. rows also: id, strength, ref."""
-    key = ["entity_key", "label", "family", "origin", "badge"]
-    each = rows.groupBy(*key, "ref").agg(F.min("id").alias("id"), F.min_by("strength", "id").alias("strength"))
-    refs = F.transform(F.array_sort(F.collect_list(F.when(F.col("ref").isNotNull(), F.struct("id", "ref")))), lambda r: r["ref"])
-    return each.groupBy(*key).agg(F.min_by("strength", "id").alias("strength"), refs.alias("refs"))
+    """Bullets of one label, family, origin and badge as one: the first strength and how many refs. rows also: id, strength, ref.
+
+    The refs themselves are rows (``bullet_refs``), so no row grows with a bullet.
+    """
+    return _bullet_refs(rows).groupBy(*BULLET).agg(F.min_by("strength", "id").alias("strength"), F.count("ref").alias("refs"))
+
+
+def bullet_refs(rows: DataFrame) -> DataFrame:
+    """The distinct refs of each merged bullet, a row each, with the least id that brought it, by which they are in order."""
+    return _bullet_refs(rows).filter("ref is not null").select(*BULLET, "ref", "id")
 
 
 def evidence_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

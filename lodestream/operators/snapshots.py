@@ -47,8 +47,7 @@ def latest_items(items: DataFrame, snapshots: DataFrame, by: str = "month", ok_o
 def channel_ranks(items: DataFrame, order: list[Column], key: str = "channel", window: str = "window") -> DataFrame:
     """rank, channel_rank, window_rank: three running numbers in one order. Channels are few, so no task holds one."""
     place = F.coalesce(*[F.when(F.col(key) == c, i) for i, c in enumerate(CHANNELS)], F.lit(999))
-    out = spread_ranked(items, "channel_rank", [key], order)
-    out = spread_ranked(out, "window_rank", [key, window], order)
+    out = spread_ranked(items, "channel_rank", [key], order, finer={"window_rank": [window]})
     sizes = out.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", place)
     before = Window.orderBy("_place", key).rowsBetween(Window.unboundedPreceding, -1)  # one row a channel
     base = sizes.select(key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -35,14 +35,16 @@ def ranked(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> Da
 
 
 def spread_ranked(
-    df: DataFrame, name: str, keys: list[str], order: list[Column], total: str | None = None, part: str | None = None, deal: list[Column] | None = None
-) -> DataFrame:
+    df: DataFrame, name: str, keys: list[str], order: list[Column], total: str | None = None, part: str | None = None,
+    deal: list[Column] | None = None, finer: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """``ranked`` for few keys with many rows each: no task holds a key.
 
     Rows are dealt by ranges of (keys, order), sorted and numbered within their part, and written once, so that the
     numbers stay; what a key has in earlier parts comes from one row a part and key, and so does ``total``, the number
     of its rows, where that is asked for. ``part`` names a column for the number of a row's part, parts being in order.
     Where the order has long values, ``deal`` gives shorter ones to deal by that agree with it (the beginnings of texts).
+    ``finer`` names further ranks in the same order, each within the keys and more columns, from the same pass.
     """
     spark, key = df.sparkSession, F.struct(*keys) if keys else F.lit(0)
     first = [F.col(k).asc() for k in keys]
@@ -57,7 +59,15 @@ def spread_ranked(
     base = (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base")
     parts = parts.select("_key", "_part", base, F.sum("_n").over(whole).alias("_total"))
     found = rows.join(parts, ["_key", "_part"]).withColumn(name, (F.col("_at") + F.col("_base")).cast("long"))
-    more = [F.col(c).alias(n) for c, n in (("_total", total), ("_part", part)) if n]
+    for rank, columns in (finer or {}).items():
+        fine = F.struct(*keys, *columns)
+        own = Window.partitionBy("_fine", "_part").orderBy("_at")
+        found = found.withColumn("_fine", fine).withColumn("_own", F.row_number().over(own))
+        counts = rows.groupBy(fine.alias("_fine"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy("_fine").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select("_fine", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        found = found.join(counts, ["_fine", "_part"]).withColumn(rank, (F.col("_own") + F.col("_before")).cast("long")).drop("_fine", "_own", "_before")
+    more = [*(finer or {}), *[F.col(c).alias(n) for c, n in (("_total", total), ("_part", part)) if n]]
     return found.select(*df.columns, name, *more)
 
 

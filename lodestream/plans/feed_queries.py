@@ -237,12 +237,25 @@ def g1_g2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.groups(rows).select("presentation_key", "group_id", "canonical_entity", "level", F.array_join("members", ",").alias("members"), F.array_join("families", ",").alias("families"))
 
 
-@query(with_sql(ITEMS_SQL, then="""SELECT entity_key, family || ': m ' || (metric // 100) AS label, min_by(CASE WHEN k % 2 = 0 THEN 'strong' ELSE 'weak' END, item_id) AS strength, count(DISTINCT k % 7) AS refs FROM items GROUP BY entity_key, family || ': m ' || (metric // 100)"""))
-def a12_g3_merged_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir)
+def _bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(F.col("family"), F.lit(": m "), F.floor(F.col("metric") / 100).cast("string"))
-    rows = i.select("entity_key", label.alias("label"), "family", F.lit("rule").alias("origin"), F.lit("rule").alias("badge"), F.col("item_id").alias("id"), F.when(F.col("k") % 2 == 0, "strong").otherwise("weak").alias("strength"), (F.col("k") % 7).alias("ref"))
-    return G.merged_bullets(rows).select("entity_key", "label", "strength", F.size("refs").cast("long").alias("refs"))
+    strength = F.when(F.col("k") % 2 == 0, "strong").otherwise("weak")
+    return items(spark, sf_dir).select(
+        "entity_key", label.alias("label"), "family", F.lit("rule").alias("origin"), F.lit("rule").alias("badge"),
+        F.col("item_id").alias("id"), strength.alias("strength"), (F.col("k") % 7).alias("ref"),
+    )
+
+
+@query(with_sql(ITEMS_SQL, then="""SELECT entity_key, family || ': m ' || (metric // 100) AS label, min_by(CASE WHEN k % 2 = 0 THEN 'strong' ELSE 'weak' END, item_id) AS strength,
+  count(DISTINCT k % 7) AS refs FROM items GROUP BY entity_key, family || ': m ' || (metric // 100)"""))
+def a12_g3_merged_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.merged_bullets(_bullets(spark, sf_dir)).select("entity_key", "label", "strength", "refs")
+
+
+@query(with_sql(ITEMS_SQL, then="SELECT entity_key, family || ': m ' || (metric // 100) AS label, k % 7 AS ref, min(item_id) AS id FROM items GROUP BY ALL"))
+def a12_bullet_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refs of the merged bullets, a row each."""
+    return G.bullet_refs(_bullets(spark, sf_dir)).select("entity_key", "label", "ref", "id")
 
 
 _HASH = "printf('%08x', CAST(sum(CAST('0x' || substr(h, {0}, 8) AS BIGINT)) % 4294967296 AS BIGINT))"

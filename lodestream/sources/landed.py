@@ -271,20 +271,46 @@ def followed_accounts(landed: DataFrame) -> DataFrame:
     return first_per(rows, ["_k"], [F.col("ord").asc()]).drop("_k", "ord")
 
 
+#: Where a post's fields may stand, the first non-empty one counts.
+POST_FIELDS = {
+    "post_id": ("id", "tweetId", "tweet_id"),
+    "at": ("createdAt", "created_at"),
+    "link": ("url", "twitterUrl"),
+    "name": ("author.username", "author.userName", "author.screenName", "author.handle", "username", "authorUsername"),
+    "body": ("text", "fullText"),
+    "reply": ("isReply", "inReplyToId", "inReplyToUsername"),
+    "repost": ("isRetweet", "retweeted_tweet"),
+}
+POST_COUNTS = ("likeCount", "replyCount", "retweetCount", "quoteCount", "viewCount")
+
+
+def _fields(text: Column) -> Column:
+    """An object's fields as texts, parsed once: a map, since names may differ in case alone; nested objects stay JSON text."""
+    return F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+
+
 def posts(landed: DataFrame, replies: bool = True, reposts: bool = True) -> DataFrame:
     """Posts of an export. landed: ord, payload. The first row of an id, with a readable time; engagement leaves views out."""
-    p = F.col("payload")
-    at = _first(p, ("createdAt", "created_at"))
-    twitter = F.try_to_timestamp(F.regexp_replace(at, "^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
-    count = lambda k: F.coalesce(F.regexp_replace(F.get_json_object(p, f"$.{k}"), "[^0-9]", "").try_cast("long"), F.lit(0))
-    url = _first(p, ("url", "twitterUrl"))
-    author = F.coalesce(F.regexp_replace(_first(p, ("author.username", "author.userName", "author.screenName", "author.handle", "username", "authorUsername")), "^@+", ""), F.nullif(F.regexp_extract(url, r"(?:x|twitter)\.com/([^/]+)/status/", 1), F.lit("")), F.lit(""))
-    flag = lambda *paths: F.coalesce(_first(p, paths).isNotNull() & (_first(p, paths) != "false"), F.lit(False))
-    post_id = _first(p, ("id", "tweetId", "tweet_id"))
-    rows = landed.select(
-        "ord", post_id.alias("post_id"), author.alias("author"), unescaped(_text(_first(p, ("text", "fullText")))).alias("text"), F.coalesce(X.parsed_time(at), X.feed_time(at), twitter).alias("created_at"), F.coalesce(url, F.concat(F.lit("https://x.com/"), author, F.lit("/status/"), post_id)).alias("url"),
-        (count("likeCount") + count("replyCount") + count("retweetCount") + count("quoteCount")).alias("engagement"), count("viewCount").alias("views"), flag("isReply", "inReplyToId", "inReplyToUsername").alias("is_reply"), flag("isRetweet", "retweeted_tweet").alias("is_repost"),
-    ).filter("post_id is not null")
+    rows = landed.select("ord", _fields(F.col("payload")).alias("p"))
+    rows = rows.select("ord", "p", _fields(F.try_element_at("p", F.lit("author"))).alias("author"))
+
+    def at(path: str) -> Column:
+        return F.try_element_at(*(("author", F.lit(path.removeprefix("author."))) if path.startswith("author.") else ("p", F.lit(path))))
+
+    first = [F.coalesce(*[F.nullif(F.trim(at(path)), F.lit("")) for path in of]).alias(name) for name, of in POST_FIELDS.items()]
+    count = [F.coalesce(F.regexp_replace(at(c), "[^0-9]", "").try_cast("long"), F.lit(0)).alias(c) for c in POST_COUNTS]
+    rows = rows.select("ord", *first, *count).filter("post_id is not null")
+    twitter = F.try_to_timestamp(F.regexp_replace("at", "^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    of_link = F.nullif(F.regexp_extract("link", r"(?:x|twitter)\.com/([^/]+)/status/", 1), F.lit(""))
+    author = F.coalesce(F.regexp_replace("name", "^@+", ""), of_link, F.lit(""))
+    flag = lambda c: F.coalesce(F.col(c) != "false", F.lit(False))
+    rows = rows.select(
+        "ord", "post_id", author.alias("author"), unescaped(_text(F.col("body"))).alias("text"),
+        F.coalesce(X.parsed_time(F.col("at")), X.feed_time(F.col("at")), twitter).alias("created_at"),
+        F.coalesce("link", F.concat(F.lit("https://x.com/"), author, F.lit("/status/"), "post_id")).alias("url"),
+        (F.col("likeCount") + F.col("replyCount") + F.col("retweetCount") + F.col("quoteCount")).alias("engagement"),
+        F.col("viewCount").alias("views"), flag("reply").alias("is_reply"), flag("repost").alias("is_repost"),
+    )
     rows = first_per(rows, ["post_id"], [F.col("ord").asc()]).filter("created_at is not null").drop("ord")
     return rows.filter((~F.col("is_reply") | F.lit(replies)) & (~F.col("is_repost") | F.lit(reposts)))
 
