@@ -41,3 +41,11 @@ def test_stages_one_by_one(spark, sf):
 
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 0
+
+
+def test_every_stage_takes_an_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        found = stage(spark, docs, sf)
+        assert found.count() == 0, name
+        assert name == cp.STAGES[-1][0] or found.columns == docs.columns

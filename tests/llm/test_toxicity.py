@@ -1,10 +1,14 @@
 import math
+import os
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import toxicity
 from lodestream.llm.queries import op2_toxicity
@@ -12,6 +16,72 @@ from lodestream.llm.queries import op2_toxicity
 SCHEMA = "doc_id long, text string, lang string, source string, score string, toxic int"
 
 
+@pytest.fixture
+def large(sf):
+    """The larger tables beside the test's own, for figures that need many labelled rows."""
+    path = f"{os.path.dirname(sf.rstrip('/'))}/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no larger tables here")
+    return path
+
+
+def plain_features(text, stems):
+    """The features as they are described, by name, in their order: words, stems, pairs next to each other and over gaps."""
+    words = re.findall(r"[a-z\u0080-\U0010ffff]+", text)
+    out = [("word", w) for w in words]
+    for k in stems:
+        out += [("stem", w[:k]) for w in words if len(w) > k]
+    for gap in (1, 2, 3):
+        out += [("pair", gap, a, b) for a, b in zip(words, words[gap:], strict=False)]
+    return out
+
+
+def test_features_equal_plain_ones():
+    """Every named feature has one coordinate, and unlike ones hardly ever share one."""
+    rng = random.Random(5)
+    words = ["a", "Ab", "moron", "morons", "idiot", "straße", "überall", "мусорщик", "日本語", "x9y", "don't", "e-mail"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "...", " 7 "]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    for stems in ((), (4, 5, 6)):
+        named, coordinates = {}, defaultdict(set)
+        for text in texts:
+            raw, offs = toxicity._texts(pa.array([text]))
+            at, row = toxicity.features(raw, offs, stems)
+            keys = plain_features(raw.tobytes().decode(), stems)
+            assert len(at) == len(keys) and not row.any()
+            for key, c in zip(keys, at.tolist(), strict=True):
+                assert named.setdefault(key, c) == c
+                coordinates[c].add(key)
+        assert len(coordinates) >= 0.99 * len(named)
+        raw, offs = toxicity._texts(pa.array(texts))
+        at, row = toxicity.features(raw, offs, stems)
+        for k, text in enumerate(texts):  # the same, all texts at once
+            assert sorted(at[row == k].tolist()) == sorted(named[f] for f in plain_features(text.lower(), stems))
+
+
+def test_weights_are_the_mean_of_the_shards(spark):
+    """Each shard learns alone from its rows in the order of their hash; the mean of their weights is what training gives."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["moron", "fine", "good", "day", "words", "idiot"]) for _ in range(8))) for i in range(900)]
+    labels = [(i, int("moron" in t or "idiot" in t)) for i, t in rows]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.train(docs, known, shard_rows=300)
+    dealt = known.select("doc_id", F.xxhash64("doc_id", F.lit("train")).alias("h")).select("doc_id", "h", F.pmod(F.shiftright("h", 30), F.lit(3)).alias("s")).collect()
+    text, y = dict(rows), dict(labels)
+    total = defaultdict(float)
+    for shard in range(3):
+        model = toxicity.Ftrl()
+        held = []
+        for r in sorted((r for r in dealt if r.s == shard), key=lambda r: r.h):
+            at, _ = toxicity.features(*toxicity._texts(pa.array([text[r.doc_id]])))
+            held.append((np.unique(at), float(y[r.doc_id])))
+        for _ in range(toxicity.EPOCHS):
+            for at, label in held:
+                model.learn(at, label)
+        for at, w in zip(*(x.tolist() for x in model.nonzero()), strict=True):
+            total[at] += w / 3
+    assert got.keys() == total.keys() and all(abs(got[k] - total[k]) < 1e-9 for k in got)
+
+
 def test_features_see_words_not_layout():
     raw, offs = toxicity._texts(pa.array(["You IDIOT!!!", "you %%% idiot", "", None, "9 8 7", "bäd wörd"]))
     at, row = toxicity.features(raw, offs)
@@ -20,8 +90,8 @@ def test_features_see_words_not_layout():
     assert not by[2] and not by[3] and not by[4] and by[5]
 
 
-def test_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.1"
+def test_query_on_held_out_rows(spark, large):
+    sf = large
     got = {r.doc_id: r for r in op2_toxicity(spark, sf).collect()}
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
@@ -36,8 +106,6 @@ def test_query_on_held_out_rows(spark):
 
 def test_labels_of_held_out_rows_do_not_matter(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    from pyspark.sql import functions as F
-
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     one, two = (toxicity.classify(docs, x).select("doc_id", "score").collect() for x in (labels, turned))
     assert sorted(one) == sorted(two)
@@ -100,8 +168,8 @@ def test_ftrl_equals_a_plain_one():
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
-def test_recall_with_and_without_stems(spark):
-    sf = "/root/testdata/sf0.1"
+def test_recall_with_and_without_stems(spark, large):
+    sf = large
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     caught = []
