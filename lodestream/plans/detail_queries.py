@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import scalars as X
 from lodestream.operators import entities as E
-from lodestream.operators import identities, quality, rules, runs
+from lodestream.operators import facts, identities, quality, rules, runs
 from lodestream.operators import snapshots as S
 from lodestream.operators import windows as W
 from lodestream.operators.components import saved, shared_folder
@@ -226,3 +226,36 @@ def a3_counts_as_of_now(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = live.keep(live.counts_as_of_now(posts, parts=4), f"{out}/told", f"{out}/progress", available_now=True)
     told.awaitTermination()
     return live.standing(spark.read.schema(live.AGING).parquet(f"{out}/told"))
+
+
+@query(with_sql(ITEMS_SQL, then="""SELECT item_id, CASE source WHEN 'github_trending' THEN '窗口=daily|窗口新增star=' || metric || '|总star=' || k || '.25'
+  WHEN 'hn_algolia' THEN '搜索词=' || CASE WHEN k % 2 = 0 THEN 'q' || k ELSE 'agents' END || '|分数=' || metric || '|评论=None|作者=u' || user_id || '|创建=None'
+  WHEN 'product_hunt' THEN '票数=None|评论=None|日榜=' || k || '|周榜=None|featured=None'
+  WHEN 'npm_registry' THEN '搜索词=' || CASE WHEN k % 2 = 0 THEN 'q' || k ELSE 'agents' END || '|版本=None|周下载=' || metric || '.00|月下载=|dependents=|score=|quality=|popularity=|maintenance=' || CASE WHEN k % 3 > 0 THEN '|keywords=' || array_to_string(list_transform(range(1, least(k % 9, 6) + 1), lambda i: 'w' || i), ', ') ELSE '' END
+  ELSE '类型=model|like=None|下载=' || metric || '|pipeline=None' END AS facts FROM items"""))
+def f13_row_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that each item's row shows, by its source."""
+    k, text = F.col("k"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    words = F.when(k % 3 > 0, F.transform(F.sequence(F.lit(1), (k % 9).cast("int")), lambda i: text("w", i))).otherwise(F.array().cast("array<string>"))  # k % 9 is above 0 where k % 3 is
+    fields = {
+        "period": F.lit("daily"), "period_stars": _s("metric"), "stars_total": text(k, ".25"), "query": F.lit("agents"), "query_label": F.when(k % 2 == 0, text("q", k)).otherwise(""),
+        "points": _s("metric"), "author": text("u", F.col("user_id")), "daily_rank": _s("k"), "weekly_downloads": _s("metric"), "keywords": F.to_json(words), "resource": F.lit("model"), "downloads": _s("metric"),
+    }
+    metadata = F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*fields.values()))
+    source = F.when(F.col("source") == "npm_registry", "npm_search").otherwise(F.col("source"))
+    return items(spark, sf_dir).select("item_id", F.array_join(facts.row_facts(source, metadata), "|").alias("facts"))
+
+
+@query(with_sql(ITEMS_SQL, then="""SELECT item_id, CASE source WHEN 'github_trending' THEN '{"archived":false,"created_at":null,"default_branch":null,"fork":null,"has_discussions":null,"has_issues":null,"has_pages":null,"homepage":null,"is_template":null,"license":"L' || (k % 3) || '","open_issues_count":null,"owner":"o' || user_id || '","pushed_at":null,"size":' || k || ',"updated_at":null,"visibility":null,"watchers_count":' || metric || '}'
+  WHEN 'huggingface_models' THEN '{"author":null,"disabled":null,"gated":null,"library_name":null,"modelId":"m' || k || '","private":null,"sdk":null,"sha":null,"trendingScore":' || metric || '}'
+  WHEN 'hn_algolia' THEN '{"id":' || item_id || '}' ELSE '{"id":' || item_id || ',"raw":{"a":[' || k || ']}}' END AS raw FROM items"""))
+def f13_compact_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of each item's raw payload, as canonical JSON."""
+    k, text = F.col("k"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    repo = text('{"watchers_count":', F.col("metric"), ',"size":', k, '.0,"archived":false,"name":"x","license":{"name":"L', k % 3, '","spdx_id":null},"owner":{"login":"o', F.col("user_id"), '","id":1}}')
+    model = text('{"trendingScore":', F.col("metric"), ',"tags":["a"],"modelId":"m', k, '"}')
+    other = text('{"raw":{"a":[', k, ']},"id":', F.col("item_id"), "}")
+    s = F.col("source")
+    source = F.when(s == "github_trending", "github_search").when(s == "hn_algolia", "x_tweets").otherwise(s)
+    raw = F.when(s == "github_trending", repo).when(s == "huggingface_models", model).otherwise(other)
+    return items(spark, sf_dir).select("item_id", facts.compact_raw(source, raw).alias("raw"))

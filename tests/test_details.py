@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import scalars as X
-from lodestream.operators import entities, identities, quality, rules, runs, snapshots, windows
+from lodestream.operators import entities, facts, identities, quality, rules, runs, snapshots, windows
 
 
 def test_latest_from_store_opens_only_the_latest_runs(spark, tmp_path):
@@ -171,3 +171,21 @@ def test_sketches_of_runs_merge(spark):
     calls = spark.range(40_000).select((F.col("id") % 7).alias("run"), F.lit("c").alias("component"), (F.col("id") * 7919 % 40_000).alias("latency_ms"))
     merged = quality.merged_quantiles(quality.latency_sketches(calls, ["run", "component"]), ["component"], {"p50": 0.5, "p95": 0.95}).first()
     assert merged.n == 40_000 and abs(merged.p50 / 40_000 - 0.5) < 0.03 and abs(merged.p95 / 40_000 - 0.95) < 0.03
+
+
+def test_facts_and_compact_payloads(spark):
+    rows = [
+        ("github_trending", {"period": "daily", "stars_total": "12"}, ["窗口=daily", "窗口新增star=None", "总star=12.00"]),
+        ("github_search", {"query": "q", "query_label": "", "topics": '["a","b","c","d","e"]'}, ["搜索词=q", "star=None", "fork=None", "最后push=None", "topics=a, b, c, d"]),
+        ("github_movers_trending_repos", {"source_score": "1.5", "topics": "[]"}, ["来源=None", "窗口=None", "rank=/1.5", "source_score=1.50", "star速度=", "fork速度=", "最新sparkline=None"]),
+        ("x_tweets", {"author": "me", "mentioned_projects": '[{"name":"","key":"k"},{"name":"N"}]'}, ["作者=@me", "发布时间=None", "提及=k, N"]),
+        ("npm_search", {"weekly_downloads": "n/a"}, ["搜索词=None", "版本=None", "周下载=n/a", "月下载=", "dependents=", "score=", "quality=", "popularity=", "maintenance="]),
+        ("unknown", {}, []),
+    ]
+    got = spark.createDataFrame(rows, "s string, m map<string,string>, want array<string>").select(facts.row_facts(F.col("s"), F.col("m")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+    raw = [("github_search", "[1,2]"), ("x_tweets", '{"raw":{"a":1},"b":[1.0,{"d":2,"c":null}],"a":null}'), ("npm_search", '{"z":1,"a":2}'), ("x_tweets", "bad"), ("hn", None)]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(raw)], "i int, s string, r string").orderBy("i").select(facts.compact_raw(F.col("s"), F.col("r"))).collect()]
+    assert got == ["[1,2]", '{"a":null,"b":[1,{"c":null,"d":2}]}', '{"a":2,"z":1}', None, None]
+    kept = json.loads(spark.range(1).select(facts.compact_raw(F.lit("github_search"), F.lit('{"license":"MIT","owner":{"login":"a"},"size":5,"x":1}'))).first()[0])
+    assert kept["license"] is None and kept["owner"] == "a" and kept["size"] == 5 and "x" not in kept and set(kept) == set(facts.KEPT["github_search"])
