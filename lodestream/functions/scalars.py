@@ -276,27 +276,43 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
+#: Labels of evidence, the first case that fits counts: source and family (None: any), metrics (none: any),
+#: the text before the value, whether the value is made compact, the text after it.
+EVIDENCE_LABELS = (
+    (None, "github", ("stars_today", "period_stars", "stargazers_delta"), "GH +", True, " stars / 24h"),
+    (None, "hn", ("hn_max_points_7d",), "HN max ", True, " pts / 7d"),
+    (None, "hn", ("hn_score", "score"), "HN front page, ", False, " pts"),
+    ("x_tweets", None, ("x_tier",), "X ", False, ""),
+    ("hn_llm_classifier", None, ("hn_projectness",), "HN classifier: ", False, ""),
+    ("resolver", None, (), "Resolved ", False, ""),
+)
+#: Where evidence comes from, the first case that fits: sources, families, origin.
+ORIGINS = (
+    (("hn_llm_classifier", "x_tweets"), (), "source_classifier"),
+    (("resolver",), ("resolver",), "resolver"),
+    (("github_api", "github_stargazers", "github_backfill", "npm_downloads", "npm_registry"), (), "backfill"),
+    ((), ("cross_source",), "cross_source_rule"),
+)
+
+
+def _first_case(cases: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    return F.coalesce(*[F.when(fits, value) for fits, value in cases], otherwise)
+
+
 def evidence_label(source: Column, family: Column, metric: Column, value: Column) -> Column:
-    n = compact_number(value.try_cast("double"))
-    return (
-        F.when((family == "github") & metric.isin("stars_today", "period_stars", "stargazers_delta"), F.concat(F.lit("GH +"), n, F.lit(" stars / 24h")))
-        .when((family == "hn") & (metric == "hn_max_points_7d"), F.concat(F.lit("HN max "), n, F.lit(" pts / 7d")))
-        .when((family == "hn") & metric.isin("hn_score", "score"), F.concat(F.lit("HN front page, "), value, F.lit(" pts")))
-        .when((source == "x_tweets") & (metric == "x_tier"), F.concat(F.lit("X "), value))
-        .when((source == "hn_llm_classifier") & (metric == "hn_projectness"), F.concat(F.lit("HN classifier: "), value))
-        .when(source == "resolver", F.concat(F.lit("Resolved "), value))
-        .otherwise(F.concat(family, F.lit(": "), metric, F.lit(" "), value))
-    )
+    compact, cases = compact_number(value.try_cast("double")), []
+    for of_source, of_family, metrics, before, short, after in EVIDENCE_LABELS:
+        wanted = [c == v for c, v in ((source, of_source), (family, of_family)) if v] + ([metric.isin(*metrics)] if metrics else [])
+        fits = wanted[0]
+        for w in wanted[1:]:
+            fits = fits & w
+        cases.append((fits, F.concat(F.lit(before), compact if short else value, F.lit(after))))
+    return _first_case(cases, F.concat(family, F.lit(": "), metric, F.lit(" "), value))
 
 
 def origin_type(source: Column, family: Column) -> Column:
-    return (
-        F.when(source.isin("hn_llm_classifier", "x_tweets"), "source_classifier")
-        .when((source == "resolver") | (family == "resolver"), "resolver")
-        .when(source.isin("github_api", "github_stargazers", "github_backfill", "npm_downloads", "npm_registry"), "backfill")
-        .when(family == "cross_source", "cross_source_rule")
-        .otherwise("deterministic_rule")
-    )
+    cases = [(source.isin(*sources) | family.isin(*families), F.lit(origin)) for sources, families, origin in ORIGINS]
+    return _first_case(cases, F.lit("deterministic_rule"))
 
 
 def provenance_badge(origin: Column) -> Column:
