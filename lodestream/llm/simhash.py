@@ -10,8 +10,8 @@ four positions include one of the triples (Turan's construction), so a pair that
 of them at least, and a posting holds 1/16,777,216 of unrelated fingerprints.
 
 Equal fingerprints are one entry. A posting returns links that connect its members, not all its pairs, and a posting
-of more than ``BLOCK`` members is split in blocks that are compared pairwise in tasks of their own, so no task holds
-a large group. Components of the links then carry the least document id.
+of more than ``BLOCK`` members is split in blocks that are compared in tasks of their own, each with itself and each two
+with one another, so no task holds a large group. Components of the links then carry the least document id.
 
 Null and empty texts, and texts without words, have fingerprint 0 and are linked like any other; repeated rows each
 get a row; a null id gets a row but names no component unless all ids of its component are null; an empty table
@@ -118,6 +118,22 @@ def _links_of(members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _links_between(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same between two blocks of a posting: a member is compared with the other block's alone, since each block is also compared with itself."""
+    out, rest = [], [a, b]
+    while len(rest[0]) and len(rest[1]):
+        front, rest[0] = [(0, rest[0][0])], rest[0][1:]
+        while front:
+            side, x = front.pop()
+            other = rest[1 - side]
+            near = _linked(np.full(len(other), x), other) if len(other) else ()
+            if len(near):
+                out.append((np.full(len(near), x), other[near]))
+                front += [(1 - side, v) for v in other[near]]
+                rest[1 - side] = np.delete(other, near)
+    return out
+
+
 def posting_links(groups: np.ndarray, fps: np.ndarray, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``groups``: short runs all at once, offset by offset, long runs one by one."""
     n = len(fps)
@@ -147,16 +163,24 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
     large = large.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = postings.join(large, "key", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "blocks")).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("fp", "key", "own", other.alias("other")).select("fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("fp", "key", "own", other.alias("other"))
+    dealt = dealt.select("fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows):
-                same = (rows[1:, 1:] == rows[:-1, 1:]).all(1)
+                same = (rows[1:, 1:4] == rows[:-1, 1:4]).all(1)
                 group = np.concatenate(([0], np.cumsum(~same)))
-                a, b = posting_links(group, np.ascontiguousarray(rows[:, 0]).view(np.uint64))
+                fps = np.ascontiguousarray(rows[:, 0]).view(np.uint64)
+                alone = rows[:, 2] == rows[:, 3]
+                found = [posting_links(group[alone], fps[alone])] if alone.any() else []
+                for g in np.unique(group[~alone]):
+                    of = slice(np.searchsorted(group, g, "left"), np.searchsorted(group, g, "right"))
+                    second = rows[of, 4] == 1
+                    found += _links_between(fps[of][~second], fps[of][second])
+                a, b = (np.concatenate([np.zeros(0, np.uint64), *[f[k] for f in found]]) for k in (0, 1))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -164,11 +188,11 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)
-            last = int(np.argmax((rows[:, 1:] == rows[-1, 1:]).all(1)))  # where the run that may go on begins
+            last = int(np.argmax((rows[:, 1:4] == rows[-1, 1:4]).all(1)))  # where the run that may go on begins
             if last:
                 yield from out(np.concatenate([*held, rows[:last]]))
                 held = [rows[last:]]
-            elif held and (held[0][0, 1:] != rows[0, 1:]).any():
+            elif held and (held[0][0, 1:4] != rows[0, 1:4]).any():
                 yield from out(np.concatenate(held))
                 held = [rows]
             else:
@@ -177,7 +201,7 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
             yield from out(np.concatenate(held))
 
     sorted_postings = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = sorted_postings.select("fp", "key", "i", "j").mapInArrow(run, "a long, b long")
+    found = sorted_postings.select("fp", "key", "i", "j", "second").mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
