@@ -65,7 +65,10 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def binary_array(data: np.ndarray, offs: np.ndarray) -> pa.Array:
     """A binary column of the slices of ``data`` between ``offs`` (bytes)."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(offs) - 1,
+        [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    ).cast(pa.binary())
 
 
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -93,7 +96,9 @@ BITMAP_BITS = 26
 def key_bitmap(keys: DataFrame, key: Column) -> np.ndarray:
     """A bitmap of hashed keys. Its size is fixed, so it may be broadcast; it admits every key and few others."""
     place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
-    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")
+    ).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     out[np.asarray(words["w"])] = np.asarray(words["b"]).view(np.uint64)
     return out

@@ -42,7 +42,9 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{id_col} is of type {kind.simpleString()}, not of an integer type")
     v = F.col(vector_col)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).filter(
+        F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
+    )
     rows = rows.filter(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
     common = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
     return rows.filter(F.size("vec") == (common[0]["n"] if common else 0))
@@ -134,7 +136,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _nearest(rough: np.ndarray, slack: float, matrix: np.ndarray, ids: np.ndarray, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(
+    rough: np.ndarray, slack: float, matrix: np.ndarray, ids: np.ndarray, at: np.ndarray, query: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows ``at``: places and scores of the k best ids, ties to the smaller id, each id once.
 
     ``rough`` scores, right to within ``slack``, pick candidates with room for it and for ids met in several tables; the
@@ -207,7 +211,9 @@ def search_cells(rows: DataFrame, k: int, own: bool = True) -> DataFrame:
                     near, score = _nearest(block[(r - a) % QUERY_ROWS, at], slack, matrix, members, at, vec[r], k)
                     out.append((np.full(len(near), ids[r]), members[near], score))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["query_id", "vec_id", "score"]
+                    )
 
     return rows.select("cell", "kind", "id", "vec", "codes").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -215,10 +221,16 @@ def search_cells(rows: DataFrame, k: int, own: bool = True) -> DataFrame:
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+    )
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(
+    df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES,
+    hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
+    cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``is_query`` holds (of ``id``), its own id aside."""
     spark = df.sparkSession
     rows = valid_vectors(df, id_col, vector_col)
@@ -238,7 +250,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                 part = batch.slice(a, 2048)
                 codes = table.value.of_rows(_matrix(part.column(1)))
                 times = pa.array(np.repeat(np.arange(part.num_rows), codes.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(times), part.column(1).take(times), pa.array(codes.ravel())], ["id", "vec", "code"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(times), part.column(1).take(times), pa.array(codes.ravel())], ["id", "vec", "code"]
+                )
 
     index = rows.mapInArrow(coded, f"id long, vec array<{item}>, code long")
     slim = index.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
@@ -265,7 +279,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
                     out_cell += cell[first].tolist()
                     lists += np.split(own, first[1:])
                 take = pa.array(out_row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(out_cell, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array(lists, pa.list_(pa.int64()))], ["cell", "id", "vec", "codes"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(out_cell, pa.int64()), part.column(0).take(take), part.column(1).take(take),
+                        pa.array(lists, pa.list_(pa.int64()))
+                    ],
+                    ["cell", "id", "vec", "codes"]
+                )
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = parts.value
@@ -282,18 +302,28 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(1), lists], ["cell", "id", "vec", "codes"])
 
     shape = f"cell long, id long, vec array<{item}>, codes array<long>"
-    dealt = index.mapInArrow(placed, shape).withColumn("kind", F.lit(0)).unionByName(queries.mapInArrow(visits, shape).withColumn("kind", F.lit(1)))
+    dealt = index.mapInArrow(placed, shape).withColumn("kind", F.lit(0)).unionByName(
+        queries.mapInArrow(visits, shape).withColumn("kind", F.lit(1))
+    )
     dealt = dealt.repartition(cells, "cell").sortWithinPartitions("cell", "kind")
     found = written(_ranked(search_cells(dealt, k), k), "ann")
     enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
-    few = queries.join(enough, F.col("id") == F.col("query_id"), "left").filter(F.coalesce("got", F.lit(0)) < min(k, n - 1)).select("id", "vec")
+    few = queries.join(
+        enough, F.col("id") == F.col("query_id"), "left"
+    ).filter(F.coalesce("got", F.lit(0)) < min(k, n - 1)).select("id", "vec")
     few = written(few, "ann-few")
     if few.isEmpty():
         return found
     blocks = max(1, -(-n // cell_rows))
     none = F.array().cast("array<long>")
-    whole = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("kind"), "id", "vec", F.array(F.lit(0).cast("long")).alias("codes"))
-    asked = few.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("cell"), F.lit(1).alias("kind"), "id", "vec", none.alias("codes"))
+    whole = rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("kind"), "id", "vec",
+        F.array(F.lit(0).cast("long")).alias("codes")
+    )
+    asked = few.select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("cell"), F.lit(1).alias("kind"), "id", "vec",
+        none.alias("codes")
+    )
     again = _ranked(search_cells(whole.unionByName(asked).repartition(blocks, "cell").sortWithinPartitions("cell", "kind"), k), k)
     return found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
@@ -304,7 +334,10 @@ def _part_code(code: int, piece: np.ndarray) -> np.ndarray:
     return np.where(piece == 0, np.int64(code), apart)
 
 
-def rows_met(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, seed: int = SEED) -> DataFrame:
+def rows_met(
+    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES,
+    probes: int = PROBES, width: float = WIDTH, seed: int = SEED
+) -> DataFrame:
     """query_id, met: the rows in the buckets that a query visits, a row counted once a table: what the probes leave to compare."""
     rows = valid_vectors(df, id_col, vector_col)
     about = rows.agg(F.max(_norm("vec")).alias("norm"), F.max(F.size("vec")).alias("dim")).first()
@@ -326,9 +359,17 @@ def rows_met(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     return asked.join(held, "code", "left").groupBy("query_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("met"))
 
 
-def exact(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 8) -> DataFrame:
+def exact(
+    df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 8
+) -> DataFrame:
     """The same by comparing every query with every row, in blocks: the measure of recall."""
     rows = valid_vectors(df, id_col, vector_col)
-    whole = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("kind"), "id", "vec", F.array(F.lit(0).cast("long")).alias("codes"))
-    asked = rows.filter(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("cell"), F.lit(1).alias("kind"), "id", "vec", F.array().cast("array<long>").alias("codes"))
+    whole = rows.select(
+        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("cell"), F.lit(0).alias("kind"), "id", "vec",
+        F.array(F.lit(0).cast("long")).alias("codes")
+    )
+    asked = rows.filter(is_query).select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("cell"), F.lit(1).alias("kind"), "id", "vec",
+        F.array().cast("array<long>").alias("codes")
+    )
     return _ranked(search_cells(whole.unionByName(asked).repartition(blocks, "cell").sortWithinPartitions("cell", "kind"), k), k)

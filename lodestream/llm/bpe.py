@@ -209,7 +209,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_c
             raw, offs = utf8(batch.column(1))
             for a, b, ids, counts in encode_chunks(raw, offs, table.value.encode):
                 ends = np.concatenate(([0], np.cumsum(counts))) * 4
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binary_array(ids.astype("<u4").view(np.uint8), ends)], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), binary_array(ids.astype("<u4").view(np.uint8), ends)], [id_col, "ids"]
+                )
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
@@ -226,7 +228,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", ids_co
                 own = offs[a : b + 1] - offs[a]
                 ids = np.frombuffer(raw[offs[a] : offs[b]].tobytes(), "<u4")
                 data, ends = table.value.decode(ids, np.diff(own) // 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.binary()), binary_array(data, ends)], [id_col, ids_col, "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).cast(pa.binary()), binary_array(data, ends)],
+                    [id_col, ids_col, "decoded"]
+                )
 
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` binary, decoded binary")
 

@@ -32,7 +32,9 @@ BEGIN, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
 
 
 def _turn_hash(salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), "pos", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    return F.xxhash64(
+        F.lit(salt), "pos", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))
+    )
 
 
 def with_prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -58,7 +60,9 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     Copies are reduced to their least id, and prefixes to distinct ones, before the two meet.
     """
     mark = ["n", "h1", "h2"]
-    whole = prefixes.filter("pos = n_turns").groupBy(F.col("pos").alias("n"), "h1", "h2").agg(F.min(F.struct(F.col("conv.id").isNull().alias("none"), "conv")).alias("k"))
+    whole = prefixes.filter("pos = n_turns").groupBy(F.col("pos").alias("n"), "h1", "h2").agg(
+        F.min(F.struct(F.col("conv.id").isNull().alias("none"), "conv")).alias("k")
+    )
     proper = prefixes.filter("pos < n_turns").select(F.col("pos").alias("n"), "h1", "h2").distinct()
     return whole.join(proper, mark, "left_anti").select("k.conv")
 

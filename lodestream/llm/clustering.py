@@ -72,10 +72,15 @@ def rotation(found: DataFrame, vector_col: str) -> tuple[np.ndarray, np.ndarray]
             v = np.clip(_scaled(_floats(batch.column(0)))[0], -SMALL, SMALL)
             total, moment, n = total + v.sum(0), moment + v.T @ v, n + len(v)
         if n:
-            yield pa.RecordBatch.from_pydict({"i": list(range(SIZE)), "n": [n] * SIZE, "s": total.tolist(), "m": moment.tolist()}, schema=pa.schema([("i", pa.int32()), ("n", pa.int64()), ("s", pa.float64()), ("m", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pydict(
+                {"i": list(range(SIZE)), "n": [n] * SIZE, "s": total.tolist(), "m": moment.tolist()},
+                schema=pa.schema([("i", pa.int32()), ("n", pa.int64()), ("s", pa.float64()), ("m", pa.list_(pa.float64()))])
+            )
 
     parts = found.select(vector_col).mapInArrow(run, "i int, n long, s double, m array<double>")
-    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.col("m")[j]) for j in range(SIZE)]).alias("m")).orderBy("i").collect()
+    rows = parts.groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.col("m")[j]) for j in range(SIZE)]).alias("m")
+    ).orderBy("i").collect()
     if not rows:
         return np.zeros(SIZE), np.eye(SIZE)
     n, mean = rows[0]["n"], np.array([r["s"] for r in rows]) / rows[0]["n"]
@@ -96,7 +101,10 @@ def stored(found: DataFrame, id_col: str, vector_col: str, lead: int = LEAD) ->
             turned = (np.where(small[:, None], v, 0.0) - mean) @ axes
             ints = [row if ok else None for row, ok in zip(np.where(small[:, None], v, 0).astype(np.int32).tolist(), small, strict=True)]
             wide = [None if ok else [str(_whole(x)) for x in row.tolist()] for row, ok in zip(values, small, strict=True)]
-            columns = [batch.column(0), pa.array(ints, pa.list_(pa.int32())), pa.array(wide, pa.list_(pa.string())), pa.array(turned[:, :lead].tolist(), pa.list_(pa.float64())), pa.array(np.linalg.norm(turned[:, lead:], axis=1))]
+            columns = [
+                batch.column(0), pa.array(ints, pa.list_(pa.int32())), pa.array(wide, pa.list_(pa.string())),
+                pa.array(turned[:, :lead].tolist(), pa.list_(pa.float64())), pa.array(np.linalg.norm(turned[:, lead:], axis=1))
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "ints", "wide", "lead", "rest"])
 
     rows = kept.mapInArrow(run, f"id {kind}, ints array<int>, wide array<string>, lead array<double>, rest double")
@@ -196,7 +204,9 @@ def _digits(x: int) -> list[int]:
 
 def _sums(rows: DataFrame, centroids: Centroids) -> DataFrame:
     """cluster, digit, n, worked, s: exact sums of each cluster's vectors; digit -1 has those of small integers, the others a digit of the large ones'."""
-    schema = pa.schema([("cluster", pa.int32()), ("digit", pa.int32()), ("n", pa.int64()), ("worked", pa.int64()), ("s", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("cluster", pa.int32()), ("digit", pa.int32()), ("n", pa.int64()), ("worked", pa.int64()), ("s", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(centroids.whole)
@@ -209,10 +219,18 @@ def _sums(rows: DataFrame, centroids: Centroids) -> DataFrame:
                     large[int(cluster[0])] = [x + y for x, y in zip(large.get(int(cluster[0]), [0] * SIZE), ints[0], strict=True)]
                 else:
                     np.add.at(total, cluster, ints)
-        rows = [{"cluster": c, "digit": -1, "n": int(count[c]), "worked": worked * (c == 0), "s": total[c].tolist()} for c in range(k) if count[c] or c == 0]
+        rows = [
+            {
+                "cluster": c, "digit": -1, "n": int(count[c]), "worked": worked * (c == 0), "s": total[c].tolist()
+            } for c in range(k) if count[c] or c == 0
+        ]
         for c, whole in large.items():
             digits = [_digits(x) for x in whole]
-            rows += [{"cluster": c, "digit": d, "n": 0, "worked": 0, "s": [x[d] if d < len(x) else 0 for x in digits]} for d in range(max(map(len, digits)))]
+            rows += [
+                {
+                    "cluster": c, "digit": d, "n": 0, "worked": 0, "s": [x[d] if d < len(x) else 0 for x in digits]
+                } for d in range(max(map(len, digits)))
+            ]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     parts = rows.mapInArrow(run, "cluster int, digit int, n long, worked long, s array<long>")
@@ -239,7 +257,9 @@ def moved(rows: DataFrame, centroids: Centroids) -> tuple[list[list[int]], int]:
     return [[x // count[k] for x in total[k]] if count.get(k) else c for k, c in enumerate(centroids.whole)], worked
 
 
-def clustered(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, rounds: int = ROUNDS, lead: int = LEAD) -> DataFrame:
+def clustered(
+    df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, rounds: int = ROUNDS, lead: int = LEAD
+) -> DataFrame:
     """id_col, cluster, distance, cluster_inertia, inertia, centroid_sha256 for every usable vector."""
     rows, mean, axes = stored(df, id_col, vector_col, lead)
     whole = first_centroids(rows, k)
@@ -256,7 +276,9 @@ def clustered(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cluster), pa.array(distance)], ["id", "cluster", "distance"])
 
     done = written(rows.mapInArrow(run, f"id {kind}, cluster int, distance long"), "clusters")
-    sums = {r["cluster"]: int(r["d"]) for r in done.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}
+    sums = {
+        r["cluster"]: int(r["d"]) for r in done.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()
+    }
     own = F.array(*[F.lit(min(sums.get(c, 0), MOST)).cast("long") for c in range(max(len(whole), 1))])
     names = F.array(*[F.lit(sha256(",".join(map(str, c)).encode()).hexdigest()) for c in whole] or [F.lit("")])
     at = F.col("cluster") + 1
@@ -270,14 +292,18 @@ def _oracle() -> str:
     """SQL of the clusters, a pair of tables a round."""
     near = "list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     parts = [
-        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: isfinite(x))) = {SIZE})",
-        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM v QUALIFY k < {K})",
+        f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: isfinite(x))) = {SIZE})""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k, v AS c FROM v QUALIFY k < {K})""",
     ]
     for i in range(ROUNDS + 1):
-        parts.append(f"a{i} AS (SELECT r, vec_id, v, k, d FROM (SELECT v.*, c.k, {near} AS d FROM v CROSS JOIN c{i} c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        parts.append(
+            f"""a{i} AS (SELECT r, vec_id, v, k, d FROM (SELECT v.*, c.k, {near} AS d FROM v CROSS JOIN c{i} c) QUALIFY row_number() OVER (PARTITION BY r
+  ORDER BY d, k) = 1)"""
+        )
         if i < ROUNDS:
             parts.append(
-                f"m{i} AS (SELECT k, list(f ORDER BY j) AS c FROM (SELECT k, j, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS f"
+                f"""m{i} AS (SELECT k, list(f ORDER BY j) AS c FROM (SELECT k, j, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS f"""
                 f" FROM (SELECT k, unnest(v) AS x, unnest(range({SIZE})) AS j FROM a{i}) GROUP BY k, j) GROUP BY k),\n"
                 f"c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"
             )

@@ -73,7 +73,9 @@ def _schema(spark: SparkSession, path: str, id_col: str, text_col: str) -> T.Str
 
 
 def _entry(id_type: T.DataType) -> T.StructType:
-    mark = T.StructType().add("longer", T.LongType()).add("nameless", T.BooleanType()).add("id", id_type).add("file", T.StringType()).add("row", T.LongType())
+    mark = T.StructType().add("longer", T.LongType()).add(
+        "nameless", T.BooleanType()
+    ).add("id", id_type).add("file", T.StringType()).add("row", T.LongType())
     return T.StructType().add("digest", T.StringType()).add("kept", mark).add("n", T.LongType())
 
 
@@ -85,10 +87,15 @@ def _rows(read: DataFrame, id_col: str, text_col: str, digest: Callable[[Column]
         (-F.length(text)).cast("long").alias("longer"), F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"),
         where["file_path"].alias("file"), where["row_index"].alias("row"),
     )
-    return read.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("form"), mark.alias("mark")).withColumn("digest", digest(F.col("form")))
+    return read.select(
+        F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("form"), mark.alias("mark")
+    ).withColumn("digest", digest(F.col("form")))
 
 
-def registered(spark: SparkSession, path: str, work: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, **limits: int):
+def registered(
+    spark: SparkSession, path: str, work: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
+    **limits: int
+):
     """Start the stream over the files of ``path`` that ``work`` has not seen; returns the query, which ends when they are read.
 
     Every micro-batch writes the entries that it hit under ``work``/hits, one folder an epoch, so a replayed batch
@@ -96,7 +103,9 @@ def registered(spark: SparkSession, path: str, work: str, id_col: str = "doc_id"
     """
     files = path.rstrip("/")
     files = f"{files[:-1]}[{files[-1]}]"  # a pattern of one name: the source takes a folder or a single file by it, but a file by no plain name
-    read = spark.readStream.schema(_schema(spark, path, id_col, text_col)).options(**(limits or {"maxBytesPerTrigger": BYTES_A_TRIGGER})).parquet(files)
+    read = spark.readStream.schema(_schema(spark, path, id_col, text_col)).options(
+        **(limits or {"maxBytesPerTrigger": BYTES_A_TRIGGER})
+    ).parquet(files)
     entries = _rows(read, id_col, text_col, digest).groupBy("digest").agg(F.min("mark").alias("kept"), F.count(F.lit(1)).alias("n"))
 
     def hits(batch: DataFrame, epoch: int) -> None:
@@ -105,7 +114,9 @@ def registered(spark: SparkSession, path: str, work: str, id_col: str = "doc_id"
     id_type = _schema(spark, path, id_col, text_col)[0].dataType
     spark.createDataFrame([], _entry(id_type)).write.mode("overwrite").parquet(f"{work}/hits/epoch=-1")
     with _settings(spark, _STATE):
-        return entries.writeStream.outputMode("update").foreachBatch(hits).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+        return entries.writeStream.outputMode("update").foreachBatch(hits).option(
+            "checkpointLocation", f"{work}/state"
+        ).trigger(availableNow=True).start()
 
 
 def hit_entries(spark: SparkSession, work: str, id_type: T.DataType) -> DataFrame:
@@ -117,7 +128,9 @@ def hit_entries(spark: SparkSession, work: str, id_type: T.DataType) -> DataFram
 def _with_entries(rows: DataFrame, entries: DataFrame, total: int) -> DataFrame:
     """``rows`` with kept and n, null where the digest was never hit. Hot digests meet their rows by a broadcast of
     fewer than ``HOT`` entries, so no task holds a third of the table; the others by a shuffle."""
-    hot = F.broadcast(entries.filter(F.col("n") * HOT > total).select(F.col("digest").alias("_hot"), F.col("kept").alias("_kept"), F.col("n").alias("_n")))
+    hot = F.broadcast(
+        entries.filter(F.col("n") * HOT > total).select(F.col("digest").alias("_hot"), F.col("kept").alias("_kept"), F.col("n").alias("_n"))
+    )
     dealt = rows.join(hot, F.col("digest") == F.col("_hot"), "left")
     near = dealt.filter("_hot is not null").select(*rows.columns, F.col("_kept").alias("kept"), F.col("_n").alias("n"))
     rest = dealt.filter("_hot is null").select(*rows.columns)
@@ -136,7 +149,10 @@ def mixed_digests(rows: DataFrame, entries: DataFrame) -> DataFrame:
     return ends.filter("least != most").select("digest")
 
 
-def deduplicated(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", work: str | None = None, digest: Callable[[Column], Column] = sha256, **limits: int) -> DataFrame:
+def deduplicated(
+    spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", work: str | None = None,
+    digest: Callable[[Column], Column] = sha256, **limits: int
+) -> DataFrame:
     """id_col, keep_id, group_size, kept, text_sha256 for every row of the Parquet files under ``path``."""
     work = work or f"{shared_dir(spark)}/lodestream/exact-{uuid.uuid4().hex}"
     registered(spark, path, work, id_col, text_col, digest, **limits).awaitTermination()
@@ -155,9 +171,14 @@ def deduplicated(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
         told = rows.join(mixed, "digest", "left_semi")
         groups = told.groupBy("digest", "form").agg(F.min("mark").alias("kept"), F.count(F.lit(1)).alias("n"))
         told = told.join(groups, ["digest", "form"]).select("id", "digest", sha256(F.col("form")).alias("sha"), "mark", "kept", "n")
-        both = _with_entries(plain.join(mixed, "digest", "left_anti"), entries.join(mixed, "digest", "left_anti"), read.count()).unionByName(told)
+        both = _with_entries(
+            plain.join(mixed, "digest", "left_anti"), entries.join(mixed, "digest", "left_anti"), read.count()
+        ).unionByName(told)
     kept = F.coalesce(F.col("kept"), own)
-    return both.select(F.col("id").alias(id_col), kept["id"].alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (kept == own).alias("kept"), F.col("sha").alias("text_sha256"))
+    return both.select(
+        F.col("id").alias(id_col), kept["id"].alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        (kept == own).alias("kept"), F.col("sha").alias("text_sha256")
+    )
 
 
 ORACLE_SQL = r"""

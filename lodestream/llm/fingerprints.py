@@ -68,7 +68,9 @@ def canonical_forms(df: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms = [canonical(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(f) for f in forms], pa.binary()), pa.array(forms, pa.binary())], ["hash", "form"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_128_digest(f) for f in forms], pa.binary()), pa.array(forms, pa.binary())], ["hash", "form"]
+            )
 
     return df.select(text_col).mapInArrow(run, "hash binary, form binary")
 
@@ -79,7 +81,9 @@ def named(digest: str, sha: str, mixed: DataFrame | None, df: DataFrame) -> Data
     if mixed is None:
         return df.withColumn(digest, plain)
     marked = df.join(mixed.select(F.col("hash").alias("_mixed")), F.col(digest) == F.col("_mixed"), "left")
-    return marked.withColumn(digest, F.when(F.col("_mixed").isNull(), plain).otherwise(F.concat_ws("-", plain, F.lower(F.hex(sha))))).drop("_mixed")
+    return marked.withColumn(
+        digest, F.when(F.col("_mixed").isNull(), plain).otherwise(F.concat_ws("-", plain, F.lower(F.hex(sha))))
+    ).drop("_mixed")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +93,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [digests(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in got], pa.binary()), pa.array([s for _, s in got], pa.binary())], [id_col, "fingerprint", "sha"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h for h, _ in got], pa.binary()), pa.array([s for _, s in got], pa.binary())],
+                [id_col, "fingerprint", "sha"]
+            )
 
     rows = written(df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fingerprint binary, sha binary"), "fingerprints")
     shared = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("fingerprint").alias("hash"))
@@ -147,9 +154,13 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = written(ordered.mapInArrow(run, spec), "pairs")
     edge = rows.filter("place != 'pair'").select(F.col(id_col).alias("id"), "part", "place", "body")
-    firsts = edge.filter("place = 'first'").select(F.col("part").alias("next_part"), F.col("id").alias("next_id"), F.col("body").alias("next_body"))
+    firsts = edge.filter("place = 'first'").select(
+        F.col("part").alias("next_part"), F.col("id").alias("next_id"), F.col("body").alias("next_body")
+    )
     whole = Window.orderBy("part")  # one number for each partition; the texts meet by a join
-    after = edge.filter("place = 'first'").select("part", F.coalesce(F.lead("part").over(whole), F.first("part").over(whole)).alias("next_part"))
+    after = edge.filter("place = 'first'").select(
+        "part", F.coalesce(F.lead("part").over(whole), F.first("part").over(whole)).alias("next_part")
+    )
     lasts = edge.filter("place = 'last'").join(after, "part").join(firsts, "next_part").select("id", "body", "next_id", "next_body", "part")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +198,9 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             got = [(canonical(edited(t or "", n or "")), eh) for t, n, eh in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             got = [(eh, f) for f, eh in got if xxhash.xxh3_128_digest(f) == eh]  # repeated ids pair more texts than were
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.binary()), pa.array([f for _, f in got], pa.binary())], ["hash", "form"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in got], pa.binary()), pa.array([f for _, f in got], pa.binary())], ["hash", "form"]
+            )
 
     forms = forms.union(changed.mapInArrow(run, "hash binary, form binary"))
     mixed = written(mixed_buckets(forms), "mixed")
@@ -195,4 +208,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     for digest, sha in (("h", "hs"), ("eh", "ehs"), ("nh", "nhs")):
         pairs = named(digest, sha, some, pairs)
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return pairs.select(id_col, "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("h").alias("fingerprint"), F.col("eh").alias("edited_fingerprint"), same("h", "eh").alias("near_edited"), same("h", "nh").alias("near_next"))
+    return pairs.select(
+        id_col, "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("h").alias("fingerprint"),
+        F.col("eh").alias("edited_fingerprint"), same("h", "eh").alias("near_edited"), same("h", "nh").alias("near_next")
+    )

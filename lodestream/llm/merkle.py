@@ -196,14 +196,20 @@ def manifest(rows: DataFrame) -> list[DataFrame]:
         blocks = part.groupBy("tree", "block").applyInArrow(built(at), spec)
         out.append(written(blocks, f"merkle-{at}"))
         root = F.substring("nodes", 1, 32)
-        now = out[-1].select("tree", "n", "levels", F.col("block").alias("pos"), root.alias("leaf"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("binary").alias("claim"))
+        now = out[-1].select(
+            "tree", "n", "levels", F.col("block").alias("pos"), root.alias("leaf"),
+            F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("binary").alias("claim")
+        )
     return out
 
 
 def tree_roots(blocks: list[DataFrame]) -> DataFrame:
     """tree, root of every tree."""
     last = [len(bands(k)) - 1 for k in range(1, MOST_LEVELS + 1)]
-    tops = [b.filter(_by_levels(F.col("levels"), last) == at).select("tree", F.substring("nodes", 1, 32).alias("root")) for at, b in enumerate(blocks)]
+    tops = [
+        b.filter(_by_levels(F.col("levels"), last) == at).select("tree", F.substring("nodes", 1, 32).alias("root")) for at,
+        b in enumerate(blocks)
+    ]
     out = tops[0]
     for t in tops[1:]:
         out = out.union(t)
@@ -215,7 +221,9 @@ def stored_nodes(blocks: list[DataFrame]) -> DataFrame:
     out = None
     for b in blocks:
         every = F.explode(F.sequence(F.lit(0), (F.octet_length("nodes") / 32).cast("int") - 1))
-        nodes = b.select("tree", "address", "nodes", every.alias("k")).select("tree", (F.col("address") + F.col("k")).alias("address"), F.expr("substring(nodes, k * 32 + 1, 32)").alias("digest"))
+        nodes = b.select("tree", "address", "nodes", every.alias("k")).select(
+            "tree", (F.col("address") + F.col("k")).alias("address"), F.expr("substring(nodes, k * 32 + 1, 32)").alias("digest")
+        )
         nodes = nodes.filter(F.col("digest") != F.lit(bytes(32)))
         out = nodes if out is None else out.union(nodes)
     return out
@@ -285,7 +293,12 @@ def _walk(blocks: list[DataFrame], tops: DataFrame, leaf_spec: str, leaf_rows) -
                         below = [b["below"][i : i + 32].hex() for i in range(0, len(b["below"]), 32)]
                         sides = _sides([below, *_levels_within(b["nodes"], own, -(-len(below) // FAN))])
                         first = b["block"] * FAN**own
-                        rows = [{"tree": b["tree"], "block": first + i, "subroot": b["subroot"], "root": b["root"], "sides": [{"before": x, "after": y} for x, y in [*_own(sides, i), *above]]} for i in range(len(below))]
+                        rows = [
+                            {
+                                "tree": b["tree"], "block": first + i, "subroot": b["subroot"], "root": b["root"],
+                                "sides": [{"before": x, "after": y} for x, y in [*_own(sides, i), *above]]
+                            } for i in range(len(below))
+                        ]
                     for i in range(0, len(rows), 1024):
                         yield pa.RecordBatch.from_pylist(rows[i : i + 1024], schema=arrow)
 
@@ -295,10 +308,15 @@ def _walk(blocks: list[DataFrame], tops: DataFrame, leaf_spec: str, leaf_rows) -
     paths = None
     for at in range(len(blocks) - 1, -1, -1):
         here = blocks[at].alias("b")
-        begin = tops.join(here.filter(_by_levels(F.col("levels"), starts) == at).select(F.col("tree").alias("_t")).distinct(), F.col("tree").eqNullSafe(F.col("_t")), "left_semi")
+        begin = tops.join(
+            here.filter(_by_levels(F.col("levels"), starts) == at).select(F.col("tree").alias("_t")).distinct(),
+            F.col("tree").eqNullSafe(F.col("_t")), "left_semi"
+        )
         paths = begin if paths is None else begin.unionByName(paths)
         p = paths.alias("p")
-        met = here.join(p, F.col("b.tree").eqNullSafe(F.col("p.tree")) & (F.col("b.block") == F.col("p.block"))).select("b.*", "p.subroot", "p.root", "p.sides")
+        met = here.join(
+            p, F.col("b.tree").eqNullSafe(F.col("p.tree")) & (F.col("b.block") == F.col("p.block"))
+        ).select("b.*", "p.subroot", "p.root", "p.sides")
         spec = leaf_spec if at == 0 else path_spec
         paths = met.mapInArrow(step(at, spec), spec)
     return paths
@@ -308,13 +326,24 @@ def table_tops(blocks: list[DataFrame]) -> DataFrame:
     """tree, block = 0, subroot, root, sides of each tree, from the tree over the trees' roots; that one is built here."""
     roots = tree_roots(blocks)
     kind = roots.schema["tree"].dataType.simpleString()
-    rows = roots.select(F.lit(0).alias("tree"), F.col("tree").alias("id"), F.col("root").alias("leaf"), F.lit(None).cast("binary").alias("claim"))
+    rows = roots.select(
+        F.lit(0).alias("tree"), F.col("tree").alias("id"), F.col("root").alias("leaf"), F.lit(None).cast("binary").alias("claim")
+    )
     over = manifest(spread_ranked(rows, "pos", [], [F.col("id").asc_nulls_first()], total="n").withColumn("pos", F.col("pos") - 1))
-    top = tree_roots(over).select("tree", F.lit(0).cast("long").alias("block"), F.lower(F.hex("root")).alias("subroot"), F.lower(F.hex("root")).alias("root"), F.array().cast(_SIDES).alias("sides"))
+    top = tree_roots(over).select(
+        "tree", F.lit(0).cast("long").alias("block"), F.lower(F.hex("root")).alias("subroot"), F.lower(F.hex("root")).alias("root"),
+        F.array().cast(_SIDES).alias("sides")
+    )
 
     def of_each(b: dict, found: list[list[str]], above: list[tuple[str, str]]) -> list[dict]:
         sides = _sides(found)
-        return [{"tree": s, "block": 0, "subroot": found[0][i], "root": b["root"], "sides": [{"before": x, "after": y} for x, y in [*_own(sides, i), *above]]} for i, s in enumerate(b["ids"])]
+        return [
+            {
+                "tree": s, "block": 0, "subroot": found[0][i], "root": b["root"],
+                "sides": [{"before": x, "after": y} for x, y in [*_own(sides, i), *above]]
+            } for i,
+            s in enumerate(b["ids"])
+        ]
 
     return _walk(over, top, f"tree {kind}, block long, subroot string, root string, sides {_SIDES}", of_each)
 
@@ -336,7 +365,12 @@ def proved(blocks: list[DataFrame], tops: DataFrame, id_col: str = "doc_id") ->
             if block_root not in known:
                 known[block_root] = folded(block_root, above)
             root = known[block_root]
-            out.append({id_col: ident, "leaf": found[0][i], "subroot": b["subroot"], "root": b["root"], "proof_sha256": proof, "folded_root": root, "verified": root == b["root"]})
+            out.append(
+                {
+                    id_col: ident, "leaf": found[0][i], "subroot": b["subroot"], "root": b["root"], "proof_sha256": proof,
+                    "folded_root": root, "verified": root == b["root"]
+                }
+            )
         return out
 
     return _walk(blocks, tops, spec, of_each)
@@ -356,9 +390,15 @@ def _oracle(depth: int = 7) -> str:
     def tree(name: str, leaf: str) -> str:
         parts = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM ({leaf}))"]
         for k in range(depth):
-            parts.append(f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM (SELECT s, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{k} WHERE c > 1 GROUP BY s, pos // 16))")
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM (SELECT s, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h
+  FROM {name}{k} WHERE c > 1 GROUP BY s, pos // 16))"""
+            )
             run = "PARTITION BY s, pos // 16 ORDER BY pos"
-            sides = ", ".join(f"coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN {a} AND {b}), '') AS {c}" for a, b, c in (("UNBOUNDED PRECEDING", "1 PRECEDING", "x"), ("1 FOLLOWING", "UNBOUNDED FOLLOWING", "y")))
+            sides = ", ".join(
+                f"coalesce(string_agg(h, '') OVER ({run} ROWS BETWEEN {a} AND {b}), '') AS {c}" for a, b,
+                c in (("UNBOUNDED PRECEDING", "1 PRECEDING", "x"), ("1 FOLLOWING", "UNBOUNDED FOLLOWING", "y"))
+            )
             parts.append(f"{name}{k}s AS (SELECT s, pos, {sides} FROM {name}{k} WHERE c > 1)")
         ends = " UNION ALL ".join(f"SELECT s, h FROM {name}{k} WHERE c = 1" for k in range(depth + 1))
         return ",\n".join([*parts, f"{name}r AS ({ends})"])

@@ -33,7 +33,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def source_targets(
+    sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS
+) -> DataFrame:
     """source, source_size, weight, target from (source, source_size): one row per source.
 
     Water filling: sources whose cap of ``max_repeats`` times their size is reached stop there, in order of cap per
@@ -53,12 +55,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
     level = (F.col("_all") - F.col("_capped")) / F.col("_open")  # if this source and all after it are open
     table = table.withColumn("_level", F.when(level * F.col("weight") <= F.col("_cap"), level))
-    fill = F.min(F.when(F.col("_level").isNotNull(), F.struct((F.col("_cap") / F.col("weight")).alias("need"), F.col("_n"), F.col("_level")))).over(every)["_level"]
+    fill = F.min(
+        F.when(F.col("_level").isNotNull(), F.struct((F.col("_cap") / F.col("weight")).alias("need"), F.col("_n"), F.col("_level")))
+    ).over(every)["_level"]
     target = F.when(fill.isNull(), F.col("_cap")).otherwise(F.least(fill * F.col("weight"), F.col("_cap")))
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(df: DataFrame, seed: int = 20240131, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    df: DataFrame, seed: int = 20240131, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """One row per document: id, ``row_hash`` of its text, source, size, source_size, target, copies, taken."""
     slim = df.select(
         F.col(id_col),
@@ -71,8 +78,12 @@ def mix(df: DataFrame, seed: int = 20240131, weights: tuple[float, ...] = WEIGHT
     keys = ["_no_source", "_source"]
     slim = slim.select("*", null_key, key)
     sizes = slim.groupBy(*keys).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes.select(F.when(~F.col("_no_source"), F.col("_source")).alias("source"), "source_size"), weights, share, max_repeats)
-    targets = targets.select(F.col("source").isNull().alias("_no_source"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
+    targets = source_targets(
+        sizes.select(F.when(~F.col("_no_source"), F.col("_source")).alias("source"), "source_size"), weights, share, max_repeats
+    )
+    targets = targets.select(
+        F.col("source").isNull().alias("_no_source"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target"
+    )
 
     cells = slim.groupBy(*keys, "size", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     before_size = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +102,9 @@ def mix(df: DataFrame, seed: int = 20240131, weights: tuple[float, ...] = WEIGHT
     crossed = lambda k: F.floor(k * rate + offset)
     copies = F.least(crossed(rank) - crossed(rank - 1), F.lit(max_repeats))
     rows = rows.withColumn("copies", copies.cast("int"))
-    return rows.select(id_col, "row_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(
+        id_col, "row_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    )
 
 
 def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -104,8 +117,12 @@ def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     # A struct, so that null ids and sources are values like any other.
     keyed = lambda i, h, s: F.struct(F.col(i).alias("i"), h.alias("h"), F.col(s).alias("s"))
     plan = mix(df, id_col=id_col, text_col=text_col, **options)
-    plan = plan.groupBy(keyed(id_col, F.col("row_hash"), "source").alias(other)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(total))
-    rows = df.select("*", keyed(id_col, F.xxhash64(F.col(text_col)), source).alias(key)).join(plan.filter(F.col(copies) > 0), F.col(key) == F.col(other))
+    plan = plan.groupBy(keyed(id_col, F.col("row_hash"), "source").alias(other)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(total)
+    )
+    rows = df.select(
+        "*", keyed(id_col, F.xxhash64(F.col(text_col)), source).alias(key)
+    ).join(plan.filter(F.col(copies) > 0), F.col(key) == F.col(other))
     # Equal rows share their group's copies: each takes an equal part, and the first ones the rest.
     rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(F.lit(0))))  # by the plan's key, whose type the join deals by
     share = F.floor(F.col(copies) / F.col(total)) + F.when(F.col(nth) <= F.col(copies) % F.col(total), 1).otherwise(0)

@@ -119,8 +119,13 @@ def digits(value: Column, key: Column, tweak: Column) -> Column:
     """A string of 2 to 28 digits, permuted among those of its length."""
     size = F.length(value)
     half = F.floor(size / 2).cast("int")
-    pair = feistel(F.substring(value, F.lit(1), half).cast("long"), F.substring(value, half + 1, size).cast("long"), _ten(half), _ten(size - half), key, F.concat_ws(":", tweak, size.cast("string")))
-    return _let(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, F.lit("0")), F.lpad(p["r"].cast("string"), size - half, F.lit("0"))))
+    pair = feistel(
+        F.substring(value, F.lit(1), half).cast("long"), F.substring(value, half + 1, size).cast("long"), _ten(half), _ten(size - half),
+        key, F.concat_ws(":", tweak, size.cast("string"))
+    )
+    return _let(
+        pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, F.lit("0")), F.lpad(p["r"].cast("string"), size - half, F.lit("0")))
+    )
 
 
 def _moved(text: Column, code: Column) -> Column:
@@ -260,7 +265,10 @@ def _pseudonyms(key: Column) -> dict[str, tuple]:
 
         def text(p: Column) -> Column:
             area = F.when(p["l"] < 665, p["l"] + 1).otherwise(p["l"] + 2)
-            return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0"))
+            return F.concat_ws(
+                "-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(p["r"] / 9999) + 1).cast("string"), 2, "0"),
+                F.lpad((p["r"] % 9999 + 1).cast("string"), 4, "0")
+            )
 
         return _let(pair, text)
 
@@ -288,7 +296,10 @@ def _pseudonyms(key: Column) -> dict[str, tuple]:
         return F.length(plain).between(13, 19) & plain.rlike("^(?:[3-6]|2[2-7])") & (_luhn_sum(plain, 1) % 10 == 0)
 
     always = lambda v: F.lit(True)
-    return {"email": (always, email), "iban": (iban_ok, iban), "date": (lambda v: day_of(v)[1].isNotNull(), date), "ssn": (always, ssn), "phone": (phone_ok, phone), "ip": (always, ip), "card": (card_ok, card)}
+    return {
+        "email": (always, email), "iban": (iban_ok, iban), "date": (lambda v: day_of(v)[1].isNotNull(), date), "ssn": (always, ssn),
+        "phone": (phone_ok, phone), "ip": (always, ip), "card": (card_ok, card)
+    }
 
 
 def _is(kind: str):
@@ -319,7 +330,10 @@ def _replaced(s: Column, made: dict[str, tuple]) -> Column:
 
         def text(got: Column, pieces: Column) -> Column:
             made = F.zip_with(F.slice(pieces, 1, F.size(got)), got, lambda a, b: F.concat(a, b["new"]))
-            return F.struct(F.concat(F.array_join(made, ""), F.element_at(pieces, -1)).alias("text"), F.transform(got, lambda x: x["kind"]).alias("kinds"))
+            return F.struct(
+                F.concat(F.array_join(made, ""), F.element_at(pieces, -1)).alias("text"),
+                F.transform(got, lambda x: x["kind"]).alias("kinds")
+            )
 
         return _let(picks, lambda got: _let(F.split(s, pattern), lambda pieces: text(got, pieces)))
 

@@ -124,7 +124,9 @@ def piece_hash(pad: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int =
     return h
 
 
-def same_pieces(pad_a: np.ndarray, start_a: np.ndarray, size_a: np.ndarray, pad_b: np.ndarray, start_b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+def same_pieces(
+    pad_a: np.ndarray, start_a: np.ndarray, size_a: np.ndarray, pad_b: np.ndarray, start_b: np.ndarray, size_b: np.ndarray
+) -> np.ndarray:
     """Whether the pieces are equal, byte for byte."""
     same = size_a == size_b
     k, at = 0, np.flatnonzero(same & (size_a > 0))

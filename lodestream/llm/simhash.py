@@ -67,7 +67,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch.column(2))
-            fps = np.fromiter((fingerprint(raw[a:b].tobytes(), words) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.uint64, batch.num_rows)
+            fps = np.fromiter(
+                (fingerprint(raw[a:b].tobytes(), words) for a, b in zip(offs[:-1], offs[1:], strict=True)), np.uint64, batch.num_rows
+            )
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], [id_col, "row_hash", "fp"])
             pa.default_memory_pool().release_unused()
 
@@ -161,10 +163,15 @@ def links(distinct: DataFrame, fp: str = "fp", block: int = BLOCK) -> DataFrame:
     postings = distinct.select(F.col(fp).alias("fp"), F.explode(posting_keys(F.col(fp))).alias("key"))
     large = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     large = large.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = postings.join(large, "key", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "blocks")).cast("int"))
+    dealt = postings.join(large, "key", "left").withColumn(
+        "own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "blocks")).cast("int")
+    )
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("fp", "key", "own", other.alias("other"))
-    dealt = dealt.select("fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"))
+    dealt = dealt.select(
+        "fp", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("second")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -237,7 +244,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     key, other, nth = free_names(df, "_key", "_other", "_nth")
     found = near_duplicates(df, id_col, text_col, words)
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias(other)).select(other).distinct()
-    rows = df.select("*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias(key)).join(kept, F.col(key) == F.col(other))
+    kept = found.groupBy("component").agg(
+        F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_hash").alias("h"))).alias(other)
+    ).select(other).distinct()
+    rows = df.select(
+        "*", F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("h")).alias(key)
+    ).join(kept, F.col(key) == F.col(other))
     rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(other).orderBy(F.lit(0))))  # by the kept rows' key, whose type the join deals by
     return rows.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

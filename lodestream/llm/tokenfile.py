@@ -80,7 +80,9 @@ class Codes:
             word, bit = words[at >> 6], (at & 63).astype(np.uint64)
             on = (word >> bit) & np.uint64(1) == 1
             own, at, word, bit = own[on], at[on], word[on], bit[on]
-            at = self.coarse[k][at >> 16].astype(np.int64) + self.fine[k][at >> 6] + np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            at = self.coarse[k][at >> 16].astype(np.int64) + self.fine[k][at >> 6] + np.bitwise_count(
+                word & ((np.uint64(1) << bit) - np.uint64(1))
+            )
             out[own] |= self.levels[k + 1][at].astype(np.uint32) << (8 * (k + 1))
         return out
 
@@ -188,11 +190,18 @@ def encoded(column: pa.Array, encoder: PieceEncoder, added: AddedTokens) -> Iter
 
 def _schema(id_type: T.DataType) -> T.StructType:
     binaries = T.ArrayType(T.BinaryType())
-    fields = [("part", T.IntegerType()), ("seq", T.IntegerType()), ("n_tokens", T.LongType()), ("ids_of_documents", T.ArrayType(id_type)), ("ends", T.ArrayType(T.LongType())), ("levels", binaries), ("bitmaps", binaries), ("coarse_ranks", binaries), ("fine_ranks", binaries)]
+    fields = [
+        ("part", T.IntegerType()), ("seq", T.IntegerType()), ("n_tokens", T.LongType()), ("ids_of_documents", T.ArrayType(id_type)),
+        ("ends", T.ArrayType(T.LongType())), ("levels", binaries), ("bitmaps", binaries), ("coarse_ranks", binaries),
+        ("fine_ranks", binaries)
+    ]
     return T.StructType([T.StructField(*f) for f in fields])
 
 
-def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
+def write_tokens(
+    df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    shard_tokens: int = SHARD_TOKENS
+) -> None:
     """Encode every text with the tokenizer's definition file, append ``end_id``, and write the shards under ``path``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -237,7 +246,9 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 2,
 
     first, text = F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()
     # the beginning of the text spreads the rows of one id, and keeps the order
-    ordered = df.select(id_col, text_col).repartitionByRange(first, F.substring(text_col, 1, 64).asc_nulls_first()).sortWithinPartitions(first, text)
+    ordered = df.select(id_col, text_col).repartitionByRange(
+        first, F.substring(text_col, 1, 64).asc_nulls_first()
+    ).sortWithinPartitions(first, text)
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 
@@ -275,9 +286,15 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_
                     upto = max(done + 1, int(np.searchsorted(ends, begins[done] + (1 << 18), side="right")))
                     lo = int(begins[done])
                     data = codes.at(np.arange(lo, int(ends[upto - 1]))).astype("<u4").tobytes()
-                    cut = [data[4 * (x - lo) : 4 * (y - lo)] for x, y in zip(begins[done:upto].tolist(), ends[done:upto].tolist(), strict=True)]
+                    cut = [
+                        data[4 * (x - lo) : 4 * (y - lo)] for x, y in zip(begins[done:upto].tolist(), ends[done:upto].tolist(), strict=True)
+                    ]
                     n = upto - done
-                    columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), docs.slice(done, n), pa.array(begins[done:upto]), pa.array((ends - begins)[done:upto]), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
+                    columns = [
+                        pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), docs.slice(done, n),
+                        pa.array(begins[done:upto]), pa.array((ends - begins)[done:upto]),
+                        pa.array([zlib.crc32(x) for x in cut], pa.int64())
+                    ]
                     names = ["part", "seq", id_col, "own_start", "n_tokens", "ids_crc32"]
                     if with_ids:
                         columns.append(pa.array(cut, pa.binary()))
@@ -285,7 +302,9 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_
                     yield pa.RecordBatch.from_arrays(columns, names)
                     done = upto
 
-    rows = files.select("part", "seq", "n_tokens", "ids_of_documents", "ends", "levels", "bitmaps", "coarse_ranks", "fine_ranks").mapInArrow(run, out)
+    rows = files.select(
+        "part", "seq", "n_tokens", "ids_of_documents", "ends", "levels", "bitmaps", "coarse_ranks", "fine_ranks"
+    ).mapInArrow(run, out)
     rows = rows.join(shard_starts(spark, path), ["part", "seq"])
     return rows.select(id_col, (F.col("base") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
@@ -333,7 +352,9 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame, place_col: str
     codes = files.select("part", "seq", "levels", "bitmaps", "coarse_ranks", "fine_ranks")
     both = wanted.unionByName(codes.join(wanted.select("part", "seq").distinct(), ["part", "seq"], "left_semi"), allowMissingColumns=True)
     both = both.repartition("part", "seq").sortWithinPartitions("part", "seq", F.col("place").asc_nulls_first())
-    found = both.select("part", "seq", "place", "own", "levels", "bitmaps", "coarse_ranks", "fine_ranks").mapInArrow(walked, "place long, token_id long")
+    found = both.select(
+        "part", "seq", "place", "own", "levels", "bitmaps", "coarse_ranks", "fine_ranks"
+    ).mapInArrow(walked, "place long, token_id long")
     return found.select(F.col("place").alias(place_col), "token_id")
 
 

@@ -114,9 +114,14 @@ class Ftrl:
         return np.append(at, -1), np.append(w[at], float(self._weights(self.z0, self.n0, 0.0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, stems: tuple[int, ...] = STEMS) -> dict[int, float]:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS,
+    shard_rows: int = SHARD_ROWS, stems: tuple[int, ...] = STEMS
+) -> dict[int, float]:
     """Non-zero weights by coordinate, with the intercept at -1, learned from about ``max_rows`` labelled documents at most."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
+    known = labels.filter(
+        F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    ).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_y"))
     n = known.count()
     if not n:
         return {-1: float(np.log(PRIOR / (1 - PRIOR)))}
@@ -181,7 +186,9 @@ def _scorer(docs: DataFrame, weights: dict[int, float], stems: tuple[int, ...] =
     return scores
 
 
-def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", stems: tuple[int, ...] = STEMS) -> DataFrame:
+def score(
+    docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", stems: tuple[int, ...] = STEMS
+) -> DataFrame:
     """id_col, score from 0 to 1: the logistic of the weights of the features present."""
     scores, kind = _scorer(docs, weights, stems), docs.schema[id_col].dataType.simpleString()
 
@@ -202,7 +209,9 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, stems: tuple[int, ...] = STEMS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``, learned from labels that are not held out."""
     weights = train(docs, labels.filter(~held_out(F.col("doc_id"))), stems=stems)
-    return score(docs, weights, stems=stems).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, weights, stems=stems).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:

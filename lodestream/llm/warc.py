@@ -60,11 +60,19 @@ def _digest(of: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(of, 256))
 
 
-def responses(pages: DataFrame, date: str = DATE, headers: str = HEADERS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def responses(
+    pages: DataFrame, date: str = DATE, headers: str = HEADERS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """Response records of fetched pages: source_id, record_id, target_uri, warc_date, http_headers, payload, payload_digest."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
-    name = F.concat_ws("|", F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(url_col, F.lit("")), F.sha2(payload, 256))
-    return pages.select(F.col(id_col).alias("source_id"), _uuid(name).alias("record_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("warc_date"), F.lit(headers).alias("http_headers"), payload.alias("payload"), _digest(payload).alias("payload_digest"))
+    name = F.concat_ws(
+        "|", F.lit("response"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(url_col, F.lit("")), F.sha2(payload, 256)
+    )
+    return pages.select(
+        F.col(id_col).alias("source_id"), _uuid(name).alias("record_id"), F.col(url_col).alias("target_uri"),
+        F.lit(date).alias("warc_date"), F.lit(headers).alias("http_headers"), payload.alias("payload"),
+        _digest(payload).alias("payload_digest")
+    )
 
 
 def derivatives(found: DataFrame) -> DataFrame:
@@ -74,7 +82,9 @@ def derivatives(found: DataFrame) -> DataFrame:
     page = F.col("payload")
     title = one_line(F.trim(F.regexp_replace(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"\s+", " ")))
     lang = F.regexp_extract(page, r"(?is)<html[^>]*\blang=[\"']?([a-zA-Z-]+)", 1)
-    links = F.transform(F.regexp_extract_all(page, F.lit(f"{_HREF}({_TARGET})"), F.lit(1)), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", "")))
+    links = F.transform(
+        F.regexp_extract_all(page, F.lit(f"{_HREF}({_TARGET})"), F.lit(1)), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", ""))
+    )
     fields = F.concat(
         F.lit("title: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\nsource-payload-digest: "), "payload_digest",
         F.lit("\r\nsource-headers: "), one_line(F.regexp_replace(F.btrim("http_headers", F.lit("\r\n")), r"[\r\n]+", " | ")),
@@ -89,12 +99,21 @@ def derivatives(found: DataFrame) -> DataFrame:
         one_line(F.col("target_uri")).alias("target_uri"), "warc_date", F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8").alias("content_type"), F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"),
         F.when(meta, F.col("_fields")).otherwise(F.col("_text")).alias("block"),
     )
-    return rows.select("source_id", "warc_type", F.col("new_id").alias("record_id"), "refers_to", "concurrent_to", "target_uri", "warc_date", "content_type", "source_headers", "source_digest", "block", _digest(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"))
+    return rows.select(
+        "source_id", "warc_type", F.col("new_id").alias("record_id"), "refers_to", "concurrent_to", "target_uri", "warc_date",
+        "content_type", "source_headers", "source_digest", "block", _digest(F.col("block")).alias("block_digest"),
+        F.octet_length("block").cast("long").alias("content_length")
+    )
 
 
 def write_warc(records: DataFrame, path: str, compression: str | None = "gzip") -> None:
     """WARC files through Spark's text writer: a record's header, an empty line, its block, and two line ends between records."""
-    header = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("Content-Type", "content_type"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Length", "content_length")]
+    header = [
+        ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"),
+        ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"),
+        ("Content-Type", "content_type"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"),
+        ("Content-Length", "content_length")
+    ]
     lines = F.concat_ws("\r\n", F.lit(VERSION), *[F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in header])
     out = records.select(F.concat(lines, F.lit("\r\n\r\n"), "block").alias("value"))
     out.write.option("lineSep", "\r\n\r\n").option("compression", compression or "none").text(path)
@@ -126,7 +145,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             fields, block, length = parsed
             if len(block.encode()) > length >= 0:  # the two line ends that close a file's last record
                 block = block.removesuffix("\r\n\r\n")
-            return pa.RecordBatch.from_pylist([{"fields": list(fields.items()), "block": block, "complete": len(block.encode()) == length}], schema=schema)
+            return pa.RecordBatch.from_pylist(
+                [{"fields": list(fields.items()), "block": block, "complete": len(block.encode()) == length}], schema=schema
+            )
 
         for batch in batches:
             for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -146,22 +167,27 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH s AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
-i AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(payload)) AS h FROM s),
+i AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(payload)) AS h
+  FROM s),
 r AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS record_id FROM i),
 u AS (SELECT *, md5('metadata|' || record_id) AS m, md5('conversion|' || record_id) AS c FROM r),
 n AS (SELECT *, '<urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' AS mid,
   '<urn:uuid:' || c[1:8] || '-' || c[9:12] || '-' || c[13:16] || '-' || c[17:20] || '-' || c[21:32] || '>' AS cid FROM u),
 x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<!--.*?(-->|\z)|<script\b[^>]*>.*?(</script\b[^>]*>|\z)|<style\b[^>]*>.*?(</style\b[^>]*>|\z)|<template\b[^>]*>.*?(</template\b[^>]*>|\z)|<noscript\b[^>]*>.*?(</noscript\b[^>]*>|\z)', '', 'g'),
   '(?is)<head\b[^>]*>.*?(</head\b[^>]*>|(<body\b)|\z)', '\2', 'g'),
-  '(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g') AS t0 FROM n),
-y AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(t0, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t1 FROM x),
+  '(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>', chr(10), 'g'), '<[!/a-zA-Z][^>]*>', '', 'g') AS t0
+  FROM n),
+y AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(t0, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t1
+  FROM x),
 z AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t1, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS body,
   'title: ' || regexp_replace(trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')), '[\x00-\x1F\x7F]', '', 'g') || chr(13) || chr(10) ||
   'language: ' || regexp_extract(payload, '(?is)<html[^>]*\blang=["'']?([a-zA-Z-]+)', 1) || chr(13) || chr(10) ||
   'source-payload-digest: ' || payload_digest || chr(13) || chr(10) ||
   'source-headers: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8' ||
-  coalesce(array_to_string(list_transform(regexp_extract_all(payload, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda v: chr(13) || chr(10) || 'outlink: ' || regexp_replace(regexp_replace(v, '^["'']|["'']$', '', 'g'), '[\x00-\x1F\x7F]', '', 'g')), ''), '') AS fields FROM y),
-b AS (SELECT page_id AS source_id, 'metadata' AS warc_type, mid AS record_id, record_id AS refers_to, cid AS concurrent_to, regexp_replace(url, '[\x00-\x1F\x7F]', '', 'g') AS target_uri, 'application/warc-fields' AS content_type, payload_digest AS source_digest, fields AS block FROM z
+  coalesce(array_to_string(list_transform(regexp_extract_all(payload, '(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda v: chr(13) || chr(10) || 'outlink: ' || regexp_replace(regexp_replace(v, '^["'']|["'']$', '', 'g'), '[\x00-\x1F\x7F]', '', 'g')), ''), '') AS fields
+  FROM y),
+b AS (SELECT page_id AS source_id, 'metadata' AS warc_type, mid AS record_id, record_id AS refers_to, cid AS concurrent_to, regexp_replace(url, '[\x00-\x1F\x7F]', '', 'g') AS target_uri, 'application/warc-fields' AS content_type, payload_digest AS source_digest, fields AS block
+  FROM z
   UNION ALL SELECT page_id, 'conversion', cid, record_id, mid, regexp_replace(url, '[\x00-\x1F\x7F]', '', 'g'), 'text/plain; charset=utf-8', payload_digest, body FROM z)
 SELECT source_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '2024-01-31T00:00:00Z' AS warc_date, content_type,
   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' AS source_headers, source_digest, block,
