@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from .markup import unescaped
 
 #: Hosts that many projects share, words too general to name one, path beginnings of articles.
-SHARED_DOMAINS = ("github.io", "vercel.app", "netlify.app", "huggingface.co", "npmjs.com", "pypi.org", "producthunt.com", "x.com", "twitter.com", "t.co", "github.com", "news.ycombinator.com", "ycombinator.com")
-GENERIC_NAMES = ("agent", "agents", "open", "studio", "browser", "desktop", "assistant", "code", "mcp", "ai", "app", "tool", "tools", "sdk", "api")
+SHARED_DOMAINS = (
+    "github.io", "vercel.app", "netlify.app", "huggingface.co", "npmjs.com", "pypi.org", "producthunt.com", "x.com", "twitter.com", "t.co",
+    "github.com", "news.ycombinator.com", "ycombinator.com"
+)
+GENERIC_NAMES = (
+    "agent", "agents", "open", "studio", "browser", "desktop", "assistant", "code", "mcp", "ai", "app", "tool", "tools", "sdk", "api"
+)
 CONTENT_DOMAINS = ("medium.com", "substack.com", "techcrunch.com")
 CONTENT_SUFFIXES, CONTENT_PREFIXES = (".medium.com", ".substack.com"), ("blog.", "news.", "newsroom.")
-CONTENT_PATHS = ("article", "articles", "blog", "blogs", "essay", "essays", "news", "newsletter", "newsletters", "p", "post", "posts", "story", "stories", "writing", "writings")
+CONTENT_PATHS = (
+    "article", "articles", "blog", "blogs", "essay", "essays", "news", "newsletter", "newsletters", "p", "post", "posts", "story",
+    "stories", "writing", "writings"
+)
 
 GITHUB_LINK = r"https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)"
 LINK = r"https?://[^\s)>\"]+"
@@ -27,13 +35,24 @@ def _none(c: Column) -> Column:
 def github_keys(text: Column) -> Column:
     """Sorted distinct ``github:owner/repo`` keys of all repository links; punctuation at the end of a name stays."""
     found = F.regexp_extract_all(text, F.lit(GITHUB_LINK), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda u: F.concat(F.lit("github:"), F.lower(F.regexp_replace(F.regexp_replace(u, r"^https?://github\.com/", ""), r"\.git$", ""))))))
+    return F.array_sort(
+        F.array_distinct(
+            F.transform(
+                found,
+                lambda u: F.concat(
+                    F.lit("github:"), F.lower(F.regexp_replace(F.regexp_replace(u, r"^https?://github\.com/", ""), r"\.git$", ""))
+                )
+            )
+        )
+    )
 
 
 def github_keys_in_prose(text: Column) -> Column:
     """The same for running text: punctuation after a name is cut, keys stay in the order they are first seen."""
     found = F.regexp_extract_all(text, F.lit(GITHUB_LINK), F.lit(0))
-    clean = lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"^https?://github\.com/", ""), r"\.git$", ""), r"[.,;:!?)\"\]}']+$", "")
+    clean = lambda u: F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(u, r"^https?://github\.com/", ""), r"\.git$", ""), r"[.,;:!?)\"\]}']+$", ""
+    )
     return F.array_distinct(F.transform(found, lambda u: F.concat(F.lit("github:"), F.lower(F.regexp_replace(clean(u), r"\.git$", "")))))
 
 
@@ -83,7 +102,10 @@ def title_key(title: Column) -> Column:
 def story_url(url: Column) -> Column:
     """https form without query and fragment; repository links keep two path parts, shared hosts give null."""
     h, p, parts = bare_host(url), F.regexp_replace(path(url), "/+$", ""), path_parts(url)
-    repo = F.when(F.size(parts) >= 2, F.concat(F.lit("https://github.com/"), F.lower(parts[0]), F.lit("/"), F.regexp_replace(F.lower(parts[1]), r"\.git$", "")))
+    repo = F.when(
+        F.size(parts) >= 2,
+        F.concat(F.lit("https://github.com/"), F.lower(parts[0]), F.lit("/"), F.regexp_replace(F.lower(parts[1]), r"\.git$", ""))
+    )
     other = F.concat(F.lit("https://"), h, p)
     package = (h == "npmjs.com") & p.startswith("/package/")
     return F.when(h == "", None).when(h == "github.com", repo).when(package, other).when(h.isin(*SHARED_DOMAINS), None).otherwise(other)
@@ -129,7 +151,9 @@ def repository_key(value: Column) -> Column:
 
 def key_url(key: Column) -> Column:
     rest = F.regexp_replace(key, "^[a-z]+:", "")
-    return F.when(key.startswith("github:"), F.concat(F.lit("https://github.com/"), rest)).when(key.startswith("domain:"), F.concat(F.lit("https://"), rest)).when(key.startswith("npm:"), F.concat(F.lit("https://www.npmjs.com/package/"), rest))
+    return F.when(key.startswith("github:"), F.concat(F.lit("https://github.com/"), rest)).when(key.startswith("domain:"), F.concat(F.lit("https://"), rest)).when(
+        key.startswith("npm:"), F.concat(F.lit("https://www.npmjs.com/package/"), rest)
+    )
 
 
 def key_strength(key: Column) -> Column:
@@ -247,7 +271,11 @@ def public_http_url(url: Column) -> Column:
     """http(s), a host, and neither a local name nor a private or reserved IPv4 address."""
     h = host(F.trim(url))
     local = (h == "localhost") | h.endswith(".localhost") | h.endswith(".local")
-    private = h.rlike(r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\.[0-9]+\.[0-9]+\.[0-9]+$") | h.rlike(r"^169\.254\.[0-9]+\.[0-9]+$") | h.rlike(r"^192\.168\.[0-9]+\.[0-9]+$") | h.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+$")
+    private = h.rlike(
+        r"^(?:0|10|127|22[4-9]|2[3-5][0-9])\.[0-9]+\.[0-9]+\.[0-9]+$"
+    ) | h.rlike(r"^169\.254\.[0-9]+\.[0-9]+$") | h.rlike(r"^192\.168\.[0-9]+\.[0-9]+$") | h.rlike(
+        r"^172\.(?:1[6-9]|2[0-9]|3[01])\.[0-9]+\.[0-9]+$"
+    )
     return F.trim(url).rlike("^https?://") & (h != "") & ~local & ~private
 
 
@@ -316,7 +344,9 @@ def origin_type(source: Column, family: Column) -> Column:
 
 
 def provenance_badge(origin: Column) -> Column:
-    return F.when(origin == "source_classifier", "LLM classifier").when(origin == "cross_source_rule", "cross-source").when(origin == "deterministic_rule", "rule").otherwise(origin)
+    return F.when(
+        origin == "source_classifier", "LLM classifier"
+    ).when(origin == "cross_source_rule", "cross-source").when(origin == "deterministic_rule", "rule").otherwise(origin)
 
 
 def canonical_json(text: Column) -> Column:

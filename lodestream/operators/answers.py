@@ -21,10 +21,16 @@ OBJECT_TYPES = ("product", "repo", "package", "research_tool", "model_release",
 LEVELS = ("weak", "medium", "strong")
 AXES = ("workflow_shift", "technical_substance", "product_market_fit", "momentum", "confidence", "risk_penalty", "derivative_news_penalty")
 SUFFICIENCY = ("identity", "workflow_shift", "technical_substance", "product_market_fit", "momentum")
-TRIAGE_FIELDS = ("tweet_id", "about_concrete_project", "closer_look", "product_names", "product_links", "project_refs", "expression_strength", "evidence_quote", "reason")
+TRIAGE_FIELDS = (
+    "tweet_id", "about_concrete_project", "closer_look", "product_names", "product_links", "project_refs", "expression_strength",
+    "evidence_quote", "reason"
+)
 REF_FIELDS = ("entity_key", "entity_name", "entity_confidence", "confidence")
 TIER_FIELDS = ("entity_key", "x_tier", "entity_confidence", "x_expression_strength", "cited_tweet_ids", "rationale", "cross_source_notes")
-SCORE_FIELDS = ("object_type", "is_product_or_repo", "axes", "supporting_evidence", "negative_evidence", "known_gaps", "primary_reason", "rationale_short", "topic_tags", "caveats", "should_print")
+SCORE_FIELDS = (
+    "object_type", "is_product_or_repo", "axes", "supporting_evidence", "negative_evidence", "known_gaps", "primary_reason",
+    "rationale_short", "topic_tags", "caveats", "should_print"
+)
 CLAIM_FIELDS, CLAIM_KINDS = ("claim", "evidence_refs", "supports_axes", "claim_type"), ("observed", "inferred")
 
 #: What is to be found out about a candidate, in the order it is asked, and from where a description is whole.
@@ -72,7 +78,10 @@ def _has(v: Column, fields: tuple[str, ...]) -> Column:
 
 
 def _exactly(v: Column, fields: tuple[str, ...]) -> Column:
-    return F.coalesce(_kind(v).startswith("OBJECT") & (F.array_sort(F.json_object_keys(F.to_json(v))) == F.array(*[F.lit(f) for f in sorted(fields)])), F.lit(False))
+    return F.coalesce(
+        _kind(v).startswith("OBJECT") & (F.array_sort(F.json_object_keys(F.to_json(v))) == F.array(*[F.lit(f) for f in sorted(fields)])),
+        F.lit(False)
+    )
 
 
 def _number(v: Column, most: float) -> Column:
@@ -113,7 +122,9 @@ def triage_error(payload: Column) -> Column:
     v = F.try_parse_json(payload)
     posts = _items(_at(v, "triage"))
     fields = lambda kind, *names: _all(posts, lambda x: reduce(lambda a, b: a & b, [_kind(_at(x, n)) == kind for n in names]))
-    ref = lambda r: _has(r, REF_FIELDS) & F.contains(_text(_at(r, "entity_key")), F.lit(":")) & (_kind(_at(r, "entity_name")) == "STRING") & _one_of(_at(r, "entity_confidence"), CONFIDENCES) & _number(_at(r, "confidence"), 1)
+    ref = lambda r: _has(r, REF_FIELDS) & F.contains(_text(_at(r, "entity_key")), F.lit(":")) & (
+        _kind(_at(r, "entity_name")) == "STRING"
+    ) & _one_of(_at(r, "entity_confidence"), CONFIDENCES) & _number(_at(r, "confidence"), 1)
     return _first_broken(v, {
         "triage": posts.isNotNull(),
         "missing field": _all(posts, lambda x: _has(x, TRIAGE_FIELDS)),
@@ -154,7 +165,9 @@ def scoring_error(payload: Column) -> Column:
     request = lambda r: _exactly(r, ("name", "arguments")) & _bounded(_at(r, "name"), 80) & _kind(_at(r, "arguments")).startswith("OBJECT")
     longest = max(map(len, AXES))
     axes = _at(score, "axes")
-    claim = lambda c: _exactly(c, CLAIM_FIELDS) & _bounded(_at(c, "claim"), 1000) & _texts(_at(c, "evidence_refs"), 8, 160, 1) & _texts(_at(c, "supports_axes"), len(AXES), longest, 1, AXES) & _one_of(_at(c, "claim_type"), CLAIM_KINDS)
+    claim = lambda c: _exactly(c, CLAIM_FIELDS) & _bounded(_at(c, "claim"), 1000) & _texts(_at(c, "evidence_refs"), 8, 160, 1) & _texts(
+        _at(c, "supports_axes"), len(AXES), longest, 1, AXES
+    ) & _one_of(_at(c, "claim_type"), CLAIM_KINDS)
     claims = lambda name: _all(_items(_at(score, name)), claim) & F.coalesce(F.size(_items(_at(score, name))) <= 8, F.lit(False))
     both = lambda a, b: F.when(tools, a).otherwise(b)
     yes = F.lit(True)

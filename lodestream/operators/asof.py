@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .components import saved
 
 
-def known_at(moments: DataFrame, facts: DataFrame, keys: list[str], at: str, known: str, values: list[str], ties: list[Column] | None = None) -> DataFrame:
+def known_at(
+    moments: DataFrame, facts: DataFrame, keys: list[str], at: str, known: str, values: list[str], ties: list[Column] | None = None
+) -> DataFrame:
     """``moments`` with ``values`` of the last fact of its keys that was known by then (``known`` <= ``at``), null if none was.
 
     Both sides are laid in one order of (keys, time), facts before moments of one time, and dealt by ranges of it; within
@@ -20,9 +22,15 @@ def known_at(moments: DataFrame, facts: DataFrame, keys: list[str], at: str, kno
     key = F.struct(*[F.col(k) for k in keys])
     rank = F.struct(*(ties or [F.col(v) for v in values]))
     fact = F.struct(*[F.col(v) for v in values])
-    old = facts.filter(F.col(known).isNotNull()).select(key.alias("_key"), F.col(known).alias("_at"), F.lit(0).alias("_kind"), rank.alias("_tie"), fact.alias("_fact"), F.lit(None).cast(moments.schema).alias("_row"))
+    old = facts.filter(F.col(known).isNotNull()).select(
+        key.alias("_key"), F.col(known).alias("_at"), F.lit(0).alias("_kind"), rank.alias("_tie"), fact.alias("_fact"),
+        F.lit(None).cast(moments.schema).alias("_row")
+    )
     own = F.struct(*[F.col(c) for c in moments.columns])
-    new = moments.select(key.alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(old.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(old.schema["_fact"].dataType).alias("_fact"), own.alias("_row"))
+    new = moments.select(
+        key.alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(old.schema["_tie"].dataType).alias("_tie"),
+        F.lit(None).cast(old.schema["_fact"].dataType).alias("_fact"), own.alias("_row")
+    )
     order = [F.col("_at").asc_nulls_first(), F.col("_kind").asc(), F.col("_tie").asc()]
     line = old.unionByName(new).repartitionByRange("_key", *order).sortWithinPartitions("_key", *order)
     line = saved(line.withColumn("_n", F.monotonically_increasing_id()), "known-at").withColumn("_part", F.shiftright("_n", 33))

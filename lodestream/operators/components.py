@@ -78,5 +78,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = _with_least(both, total, most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _with_least(large, total, most)
         # each lesser neighbour, and the node itself, comes under the least one
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = small.select(
+            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        ).select("e.*")
         now = small.filter("u != v").distinct()

@@ -82,8 +82,12 @@ def rarest_grams(names: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[in
     """name, gram, n: each name under its rarest gram, which n texts have; names with a gram that no text has contain in none and are left out."""
     own = _name_grams(names)
     sizes = sorted({r[0] for r in names.select(F.least(F.length("name"), F.lit(3))).distinct().collect()})  # at most 1, 2, 3
-    counts = _postings(texts, bitmap(own.select("gram").distinct(), F.col("gram")), sizes or [3], True).groupBy("gram").agg(F.sum("n").alias("n"))
-    found = own.join(counts, "gram", "left").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n"), F.count_if(F.col("n").isNull()).alias("absent"))
+    counts = _postings(
+        texts, bitmap(own.select("gram").distinct(), F.col("gram")), sizes or [3], True
+    ).groupBy("gram").agg(F.sum("n").alias("n"))
+    found = own.join(counts, "gram", "left").groupBy("name").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min("n").alias("n"), F.count_if(F.col("n").isNull()).alias("absent")
+    )
     return found.filter("absent = 0").select("name", "gram", "n"), sizes or [3]
 
 
@@ -132,7 +136,9 @@ def containing(names: DataFrame, texts: DataFrame, name: str = "name", ident: st
     wanted = names.select(F.lower(name).alias("name")).filter("name != ''").distinct()
     low = F.lower(text)
     held = texts.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), low.alias("text"))
-    held = held.withColumn("key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256)))
+    held = held.withColumn(
+        "key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256))
+    )
     filed, sizes = rarest_grams(wanted, held)
     filed = saved(filed, "filed-names")
     posted = _postings(held, bitmap(filed.select("gram").distinct(), F.col("gram")), sizes, False)

@@ -47,13 +47,23 @@ def context_bundles(entities: DataFrame, aliases: DataFrame, sources: DataFrame,
     )
     read = texts.filter("status = 'ok'").groupBy(F.col("key").alias("repo")).agg(F.max_by("text", "at").alias("readme"))
     bullets = merged_bullets(evidence)
-    counted = bullets.groupBy("entity_key").agg(F.count(F.lit(1)).alias("evidence_count"), F.array_sort(F.collect_set("family")).alias("families"))
-    refs = evidence.filter("ref is not null").select("entity_key", "ref").distinct().join(sources.select(F.col("item_id").alias("ref"), F.col("url").alias("ref_url")).distinct(), "ref")
+    counted = bullets.groupBy("entity_key").agg(
+        F.count(F.lit(1)).alias("evidence_count"), F.array_sort(F.collect_set("family")).alias("families")
+    )
+    refs = evidence.filter("ref is not null").select("entity_key", "ref").distinct().join(
+        sources.select(F.col("item_id").alias("ref"), F.col("url").alias("ref_url")).distinct(), "ref"
+    )
     total = refs.groupBy("entity_key").agg(F.count(F.lit(1)).alias("source_link_count"))
-    first = first_per(refs, ["entity_key"], [F.col("ref").asc(), F.col("ref_url").asc()], SOURCE_LINKS).groupBy("entity_key").agg(_in_order("ref", "ref_url").alias("source_links"))
+    first = first_per(
+        refs, ["entity_key"], [F.col("ref").asc(), F.col("ref_url").asc()], SOURCE_LINKS
+    ).groupBy("entity_key").agg(_in_order("ref", "ref_url").alias("source_links"))
     repo = lambda c: F.when(F.col(c).startswith("github:"), F.regexp_replace(c, "^github:", ""))
-    out = known.join(alias, "entity_key", "left").join(source, "entity_key", "left").withColumn("repo", F.coalesce(repo("canonical_key"), repo("alias")))
-    out = out.join(read, "repo", "left").join(counted, "entity_key", "left").join(total, "entity_key", "left").join(first, "entity_key", "left")
+    out = known.join(alias, "entity_key", "left").join(source, "entity_key", "left").withColumn(
+        "repo", F.coalesce(repo("canonical_key"), repo("alias"))
+    )
+    out = out.join(read, "repo", "left").join(
+        counted, "entity_key", "left"
+    ).join(total, "entity_key", "left").join(first, "entity_key", "left")
     own, other = key_url(F.col("canonical_key")), key_url(F.col("alias"))
     readme = F.substring(preview(F.coalesce("readme", F.lit(""))), 1, PREVIEW)
     return out.select(
@@ -74,7 +84,9 @@ def best_group_links(members: DataFrame, keys: DataFrame) -> DataFrame:
     alias = key_url(F.lower("alias"))
     any_link = F.coalesce(key_url(F.lower("canonical_key")), alias)
     repo = F.when(F.col("alias").startswith("github:"), F.col("ord"))
-    found = rows.groupBy("group_id").agg(F.min_by(alias, repo).alias("a"), F.min_by(any_link, F.when(any_link.isNotNull(), F.col("ord"))).alias("b"))
+    found = rows.groupBy("group_id").agg(
+        F.min_by(alias, repo).alias("a"), F.min_by(any_link, F.when(any_link.isNotNull(), F.col("ord"))).alias("b")
+    )
     return found.select("group_id", F.coalesce("a", "b", F.lit("")).alias("link"))
 
 
@@ -88,7 +100,9 @@ def identity_value(value: Column) -> Column:
 def known_paradigm(columns: list[Column], known: tuple[str, ...] = KNOWN_PARADIGMS) -> Column:
     """Whether any identity value of a row is one of the configured keys (a short list)."""
     keys = [k.strip().lower().rstrip("/") for k in known]
-    return F.coalesce(F.exists(F.array(*[identity_value(c) for c in columns]), lambda v: v.isin(*keys)), F.lit(False)) if keys else F.lit(False)
+    return F.coalesce(
+        F.exists(F.array(*[identity_value(c) for c in columns]), lambda v: v.isin(*keys)), F.lit(False)
+    ) if keys else F.lit(False)
 
 
 def fact_packets(claims: DataFrame) -> DataFrame:
@@ -116,23 +130,37 @@ def scout_contexts(members: DataFrame, notes: DataFrame, links: DataFrame) -> Da
 
     def firsts(df: DataFrame, value: str, most: int) -> DataFrame:
         distinct = df.filter(F.col(value).isNotNull()).groupBy("group_id", value).agg(F.min("ord").alias("ord"))
-        return first_per(distinct, ["group_id"], [F.col("ord").asc(), F.col(value).asc()], most).groupBy("group_id").agg(_in_order("ord", value).alias(value))
+        return first_per(
+            distinct, ["group_id"], [F.col("ord").asc(), F.col(value).asc()], most
+        ).groupBy("group_id").agg(_in_order("ord", value).alias(value))
 
     clean = lambda c, n: F.nullif(F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), 1, n), F.lit(""))
     base = members.groupBy("group_id").agg(F.max(F.coalesce("has_readme", F.lit(False))).alias("has_readme"))
-    project = firsts(members.select("group_id", "ord", clean("context_preview", SNIPPET).alias("project_context")), "project_context", SUMMARIES)
-    summary = firsts(notes.select("group_id", "ord", clean("note", NOTE).alias("qualitative_summaries")), "qualitative_summaries", SUMMARIES)
-    entry = F.struct(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(clean("title", TITLE), F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"))
+    project = firsts(
+        members.select("group_id", "ord", clean("context_preview", SNIPPET).alias("project_context")), "project_context", SUMMARIES
+    )
+    summary = firsts(
+        notes.select("group_id", "ord", clean("note", NOTE).alias("qualitative_summaries")), "qualitative_summaries", SUMMARIES
+    )
+    entry = F.struct(
+        F.coalesce("source", F.lit("")).alias("source"), F.coalesce(clean("title", TITLE), F.lit("")).alias("title"),
+        F.coalesce("url", F.lit("")).alias("url")
+    )
     source = firsts(links.select("group_id", "ord", entry.alias("source_context")), "source_context", SOURCES)
     return base.join(project, "group_id", "left").join(summary, "group_id", "left").join(source, "group_id", "left")
 
 
-def fitted_contexts(sections: DataFrame, raw: str = "recent_raw_tool_results", most: int = CONTEXT_TOKENS - ANSWER_TOKENS - MARGIN_TOKENS) -> DataFrame:
+def fitted_contexts(
+    sections: DataFrame, raw: str = "recent_raw_tool_results", most: int = CONTEXT_TOKENS - ANSWER_TOKENS - MARGIN_TOKENS
+) -> DataFrame:
     """id, total, dropped_raw, rejected: the raw section goes if the whole is too large; what then is too large still is rejected.
 
     sections: id, section, tokens.
     """
-    own = sections.groupBy("id").agg(F.sum("tokens").alias("_all"), F.coalesce(F.sum(F.when(F.col("section") == raw, F.col("tokens"))), F.lit(0)).alias("_raw"), F.count_if(F.col("section") == raw).alias("_n"))
+    own = sections.groupBy("id").agg(
+        F.sum("tokens").alias("_all"), F.coalesce(F.sum(F.when(F.col("section") == raw, F.col("tokens"))), F.lit(0)).alias("_raw"),
+        F.count_if(F.col("section") == raw).alias("_n")
+    )
     drop = (F.col("_all") > most) & (F.col("_n") > 0)
     total = F.when(drop, F.col("_all") - F.col("_raw")).otherwise(F.col("_all"))
     return own.select("id", total.alias("total"), drop.alias("dropped_raw"), (total > most).alias("rejected"))
@@ -144,7 +172,10 @@ def allocated(rows: DataFrame, budget: int, most: int = 80) -> DataFrame:
     rows: id, item_id, value (greatest first), tokens, retrievable. A bundle has at most ``most`` rows.
     """
     top = first_per(rows, ["id"], [F.desc("value"), F.col("item_id").asc()], most)
-    one = F.struct((-F.col("value")).alias("o"), F.col("item_id").alias("i"), F.col("tokens").cast("long").alias("t"), F.coalesce("retrievable", F.lit(True)).alias("r"))
+    one = F.struct(
+        (-F.col("value")).alias("o"), F.col("item_id").alias("i"), F.col("tokens").cast("long").alias("t"),
+        F.coalesce("retrievable", F.lit(True)).alias("r")
+    )
     none = F.array().cast("array<long>")
     start = F.struct(F.lit(0).cast("long").alias("used"), none.alias("included"), none.alias("retrievable"), none.alias("excluded"))
 
@@ -155,10 +186,15 @@ def allocated(rows: DataFrame, budget: int, most: int = 80) -> DataFrame:
             F.when(~fits & x["r"], add("retrievable")).otherwise(s["retrievable"]).alias("retrievable"), F.when(~fits & ~x["r"], add("excluded")).otherwise(s["excluded"]).alias("excluded"),
         )
 
-    return top.groupBy("id").agg(F.aggregate(F.array_sort(F.collect_list(one)), start, step).alias("s")).select("id", "s.included", "s.retrievable", "s.excluded")
+    return top.groupBy("id").agg(
+        F.aggregate(F.array_sort(F.collect_list(one)), start, step).alias("s")
+    ).select("id", "s.included", "s.retrievable", "s.excluded")
 
 
-def feed_read_model(feed: DataFrame, groups: DataFrame, scores: DataFrame, reports: DataFrame, briefs: DataFrame, votes: DataFrame, known: tuple[str, ...] = KNOWN_PARADIGMS) -> DataFrame:
+def feed_read_model(
+    feed: DataFrame, groups: DataFrame, scores: DataFrame, reports: DataFrame, briefs: DataFrame, votes: DataFrame,
+    known: tuple[str, ...] = KNOWN_PARADIGMS
+) -> DataFrame:
     """Feed rows with what there is of their group: ⋈ groups, ⟕ score, report, brief and vote, and how they are shown.
 
     All have group_id; feed also section, place, route; groups canonical_name, canonical_key, canonical_link; votes vote.
@@ -168,5 +204,7 @@ def feed_read_model(feed: DataFrame, groups: DataFrame, scores: DataFrame, repor
         out = out.join(other, "group_id", "left")
     paradigm = known_paradigm([F.col("canonical_name"), F.col("canonical_key"), F.col("canonical_link")], known)
     scored = (F.col("section") == "scored") | (F.col("route") == "suppress_or_low")
-    shown = F.when(F.col("section") == "today_focus", "focus").when(scored & (F.col("route") == "score_only"), "signals").when(scored, "low").otherwise("diagnostics")
+    shown = F.when(F.col("section") == "today_focus", "focus").when(
+        scored & (F.col("route") == "score_only"), "signals"
+    ).when(scored, "low").otherwise("diagnostics")
     return out.withColumn("known_paradigm", paradigm).withColumn("shown_as", shown)

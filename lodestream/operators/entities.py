@@ -36,11 +36,19 @@ def entities(items: DataFrame, roots: DataFrame, item_id: str = "item_id", keys:
     The canonical key is the strongest kind's least; the canonical name is the shortest alias, then the least.
     """
     rows = items.join(roots, item_id)
-    key = rows.select("root", F.explode(keys).alias("key")).groupBy("root").agg(F.min_by("key", F.struct(-X.key_strength(F.col("key")), F.col("key"))).alias("canonical_key"))
+    key = rows.select("root", F.explode(keys).alias("key")).groupBy("root").agg(
+        F.min_by("key", F.struct(-X.key_strength(F.col("key")), F.col("key"))).alias("canonical_key")
+    )
     a = F.when(F.trim(alias) != "", F.trim(alias))
-    names = rows.groupBy("root").agg(F.min(F.when(a.isNotNull(), F.struct(F.length(a).alias("n"), a.alias("a"))))["a"].alias("_name"), F.count(F.lit(1)).alias("n_items"), F.count_distinct(a).alias("n_aliases"))
+    names = rows.groupBy("root").agg(
+        F.min(F.when(a.isNotNull(), F.struct(F.length(a).alias("n"), a.alias("a"))))["a"].alias("_name"),
+        F.count(F.lit(1)).alias("n_items"), F.count_distinct(a).alias("n_aliases")
+    )
     out = key.join(names, "root")
-    return out.select("root", X.stable_id("entity:", F.col("canonical_key")).alias("entity_id"), "canonical_key", F.coalesce("_name", "canonical_key").alias("canonical_entity"), "n_items", "n_aliases")
+    return out.select(
+        "root", X.stable_id("entity:", F.col("canonical_key")).alias("entity_id"), "canonical_key",
+        F.coalesce("_name", "canonical_key").alias("canonical_entity"), "n_items", "n_aliases"
+    )
 
 
 def resolve_day(labels: DataFrame, items: DataFrame, day: str, item_id: str = "item_id", keys: str = "keys") -> tuple[DataFrame, DataFrame]:
@@ -54,17 +62,25 @@ def resolve_day(labels: DataFrame, items: DataFrame, day: str, item_id: str = "i
     exploded = items.select(F.explode(keys).alias("key")).distinct()
     known = exploded.join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("node"), "since")
     known = saved(known, "day-keys")
-    ends = items.filter(F.size(keys) > 1).select(F.element_at(keys, 1).alias("a"), F.explode(F.slice(keys, 2, 1 << 30)).alias("b")).distinct()
+    ends = items.filter(F.size(keys) > 1).select(
+        F.element_at(keys, 1).alias("a"), F.explode(F.slice(keys, 2, 1 << 30)).alias("b")
+    ).distinct()
     of = lambda c: known.select(F.col("key").alias(c), F.col("node").alias(f"{c}_node"))
     edges = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     met = connected_components(edges)
-    nodes = known.groupBy("node").agg(F.min("since").alias("since")).join(met, "node", "left").select("node", "since", F.coalesce("component", "node").alias("group"))
+    nodes = known.groupBy("node").agg(F.min("since").alias("since")).join(met, "node", "left").select(
+        "node", "since", F.coalesce("component", "node").alias("group")
+    )
     oldest = F.struct(F.coalesce("since", F.lit(day)).alias("since"), F.col("since").isNull().alias("new"), F.col("node"))
-    heads = nodes.groupBy("group").agg(F.min(oldest).alias("head")).select("group", F.col("head.node").alias("into"), F.col("head.since").alias("head_since"))
+    heads = nodes.groupBy("group").agg(F.min(oldest).alias("head")).select(
+        "group", F.col("head.node").alias("into"), F.col("head.since").alias("head_since")
+    )
     nodes = saved(nodes.join(heads, "group").select("node", "since", "into", "head_since"), "day-groups")
     merges = nodes.filter("since is not null and node != into").select(F.col("node").alias("root"), "into", F.lit(day).alias("day"))
     new = known.filter("since is null").join(nodes, "node").select("key", F.col("into").alias("root"), F.col("head_since").alias("since"))
-    moved = labels.join(nodes.filter("since is not null and node != into").select(F.col("node").alias("root"), "into", "head_since"), "root")
+    moved = labels.join(
+        nodes.filter("since is not null and node != into").select(F.col("node").alias("root"), "into", "head_since"), "root"
+    )
     return new.unionByName(moved.select("key", F.col("into").alias("root"), F.col("head_since").alias("since"))), merges
 
 

@@ -74,7 +74,9 @@ def _fact(metadata: Column, label: str, fields: tuple[str, ...], form: str | int
         values = F.array_compact(F.coalesce(F.from_json(at(fields[0]), "array<string>"), F.array().cast("array<string>")))
         return F.when(F.size(values) > 0, named(F.array_join(F.slice(values, 1, form), ", ")))
     if form == "projects":
-        things = F.coalesce(F.from_json(at(fields[0]), "array<struct<name:string,key:string>>"), F.array().cast("array<struct<name:string,key:string>>"))
+        things = F.coalesce(
+            F.from_json(at(fields[0]), "array<struct<name:string,key:string>>"), F.array().cast("array<struct<name:string,key:string>>")
+        )
         names = F.transform(F.slice(things, 1, 5), lambda p: F.coalesce(F.nullif(p["name"], F.lit("")), p["key"], F.lit("None")))
         return F.when(F.size(names) > 0, named(F.array_join(names, ", ")))
     if form == "number":

@@ -18,7 +18,9 @@ def best_alias(aliases: DataFrame, canonical: Column, order: str = "context") ->
     a = F.col("alias")
     kind = F.when(a.startswith("github:"), 2).when(a.startswith("domain:"), 3).when(a.startswith("npm:"), 4).otherwise(5)
     if order == "context":
-        rank = F.when((F.col("origin") == "resolver") & (F.col("external") == canonical), 0).when(F.col("origin") == "resolver", 1).otherwise(kind)
+        rank = F.when(
+            (F.col("origin") == "resolver") & (F.col("external") == canonical), 0
+        ).when(F.col("origin") == "resolver", 1).otherwise(kind)
     else:
         rank = F.when(a.startswith("github:"), 0).when(a.startswith("npm:"), 1).when(a.startswith("domain:"), 2).otherwise(3)
     ok = aliases.filter(F.col("approved") & a.rlike("^(github|domain|npm):"))
@@ -34,14 +36,26 @@ def link_group_key(key: Column) -> Column:
 
 def groups(rows: DataFrame) -> DataFrame:
     """Candidates of one presentation key as a group. rows: entity_key, name, level, level_rank, canonical_key, alias, source_key, family."""
-    key = F.coalesce(link_group_key(F.col("alias")), link_group_key(F.col("canonical_key")), F.concat(F.lit("link:"), F.lower(key_url(F.col("alias")))), F.col("source_key"), F.concat(F.lit("entity:"), F.col("entity_key")))
+    key = F.coalesce(
+        link_group_key(F.col("alias")), link_group_key(F.col("canonical_key")), F.concat(F.lit("link:"), F.lower(key_url(F.col("alias")))),
+        F.col("source_key"), F.concat(F.lit("entity:"), F.col("entity_key"))
+    )
     r = rows.withColumn("presentation_key", key)
     first = F.struct(-F.col("level_rank"), F.lower("name"), F.col("entity_key"))
-    one = r.groupBy("presentation_key", "entity_key").agg(F.first("name").alias("name"), F.first("level").alias("level"), F.first("level_rank").alias("level_rank"), F.collect_set("family").alias("f"))
-    g = one.groupBy("presentation_key").agg(F.min_by(F.struct("entity_key", "name", "level"), first).alias("c"), F.array_sort(F.collect_set("entity_key")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("families"))
+    one = r.groupBy("presentation_key", "entity_key").agg(
+        F.first("name").alias("name"), F.first("level").alias("level"), F.first("level_rank").alias("level_rank"),
+        F.collect_set("family").alias("f")
+    )
+    g = one.groupBy("presentation_key").agg(
+        F.min_by(F.struct("entity_key", "name", "level"), first).alias("c"), F.array_sort(F.collect_set("entity_key")).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("families")
+    )
     members = F.concat(F.array("c.entity_key"), F.filter("all", lambda e: e != F.col("c.entity_key")))
     g = g.withColumn("members", members)
-    return g.select("presentation_key", F.concat(F.lit("group:"), F.substring(F.sha1(F.array_join("members", "|")), 1, 12)).alias("group_id"), F.col("c.entity_key").alias("canonical_entity"), F.col("c.level").alias("level"), "members", "families")
+    return g.select(
+        "presentation_key", F.concat(F.lit("group:"), F.substring(F.sha1(F.array_join("members", "|")), 1, 12)).alias("group_id"),
+        F.col("c.entity_key").alias("canonical_entity"), F.col("c.level").alias("level"), "members", "families"
+    )
 
 
 BULLET = ["entity_key", "label", "family", "origin", "badge"]
@@ -73,7 +87,9 @@ def evidence_hash(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256)
     part = lambda i: F.sum(F.conv(F.substring("_h", i, 8), 16, 10).cast("long")) % (1 << 32)
     hexed = lambda i: F.lpad(F.lower(F.hex(part(i))), 8, "0")
-    return rows.withColumn("_h", h).groupBy(key).agg(F.concat(*[hexed(i) for i in range(1, 65, 8)], F.lit("-"), F.count(F.lit(1)).cast("string")).alias("evidence_hash"))
+    return rows.withColumn("_h", h).groupBy(key).agg(
+        F.concat(*[hexed(i) for i in range(1, 65, 8)], F.lit("-"), F.count(F.lit(1)).cast("string")).alias("evidence_hash")
+    )
 
 
 def relative_buckets(anchors: DataFrame, events: DataFrame, edges: list[int]) -> DataFrame:

@@ -17,7 +17,10 @@ COMPANIES = (
 
 def companies(spark: SparkSession) -> DataFrame:
     """place, label, kind ("owner" or "host"), value: the list above as a table; longer lists have the same columns."""
-    rows = [(i, label, kind, v) for i, (label, owners, hosts) in enumerate(COMPANIES) for kind, values in (("owner", owners), ("host", hosts)) for v in values]
+    rows = [
+        (i, label, kind, v) for i, (label, owners, hosts) in enumerate(COMPANIES) for kind,
+        values in (("owner", owners), ("host", hosts)) for v in values
+    ]
     return spark.createDataFrame(rows, "place int, label string, kind string, value string")
 
 
@@ -49,10 +52,14 @@ def hosts(link: Column) -> Column:
     host = F.regexp_replace(host, r"^www\.", "")
     labels = F.size(F.split(host, r"\."))
     suffixes = F.array(host, F.when(labels >= 2, F.substring_index(host, ".", -2)), F.when(labels >= 3, F.substring_index(host, ".", -3)))
-    return F.when(v.rlike("^https?://") & (host != ""), F.array_distinct(F.array_compact(suffixes))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        v.rlike("^https?://") & (host != ""), F.array_distinct(F.array_compact(suffixes))
+    ).otherwise(F.array().cast("array<string>"))
 
 
-def company_of(rows: DataFrame, known: DataFrame, ident: str, name: str = "canonical_name", key: str = "canonical_key", link: str = "canonical_link") -> DataFrame:
+def company_of(
+    rows: DataFrame, known: DataFrame, ident: str, name: str = "canonical_name", key: str = "canonical_key", link: str = "canonical_link"
+) -> DataFrame:
     """ident, company: the first company, in declared order, of whose owners or hosts an identity names one; empty if none.
 
     What an identity names is exploded, so it meets a list of any length by equality.
@@ -61,4 +68,6 @@ def company_of(rows: DataFrame, known: DataFrame, ident: str, name: str = "canon
     named = F.concat(kind("owner", owners(F.col(name), F.col(key), F.col(link))), kind("host", hosts(F.col(link))))
     each = rows.select(F.col(ident).alias("_id"), F.explode(named).alias("n")).select("_id", "n.kind", "n.value")
     first = each.join(known, ["kind", "value"]).groupBy("_id").agg(F.min(F.struct("place", "label"))["label"].alias("company"))
-    return rows.select(ident).join(first, F.col(ident) == F.col("_id"), "left").select(ident, F.coalesce("company", F.lit("")).alias("company"))
+    return rows.select(ident).join(first, F.col(ident) == F.col("_id"), "left").select(
+        ident, F.coalesce("company", F.lit("")).alias("company")
+    )

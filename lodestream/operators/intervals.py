@@ -18,7 +18,10 @@ GRID = (
 )
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str = "at", lo: str = "lo", hi: str = "hi", closed: bool = False, width: float | None = None) -> DataFrame:
+def interval_join(
+    points: DataFrame, intervals: DataFrame, keys: list[str], at: str = "at", lo: str = "lo", hi: str = "hi", closed: bool = False,
+    width: float | None = None
+) -> DataFrame:
     """Every point with every interval of its keys that holds it: lo <= at < hi, or lo <= at <= hi if ``closed``.
 
     Times are numbers. Time is cut in bins; a point is in one bin, an interval is copied to each that it touches, and the
@@ -47,14 +50,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     return left.join(right, [*own, "_part"]).filter(inside).drop("_bin", "_part")
 
 
-def grid_counts(anchors: DataFrame, events: DataFrame, keys: list[str], anchor: str, t0: str = "t0", at: str = "at", grid: tuple = GRID) -> DataFrame:
+def grid_counts(
+    anchors: DataFrame, events: DataFrame, keys: list[str], anchor: str, t0: str = "t0", at: str = "at", grid: tuple = GRID
+) -> DataFrame:
     """keys, anchor, bucket, n: how many events fall in each bucket of the grid around each anchor; buckets without events have no row.
 
     A key may have any number of anchors, whose grids may overlap; an event counts for each of them, and twice where
     buckets of one grid overlap (the anchor's own moment). anchors: keys, anchor, t0; events: keys, at (timestamps).
     """
     first, last = min(g[1] for g in grid) * _HOUR, max(g[2] for g in grid) * _HOUR
-    a = anchors.select(*keys, anchor, seconds(F.col(t0)).alias("_t0")).withColumns({"_lo": F.col("_t0") + first, "_hi": F.col("_t0") + last})
+    a = anchors.select(*keys, anchor, seconds(F.col(t0)).alias("_t0")).withColumns(
+        {"_lo": F.col("_t0") + first, "_hi": F.col("_t0") + last}
+    )
     e = events.select(*keys, seconds(F.col(at)).alias("_at"))
     apart = F.col("_at") - F.col("_t0")
 
@@ -66,7 +73,9 @@ def grid_counts(anchors: DataFrame, events: DataFrame, keys: list[str], anchor:
     return met.select(*keys, anchor, F.explode(buckets).alias("bucket")).groupBy(*keys, anchor, "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def counts_within(points: DataFrame, asked: DataFrame, keys: list[str], ident: str, windows: dict[str, int], at: str = "at", now: str = "now") -> DataFrame:
+def counts_within(
+    points: DataFrame, asked: DataFrame, keys: list[str], ident: str, windows: dict[str, int], at: str = "at", now: str = "now"
+) -> DataFrame:
     """``asked`` (keys, ident, now) with, for each named window of hours, the number of points in [now - window, now], both ends included."""
     widest = max(windows.values()) * _HOUR
     i = asked.select(*keys, ident, seconds(F.col(now)).alias("_hi")).withColumn("_lo", F.col("_hi") - widest)

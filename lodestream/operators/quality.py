@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Statuses of the stage log that count as success, and those that only observe.
-SUCCESSES = ("scheduled", "skipped_unchanged", "pending_budget", "scout_disabled", "scout_ok", "scout_filtered", "scoring_ok", "brief_selected")
+SUCCESSES = (
+    "scheduled", "skipped_unchanged", "pending_budget", "scout_disabled", "scout_ok", "scout_filtered", "scoring_ok", "brief_selected"
+)
 OBSERVATIONS = ("llm_cache_hit", "llm_cache_miss", "llm_call_started", "llm_call_ok", "llm_call_error")
 
 
@@ -14,8 +16,13 @@ def run_status(events: DataFrame, keys: list[str], status: str = "status") -> Da
     """errors, successes and the run's status for each key; observing statuses count as neither."""
     s = F.col(status)
     counted = ~s.isin(*OBSERVATIONS)
-    out = events.groupBy(*keys).agg(F.count_if(counted & s.endswith("_error")).alias("errors"), F.count_if(counted & s.isin(*SUCCESSES)).alias("successes"))
-    return out.withColumn("status", F.when((F.col("errors") > 0) & (F.col("successes") > 0), "ok_with_errors").when(F.col("errors") > 0, "error").otherwise("ok"))
+    out = events.groupBy(*keys).agg(
+        F.count_if(counted & s.endswith("_error")).alias("errors"), F.count_if(counted & s.isin(*SUCCESSES)).alias("successes")
+    )
+    return out.withColumn(
+        "status",
+        F.when((F.col("errors") > 0) & (F.col("successes") > 0), "ok_with_errors").when(F.col("errors") > 0, "error").otherwise("ok")
+    )
 
 
 def band(score: Column) -> Column:
@@ -24,7 +31,12 @@ def band(score: Column) -> Column:
 
 def band_matches(expected: Column, score: Column, printed: Column) -> Column:
     """High from 70, medium from 60 to below 75, both printed; low below 60 and not printed."""
-    return F.coalesce(((expected == "high") & (score >= 70) & printed) | ((expected == "medium") & (score >= 60) & (score < 75) & printed) | ((expected == "low") & (score < 60) & ~printed), F.lit(False))
+    return F.coalesce(
+        ((expected == "high") & (score >= 70) & printed) | (
+            (expected == "medium") & (score >= 60) & (score < 75) & printed
+        ) | ((expected == "low") & (score < 60) & ~printed),
+        F.lit(False)
+    )
 
 
 def project_margin(cases: DataFrame, keys: list[str], expected: str = "expected", score: str = "score") -> DataFrame:
@@ -54,7 +66,9 @@ def call_rollup(calls: DataFrame) -> DataFrame:
 def stages_of_log(lines: DataFrame) -> DataFrame:
     """stage: those that a log of JSON lines says have ended well. Lines that are no JSON count for nothing. lines: value."""
     line = F.from_json("value", "stage string, event string, returncode int")
-    return lines.select(line.alias("l")).filter("l.event = 'completed' and l.returncode = 0 and l.stage is not null").select("l.stage").distinct()
+    return lines.select(line.alias("l")).filter(
+        "l.event = 'completed' and l.returncode = 0 and l.stage is not null"
+    ).select("l.stage").distinct()
 
 
 def coverage_problems(cases: DataFrame, required: DataFrame) -> DataFrame:
@@ -62,14 +76,19 @@ def coverage_problems(cases: DataFrame, required: DataFrame) -> DataFrame:
 
     cases: name, input, expected; required: name.
     """
-    missing = required.select("name").distinct().join(cases.select("name").distinct(), "name", "left_anti").withColumn("problem", F.lit("missing"))
+    missing = required.select("name").distinct().join(
+        cases.select("name").distinct(), "name", "left_anti"
+    ).withColumn("problem", F.lit("missing"))
     repeated = cases.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", F.lit("duplicate").alias("problem"))
     partial = cases.filter("input is null or expected is null").select("name", F.lit("incomplete").alias("problem")).distinct()
     return missing.unionByName(repeated).unionByName(partial)
 
 
 #: Families in the order they are offered, and their names.
-FACETS = {"github": "GitHub", "hn": "Hacker News", "x_social": "X / social", "product_hunt": "Product Hunt", "package_family": "npm", "npm": "npm", "huggingface": "Hugging Face", "hf": "Hugging Face"}
+FACETS = {
+    "github": "GitHub", "hn": "Hacker News", "x_social": "X / social", "product_hunt": "Product Hunt", "package_family": "npm",
+    "npm": "npm", "huggingface": "Hugging Face", "hf": "Hugging Face"
+}
 NO_FACETS = ("", "rule", "resolver", "cross_source")
 
 

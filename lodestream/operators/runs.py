@@ -57,14 +57,22 @@ def valid_vote() -> Column:
 EVENT = "feed_run_id string, group_id string, stage string, status string, error_type string, error string, metadata_json string, created_at string"
 
 
-def append_event(df: DataFrame, path: str, run: str, stage: str, status: str, at: str, metadata: dict, group: str | None = None, error: BaseException | None = None) -> None:
+def append_event(
+    df: DataFrame, path: str, run: str, stage: str, status: str, at: str, metadata: dict, group: str | None = None,
+    error: BaseException | None = None
+) -> None:
     """Add one row to the events under ``path``: secrets redacted from the error, metadata as canonical JSON."""
     row = [(run, group, stage, status, type(error).__name__ if error else None, str(error) if error else None, json.dumps(metadata), at)]
     event = df.sparkSession.createDataFrame(row, EVENT)
-    event.withColumns({"error": redacted(F.col("error")), "metadata_json": canonical_json(F.col("metadata_json"))}).write.mode("append").parquet(path)
+    event.withColumns(
+        {"error": redacted(F.col("error")), "metadata_json": canonical_json(F.col("metadata_json"))}
+    ).write.mode("append").parquet(path)
 
 
-def observed_stage(df: DataFrame, write: Callable[[DataFrame], None], events: str, run: str, stage: str, at: str, metadata: dict | None = None, **counts: Column) -> dict:
+def observed_stage(
+    df: DataFrame, write: Callable[[DataFrame], None], events: str, run: str, stage: str, at: str, metadata: dict | None = None,
+    **counts: Column
+) -> dict:
     """Write ``df`` and add the stage's event with what was counted in the very pass that wrote it: rows, and the named aggregates.
 
     Nothing is scanned again for the counts. A stage that fails leaves an event with its error, and the error goes on.

@@ -20,7 +20,9 @@ def investigator_score(object_type: Column, product: Column) -> Column:
     """Weighted axes less both penalties, 0 to 100; at most 69 without a strong core axis, 55 for news that is no product."""
     a = {n: clamped(F.col(n), 0, 100) for n in ("workflow_shift", "technical_substance", "product_market_fit", "momentum", "confidence")}
     penalty = clamped(F.col("risk_penalty"), 0, 25) + clamped(F.col("derivative_news_penalty"), 0, 25)
-    raw = 0.25 * a["workflow_shift"] + 0.25 * a["technical_substance"] + 0.20 * a["product_market_fit"] + 0.15 * a["momentum"] + 0.15 * a["confidence"] - penalty
+    raw = 0.25 * a["workflow_shift"] + 0.25 * a[
+        "technical_substance"
+    ] + 0.20 * a["product_market_fit"] + 0.15 * a["momentum"] + 0.15 * a["confidence"] - penalty
     score = F.round(clamped(raw, 0, 100), 2)
     score = F.when(F.greatest(*[a[n] for n in NOVELTY]) < 70, F.least(score, F.lit(69.0))).otherwise(score)
     return F.when(object_type.isin("news", "article") & ~product, F.least(score, F.lit(55.0))).otherwise(score)
@@ -28,7 +30,9 @@ def investigator_score(object_type: Column, product: Column) -> Column:
 
 def legacy_score() -> Column:
     """Other weights, and only the news penalty."""
-    raw = 0.25 * F.col("momentum") + 0.25 * F.col("workflow_shift") + 0.20 * F.col("technical_substance") + 0.15 * F.col("product_market_fit") + 0.15 * F.col("confidence") - F.col("derivative_news_penalty")
+    raw = 0.25 * F.col("momentum") + 0.25 * F.col("workflow_shift") + 0.20 * F.col("technical_substance") + 0.15 * F.col("product_market_fit") + 0.15 * F.col("confidence") - F.col(
+        "derivative_news_penalty"
+    )
     return F.round(clamped(raw, 0, 100), 2)
 
 
@@ -46,7 +50,9 @@ def product_or_repo(object_type: Column, flag: Column) -> Column:
 def selected_for_brief(scored: DataFrame, minimum: float = 70, target: int = 8, most: int = 10) -> DataFrame:
     """The top ``target``, and those that tie with the last of them, up to ``most``. One ordered prefix of at most ``most`` rows."""
     order = [F.desc("score"), F.desc("level_rank"), F.asc("group_id")]
-    ok = (F.col("score") >= minimum) & product_or_repo(F.col("object_type"), F.col("is_product_or_repo")) & F.col("should_print") & ~F.col("failed")
+    ok = (F.col("score") >= minimum) & product_or_repo(
+        F.col("object_type"), F.col("is_product_or_repo")
+    ) & F.col("should_print") & ~F.col("failed")
     top = scored.filter(ok).orderBy(*order).limit(most)
     w = Window.orderBy(*order)  # over ``most`` rows
     top = top.withColumn("brief_rank", F.row_number().over(w))
@@ -56,7 +62,9 @@ def selected_for_brief(scored: DataFrame, minimum: float = 70, target: int = 8,
 
 def route(selected: Column, score_only: float = 50) -> Column:
     ok = F.col("should_print") & product_or_repo(F.col("object_type"), F.col("is_product_or_repo"))
-    return F.when(F.col("failed"), "candidate_error").when(~ok, "suppress_or_low").when(selected, "score_plus_deepdive").when(F.col("score") >= score_only, "score_only").otherwise("suppress_or_low")
+    return F.when(F.col("failed"), "candidate_error").when(~ok, "suppress_or_low").when(selected, "score_plus_deepdive").when(
+        F.col("score") >= score_only, "score_only"
+    ).otherwise("suppress_or_low")
 
 
 def routed(scored: DataFrame, known: Column) -> DataFrame:
@@ -64,7 +72,12 @@ def routed(scored: DataFrame, known: Column) -> DataFrame:
     chosen = selected_for_brief(scored.filter(~known)).select("group_id", "brief_rank")
     out = scored.join(F.broadcast(chosen), "group_id", "left")  # at most ten rows
     out = out.withColumn("route", route(F.col("brief_rank").isNotNull()))
-    return out.withColumn("section", F.when(F.col("route") == "candidate_error", "diagnostics").when(F.col("route") == "score_plus_deepdive", "today_focus").otherwise("scored"))
+    return out.withColumn(
+        "section",
+        F.when(F.col("route") == "candidate_error", "diagnostics").when(
+            F.col("route") == "score_plus_deepdive", "today_focus"
+        ).otherwise("scored")
+    )
 
 
 def feed(scored: DataFrame, known: Column) -> DataFrame:
@@ -90,13 +103,17 @@ def scheduled(groups: DataFrame, previous: DataFrame, score_cap: int | None, sco
         chosen = chosen.union(first(~scout, score_cap))
     g = g.join(F.broadcast(chosen), "group_id", "left")  # as many rows as both caps
     within = F.col("_in").isNotNull() | (F.lit(not capped) & ~scout)
-    return g.select("group_id", F.when(F.col("_same"), "skipped").when(~within, "pending").when(scout, "scout").otherwise("score_now").alias("lane"))
+    return g.select(
+        "group_id", F.when(F.col("_same"), "skipped").when(~within, "pending").when(scout, "scout").otherwise("score_now").alias("lane")
+    )
 
 
 def checked_claims(claims: DataFrame, refs: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     """claim_id, error: what is wrong with a claim, null for good ones. claims: claim_id, claim, evidence_refs, supports_axes, claim_type."""
     cited = claims.select("claim_id", F.explode(bounded_strings(F.col("evidence_refs"), 8, 160)).alias("ref"))
-    unknown = cited.join(refs.select("ref").distinct(), "ref", "left_anti").select("claim_id").distinct().withColumn("_unknown", F.lit(True))
+    unknown = cited.join(
+        refs.select("ref").distinct(), "ref", "left_anti"
+    ).select("claim_id").distinct().withColumn("_unknown", F.lit(True))
     bad_axis = F.exists("supports_axes", lambda a: ~a.isin(*axes))
     error = (
         F.when(F.trim(F.coalesce("claim", F.lit(""))) == "", "missing text")
@@ -113,7 +130,9 @@ def checked_claims(claims: DataFrame, refs: DataFrame, axes: tuple[str, ...]) ->
 RICH_README, ENOUGH_EVIDENCE = 180, 2
 
 
-def preflight(readme_chars: Column, context_chars: Column, evidence: Column, families: Column, key: Column, open_matters: Column | None = None) -> dict[str, Column]:
+def preflight(
+    readme_chars: Column, context_chars: Column, evidence: Column, families: Column, key: Column, open_matters: Column | None = None
+) -> dict[str, Column]:
     """How much is known for each axis, and how the candidate is to be scored.
 
     ``open_matters`` says whether evidence was left out or momentum is to be verified: then nothing is scored at once.

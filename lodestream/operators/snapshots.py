@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from .windows import first_per, spread_ranked
 
 #: Channels in display order.
-CHANNELS = ("github_trending", "github_movers_trending_repos", "github_movers_repofomo", "github_search", "hn_search", "hn_top", "product_hunt", "huggingface_models", "huggingface_datasets", "huggingface_spaces", "npm_search", "pypi_newest", "pypi_updates", "x_seed_accounts", "x_tweets")
+CHANNELS = (
+    "github_trending", "github_movers_trending_repos", "github_movers_repofomo", "github_search", "hn_search", "hn_top", "product_hunt",
+    "huggingface_models", "huggingface_datasets", "huggingface_spaces", "npm_search", "pypi_newest", "pypi_updates", "x_seed_accounts",
+    "x_tweets"
+)
 RETIRED = ("x_project_mentions", "ossinsight_trending", "ossinsight_trending_optional")
-LABELS = {"github_trending": "GitHub Trending", "github_movers_trending_repos": "Trending Repos", "github_movers_repofomo": "RepoFOMO", "github_search": "GitHub Search", "hn_search": "HN Search", "hn_top": "HN Top", "product_hunt": "Product Hunt", "huggingface_models": "HF Models", "huggingface_datasets": "HF Datasets", "huggingface_spaces": "HF Spaces", "npm_search": "npm Search", "pypi_newest": "PyPI Newest", "pypi_updates": "PyPI Updates", "x_seed_accounts": "X Accounts", "x_tweets": "X Tweets"}
+LABELS = {
+    "github_trending": "GitHub Trending", "github_movers_trending_repos": "Trending Repos", "github_movers_repofomo": "RepoFOMO",
+    "github_search": "GitHub Search", "hn_search": "HN Search", "hn_top": "HN Top", "product_hunt": "Product Hunt",
+    "huggingface_models": "HF Models", "huggingface_datasets": "HF Datasets", "huggingface_spaces": "HF Spaces", "npm_search": "npm Search",
+    "pypi_newest": "PyPI Newest", "pypi_updates": "PyPI Updates", "x_seed_accounts": "X Accounts", "x_tweets": "X Tweets"
+}
 WINDOW_OF_PERIOD = {"daily": "24h", "weekly": "7d", "monthly": "30d", "past_24_hours": "24h", "past_week": "7d", "past_month": "30d"}
 
 
 def channel(source: Column) -> Column:
     """The channel a source is shown in; null for retired sources."""
-    return F.when(source.isin(*RETIRED), None).when(source == "hn_algolia", "hn_search").when(source == "hn_firebase", "hn_top").otherwise(source)
+    return F.when(source.isin(*RETIRED), None).when(
+        source == "hn_algolia", "hn_search"
+    ).when(source == "hn_firebase", "hn_top").otherwise(source)
 
 
 def channel_label(name: Column) -> Column:
@@ -94,10 +105,14 @@ def native_order(source: Column, window: Column, metadata: Column, rank: Column,
     scope = F.coalesce(F.nullif(_field(metadata, "scope_language"), F.lit("")), F.lit("all"))
     label = F.coalesce(F.nullif(_field(metadata, "query_label"), F.lit("")), _field(metadata, "query"), F.lit(""))
     windowed = source.isin("github_trending", "hn_algolia", "github_movers_trending_repos", "x_tweets")
-    first = F.when(windowed, _place(window, WINDOW_ORDER)).when(source == "hn_firebase", _place(_field(metadata, "list"), LIST_ORDER)).otherwise(0)
+    first = F.when(windowed, _place(window, WINDOW_ORDER)).when(
+        source == "hn_firebase", _place(_field(metadata, "list"), LIST_ORDER)
+    ).otherwise(0)
     second = F.when((source == "github_trending") & (scope != "all"), 1).otherwise(0)
     text = F.when(source == "github_trending", scope).when(source.isin("github_search", "hn_algolia", "npm_search"), label).otherwise("")
-    return F.struct(first.alias("a"), second.alias("b"), text.alias("c"), F.coalesce(rank, F.lit(10_000)).cast("long").alias("d"), name.alias("e"))
+    return F.struct(
+        first.alias("a"), second.alias("b"), text.alias("c"), F.coalesce(rank, F.lit(10_000)).cast("long").alias("d"), name.alias("e")
+    )
 
 
 def matches_text(columns: list[Column], metadata: Column, needle: str) -> Column:
@@ -110,7 +125,10 @@ def in_range(metric: Column, window: Column, wanted: str) -> Column:
     return (window == wanted) if wanted in WINDOW_ORDER else F.coalesce(metric.try_cast("double"), F.lit(0.0)) > 0
 
 
-def channel_view(rows: DataFrame, column: str, kind: str, descending: bool, keys: list[str], native: list[str], name: str, last: str, label: str = "place") -> DataFrame:
+def channel_view(
+    rows: DataFrame, column: str, kind: str, descending: bool, keys: list[str], native: list[str], name: str, last: str,
+    label: str = "place"
+) -> DataFrame:
     """``rows`` with their place in each channel's view: sorted by a chosen column and direction, ties by native rank, name, ``last``.
 
     kind is what the column holds: "name" (in lower case), "time" (none is the epoch) or "number" (numbers before other
@@ -131,7 +149,9 @@ def channel_view(rows: DataFrame, column: str, kind: str, descending: bool, keys
 
 def append_snapshot(batch: DataFrame, path: str) -> None:
     """Items of a run, the first of each (source, external_id), added to the folder by source and run. batch: source, run_id, external_id, ord, ..."""
-    first_of_batch(batch, ["source", "run_id", "external_id"], [F.col("ord").asc()]).write.mode("append").partitionBy("source", "run_id").parquet(path)
+    first_of_batch(
+        batch, ["source", "run_id", "external_id"], [F.col("ord").asc()]
+    ).write.mode("append").partitionBy("source", "run_id").parquet(path)
 
 
 def latest_from_store(spark: SparkSession, path: str, snapshots: DataFrame) -> DataFrame:
@@ -142,7 +162,11 @@ def latest_from_store(spark: SparkSession, path: str, snapshots: DataFrame) -> D
     """
     stored = spark.read.option("basePath", path).parquet(path)
     kinds = {"source": "string", "run_id": "string"}
-    stored = stored.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds and stored.schema[c].dataType.simpleString() != "string" else F.col(c) for c in stored.columns])
+    stored = stored.select(
+        *[
+            F.col(c).cast(kinds[c]).alias(c) if c in kinds and stored.schema[c].dataType.simpleString() != "string" else F.col(c) for c in stored.columns
+        ]
+    )
     return stored.join(F.broadcast(latest_snapshots(snapshots, "run_id", ok_only=True)), ["source", "run_id"])  # a row a source
 
 
@@ -174,8 +198,12 @@ def since_date(cursors: DataFrame, handles: DataFrame, now: Column, fallback_day
     name = F.regexp_replace(F.lower("handle"), "^@+", "")
     asked = handles.filter("handle != ''").select(name.alias("handle")).distinct()
     known = cursors.filter("latest_at is not null").groupBy(name.alias("handle")).agg(F.max("latest_at").alias("latest_at"))
-    got = asked.join(known, "handle", "left").agg(F.count(F.lit(1)).alias("n"), F.count("latest_at").alias("k"), F.min("latest_at").alias("oldest"))
-    since = F.when((F.col("n") > 0) & (F.col("n") == F.col("k")), F.col("oldest") - F.expr(f"INTERVAL {safety_days} DAYS")).otherwise(now - F.expr(f"INTERVAL {fallback_days} DAYS"))
+    got = asked.join(known, "handle", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count("latest_at").alias("k"), F.min("latest_at").alias("oldest")
+    )
+    since = F.when(
+        (F.col("n") > 0) & (F.col("n") == F.col("k")), F.col("oldest") - F.expr(f"INTERVAL {safety_days} DAYS")
+    ).otherwise(now - F.expr(f"INTERVAL {fallback_days} DAYS"))
     return got.select(F.date_format(since, "yyyy-MM-dd").alias("since"))
 
 
@@ -188,7 +216,10 @@ def source_channels(items: DataFrame, errors: DataFrame, hidden: tuple[str, ...]
     counts = rows.groupBy("channel", "window").agg(F.count(F.lit(1)).alias("n"))
     per = counts.groupBy("channel").agg(F.sum("n").alias("count"), F.array_sort(F.collect_list(F.struct("window", "n"))).alias("windows"))
     bad = errors.withColumn("channel", channel(F.col("source"))).groupBy("channel").agg(F.max("error").alias("error"))
-    return per.join(bad, "channel", "left").select("channel", channel_label(F.col("channel")).alias("label"), _place(F.col("channel"), CHANNELS).alias("place"), "count", "windows", "error")
+    return per.join(bad, "channel", "left").select(
+        "channel", channel_label(F.col("channel")).alias("label"), _place(F.col("channel"), CHANNELS).alias("place"), "count", "windows",
+        "error"
+    )
 
 
 def snapshot_status(error: Column, rows: Column) -> Column:
@@ -204,14 +235,19 @@ def upserted(store: DataFrame, batch: DataFrame, key: str, seen_first: str = "fi
     """The store after a batch: the batch's latest row of a key replaces the stored one, but the earliest first sight stays."""
     both = store.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
     earliest = Window.partitionBy(key)
-    latest = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(seen_last), *[F.desc(c) for c in sorted(store.columns) if c not in (key, seen_last)])
+    latest = Window.partitionBy(key).orderBy(
+        F.desc("_new"), F.desc(seen_last), *[F.desc(c) for c in sorted(store.columns) if c not in (key, seen_last)]
+    )
     both = both.withColumn("_first", F.min(seen_first).over(earliest)).withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
     return both.withColumn(seen_first, F.col("_first")).select(*store.columns)
 
 
 def cursors(posts: DataFrame, author: str, at: str, post_id: str) -> DataFrame:
     """Per lower-cased author: latest time, the post it belongs to, and how many there are."""
-    return posts.groupBy(F.lower(author).alias("author")).agg(F.max(at).alias("latest_at"), F.max(F.struct(F.col(at), F.col(post_id)))[post_id].alias("latest_id"), F.count(F.lit(1)).alias("posts"))
+    return posts.groupBy(F.lower(author).alias("author")).agg(
+        F.max(at).alias("latest_at"), F.max(F.struct(F.col(at), F.col(post_id)))[post_id].alias("latest_id"),
+        F.count(F.lit(1)).alias("posts")
+    )
 
 
 def pruned(items: DataFrame, keep: DataFrame, group: list[str], order: list[Column], most: int, key: str = "item_id") -> DataFrame:
@@ -227,7 +263,10 @@ def pruned(items: DataFrame, keep: DataFrame, group: list[str], order: list[Colu
 def without_secrets(fields: Column) -> Column:
     """A map without local paths, and with secrets' values replaced."""
     secret = lambda k: F.lower(k).rlike("token|secret|password|authorization|api_key")
-    return F.transform_values(F.map_filter(fields, lambda k, v: ~F.lower(k).isin("raw_file", "local_path", "file_path", "path")), lambda k, v: F.when(secret(k), "[redacted]").otherwise(v))
+    return F.transform_values(
+        F.map_filter(fields, lambda k, v: ~F.lower(k).isin("raw_file", "local_path", "file_path", "path")),
+        lambda k, v: F.when(secret(k), "[redacted]").otherwise(v)
+    )
 
 
 def guarded_jobs(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -235,7 +274,10 @@ def guarded_jobs(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     n = new.select(*key, F.col("status").alias("_status"), F.col("priority").alias("_priority"))
     both = old.join(n, key, "full_outer")
     done = F.col("status").isin("completed", "failed")
-    return both.select(*key, F.when(done, F.col("status")).otherwise(F.coalesce("_status", "status")).alias("status"), F.coalesce("_priority", "priority").alias("priority"))
+    return both.select(
+        *key, F.when(done, F.col("status")).otherwise(F.coalesce("_status", "status")).alias("status"),
+        F.coalesce("_priority", "priority").alias("priority")
+    )
 
 
 def gated_import(store: DataFrame, batch: DataFrame, at: str, run: str, oldest: Column) -> DataFrame:

@@ -66,7 +66,9 @@ def spread_ranked(
         counts = rows.groupBy(fine.alias("_fine"), "_part").agg(F.count(F.lit(1)).alias("_n"))
         earlier = Window.partitionBy("_fine").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.select("_fine", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-        found = found.join(counts, ["_fine", "_part"]).withColumn(rank, (F.col("_own") + F.col("_before")).cast("long")).drop("_fine", "_own", "_before")
+        found = found.join(counts, ["_fine", "_part"]).withColumn(
+            rank, (F.col("_own") + F.col("_before")).cast("long")
+        ).drop("_fine", "_own", "_before")
     more = [*(finer or {}), *[F.col(c).alias(n) for c, n in (("_total", total), ("_part", part)) if n]]
     return found.select(*df.columns, name, *more)
 
@@ -77,7 +79,10 @@ def fitted(rows: Column, budget: int) -> Column:
 
     def step(s: Column, r: Column) -> Column:
         fits = s["used"] + r["size"] <= budget
-        return F.struct(F.when(fits, s["used"] + r["size"]).otherwise(s["used"]).cast("long").alias("used"), F.when(fits, F.concat(s["kept"], F.array(r["id"].cast("long")))).otherwise(s["kept"]).alias("kept"))
+        return F.struct(
+            F.when(fits, s["used"] + r["size"]).otherwise(s["used"]).cast("long").alias("used"),
+            F.when(fits, F.concat(s["kept"], F.array(r["id"].cast("long")))).otherwise(s["kept"]).alias("kept")
+        )
 
     return F.aggregate(rows, start, step)
 

@@ -20,66 +20,88 @@ _COMPACT = "CASE WHEN abs({0}) >= 1000 THEN regexp_replace(printf('%.1f', floor(
 
 
 @query(with_sql(LINKS_SQL, then=r"""SELECT event_id,
-  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(txt, 'https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 0), lambda g: 'github:' || lower(regexp_replace(regexp_replace(g, '^https?://github\.com/', ''), '\.git$', ''))))), ',') AS keys FROM links"""))
+  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(txt, 'https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 0), lambda g: 'github:' || lower(regexp_replace(regexp_replace(g, '^https?://github\.com/', ''), '\.git$', ''))))), ',') AS keys
+  FROM links"""))
 def x1_github_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).select("event_id", F.array_join(X.github_keys(F.col("txt")), ",").alias("keys"))
 
 
 @query(with_sql(LINKS_SQL, then=r"""SELECT event_id,
-  list_transform(regexp_extract_all(txt, 'https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 0), lambda g: 'github:' || lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(g, '^https?://github\.com/', ''), '\.git$', ''), '[.,;:!?)"\]}'']+$', ''), '\.git$', '')))[1] AS first_key FROM links"""))
+  list_transform(regexp_extract_all(txt, 'https?://github\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 0), lambda g: 'github:' || lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(g, '^https?://github\.com/', ''), '\.git$', ''), '[.,;:!?)"\]}'']+$', ''), '\.git$', '')))[1] AS first_key
+  FROM links"""))
 def x1_github_keys_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).select("event_id", F.try_element_at(X.github_keys_in_prose(F.col("txt")), F.lit(1)).alias("first_key"))
 
 
-_DOMAIN = f"""SELECT event_id, CASE WHEN len(parts) >= 2 AND two NOT IN {_SHARED} THEN two END AS domain, CASE WHEN len(parts) >= 2 AND two NOT IN {_SHARED} THEN CASE WHEN len(parts) > 2 THEN h ELSE two END END AS full_domain
-FROM (SELECT event_id, h, string_split(h, '.') AS parts, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS two FROM (SELECT event_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM links))"""
+_DOMAIN = f"""SELECT event_id, CASE WHEN len(parts) >= 2 AND two NOT IN {_SHARED} THEN two END AS domain, CASE WHEN len(parts) >= 2
+  AND two NOT IN {_SHARED} THEN CASE WHEN len(parts) > 2 THEN h ELSE two END END AS full_domain
+FROM (SELECT event_id, h, string_split(h, '.') AS parts, array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS two
+  FROM (SELECT event_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM links))"""
 
 
 @query(with_sql(LINKS_SQL, then=_DOMAIN))
 def x2_domain_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("u")
-    return links(spark, sf_dir).select("event_id", X.registrable_domain(u, F.lit(False)).alias("domain"), X.registrable_domain(u, F.lit(True)).alias("full_domain"))
+    return links(spark, sf_dir).select(
+        "event_id", X.registrable_domain(u, F.lit(False)).alias("domain"), X.registrable_domain(u, F.lit(True)).alias("full_domain")
+    )
 
 
-@query(f"""SELECT p_partkey, CASE WHEN length(s) >= 6 AND s NOT IN ({", ".join(repr(g) for g in X.GENERIC_NAMES)}) THEN 'name:' || s END AS name_key, 'title:' || coalesce(nullif(s2, ''), 'untitled') AS title_key
+@query(f"""SELECT p_partkey, CASE WHEN length(s) >= 6
+  AND s NOT IN ({", ".join(repr(g) for g in X.GENERIC_NAMES)}) THEN 'name:' || s END AS name_key, 'title:' || coalesce(nullif(s2, ''), 'untitled') AS title_key
 FROM (SELECT p_partkey, {_SLUG.format("p_type")} AS s, {_SLUG.format("trim(p_brand || ' ' || p_name)")} AS s2 FROM part)""")
 def x3_x5_name_and_title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", X.name_key(F.col("p_type")).alias("name_key"), X.title_key(F.concat_ws(" ", "p_brand", "p_name")).alias("title_key"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.name_key(F.col("p_type")).alias("name_key"), X.title_key(F.concat_ws(" ", "p_brand", "p_name")).alias("title_key")
+    )
 
 
 @query(with_sql(LINKS_SQL, then=rf"""SELECT event_id,
-  CASE WHEN b = '' THEN NULL WHEN b = 'github.com' THEN CASE WHEN len(parts) >= 2 THEN 'https://github.com/' || lower(parts[1]) || '/' || regexp_replace(lower(parts[2]), '\.git$', '') END
+  CASE WHEN b = '' THEN NULL WHEN b = 'github.com' THEN CASE
+  WHEN len(parts) >= 2 THEN 'https://github.com/' || lower(parts[1]) || '/' || regexp_replace(lower(parts[2]), '\.git$', '') END
     WHEN b = 'npmjs.com' AND starts_with(p, '/package/') THEN 'https://' || b || p WHEN b IN {_SHARED} THEN NULL ELSE 'https://' || b || p END AS story_url,
   lower(regexp_extract(u, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) || coalesce(nullif(p0, ''), '/') || regexp_extract(u, '^[^#?]*(\?[^#]*)', 1) AS page_url,
-  CASE WHEN h IN ('github.com', 'www.github.com') AND len(parts) = 2 AND regexp_matches(u, '^https?://') THEN 'github:' || lower(parts[1]) || '/' || lower(regexp_replace(parts[2], '\.git$', '')) END AS repo_url_key,
+  CASE WHEN h IN ('github.com', 'www.github.com') AND len(parts) = 2
+  AND regexp_matches(u, '^https?://') THEN 'github:' || lower(parts[1]) || '/' || lower(regexp_replace(parts[2], '\.git$', '')) END AS repo_url_key,
   CASE WHEN h IN ('github.com', 'www.github.com') AND len(parts) >= 2 THEN lower(parts[1]) || '/' || regexp_replace(lower(parts[2]), '\.git$', '') END AS repo_key
 FROM (SELECT event_id, u, {_HOST} AS h, regexp_replace({_HOST}, '^www\.', '') AS b, {_PATH} AS p0, regexp_replace({_PATH}, '/+$', '') AS p, {_PARTS} AS parts FROM links)"""))
 def x4_url_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("u")
-    return links(spark, sf_dir).select("event_id", X.story_url(u).alias("story_url"), X.page_url(u).alias("page_url"), X.repo_url_key(u).alias("repo_url_key"), X.repo_key_of_link(u).alias("repo_key"))
+    return links(spark, sf_dir).select(
+        "event_id", X.story_url(u).alias("story_url"), X.page_url(u).alias("page_url"), X.repo_url_key(u).alias("repo_url_key"),
+        X.repo_key_of_link(u).alias("repo_key")
+    )
 
 
 @query(with_sql(LINKS_SQL, then=rf"""SELECT event_id,
   CASE WHEN h IN ('npmjs.com', 'www.npmjs.com') AND parts[1] = 'package' AND len(parts) > 1 THEN 'npm:' || array_to_string(parts[2:], '/') END AS npm_key,
   CASE WHEN g <> '' THEN 'github:' || lower(regexp_replace(regexp_replace(g, '^github\.com/', ''), '\.git$', '')) END AS repository_key
-FROM (SELECT event_id, {_HOST} AS h, {_PARTS} AS parts, regexp_extract(regexp_replace(regexp_replace(regexp_replace(trim(u), '^git\+', ''), '^git@github\.com:', 'https://github.com/'), '^github:', 'https://github.com/'), 'github\.com/([^/\s]+)/([^/\s#?]+)', 0) AS g FROM links)"""))
+FROM (SELECT event_id, {_HOST} AS h, {_PARTS} AS parts, regexp_extract(regexp_replace(regexp_replace(regexp_replace(trim(u), '^git\+', ''), '^git@github\.com:', 'https://github.com/'), '^github:', 'https://github.com/'), 'github\.com/([^/\s]+)/([^/\s#?]+)', 0) AS g
+  FROM links)"""))
 def x6_package_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("u")
     return links(spark, sf_dir).select("event_id", X.npm_key(u).alias("npm_key"), X.repository_key(u).alias("repository_key"))
 
 
-@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, CASE key_type WHEN 'github' THEN 'https://github.com/' || regexp_replace(entity_key, '^[a-z]+:', '') WHEN 'domain' THEN 'https://' || regexp_replace(entity_key, '^[a-z]+:', '') END AS url,
+@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, CASE key_type WHEN 'github' THEN 'https://github.com/' || regexp_replace(entity_key, '^[a-z]+:', '')
+  WHEN 'domain' THEN 'https://' || regexp_replace(entity_key, '^[a-z]+:', '') END AS url,
   CASE key_type WHEN 'github' THEN 3 WHEN 'domain' THEN 2 ELSE 1 END AS strength FROM items"""))
 def x7_key_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("item_id", X.key_url(F.col("entity_key")).alias("url"), X.key_strength(F.col("entity_key")).alias("strength"))
+    return items(spark, sf_dir).select(
+        "item_id", X.key_url(F.col("entity_key")).alias("url"), X.key_strength(F.col("entity_key")).alias("strength")
+    )
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\x{0B}\x{A0}]+', ' ', 'g')) AS text FROM pages""")
+@query(
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n\r\f\x{0B}\x{A0}]+', ' ', 'g')) AS text
+  FROM pages"""
+)
 def x8_stripped_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.stripped_html(F.col("html")).alias("text"))
 
 
-@query(r"""WITH m AS (SELECT page_id, '# Title' || chr(10) || '[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '- **item** `x`' || chr(10) || html AS m FROM pages),
+@query(r"""WITH m AS (SELECT page_id, '# Title' || chr(10) || '[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c' || chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) || '- **item** `x`' || chr(10) || html AS m
+  FROM pages),
 a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m,
   '(?s)```.*?```', ' ', 'g'),
   '(?s)~~~.*?~~~', ' ', 'g'),
@@ -88,7 +110,8 @@ a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replac
   '(?m)^\s*\[[^\]]+\]:\s*\S+.*$', ' ', 'g'),
   '!\[[^\]]*\]\([^)]*\)', ' ', 'g'),
   '<[^>]+>', ' ', 'g') AS t FROM m),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t
+  FROM a)
 SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
   '\[([^\]]+)\]\([^)]*\)', '\1', 'g'),
   'https?://\S+', ' ', 'g'),
@@ -99,36 +122,62 @@ SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
   '[`*]', '', 'g'),
   '[\s\x{A0}]+', ' ', 'g')) AS preview FROM b""")
 def x9_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.concat(F.lit("# Title\n[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c\n```\ncode\n```\n- **item** `x`\n"), F.col("html"))
+    m = F.concat(
+        F.lit("# Title\n[![b](x)](y) ![i](z) see [docs](http://d/e) https://a.b/c\n```\ncode\n```\n- **item** `x`\n"), F.col("html")
+    )
     return table(spark, sf_dir, "pages").select("page_id", X.preview(m).alias("preview"))
 
 
 @query(with_sql(LINKS_SQL, then=r"""SELECT event_id, regexp_extract_all(t, 'https?://[^\s)>"]+')[1] AS first_url, array_to_string(list_transform(regexp_extract_all(t, '@([A-Za-z0-9_]{1,15})', 1), lambda m: lower(m)), ',') AS mentions,
-  array_to_string(list_transform(regexp_extract_all(t, '#([A-Za-z0-9_]+)', 1), lambda m: lower(m)), ',') AS hashtags FROM (SELECT event_id, txt || ' @User' || user_id || ' #Tag' || k AS t FROM links)"""))
+  array_to_string(list_transform(regexp_extract_all(t, '#([A-Za-z0-9_]+)', 1), lambda m: lower(m)), ',') AS hashtags
+  FROM (SELECT event_id, txt || ' @User' || user_id || ' #Tag' || k AS t FROM links)"""))
 def x10_url_mention_hashtag_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat("txt", F.lit(" @User"), F.col("user_id").cast("string"), F.lit(" #Tag"), F.col("k").cast("string"))
     low = lambda p: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), F.lower), ",")
-    return links(spark, sf_dir).select("event_id", F.try_element_at(F.regexp_extract_all(t, F.lit(X.LINK), F.lit(0)), F.lit(1)).alias("first_url"), low("@([A-Za-z0-9_]{1,15})").alias("mentions"), low("#([A-Za-z0-9_]+)").alias("hashtags"))
-
-
-@query(with_sql(LINKS_SQL, then=r"""SELECT event_id, CAST(CAST(nullif(regexp_replace(u, '[^0-9]', '', 'g'), '') AS HUGEINT) % 1000000007 AS BIGINT) AS n, TRY_CAST(regexp_replace(trim(CASE WHEN k % 3 = 0 THEN '1,' || (100 + k) || '.5%' ELSE 'n/a ' || k END), '[,%]', '', 'g') AS DOUBLE) AS x FROM links"""))
+    return links(spark, sf_dir).select(
+        "event_id", F.try_element_at(F.regexp_extract_all(t, F.lit(X.LINK), F.lit(0)), F.lit(1)).alias("first_url"),
+        low("@([A-Za-z0-9_]{1,15})").alias("mentions"), low("#([A-Za-z0-9_]+)").alias("hashtags")
+    )
+
+
+@query(
+    with_sql(
+        LINKS_SQL,
+        then=r"""SELECT event_id, CAST(CAST(nullif(regexp_replace(u, '[^0-9]', '', 'g'), '') AS HUGEINT) % 1000000007 AS BIGINT) AS n, TRY_CAST(regexp_replace(trim(CASE
+  WHEN k % 3 = 0 THEN '1,' || (100 + k) || '.5%' ELSE 'n/a ' || k END), '[,%]', '', 'g') AS DOUBLE) AS x FROM links"""
+    )
+)
 def x12_numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.regexp_replace("u", "[^0-9]", "")
-    text = F.when(F.col("k") % 3 == 0, F.concat(F.lit("1,"), (100 + F.col("k")).cast("string"), F.lit(".5%"))).otherwise(F.concat(F.lit("n/a "), F.col("k").cast("string")))
-    return links(spark, sf_dir).select("event_id", (F.when(digits != "", digits).cast("decimal(38,0)") % 1000000007).cast("long").alias("n"), X.loose_number(text).alias("x"))
-
-
-@query(r"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch(o_orderdate) AS parsed, epoch(o_orderdate) AS feed FROM orders""")
+    text = F.when(
+        F.col("k") % 3 == 0, F.concat(F.lit("1,"), (100 + F.col("k")).cast("string"), F.lit(".5%"))
+    ).otherwise(F.concat(F.lit("n/a "), F.col("k").cast("string")))
+    return links(spark, sf_dir).select(
+        "event_id", (F.when(digits != "", digits).cast("decimal(38,0)") % 1000000007).cast("long").alias("n"),
+        X.loose_number(text).alias("x")
+    )
+
+
+@query(
+    r"""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, epoch(o_orderdate) AS parsed, epoch(o_orderdate) AS feed FROM orders"""
+)
 def x13_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = X.iso_time(F.col("o_orderdate").cast("timestamp"))
     feed = F.date_format(F.col("o_orderdate").cast("timestamp"), "d MMM yyyy HH:mm:ss Z")
-    return table(spark, sf_dir, "orders").select("o_orderkey", iso.alias("iso"), F.unix_timestamp(X.parsed_time(iso)).cast("double").alias("parsed"), F.unix_timestamp(X.feed_time(F.concat(F.lit("Mon, "), feed))).cast("double").alias("feed"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", iso.alias("iso"), F.unix_timestamp(X.parsed_time(iso)).cast("double").alias("parsed"),
+        F.unix_timestamp(X.feed_time(F.concat(F.lit("Mon, "), feed))).cast("double").alias("feed")
+    )
 
 
-@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, CASE WHEN metric >= 3000 THEN 'high_potential' WHEN metric >= 1000 THEN 'potential' WHEN metric >= 300 THEN 'watch' ELSE 'none' END AS level,
+@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, CASE WHEN metric >= 3000 THEN 'high_potential' WHEN metric >= 1000 THEN 'potential'
+  WHEN metric >= 300 THEN 'watch' ELSE 'none' END AS level,
   (metric / 7.0) / greatest(k / 30.0, 1.0) AS ratio, least(greatest(value, 5.0), 50.0) AS clamped FROM items"""))
 def x14_x15_x21_levels_ratios_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("item_id", X.level(F.col("metric"), 300, 1000, 3000).alias("level"), X.floored_ratio(F.col("metric"), 7, F.col("k"), 30, 1.0).alias("ratio"), X.clamped(F.col("value"), 5, 50).alias("clamped"))
+    return items(spark, sf_dir).select(
+        "item_id", X.level(F.col("metric"), 300, 1000, 3000).alias("level"),
+        X.floored_ratio(F.col("metric"), 7, F.col("k"), 30, 1.0).alias("ratio"), X.clamped(F.col("value"), 5, 50).alias("clamped")
+    )
 
 
 @query(f"""SELECT o_orderkey, {_COMPACT.format("floor(o_totalprice)")} AS compact FROM orders""")
@@ -136,21 +185,37 @@ def x16_compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.compact_number(F.floor("o_totalprice").cast("double")).alias("compact"))
 
 
-@query(with_sql(ITEMS_SQL, then=f"""SELECT item_id, CASE family WHEN 'github' THEN 'GH +' || {_COMPACT.format("CAST(metric AS DOUBLE)")} || ' stars / 24h' WHEN 'hn' THEN 'HN max ' || {_COMPACT.format("CAST(metric AS DOUBLE)")} || ' pts / 7d' ELSE family || ': m ' || metric END AS label,
-  CASE WHEN source = 'npm_registry' THEN 'backfill' ELSE 'deterministic_rule' END AS origin, CASE WHEN source = 'npm_registry' THEN 'backfill' ELSE 'rule' END AS badge FROM items"""))
+@query(with_sql(ITEMS_SQL, then=f"""SELECT item_id, CASE family WHEN 'github' THEN 'GH +' || {_COMPACT.format("CAST(metric AS DOUBLE)")} || ' stars / 24h'
+  WHEN 'hn' THEN 'HN max ' || {_COMPACT.format("CAST(metric AS DOUBLE)")} || ' pts / 7d' ELSE family || ': m ' || metric END AS label,
+  CASE WHEN source = 'npm_registry' THEN 'backfill' ELSE 'deterministic_rule' END AS origin, CASE
+  WHEN source = 'npm_registry' THEN 'backfill' ELSE 'rule' END AS badge FROM items"""))
 def x17_evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("family") == "github", "stars_today").when(F.col("family") == "hn", "hn_max_points_7d").otherwise("m")
     origin = X.origin_type(F.col("source"), F.col("family"))
-    return items(spark, sf_dir).select("item_id", X.evidence_label(F.col("source"), F.col("family"), name, F.col("metric").cast("string")).alias("label"), origin.alias("origin"), X.provenance_badge(origin).alias("badge"))
-
-
-@query(with_sql(ITEMS_SQL, then="""SELECT item_id, 'entity:' || substr(sha1(entity_key), 1, 16) AS entity_id, sha256('{"k":' || k || ',"source":"' || source || '"}') AS content_hash FROM items"""))
+    return items(spark, sf_dir).select(
+        "item_id", X.evidence_label(F.col("source"), F.col("family"), name, F.col("metric").cast("string")).alias("label"),
+        origin.alias("origin"), X.provenance_badge(origin).alias("badge")
+    )
+
+
+@query(
+    with_sql(
+        ITEMS_SQL,
+        then="""SELECT item_id, 'entity:' || substr(sha1(entity_key), 1, 16) AS entity_id, sha256('{"k":' || k || ',"source":"' || source || '"}') AS content_hash
+  FROM items"""
+    )
+)
 def x18_ids_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.to_json(F.struct("k", "source"), {"ignoreNullFields": "false"})
-    return items(spark, sf_dir).select("item_id", X.stable_id("entity:", F.col("entity_key")).alias("entity_id"), F.sha2(content, 256).alias("content_hash"))
+    return items(spark, sf_dir).select(
+        "item_id", X.stable_id("entity:", F.col("entity_key")).alias("entity_id"), F.sha2(content, 256).alias("content_hash")
+    )
 
 
-@query(r"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace('Authorization: Bearer abc.DEF-' || doc_id || ' key sk-' || doc_id || 'xyz api_key = s3cret' || doc_id || ' ' || text, '(?i)bearer\s+[A-Za-z0-9._-]+', '[redacted]', 'g'), '(?i)sk-[A-Za-z0-9._-]+', '[redacted]', 'g'), '(?i)(api[_-]?key\s*[:=]\s*)[A-Za-z0-9._-]+', '\1[redacted]', 'g'), 800) AS text FROM documents""")
+@query(
+    r"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace('Authorization: Bearer abc.DEF-' || doc_id || ' key sk-' || doc_id || 'xyz api_key = s3cret' || doc_id || ' ' || text, '(?i)bearer\s+[A-Za-z0-9._-]+', '[redacted]', 'g'), '(?i)sk-[A-Za-z0-9._-]+', '[redacted]', 'g'), '(?i)(api[_-]?key\s*[:=]\s*)[A-Za-z0-9._-]+', '\1[redacted]', 'g'), 800) AS text
+  FROM documents"""
+)
 def x19_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
     text = F.concat(F.lit("Authorization: Bearer abc.DEF-"), d, F.lit(" key sk-"), d, F.lit("xyz api_key = s3cret"), d, F.lit(" "), "text")
@@ -159,34 +224,58 @@ def x19_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events")
 def x20_nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", X.nested(F.col("props"), "k").alias("k"), X.nested(F.col("props"), "a.b").alias("missing"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", X.nested(F.col("props"), "k").alias("k"), X.nested(F.col("props"), "a.b").alias("missing")
+    )
 
 
-@query("SELECT event_id, CASE WHEN hi <= lo THEN CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END ELSE (value - lo) / (hi - lo) END AS scaled FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events)")
+@query(
+    """SELECT event_id, CASE WHEN hi <= lo THEN CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END ELSE (value - lo) / (hi - lo) END AS scaled
+  FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi FROM events)"""
+)
 def x22_min_max_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.min_max_scaled(table(spark, sf_dir, "events"), "value", "scaled", ["event_type"]).select("event_id", "scaled")
 
 
-@query(with_sql(LINKS_SQL, then=rf"""SELECT event_id, regexp_matches(u, '^https?://') AND h <> '' AND NOT regexp_matches(h, '^(?:0|10|127|22[4-9]|2[3-5][0-9])\.[0-9]+\.[0-9]+\.[0-9]+$') AS public FROM (SELECT event_id, u, {_HOST} AS h FROM links)"""))
+@query(
+    with_sql(
+        LINKS_SQL,
+        then=rf"""SELECT event_id, regexp_matches(u, '^https?://') AND h <> ''
+  AND NOT regexp_matches(h, '^(?:0|10|127|22[4-9]|2[3-5][0-9])\.[0-9]+\.[0-9]+\.[0-9]+$') AS public FROM (SELECT event_id, u, {_HOST} AS h FROM links)"""
+    )
+)
 def x23_public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(spark, sf_dir).select("event_id", X.public_http_url(F.col("u")).alias("public"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list(w ORDER BY i), '|') AS strings FROM (
-  SELECT doc_id, w, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM (SELECT doc_id, left(trim(u.w), 6) AS w, u.i FROM documents, LATERAL (SELECT unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i) AS u) WHERE w <> '' GROUP BY doc_id, w) WHERE n <= 5 GROUP BY doc_id""")
+  SELECT doc_id, w, min(i) AS i, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM (SELECT doc_id, left(trim(u.w), 6) AS w, u.i
+  FROM documents, LATERAL (SELECT unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i) AS u) WHERE w <> ''
+  GROUP BY doc_id, w) WHERE n <= 5 GROUP BY doc_id""")
 def x24_bounded_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.bounded_strings(F.split("text", " "), 5, 6), "|").alias("strings")).filter("strings != ''")
-
-
-@query(with_sql(ITEMS_SQL, then="SELECT item_id, ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-31 00:00:00' AS in_48h FROM items WHERE ts BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_join(X.bounded_strings(F.split("text", " "), 5, 6), "|").alias("strings")
+    ).filter("strings != ''")
+
+
+@query(
+    with_sql(
+        ITEMS_SQL,
+        then="""SELECT item_id, ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-31 00:00:00' AS in_48h FROM items
+  WHERE ts BETWEEN TIMESTAMP '2024-01-24 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00'"""
+    )
+)
 def f5_time_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fixtures import now
 
     ago = lambda days: now() - F.expr(f"INTERVAL {days} DAYS")
-    return items(spark, sf_dir).filter(F.col("ts").between(ago(7), now())).select("item_id", F.col("ts").between(ago(2), now()).alias("in_48h"))
+    return items(spark, sf_dir).filter(F.col("ts").between(ago(7), now())).select(
+        "item_id", F.col("ts").between(ago(2), now()).alias("in_48h")
+    )
 
 
-@query(with_sql(ITEMS_SQL, then="""SELECT item_id, w AS window_name FROM (SELECT item_id, greatest(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts), 0) / 3600.0 AS age FROM items) i, (VALUES ('24h', 24.0), ('7d', 168.0), ('30d', 720.0)) v(w, h) WHERE age <= h
+@query(with_sql(ITEMS_SQL, then="""SELECT item_id, w AS window_name FROM (SELECT item_id, greatest(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts), 0) / 3600.0 AS age
+  FROM items) i, (VALUES ('24h', 24.0), ('7d', 168.0), ('30d', 720.0)) v(w, h) WHERE age <= h
   UNION ALL SELECT item_id, '30d+' FROM (SELECT item_id, greatest(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(ts), 0) / 3600.0 AS age FROM items) WHERE age > 720.0"""))
 def f6_age_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestream.operators.windows import age_windows
@@ -196,8 +285,12 @@ def f6_age_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("item_id", F.explode(age_windows(F.col("ts"), now())).alias("window_name"))
 
 
-@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, key_type = 'domain' AND (d IN ('medium.com', 'substack.com', 'techcrunch.com') OR starts_with(d, 'blog.') OR starts_with(d, 'news.') OR starts_with(d, 'newsroom.')) AS content_domain,
+@query(with_sql(ITEMS_SQL, then=r"""SELECT item_id, key_type = 'domain' AND (d IN ('medium.com', 'substack.com', 'techcrunch.com') OR starts_with(d, 'blog.') OR starts_with(d, 'news.')
+  OR starts_with(d, 'newsroom.')) AS content_domain,
   lower(regexp_extract(url, '^https://[^/]+/([^/]+)', 1)) = 'blog' AS content_path FROM (SELECT *, regexp_replace(entity_key, '^[a-z]+:', '') AS d FROM items)"""))
 def f7_content_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.regexp_replace("entity_key", "^[a-z]+:", "")
-    return items(spark, sf_dir).select("item_id", ((F.col("key_type") == "domain") & X.content_domain(d)).alias("content_domain"), X.content_path(F.col("url")).alias("content_path"))
+    return items(spark, sf_dir).select(
+        "item_id", ((F.col("key_type") == "domain") & X.content_domain(d)).alias("content_domain"),
+        X.content_path(F.col("url")).alias("content_path")
+    )

@@ -41,7 +41,9 @@ def deduplicated(posts: DataFrame, key: str = "post_id", at: str = "created_at",
     return posts.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def mention_counts(mentions: DataFrame, at: str = "created_at", late: str = "1 hour", length: str = "24 hours", slide: str = "6 hours") -> DataFrame:
+def mention_counts(
+    mentions: DataFrame, at: str = "created_at", late: str = "1 hour", length: str = "24 hours", slide: str = "6 hours"
+) -> DataFrame:
     """Mentions and distinct authors per entity and sliding window, emitted once a window is complete.
 
     Authors are counted exactly: first one row for each author of a window, then the rows.
@@ -70,7 +72,9 @@ def latest(landed: DataFrame, key: str, first: str = "first_seen", last: str = "
     rest = [c for c in landed.columns if c not in (key, first, last)]
     newest = F.max(F.struct(F.col(last), *[F.col(c) for c in sorted(rest)])).alias("_row")
     rows = landed.groupBy(key).agg(F.min(first).alias("_first"), newest)
-    return rows.select(*[F.col("_first").alias(c) if c == first else F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in landed.columns])
+    return rows.select(
+        *[F.col("_first").alias(c) if c == first else F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in landed.columns]
+    )
 
 
 # --- counts as of now -----------------------------------------------------------------------------------------------
@@ -108,7 +112,10 @@ class Aging(StatefulProcessor):
         import datetime as dt
 
         when = dt.datetime.fromtimestamp(now / 1000)
-        yield Row(entity_key=key[0], part=key[1], seq=seq, now=when, mentions_24h=n[0], authors_24h=len(authors[0]), mentions_7d=n[1], authors_7d=len(authors[1]))
+        yield Row(
+            entity_key=key[0], part=key[1], seq=seq, now=when, mentions_24h=n[0], authors_24h=len(authors[0]), mentions_7d=n[1],
+            authors_7d=len(authors[1])
+        )
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         now = max(timerValues.getCurrentWatermarkInMs(), 0)
@@ -137,8 +144,12 @@ def counts_as_of_now(posts: DataFrame, parts: int = 16, late: str = "1 second")
     holds a hot one, and authors of different parts differ. Needs the RocksDB state store.
     """
     part = F.pmod(F.xxhash64(F.lower("author")), F.lit(parts)).cast("int")
-    rows = posts.withWatermark("seen_at", late).select("seen_at", "entity_key", part.alias("part"), "post_id", "author", F.unix_millis(F.col("created_at").cast("timestamp")).alias("at"))
-    return rows.groupBy("entity_key", "part").transformWithState(statefulProcessor=Aging(), outputStructType=AGING, outputMode="Append", timeMode="eventtime")
+    rows = posts.withWatermark("seen_at", late).select(
+        "seen_at", "entity_key", part.alias("part"), "post_id", "author", F.unix_millis(F.col("created_at").cast("timestamp")).alias("at")
+    )
+    return rows.groupBy("entity_key", "part").transformWithState(
+        statefulProcessor=Aging(), outputStructType=AGING, outputMode="Append", timeMode="eventtime"
+    )
 
 
 def standing(told: DataFrame) -> DataFrame:
