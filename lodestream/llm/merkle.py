@@ -384,7 +384,7 @@ def proofs(df: DataFrame, tampered: Column | None = None) -> DataFrame:
     return proved(blocks, table_tops(blocks))
 
 
-def _oracle(depth: int = 7) -> str:
+def _oracle(depth: int = 4) -> str:
     """SQL of the proofs, for at most 16**depth leaves a source and as many sources: one table of nodes and one of siblings a level."""
 
     def tree(name: str, leaf: str) -> str:
