@@ -236,13 +236,13 @@ def e2_e4_resolved_day_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_sql(
         ITEMS_SQL,
         then="""SELECT entity_key, 'item:' || item_id AS ref FROM items WHERE entity_key IN (SELECT entity_key FROM items GROUP BY entity_key
-  HAVING max(metric) BETWEEN 300 AND 999)"""
+  HAVING max(metric // 2) BETWEEN 300 AND 999)"""
     )
 )
 def r12_edge_watch_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All items of entities that daily stars alone bring to level watch."""
+    """All items of entities that daily stars, half an item's metric, alone bring to level watch."""
     i = items(spark, sf_dir)
-    evidence = rules.daily_stars(i.select("entity_key", "item_id", F.col("metric").alias("stars"), F.col("ts").alias("at")))
+    evidence = rules.daily_stars(i.select("entity_key", "item_id", F.floor(F.col("metric") / 2).alias("stars"), F.col("ts").alias("at")))
     return rules.edge_watch_refs(rules.promoted(evidence), i)
 
 
