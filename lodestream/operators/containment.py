@@ -149,3 +149,20 @@ def containing(names: DataFrame, texts: DataFrame, name: str = "name", ident: st
 def newest_containing(names: DataFrame, texts: DataFrame, newest: int = 20, order: list[Column] | None = None, **columns: str) -> DataFrame:
     """``containing``, of each name the ``newest`` texts: those of the greatest ids, unless another order is given."""
     return first_per(containing(names, texts, **columns), ["name"], order or [F.desc("id")], newest)
+
+
+def entity_label(key: Column) -> Column:
+    """The words that an entity's key stands for: what follows its kind, hyphens as blanks; a key without a kind as it is."""
+    words = F.trim(F.translate(F.regexp_replace(key, "^[^:]*:", ""), "-", " "))
+    return F.when(key.contains(":"), words).otherwise(key)
+
+
+def matched_items(entities: DataFrame, items: DataFrame, newest: int = 20) -> DataFrame:
+    """entity_key, item_id: of each entity the newest items that hold its label in name, address, description or metadata.
+
+    entities: entity_key; items: item_id, name, url, description, metadata (a map, looked through as JSON text).
+    """
+    named = entities.select("entity_key", F.lower(entity_label(F.col("entity_key"))).alias("name")).filter("name != ''").distinct()
+    text = F.concat_ws("\n", "name", "url", "description", F.to_json("metadata"))
+    found = newest_containing(named, items.select("item_id", text.alias("text")), newest, ident="item_id")
+    return found.join(named, "name").select("entity_key", F.col("id").alias("item_id"))

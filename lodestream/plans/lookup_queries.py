@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import asof, containment, intervals
+from lodestream.operators import mentions as M
 
 from .registry import query, table
 
@@ -75,3 +76,24 @@ def j8_text_known_at_the_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     texts = c.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("fetched"), F.substring("text", 1, 1000).alias("preview"))
     return asof.known_at(c.filter("role = 'user'").select("conv_id", "turn"), texts, ["conv_id"], "turn", "fetched", ["preview"])
+
+
+@query("""WITH e AS (SELECT DISTINCT 'brand-' || substr(p_brand, 7) AS slug FROM part),
+m AS (SELECT slug, p_partkey, substr(p_brand, 7) AS b, row_number() OVER (PARTITION BY slug ORDER BY p_partkey DESC) AS n
+  FROM e JOIN part ON contains('brand ' || substr(p_brand, 7), replace(slug, '-', ' '))),
+f AS (SELECT DISTINCT slug, unnest(['github:org/brand-' || CASE WHEN p_partkey % 2 = 0 THEN b ELSE 'x' END,
+  CASE WHEN p_partkey % 3 = 0 THEN 'npm:@s/brand-' || b ELSE 'npm:other' END, 'domain:brand-' || b || '.dev']) AS key FROM m WHERE n <= 20)
+SELECT 'name:' || slug AS entity_key, key, 1.0::DOUBLE AS confidence FROM f
+  WHERE key IN ('github:org/' || slug, 'npm:@s/' || slug, 'domain:' || slug || '.dev')""")
+def c8_links_of_looked_up_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities named by brands are looked up in the items' texts, and the newest matches' links taken where they bear the exact name."""
+    p, key, brand = table(spark, sf_dir, "part"), F.col("p_partkey"), F.substring("p_brand", 7, 9)
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    repo = text("see https://github.com/Org/Brand-", F.when(key % 2 == 0, brand).otherwise("x"), ".")
+    package = F.when(key % 3 == 0, text("https://www.npmjs.com/package/@s/brand-", brand)).otherwise("https://npmjs.com/package/other")
+    items = p.select(
+        key.alias("item_id"), text("Brand ", brand).alias("name"), text("https://www.brand-", brand, ".dev/x").alias("url"),
+        repo.alias("description"), F.create_map(F.lit("homepage"), package).alias("metadata"),
+    )
+    entities = p.select(text("name:brand-", brand).alias("entity_key")).distinct()
+    return M.internal_links(containment.matched_items(entities, items), items)

@@ -279,30 +279,6 @@ def r12_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(with_sql(*_RULES_SQL, _EVIDENCE, _R10, _PROMOTED, then="""SELECT entity_key, reason, arg_max(priority, n) AS priority FROM (
-  SELECT entity_key, 'stars' AS reason, CAST(1000000 + CASE level WHEN 'high_potential' THEN 3 ELSE 2 END AS DOUBLE) AS priority, 0 AS n FROM promoted
-  WHERE starts_with(entity_key, 'github:') AND level IN ('potential', 'high_potential')
-  UNION ALL SELECT entity_key, 'stars', 100000 + CAST(max(metric) AS DOUBLE), 1 FROM items
-  WHERE source = 'github_trending' AND key_type = 'github' AND metric >= 50 GROUP BY entity_key
-  UNION ALL SELECT entity_key, 'downloads', 500000 + CAST(max(metric * 30) AS DOUBLE), 2 FROM items
-  WHERE source = 'npm_registry' AND metric * 30 >= 3000 GROUP BY entity_key) GROUP BY entity_key, reason
-  ORDER BY priority DESC, entity_key, reason LIMIT 40"""))
-def r13_w14_backfill_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestream.functions.scalars import level_rank
-
-    p, i = _promoted(spark, sf_dir), items(spark, sf_dir)
-    stars = p.filter("level in ('potential', 'high_potential') and entity_key like 'github:%'").select(
-        "entity_key", F.lit("stars").alias("reason"), (1_000_000 + level_rank(F.col("level"))).alias("priority")
-    )
-    rising = i.filter(
-        "source = 'github_trending' and key_type = 'github' and metric >= 50"
-    ).groupBy("entity_key").agg((100_000 + F.max("metric")).alias("priority")).withColumn("reason", F.lit("stars"))
-    weekly = i.filter("source = 'npm_registry' and metric * 30 >= 3000").groupBy("entity_key").agg(
-        (500_000 + F.max(F.col("metric") * 30)).alias("priority")
-    ).withColumn("reason", F.lit("downloads"))
-    return R.backfill_jobs([stars, rising, weekly])
-
-
 @query(with_sql(*_RULES_SQL, _EVIDENCE, _R10, _PROMOTED, """i AS (SELECT *, CASE WHEN k % 5 <> 0 THEN k END AS source_rank, ts - to_days(CAST(k * 2 AS INTEGER)) AS created FROM items),
 turn AS (SELECT *, struct_pack(a := source_rank IS NULL, b := coalesce(source_rank, 0), c := item_id) AS turn FROM i),
 known AS (SELECT entity_key FROM promoted WHERE level IN ('potential', 'high_potential') UNION SELECT entity_key FROM items

@@ -113,3 +113,13 @@ def test_known_at(spark):
         spark.conf.unset(coalesce)
     assert len(rows) == len(moments) and {r.i: r.v for r in rows} == want
     assert asof.known_at(spark.createDataFrame([(1, "a", 9)], "i int, k string, at int"), f.limit(0), ["k"], "at", "known", ["v"]).first().v is None
+
+
+def test_items_matched_by_label(spark):
+    """Labels are looked for in all fields, hyphens as blanks; keys without words match nothing."""
+    entities = spark.createDataFrame([("name:my-tool",), ("plain",), ("name:",), ("github:a/b",), ("term:My Tool",)], "entity_key string")
+    rows = [(1, "My Tool 2", None, None, None), (2, None, "http://x/PLAIN", None, {}), (3, "n", "u", "a/b", None), (4, "n", "u", None, {"k": "my tool"}), (5, "mytool", "", "", {})]
+    items = spark.createDataFrame(rows, "item_id int, name string, url string, description string, metadata map<string,string>")
+    got = {tuple(r) for r in containment.matched_items(entities, items).collect()}
+    assert got == {("name:my-tool", 1), ("name:my-tool", 4), ("term:My Tool", 1), ("term:My Tool", 4), ("plain", 2), ("github:a/b", 3)}
+    assert containment.matched_items(entities.filter("entity_key = 'name:my-tool'"), items, 1).first().item_id == 4
