@@ -84,3 +84,22 @@ def test_repeats_within_the_watermark_come_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 7
+
+
+def test_counts_as_of_now_keep_one_timer_and_few_state_rows_a_key(spark, tmp_path):
+    """State grows by slots, not by posts and their timers; a key of many posts splits its slots and counts each post once."""
+    schema = "post_id string, entity_key string, author string, created_at timestamp, seen_at timestamp"
+    at = lambda i: T0 + dt.timedelta(minutes=i)
+    posts = [(f"p{i}", "hot" if i % 2 else f"e{i % 10}", f"a{i % 3}", at(i), at(i)) for i in range(10_000)]
+    posts += [(f"p{i}", "hot", f"a{i % 3}", at(i), at(9_999)) for i in range(9_001, 9_201, 2)]  # seen again
+    spark.createDataFrame(posts, schema).coalesce(1).write.parquet(f"{tmp_path}/posts")
+    with live.settings(spark):
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/posts")
+        told = live.keep(live.counts_as_of_now(stream, parts=1), f"{tmp_path}/told", f"{tmp_path}/cp", available_now=True)
+        told.awaitTermination(240)
+    rows = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in map(dict, told.recentProgress)]
+    assert max(rows) < 200
+    got = {r.entity_key: tuple(r)[1:] for r in live.standing(spark.read.schema(live.AGING).parquet(f"{tmp_path}/told")).collect()}
+    once = spark.createDataFrame(posts, schema).dropDuplicates(["post_id"])
+    want = {r.entity_key: tuple(r)[1:] for r in live.counted_as_of(once, F.lit(at(9_999) - dt.timedelta(seconds=1))).collect()}
+    assert got == want and want["hot"][0] == 721
