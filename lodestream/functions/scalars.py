@@ -160,9 +160,20 @@ def key_strength(key: Column) -> Column:
     return F.when(key.startswith("github:"), 3).when(key.startswith("domain:"), 2).otherwise(1)
 
 
-def stripped_html(text: Column) -> Column:
-    """Tags become blanks, all references are resolved, blanks collapse."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(text, "<[^>]+>", " ")), f"{_BLANK}+", " "))
+def _resolved(text: Column, closed: bool) -> Column:
+    """References resolved; ``closed``: only those that end with a semicolon, so the ampersand of others is guarded meanwhile."""
+    if not closed:
+        return unescaped(text)
+    return unescaped(F.regexp_replace(text, OPEN_REFERENCE, "&amp;"))
+
+
+#: An ampersand that begins no reference with a semicolon at its end.
+OPEN_REFERENCE = r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)"
+
+
+def stripped_html(text: Column, closed: bool = False) -> Column:
+    """Tags become blanks, all references are resolved (``closed``: those that end with a semicolon), blanks collapse."""
+    return F.trim(F.regexp_replace(_resolved(F.regexp_replace(text, "<[^>]+>", " "), closed), f"{_BLANK}+", " "))
 
 
 #: White space of any script.
@@ -193,12 +204,15 @@ PREVIEW_TEXT = (
 )
 
 
-def preview(text: Column) -> Column:
-    """Readable excerpt of Markdown: fences, comments, badges, images (broken ones too), tags and bare links go, link texts stay."""
+def preview(text: Column, closed: bool = False) -> Column:
+    """Readable excerpt of Markdown: fences, comments, badges, images (broken ones too), tags and bare links go, link texts stay.
+
+    All references are resolved, or, ``closed``, those that end with a semicolon.
+    """
     out = text
     for pattern, to in PREVIEW_MARKUP:
         out = F.regexp_replace(out, pattern, to)
-    out = unescaped(out)
+    out = _resolved(out, closed)
     for pattern, to in PREVIEW_TEXT:
         out = F.regexp_replace(out, pattern, to)
     return F.trim(F.regexp_replace(out, f"{_BLANK}+", " "))
