@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import spread_ranked
+
 #: Statuses of the stage log that count as success, and those that only observe.
 SUCCESSES = (
     "scheduled", "skipped_unchanged", "pending_budget", "scout_disabled", "scout_ok", "scout_filtered", "scoring_ok", "brief_selected"
@@ -51,16 +55,32 @@ def project_margin(cases: DataFrame, keys: list[str], expected: str = "expected"
     return out.withColumn("margin", margin).withColumn("ok", F.col("margin") > 0).drop("_best", "_other")
 
 
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys and a column for each named quantile: the least value that at least that share of a key's values do not exceed.
+
+    Values are ranked over ranges, so no task holds a key; nulls do not count.
+    """
+    known = rows.select(*keys, value).filter(F.col(value).isNotNull())
+    placed = spread_ranked(known, "_rank", keys, [F.col(value).asc()], total="_total")
+    place = lambda q: F.greatest(F.ceil(F.lit(str(q)).cast("decimal(10,9)") * F.col("_total")), F.lit(1))
+    is_at = {name: F.col("_rank") == place(q) for name, q in at.items()}
+    kept = placed.filter(reduce(lambda a, b: a | b, is_at.values()))
+    return kept.groupBy(*keys).agg(*[F.max(F.when(c, F.col(value))).alias(name) for name, c in is_at.items()])
+
+
 def call_rollup(calls: DataFrame) -> DataFrame:
     """Model calls by component: how many, how many failed, tokens in and out, mean, median and 95th percentile of latency.
 
     calls: component, status, prompt_tokens, completion_tokens, latency_ms.
     """
-    p = lambda q: F.percentile_approx("latency_ms", q, 10_000)
-    return calls.groupBy("component").agg(
+    found = calls.groupBy("component").agg(
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
-        F.avg("latency_ms").alias("mean_latency"), p(0.5).alias("median_latency"), p(0.95).alias("p95_latency"),
+        F.avg("latency_ms").alias("mean_latency"),
     )
+    at = exact_quantiles(calls, ["component"], "latency_ms", {"median_latency": 0.5, "p95_latency": 0.95})
+    at = at.withColumnRenamed("component", "_component")
+    joined = found.join(at, F.col("component").eqNullSafe(F.col("_component")), "left")
+    return joined.select(*found.columns, "median_latency", "p95_latency")
 
 
 def stages_of_log(lines: DataFrame) -> DataFrame:
