@@ -47,10 +47,20 @@ WHOLE_DESCRIPTION = 80
 # --- parts of a variant ---------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once a row, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _at(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
+def _fields(v: Column, names: tuple[str, ...]) -> Column:
+    """A struct of fields of an object; null for those that are absent."""
+    return F.struct(*[_at(v, n).alias(n) for n in names])
+
+
 def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
@@ -73,15 +83,13 @@ def _all(items: Column, good) -> Column:
     return F.coalesce(F.forall(items, lambda x: F.coalesce(good(x), F.lit(False))), F.lit(False))
 
 
-def _has(v: Column, fields: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a & b, [_at(v, f).isNotNull() for f in fields])
+def _has(at: Column, fields: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [at[f].isNotNull() for f in fields])
 
 
 def _exactly(v: Column, fields: tuple[str, ...]) -> Column:
-    return F.coalesce(
-        _kind(v).startswith("OBJECT") & (F.array_sort(F.json_object_keys(F.to_json(v))) == F.array(*[F.lit(f) for f in sorted(fields)])),
-        F.lit(False)
-    )
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.coalesce(F.sort_array(keys) == F.array(*[F.lit(f) for f in sorted(fields)]), F.lit(False))
 
 
 def _number(v: Column, most: float) -> Column:
@@ -95,15 +103,18 @@ def _bounded(v: Column, most: int) -> Column:
 
 def _texts(v: Column, items: int | None = None, chars: int | None = None, least: int = 0, among: tuple[str, ...] = ()) -> Column:
     """Whether it is a list of texts; with bounds given no text is empty, and among them none is repeated where one is needed."""
-    members = _items(v)
-    good = _all(members, lambda x: _bounded(x, chars) if chars else _kind(x) == "STRING")
-    if items is not None:
-        good &= F.coalesce(F.size(members).between(least, items), F.lit(False))
-    if least:
-        good &= F.coalesce(F.size(F.array_distinct(F.transform(members, _text))) == F.size(members), F.lit(False))
-    if among:
-        good &= _all(members, lambda x: _one_of(x, among))
-    return good
+
+    def good(members: Column) -> Column:
+        out = _all(members, lambda x: _bounded(x, chars) if chars else _kind(x) == "STRING")
+        if items is not None:
+            out &= F.coalesce(F.size(members).between(least, items), F.lit(False))
+        if least:
+            out &= F.coalesce(F.size(F.array_distinct(F.transform(members, _text))) == F.size(members), F.lit(False))
+        if among:
+            out &= _all(members, lambda x: _one_of(x, among))
+        return out
+
+    return _let(_items(v), good)
 
 
 def _first_broken(v: Column, rules: dict[str, Column]) -> Column:
@@ -119,71 +130,87 @@ def _first_broken(v: Column, rules: dict[str, Column]) -> Column:
 
 def triage_error(payload: Column) -> Column:
     """What is wrong with an answer that triages posts: every post of it has all fields, typed; refs name typed keys."""
-    v = F.try_parse_json(payload)
-    posts = _items(_at(v, "triage"))
-    fields = lambda kind, *names: _all(posts, lambda x: reduce(lambda a, b: a & b, [_kind(_at(x, n)) == kind for n in names]))
-    ref = lambda r: _has(r, REF_FIELDS) & F.contains(_text(_at(r, "entity_key")), F.lit(":")) & (
-        _kind(_at(r, "entity_name")) == "STRING"
-    ) & _one_of(_at(r, "entity_confidence"), CONFIDENCES) & _number(_at(r, "confidence"), 1)
-    return _first_broken(v, {
-        "triage": posts.isNotNull(),
-        "missing field": _all(posts, lambda x: _has(x, TRIAGE_FIELDS)),
-        "text": fields("STRING", "tweet_id", "evidence_quote", "reason"),
-        "boolean": fields("BOOLEAN", "about_concrete_project", "closer_look"),
-        "list": _all(posts, lambda x: _texts(_at(x, "product_names")) & _texts(_at(x, "product_links"))),
-        "strength": _all(posts, lambda x: _one_of(_at(x, "expression_strength"), STRENGTHS)),
-        "ref": _all(posts, lambda x: _all(_items(_at(x, "project_refs")), ref)),
-    })
+
+    def ref(r: Column) -> Column:
+        return _let(_fields(r, REF_FIELDS), lambda at: _has(at, REF_FIELDS) & F.contains(_text(at["entity_key"]), F.lit(":")) & (
+            _kind(at["entity_name"]) == "STRING"
+        ) & _one_of(at["entity_confidence"], CONFIDENCES) & _number(at["confidence"], 1))
+
+    def broken(v: Column, posts: Column) -> Column:
+        fields = lambda kind, *names: _all(posts, lambda x: reduce(lambda a, b: a & b, [_kind(x[n]) == kind for n in names]))
+        return _first_broken(v, {
+            "triage": posts.isNotNull(),
+            "missing field": _all(posts, lambda x: _has(x, TRIAGE_FIELDS)),
+            "text": fields("STRING", "tweet_id", "evidence_quote", "reason"),
+            "boolean": fields("BOOLEAN", "about_concrete_project", "closer_look"),
+            "list": _all(posts, lambda x: _texts(x["product_names"]) & _texts(x["product_links"])),
+            "strength": _all(posts, lambda x: _one_of(x["expression_strength"], STRENGTHS)),
+            "ref": _all(posts, lambda x: _all(_items(x["project_refs"]), ref)),
+        })
+
+    posts = lambda v: F.transform(_items(_at(v, "triage")), lambda x: _fields(x, TRIAGE_FIELDS))
+    return _let(F.try_parse_json(payload), lambda v: _let(posts(v), lambda p: broken(v, p)))
 
 
 def tier_error(payload: Column, promoting: bool = False) -> Column:
     """What is wrong with an answer that gives an entity its tier; ``promoting`` asks for citations and a sure binding too."""
-    v = F.try_parse_json(payload)
-    at = {f: _at(v, f) for f in TIER_FIELDS}
-    rules = {
-        "missing field": _has(v, TIER_FIELDS),
-        "entity_key": F.contains(_text(at["entity_key"]), F.lit(":")),
-        "x_tier": _one_of(at["x_tier"], TIERS),
-        "entity_confidence": _one_of(at["entity_confidence"], CONFIDENCES),
-        "strength": _one_of(at["x_expression_strength"], STRENGTHS),
-        "list": _texts(at["cited_tweet_ids"]) & _texts(at["cross_source_notes"]),
-        "text": _kind(at["rationale"]) == "STRING",
-    }
-    if promoting:
-        tier = _text(at["x_tier"])
-        rules["no citation"] = (tier == "none") | (F.size(_items(at["cited_tweet_ids"])) > 0)
-        rules["unsure binding"] = ~tier.isin("potential", "high") | (_text(at["entity_confidence"]) != "fuzzy_name")
-    return _first_broken(v, rules)
+
+    def broken(v: Column, at: Column) -> Column:
+        rules = {
+            "missing field": _has(at, TIER_FIELDS),
+            "entity_key": F.contains(_text(at["entity_key"]), F.lit(":")),
+            "x_tier": _one_of(at["x_tier"], TIERS),
+            "entity_confidence": _one_of(at["entity_confidence"], CONFIDENCES),
+            "strength": _one_of(at["x_expression_strength"], STRENGTHS),
+            "list": _texts(at["cited_tweet_ids"]) & _texts(at["cross_source_notes"]),
+            "text": _kind(at["rationale"]) == "STRING",
+        }
+        if promoting:
+            tier = _text(at["x_tier"])
+            rules["no citation"] = (tier == "none") | (F.size(_items(at["cited_tweet_ids"])) > 0)
+            rules["unsure binding"] = ~tier.isin("potential", "high") | (_text(at["entity_confidence"]) != "fuzzy_name")
+        return _first_broken(v, rules)
+
+    return _let(F.try_parse_json(payload), lambda v: _let(_fields(v, TIER_FIELDS), lambda at: broken(v, at)))
 
 
 def scoring_error(payload: Column) -> Column:
     """What is wrong with a scoring turn: exactly the fields of its action, at every level, within their bounds."""
-    v = F.try_parse_json(payload)
-    tools = _text(_at(v, "action")) == "use_tools"
-    known, need, score = _at(v, "information_sufficiency"), _at(v, "information_need"), _at(v, "score")
-    requests = _items(_at(v, "tool_requests"))
-    request = lambda r: _exactly(r, ("name", "arguments")) & _bounded(_at(r, "name"), 80) & _kind(_at(r, "arguments")).startswith("OBJECT")
     longest = max(map(len, AXES))
-    axes = _at(score, "axes")
+    need_fields = ("question", "target_axes", "expected_decision_impact")
+    request = lambda r: _exactly(r, ("name", "arguments")) & _bounded(_at(r, "name"), 80) & _kind(_at(r, "arguments")).startswith("OBJECT")
     claim = lambda c: _exactly(c, CLAIM_FIELDS) & _bounded(_at(c, "claim"), 1000) & _texts(_at(c, "evidence_refs"), 8, 160, 1) & _texts(
         _at(c, "supports_axes"), len(AXES), longest, 1, AXES
     ) & _one_of(_at(c, "claim_type"), CLAIM_KINDS)
-    claims = lambda name: _all(_items(_at(score, name)), claim) & F.coalesce(F.size(_items(_at(score, name))) <= 8, F.lit(False))
-    both = lambda a, b: F.when(tools, a).otherwise(b)
-    yes = F.lit(True)
-    return _first_broken(v, {
-        "action": _one_of(_at(v, "action"), ("use_tools", "final")),
-        "sufficiency": _exactly(known, SUFFICIENCY) & reduce(lambda a, b: a & b, [_one_of(_at(known, f), LEVELS) for f in SUFFICIENCY]),
-        "fields": both(_exactly(v, ("action", "information_sufficiency", "information_need", "tool_requests")), _exactly(v, ("action", "information_sufficiency", "score"))),
-        "need": both(_exactly(need, ("question", "target_axes", "expected_decision_impact")) & _bounded(_at(need, "question"), 1000) & _bounded(_at(need, "expected_decision_impact"), 1000) & _texts(_at(need, "target_axes"), len(AXES), longest, 1, AXES), yes),
-        "requests": both(_all(requests, request) & F.size(requests).between(1, 8), yes),
-        "score": both(yes, _exactly(score, SCORE_FIELDS)),
-        "object_type": both(yes, _one_of(_at(score, "object_type"), OBJECT_TYPES)),
-        "boolean": both(yes, (_kind(_at(score, "is_product_or_repo")) == "BOOLEAN") & (_kind(_at(score, "should_print")) == "BOOLEAN")),
-        "axes": both(yes, _exactly(axes, AXES) & reduce(lambda a, b: a & b, [_number(_at(axes, a), 25 if a.endswith("penalty") else 100) for a in AXES])),
-        "claims": both(yes, claims("supporting_evidence") & claims("negative_evidence")),
-        "texts": both(yes, _texts(_at(score, "known_gaps"), 8, 240) & _texts(_at(score, "topic_tags"), 8, 40) & _texts(_at(score, "caveats"), 8, 240) & _bounded(_at(score, "primary_reason"), 80) & _bounded(_at(score, "rationale_short"), 1000)),
-    })
+    claims = lambda v: _let(_items(v), lambda c: _all(c, claim) & F.coalesce(F.size(c) <= 8, F.lit(False)))
+    requests = lambda v: _let(_items(v), lambda r: _all(r, request) & F.size(r).between(1, 8))
+    levels = lambda v: _let(_fields(v, SUFFICIENCY), lambda at: reduce(lambda a, b: a & b, [_one_of(at[f], LEVELS) for f in SUFFICIENCY]))
+    needed = lambda v: _let(_fields(v, need_fields), lambda n: _bounded(n["question"], 1000) & _bounded(n["expected_decision_impact"], 1000) & _texts(n["target_axes"], len(AXES), longest, 1, AXES))
+    bounds = lambda v: _let(_fields(v, AXES), lambda at: reduce(lambda a, b: a & b, [_number(at[a], 25 if a.endswith("penalty") else 100) for a in AXES]))
+
+    def broken(v: Column, top: Column, s: Column) -> Column:
+        known, need, score = top["information_sufficiency"], top["information_need"], top["score"]
+        both = lambda a, b: F.when(top["tools"], a).otherwise(b)
+        yes = F.lit(True)
+        return _first_broken(v, {
+            "action": _one_of(top["action"], ("use_tools", "final")),
+            "sufficiency": _exactly(known, SUFFICIENCY) & levels(known),
+            "fields": both(_exactly(v, ("action", "information_sufficiency", "information_need", "tool_requests")), _exactly(v, ("action", "information_sufficiency", "score"))),
+            "need": both(_exactly(need, need_fields) & needed(need), yes),
+            "requests": both(requests(top["tool_requests"]), yes),
+            "score": both(yes, _exactly(score, SCORE_FIELDS)),
+            "object_type": both(yes, _one_of(s["object_type"], OBJECT_TYPES)),
+            "boolean": both(yes, (_kind(s["is_product_or_repo"]) == "BOOLEAN") & (_kind(s["should_print"]) == "BOOLEAN")),
+            "axes": both(yes, _exactly(s["axes"], AXES) & bounds(s["axes"])),
+            "claims": both(yes, claims(s["supporting_evidence"]) & claims(s["negative_evidence"])),
+            "texts": both(yes, _texts(s["known_gaps"], 8, 240) & _texts(s["topic_tags"], 8, 40) & _texts(s["caveats"], 8, 240) & _bounded(s["primary_reason"], 80) & _bounded(s["rationale_short"], 1000)),
+        })
+
+    names = ("action", "information_sufficiency", "information_need", "tool_requests", "score")
+    top = lambda v: F.struct(*[_at(v, n).alias(n) for n in names], (_text(_at(v, "action")) == "use_tools").alias("tools"))
+    return _let(F.try_parse_json(payload), lambda v: _let(
+        top(v), lambda t: _let(_fields(t["score"], SCORE_FIELDS), lambda s: broken(v, t, s))
+    ))
 
 
 # --- requests -------------------------------------------------------------------------------------------------------

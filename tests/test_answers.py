@@ -95,3 +95,13 @@ def test_a_channel_view_sorts_numbers_texts_and_times(spark):
     assert order("v", "number", True) == [4, 3, 1, 2, 5]
     assert order("at", "time", False) == [3, 5, 1, 4, 2]
     assert order("name", "name", False) == [2, 5, 1, 4, 3]
+
+
+def parses(spark, check):
+    """How often a plan parses an answer."""
+    df = spark.createDataFrame([("{}",)], "p string").select(check(F.col("p")))
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parse_json(")
+
+
+def test_scoring_turns_are_parsed_once(spark):
+    assert parses(spark, A.scoring_error) == parses(spark, A.triage_error) == 1
