@@ -105,3 +105,7 @@ def parses(spark, check):
 
 def test_scoring_turns_are_parsed_once(spark):
     assert parses(spark, A.scoring_error) == parses(spark, A.triage_error) == 1
+
+
+def test_tiers_are_parsed_once(spark):
+    assert parses(spark, A.tier_error) == parses(spark, lambda p: A.tier_error(p, promoting=True)) == 1
