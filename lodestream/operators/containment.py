@@ -25,6 +25,13 @@ from .components import saved
 from .windows import first_per
 
 HOT = 1000
+#: Rows of a batch that are worked on at once: what a text posts is many times the text.
+PIECE = 256
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, PIECE):
+        yield batch.slice(start, PIECE)
 
 
 def grams(text: str, size: int) -> np.ndarray:
@@ -61,19 +68,23 @@ def _postings(texts: DataFrame, wanted: np.ndarray, sizes: list[int], counted: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                own = np.concatenate([grams(text, s) for s in sizes])
-                found.append(own[admits(words.value, own)])
-            if not found:
-                continue
-            flat = np.concatenate(found)
-            if counted:
-                gram, n = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
-            else:
-                at = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(flat)], ["key", "gram"])
+            totals = []
+            for piece in _pieces(batch):
+                found = []
+                for text in piece.column(1).to_pylist():
+                    own = np.concatenate([grams(text, s) for s in sizes])
+                    found.append(own[admits(words.value, own)])
+                flat = np.concatenate(found)
+                if counted:
+                    totals.append(np.unique(flat, return_counts=True))
+                else:
+                    at = np.repeat(np.arange(piece.num_rows), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), pa.array(flat)], ["key", "gram"])
+            if totals:
+                gram, place = np.unique(np.concatenate([g for g, _ in totals]), return_inverse=True)
+                n = np.zeros(len(gram), np.int64)
+                np.add.at(n, place, np.concatenate([c for _, c in totals]))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
     return texts.select("key", "text").mapInArrow(run, "gram long, n long" if counted else "key string, gram long")
 
@@ -114,7 +125,7 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ident, text = None, None, ""
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             names, ids = [], []
             for key, i, own, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name is None:

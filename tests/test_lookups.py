@@ -123,3 +123,28 @@ def test_items_matched_by_label(spark):
     got = {tuple(r) for r in containment.matched_items(entities, items).collect()}
     assert got == {("name:my-tool", 1), ("name:my-tool", 4), ("term:My Tool", 1), ("term:My Tool", 4), ("plain", 2), ("github:a/b", 3)}
     assert containment.matched_items(entities.filter("entity_key = 'name:my-tool'"), items, 1).first().item_id == 4
+
+
+def test_postings_come_in_pieces():
+    """A batch of many long texts is posted piece by piece, and counted over all of its pieces."""
+    import pyarrow as pa
+
+    texts = [f"text {i:04} " * 30 for i in range(1000)]
+
+    class Texts:  # what _postings asks of a DataFrame, so that its function runs here
+        sparkSession = sparkContext = property(lambda self: self)  # noqa: N815
+        broadcast = staticmethod(lambda v: type("B", (), {"value": v}))
+        select = lambda self, *_: self
+        mapInArrow = staticmethod(lambda run, _: run)  # noqa: N815
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1000)]), pa.array(texts)], ["key", "text"])
+    every = np.full(1 << 20, np.uint64(2**64 - 1))
+    posted = list(containment._postings(Texts(), every, [3], False)(iter([batch])))
+    counted = list(containment._postings(Texts(), every, [3], True)(iter([batch])))
+    want = [(str(i), g) for i, t in enumerate(texts) for g in containment.grams(t, 3).tolist()]
+    assert [(r["key"], r["gram"]) for b in posted for r in b.to_pylist()] == want
+    assert max(len(set(b["key"].to_pylist())) for b in posted) <= 256 and len(counted) == 1
+    totals = {}
+    for _, g in want:
+        totals[g] = totals.get(g, 0) + 1
+    assert {r["gram"]: r["n"] for r in counted[0].to_pylist()} == totals
