@@ -70,7 +70,8 @@ def _text(v: Column) -> Column:
 
 
 def _one_of(v: Column, among: tuple[str, ...]) -> Column:
-    return F.coalesce(_text(v).isin(*among), F.lit(False))
+    """Whether it is one of these texts, words that no number, truth value, object or array is written as."""
+    return F.coalesce(F.try_variant_get(v, "$", "string").isin(*among), F.lit(False))
 
 
 def _items(v: Column) -> Column:
@@ -152,11 +153,12 @@ def triage_error(payload: Column) -> Column:
     return _let(F.try_parse_json(payload), lambda v: _let(posts(v), lambda p: broken(v, p)))
 
 
-def tier_error(payload: Column, promoting: bool = False) -> Column:
-    """What is wrong with an answer that gives an entity its tier; ``promoting`` asks for citations and a sure binding too."""
+def tier_errors(payload: Column) -> Column:
+    """What is wrong with an answer that gives an entity its tier: ``error``, and ``promoting_error``, which asks for citations
+    and a sure binding too. Both come from one reading of the answer."""
 
     def broken(v: Column, at: Column) -> Column:
-        rules = {
+        return _first_broken(v, {
             "missing field": _has(at, TIER_FIELDS),
             "entity_key": F.contains(_text(at["entity_key"]), F.lit(":")),
             "x_tier": _one_of(at["x_tier"], TIERS),
@@ -164,14 +166,22 @@ def tier_error(payload: Column, promoting: bool = False) -> Column:
             "strength": _one_of(at["x_expression_strength"], STRENGTHS),
             "list": _texts(at["cited_tweet_ids"]) & _texts(at["cross_source_notes"]),
             "text": _kind(at["rationale"]) == "STRING",
-        }
-        if promoting:
-            tier = _text(at["x_tier"])
-            rules["no citation"] = (tier == "none") | (F.size(_items(at["cited_tweet_ids"])) > 0)
-            rules["unsure binding"] = ~tier.isin("potential", "high") | (_text(at["entity_confidence"]) != "fuzzy_name")
-        return _first_broken(v, rules)
-
-    return _let(F.try_parse_json(payload), lambda v: _let(_fields(v, TIER_FIELDS), lambda at: broken(v, at)))
+        })
+
+    def both(at: Column, error: Column) -> Column:
+        none, sure = _one_of(at["x_tier"], ("none",)), ~_one_of(at["entity_confidence"], ("fuzzy_name",))
+        more = F.when(~none & ~(F.size(_items(at["cited_tweet_ids"])) > 0), "no citation")
+        more = more.when(_one_of(at["x_tier"], ("potential", "high")) & ~sure, "unsure binding")
+        return F.struct(error.alias("error"), F.coalesce(error, more).alias("promoting_error"))
+
+    return _let(F.try_parse_json(payload), lambda v: _let(
+        _fields(v, TIER_FIELDS), lambda at: _let(broken(v, at), lambda error: both(at, error))
+    ))
+
+
+def tier_error(payload: Column, promoting: bool = False) -> Column:
+    """One of ``tier_errors``."""
+    return tier_errors(payload)["promoting_error" if promoting else "error"]
 
 
 def scoring_error(payload: Column) -> Column:

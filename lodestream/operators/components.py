@@ -27,6 +27,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over as many tasks as a shuffle has: a file of few row groups is read by few tasks, however many
+    cores there are, too few for work that costs far more than reading its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 #: A node is hot if it is in more than one in HOT of all edges, and in more than MANY: there are fewer than twice HOT of them.
 HOT, MANY = 1000, 100_000
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import answers as A
 from lodestream.operators import mentions as M
+from lodestream.operators.components import spread
 
 from .fixtures import ITEMS_SQL, LINKS_SQL, items, links, now, with_sql
 from .registry import query, table
@@ -34,7 +35,7 @@ def c3_triage_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         _TRIAGE, id=F.when(i % 19 == 0, "5").otherwise('"5"'), bool=F.when(i % 17 == 0, '"true"').otherwise("true"), names=F.when(i % 13 == 0, '["a",1]').otherwise('["a"]'), key=F.when(i % 7 == 0, "untyped").otherwise("github:a/b"),
         sure=(i % 100 + 11) / 100.0, strength=F.when(i % 11 == 0, "loud").otherwise("mixed"), reason=F.when(i % 23 == 0, "").otherwise(',"reason":"r"'),
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id")).select(
         "event_id", A.triage_error(F.when(i % 29 == 0, "no answer").otherwise(payload)).alias("error")
     )
 
@@ -54,9 +55,8 @@ def c3_tier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         _TIER, key=F.when(o % 13 == 0, "plain").otherwise("name:x"), tier=tier, sure=F.when(c % 7 == 0, "fuzzy_name").otherwise("linked"),
         cited=F.when(o % 5 == 0, '"1"').when(o % 3 == 0, "[]").otherwise('["1","2"]'), why=F.when(o % 17 == 0, "null").otherwise('"w"')
     )
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", A.tier_error(payload).alias("error"), A.tier_error(payload, promoting=True).alias("promoting_error")
-    )
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return rows.select("o_orderkey", A.tier_errors(payload).alias("errors")).select("o_orderkey", "errors.error", "errors.promoting_error")
 
 
 _KNOWN = '"information_sufficiency":{"identity":"<level>","workflow_shift":"weak","technical_substance":"weak","product_market_fit":"medium","momentum":"strong"}'
@@ -83,7 +83,8 @@ def c3_scoring_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         _FINAL, level=level, more=more, sure=F.lit("90"), risk=i % 40, refs=F.when(i % 3 == 0, "[]").otherwise('["item:1"]'),
         why=F.when(i % 7 == 0, "").otherwise("w"), shown=F.when(i % 5 == 0, '"yes"').otherwise("false")
     )
-    return table(spark, sf_dir, "events").select("event_id", A.scoring_error(F.when(i % 2 == 0, tools).otherwise(final)).alias("error"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id"))
+    return rows.select("event_id", A.scoring_error(F.when(i % 2 == 0, tools).otherwise(final)).alias("error"))
 
 
 @query(

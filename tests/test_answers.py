@@ -109,3 +109,25 @@ def test_scoring_turns_are_parsed_once(spark):
 
 def test_tiers_are_parsed_once(spark):
     assert parses(spark, A.tier_error) == parses(spark, lambda p: A.tier_error(p, promoting=True)) == 1
+
+
+def test_both_errors_of_tiers_come_from_one_reading(spark, sf):
+    from lodestream.plans import answer_queries as Q
+
+    plan = Q.c3_tier_checks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
+def test_one_file_is_checked_by_more_than_one_task(spark, sf):
+    from lodestream.plans import answer_queries as Q
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for q in (Q.c3_tier_checks, Q.c3_scoring_checks, Q.c3_triage_checks):
+        assert q(spark, sf).rdd.getNumPartitions() == tasks > 1
+
+
+def test_a_tier_in_quotes_within_another_kind_is_none(spark):
+    cases = [TIER | {"x_tier": x} for x in (["high"], {"high": 1}, True, 5)] + [TIER | {"entity_confidence": ["linked"]}]
+    assert errors(spark, A.tier_error, cases) == ["x_tier"] * 4 + ["entity_confidence"]
+    strict = lambda p: A.tier_errors(p)["promoting_error"]
+    assert errors(spark, strict, cases + [TIER | {"x_tier": "none", "cited_tweet_ids": []}]) == ["x_tier"] * 4 + ["entity_confidence", None]
