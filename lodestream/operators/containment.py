@@ -7,8 +7,9 @@ broadcast: only a bitmap of fixed size is, of trigrams that are needed at all, a
 ``HOT``) of which more than one in ``HOT`` of all postings are; those are split over parts, and their names copied to each.
 
 Trigrams are three code points in one long, exact, so nothing rests on hashes. Names of one or two characters are filed
-under themselves, and texts posted under their single characters and pairs where such names exist. A text is shuffled
-once, however many names it may contain, and names stream past it, so no row grows with the names of a text.
+under themselves, and texts posted under their single characters and pairs where such names exist. Texts are shuffled and
+written once, each row of an id and text once, so that they are read by many tasks however few files they came in; they are
+shuffled once more, however many names they may contain, and names stream past them, so no row grows with the names of a text.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .windows import first_per
 HOT = 1000
 #: Rows of a batch that are worked on at once: what a text posts is many times the text.
 PIECE = 256
+#: Code points that are looked at together, besides one text of any length.
+POINTS = 1 << 20
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -46,6 +49,33 @@ def grams(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _wanted_grams(texts: list[str], sizes: list[int], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """place, gram: the distinct wanted runs of each text, by its place in the list, in order of both. Texts are looked at together."""
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(lengths) // POINTS, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], len(texts)], strict=False):  # no text, no start
+        points = np.frombuffer("".join(texts[start:end]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        owner = np.repeat(np.arange(start, end), lengths[start:end])
+        for size in sizes:
+            n = len(points) - size + 1
+            if n <= 0:
+                continue
+            out = points[:n]
+            for k in range(1, size):
+                out = out | (points[k : k + n] << (21 * k))
+            keep = owner[:n] == owner[size - 1 :]  # not across two texts
+            keep &= admits(wanted, out)
+            places.append(owner[:n][keep])
+            found.append(out[keep])
+    place, gram = np.concatenate(places), np.concatenate(found)
+    order = np.lexsort((gram, place))
+    place, gram = place[order], gram[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])
+    return place[new], gram[new]
+
+
 def _name_grams(names: DataFrame) -> DataFrame:
     """name, gram: all trigrams of each name; short names as they are."""
 
@@ -70,15 +100,10 @@ def _postings(texts: DataFrame, wanted: np.ndarray, sizes: list[int], counted: b
         for batch in batches:
             totals = []
             for piece in _pieces(batch):
-                found = []
-                for text in piece.column(1).to_pylist():
-                    own = np.concatenate([grams(text, s) for s in sizes])
-                    found.append(own[admits(words.value, own)])
-                flat = np.concatenate(found)
+                at, flat = _wanted_grams(piece.column(1).to_pylist(), sizes, words.value)
                 if counted:
                     totals.append(np.unique(flat, return_counts=True))
                 else:
-                    at = np.repeat(np.arange(piece.num_rows), [len(f) for f in found])
                     yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(at)), pa.array(flat)], ["key", "gram"])
             if totals:
                 gram, place = np.unique(np.concatenate([g for g, _ in totals]), return_inverse=True)
@@ -117,9 +142,9 @@ def _met(filed: DataFrame, posted: DataFrame) -> DataFrame:
 
 
 def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """name, id where the text of the key does contain the name. Each text comes first, then its names stream past."""
+    """name, id where the text of the key (one row a key) does contain the name. Each text comes first, then its names stream past."""
     kind = texts.schema["id"].dataType
-    rows = texts.select("key", "id", "text", F.lit(None).cast("string").alias("name")).dropDuplicates(["key"])
+    rows = texts.select("key", "id", "text", F.lit(None).cast("string").alias("name"))
     rows = rows.unionByName(met.select("key", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"), "name"))
     rows = rows.repartition("key").sortWithinPartitions("key", F.col("name").asc_nulls_first()).select("key", "id", "text", "name")
 
@@ -145,16 +170,18 @@ def containing(names: DataFrame, texts: DataFrame, name: str = "name", ident: st
     id of several texts is found by each of them; null ids are ids.
     """
     wanted = names.select(F.lower(name).alias("name")).filter("name != ''").distinct()
+    wanted = saved(wanted, "wanted-names")
     low = F.lower(text)
     held = texts.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), low.alias("text"))
     held = held.withColumn(
         "key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256))
     )
+    held = saved(held.dropDuplicates(["key"]), "held-texts")
     filed, sizes = rarest_grams(wanted, held)
     filed = saved(filed, "filed-names")
     posted = _postings(held, bitmap(filed.select("gram").distinct(), F.col("gram")), sizes, False)
     # the bitmap may admit grams that nothing is filed under; the join leaves them out
-    return _verified(_met(filed, posted.distinct()), held).distinct()
+    return _verified(_met(filed, posted), held).distinct()
 
 
 def newest_containing(names: DataFrame, texts: DataFrame, newest: int = 20, order: list[Column] | None = None, **columns: str) -> DataFrame:

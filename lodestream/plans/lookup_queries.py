@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import asof, containment, intervals
 from lodestream.operators import mentions as M
+from lodestream.operators.components import spread
 
 from .registry import query, table
 
@@ -87,13 +88,14 @@ SELECT 'name:' || slug AS entity_key, key, 1.0::DOUBLE AS confidence FROM f
   WHERE key IN ('github:org/' || slug, 'npm:@s/' || slug, 'domain:' || slug || '.dev')""")
 def c8_links_of_looked_up_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities named by brands are looked up in the items' texts, and the newest matches' links taken where they bear the exact name."""
-    p, key, brand = table(spark, sf_dir, "part"), F.col("p_partkey"), F.substring("p_brand", 7, 9)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    key, brand = F.col("p_partkey"), F.substring("p_brand", 7, 9)
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     repo = text("see https://github.com/Org/Brand-", F.when(key % 2 == 0, brand).otherwise("x"), ".")
     package = F.when(key % 3 == 0, text("https://www.npmjs.com/package/@s/brand-", brand)).otherwise("https://npmjs.com/package/other")
-    items = p.select(
+    items = spread(parts).select(
         key.alias("item_id"), text("Brand ", brand).alias("name"), text("https://www.brand-", brand, ".dev/x").alias("url"),
         repo.alias("description"), F.create_map(F.lit("homepage"), package).alias("metadata"),
     )
-    entities = p.select(text("name:brand-", brand).alias("entity_key")).distinct()
+    entities = parts.select(text("name:brand-", brand).alias("entity_key")).distinct()
     return M.internal_links(containment.matched_items(entities, items), items)

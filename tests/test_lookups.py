@@ -148,3 +148,34 @@ def test_postings_come_in_pieces():
     for _, g in want:
         totals[g] = totals.get(g, 0) + 1
     assert {r["gram"]: r["n"] for r in counted[0].to_pylist()} == totals
+
+
+@pytest.mark.parametrize("points", [1, 50, 1 << 20])
+def test_texts_looked_at_together_post_what_each_has(monkeypatch, points):
+    """No run crosses two texts, whether texts are looked at one by one or many at a time; empty ones and long ones among them."""
+    monkeypatch.setattr(containment, "POINTS", points)
+    rng = random.Random(2)
+    texts = ["", "ab", "", "日本😀"] + ["".join(rng.choice("abé😀 ") for _ in range(rng.choice([0, 1, 2, 3, 20, 200]))) for _ in range(60)] + [""]
+    every = np.full(1 << 20, np.uint64(2**64 - 1))
+    some = np.array([rng.getrandbits(64) for _ in range(1 << 20)], np.uint64)
+    for words in (every, some):
+        for sizes in ([3], [1, 2, 3], [2]):
+            own = [(i, containment.grams(t, s)) for i, t in enumerate(texts) for s in sizes]
+            want = {(i, g) for i, x in own for g in x[bitmaps.admits(words, x)].tolist()}
+            got = list(zip(*(x.tolist() for x in containment._wanted_grams(texts, sizes, words)), strict=True))
+            assert got == sorted(want)
+    assert [len(x) for x in containment._wanted_grams([], [3], every)] == [0, 0]
+
+
+def test_texts_are_worked_out_once(spark):
+    """Postings are counted, made and verified from texts that were written once, each text once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"a name {i % 7} b") for i in range(100)]
+    texts = spark.createDataFrame(rows, "id long, text string").select("id", F.udf(read).asNondeterministic()("text").alias("text"))
+    found = containment.containing(spark.createDataFrame([("name 3",), ("E 5",)], "name string"), texts)
+    assert {r.id for r in found.collect()} == {i for i in range(100) if i % 7 in (3, 5)} and seen.value == 100
