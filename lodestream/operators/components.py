@@ -20,10 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once under the shared folder and read back, so that what follows reads it and works nothing out again."""
+def saved(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written once under the shared folder and read back, so that what follows reads it and works nothing out again.
+
+    ``by`` names columns (the last ones) that each have a folder a value, so that who asks for one reads no other.
+    """
     path = f"{shared_folder(df.sparkSession)}/lodestream/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,20 @@
 """Which texts contain which names, for lists of names that grow as the texts do.
 
-A text that contains a name contains every three characters in a row that the name has. Each name is filed under the
-rarest of its trigrams, rarest among the texts; a text is posted under those of its trigrams that some name is filed
-under. The two meet by equality on the trigram, and what meets is verified against the text itself. Neither side is
-broadcast: only a bitmap of fixed size is, of trigrams that are needed at all, and a list of the trigrams (fewer than
+A text that contains a name contains every run of characters that the name has. Each name is filed under the rarest of its
+runs of ten (or of the greatest of ``SIZES`` that it has), rarest among the texts; a text is posted under those of its runs
+that some name is filed under. The two meet by equality on the run, and what meets is verified against the text itself.
+Neither side is broadcast: only bitmaps of fixed size are, of runs that are needed at all, and a list of the runs (fewer than
 ``HOT``) of which more than one in ``HOT`` of all postings are; those are split over parts, and their names copied to each.
 
-Trigrams are three code points in one long, exact, so nothing rests on hashes. Names of one or two characters are filed
-under themselves, and texts posted under their single characters and pairs where such names exist. Texts are shuffled and
-written once, each row of an id and text once, so that they are read by many tasks however few files they came in; they are
-shuffled once more, however many names they may contain, and names stream past them, so no row grows with the names of a text.
+A run is one long: up to three code points exactly, longer runs hashed, which may only bring more together to be verified.
+Names of up to six characters are so filed under themselves. Texts are posted under runs of the sizes that names have.
+Texts are shuffled and written once, each row of an id and text once, so that they are read by many tasks however few files
+they came in; they are shuffled once more, however many names they may contain, and names stream past them, so no row grows
+with the names of a text.
+
+Where only the newest texts of each name are asked for, texts are written by slices of their ids, each some ``GROWTH`` times
+all newer ones, and gone through from the newest on. A name that has all its texts takes no part in older slices: what
+meets follows the names, not names times texts.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bitmaps import admits, bitmap
 from .components import saved
@@ -28,8 +34,14 @@ from .windows import first_per
 HOT = 1000
 #: Rows of a batch that are worked on at once: what a text posts is many times the text.
 PIECE = 256
-#: Code points that are looked at together, besides one text of any length.
-POINTS = 1 << 20
+#: Code points that are looked at together, besides one text of any length: few enough to stay in a core's cache.
+POINTS = 1 << 16
+#: Sizes of runs: a name's is the greatest that it has.
+SIZES = (1, 2, 3, 4, 5, 6, 8, 10)
+#: Ids in the newest slice for each text that a name may have, and how many times all newer ones a slice goes on to.
+FIRST, GROWTH = 100, 2
+#: Ids that bounds of slices are picked from, about.
+PICKED = 1 << 14
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -37,16 +49,30 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, PIECE)
 
 
-def grams(text: str, size: int) -> np.ndarray:
-    """The distinct runs of ``size`` (1 to 3) code points of a text, each as one long."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+def _runs(points: np.ndarray, size: int) -> np.ndarray:
+    """The run of ``size`` (of ``SIZES``) code points at each place that has one, as longs."""
     n = len(points) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    out = points[:n]
-    for k in range(1, size):
-        out = out | (points[k : k + n] << (21 * k))
-    return np.unique(out)
+    if size <= 3:
+        out = points[:n]
+        for k in range(1, size):
+            out = out | (points[k : k + n] << (21 * k))
+        return out
+    half = _runs(points, (size + 1) // 2).view(np.uint64)
+    out = half[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    out += half[size // 2 :] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out.view(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+
+
+def grams(text: str, size: int) -> np.ndarray:
+    """The distinct runs of ``size`` (of ``SIZES``) code points of a text, each as one long."""
+    return np.unique(_runs(_points(text), size))
 
 
 def _wanted_grams(texts: list[str], sizes: list[int], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,35 +81,34 @@ def _wanted_grams(texts: list[str], sizes: list[int], wanted: np.ndarray) -> tup
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.flatnonzero(np.diff(np.cumsum(lengths) // POINTS, prepend=-1))
     for start, end in zip(starts, [*starts[1:], len(texts)], strict=False):  # no text, no start
-        points = np.frombuffer("".join(texts[start:end]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+        points = _points("".join(texts[start:end]))
         owner = np.repeat(np.arange(start, end), lengths[start:end])
+        at, own = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size in sizes:
-            n = len(points) - size + 1
-            if n <= 0:
+            out = _runs(points, size)
+            if not len(out):
                 continue
-            out = points[:n]
-            for k in range(1, size):
-                out = out | (points[k : k + n] << (21 * k))
-            keep = owner[:n] == owner[size - 1 :]  # not across two texts
+            keep = owner[: len(out)] == owner[size - 1 :]  # not across two texts
             keep &= admits(wanted, out)
-            places.append(owner[:n][keep])
-            found.append(out[keep])
-    place, gram = np.concatenate(places), np.concatenate(found)
-    order = np.lexsort((gram, place))
-    place, gram = place[order], gram[order]
-    new = np.ones(len(place), bool)
-    new[1:] = (place[1:] != place[:-1]) | (gram[1:] != gram[:-1])
-    return place[new], gram[new]
+            at.append(owner[: len(out)][keep])
+            own.append(out[keep])
+        grams, rank = np.unique(np.concatenate(own), return_inverse=True)
+        if len(grams):  # place and rank in one long: sorted far faster than both in turn
+            code = np.sort(np.concatenate(at) * len(grams) + rank)
+            place, rank = np.divmod(code[np.diff(code, prepend=-1) != 0], len(grams))
+            places.append(place)
+            found.append(grams[rank])
+    return np.concatenate(places), np.concatenate(found)
 
 
 def _name_grams(names: DataFrame) -> DataFrame:
-    """name, gram: all trigrams of each name; short names as they are."""
+    """name, gram: all runs of each name that are of its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, found = [], []
             for name in batch.column(0).to_pylist():
-                own = grams(name, min(3, len(name)))
+                own = grams(name, max(s for s in SIZES if s <= len(name)))
                 names += [name] * len(own)
                 found.append(own)
             if found:
@@ -111,13 +136,14 @@ def _postings(texts: DataFrame, wanted: np.ndarray, sizes: list[int], counted: b
                 np.add.at(n, place, np.concatenate([c for _, c in totals]))
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
-    return texts.select("key", "text").mapInArrow(run, "gram long, n long" if counted else "key string, gram long")
+    return texts.select("key", "text").mapInArrow(run, "gram long, n long" if counted else "key long, gram long")
 
 
 def rarest_grams(names: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[int]]:
     """name, gram, n: each name under its rarest gram, which n texts have; names with a gram that no text has contain in none and are left out."""
     own = _name_grams(names)
-    sizes = sorted({r[0] for r in names.select(F.least(F.length("name"), F.lit(3))).distinct().collect()})  # at most 1, 2, 3
+    size = F.greatest(*[F.when(F.length("name") >= s, s).otherwise(0) for s in SIZES])
+    sizes = sorted({r[0] for r in names.select(size).distinct().collect()})  # at most those of SIZES
     counts = _postings(
         texts, bitmap(own.select("gram").distinct(), F.col("gram")), sizes or [3], True
     ).groupBy("gram").agg(F.sum("n").alias("n"))
@@ -163,30 +189,81 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"name string, id {kind.simpleString()}")
 
 
-def containing(names: DataFrame, texts: DataFrame, name: str = "name", ident: str = "id", text: str = "text") -> DataFrame:
-    """name (as lower-cased), id: each text that contains a name, whatever the case of either; once each.
+def _bounds(ids: DataFrame, first: int) -> list:
+    """Ids, descending, that part the ids of a DataFrame in slices: about ``first``, then ``GROWTH`` times those before. None where they have no order.
 
-    Names that are null or empty are contained in nothing, null texts contain nothing. Rows of one id and text are one; an
-    id of several texts is found by each of them; null ids are ids.
+    They are picked among some ``PICKED`` ids by their hash, so slices may come out larger or smaller; any bounds give the same results.
     """
+    if not isinstance(ids.schema["id"].dataType, T.AtomicType):
+        return []
+    ids = ids.filter("id is not null").distinct()
+    total = ids.count()
+    if total <= first * GROWTH:
+        return []
+    apart = -(-total // PICKED)
+    some = [r[0] for r in ids.filter(F.pmod(F.xxhash64("id"), F.lit(apart)) == 0).orderBy(F.desc("id")).collect()]
+    places = []
+    while first * GROWTH <= total:
+        places.append(-(-first // apart) - 1)
+        first *= GROWTH
+    return [some[p] for p in sorted({p for p in places if p < len(some)})]
+
+
+def _prepared(names: DataFrame, texts: DataFrame, columns: tuple[str, str, str], first: int | None) -> tuple[DataFrame, DataFrame, list[int], int]:
+    """Names under their rarest runs; texts (key, id, text, slice) as written; sizes of runs; the number of slices, one where ``first`` is None."""
+    name, ident, text = columns
     wanted = names.select(F.lower(name).alias("name")).filter("name != ''").distinct()
     wanted = saved(wanted, "wanted-names")
-    low = F.lower(text)
-    held = texts.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), low.alias("text"))
-    held = held.withColumn(
-        "key", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256))
-    )
-    held = saved(held.dropDuplicates(["key"]), "held-texts")
+    bounds = _bounds(texts.select(F.col(ident).alias("id")), first) if first else []
+    held = texts.filter(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.lower(text).alias("text"))
+    at = F.lit(0)
+    for bound in bounds:  # null ids are the oldest
+        at = at + F.when(F.col("id") >= F.lit(bound), 0).otherwise(1)
+    same = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull().cast("string"), F.sha2("text", 256))
+    held = held.select(at.cast("int").alias("slice"), same.alias("same"), "id", "text").dropDuplicates(["slice", "same"])
+    held = saved(held.select(F.monotonically_increasing_id().alias("key"), "id", "text", "slice"), "held-texts", ["slice"])
     filed, sizes = rarest_grams(wanted, held)
-    filed = saved(filed, "filed-names")
+    return saved(filed, "filed-names"), held, sizes, len(bounds) + 1
+
+
+def _found(filed: DataFrame, held: DataFrame, sizes: list[int]) -> DataFrame:
+    """name, id: each text that contains a filed name, once each."""
     posted = _postings(held, bitmap(filed.select("gram").distinct(), F.col("gram")), sizes, False)
     # the bitmap may admit grams that nothing is filed under; the join leaves them out
     return _verified(_met(filed, posted), held).distinct()
 
 
-def newest_containing(names: DataFrame, texts: DataFrame, newest: int = 20, order: list[Column] | None = None, **columns: str) -> DataFrame:
+def containing(names: DataFrame, texts: DataFrame, name: str = "name", ident: str = "id", text: str = "text") -> DataFrame:
+    """name (as lower-cased), id: each text that contains a name, whatever the case of either; once each.
+
+    Names that are null or empty are contained in nothing, null texts contain nothing. Rows of one id and text are one; an
+    id of several texts is found by each of them; null ids are ids.
+    """
+    filed, held, sizes, _ = _prepared(names, texts, (name, ident, text), None)
+    return _found(filed, held, sizes)
+
+
+def newest_containing(
+    names: DataFrame, texts: DataFrame, newest: int = 20, order: list[Column] | None = None, name: str = "name", ident: str = "id", text: str = "text"
+) -> DataFrame:
     """``containing``, of each name the ``newest`` texts: those of the greatest ids, unless another order is given."""
-    return first_per(containing(names, texts, **columns), ["name"], order or [F.desc("id")], newest)
+    if order:
+        return first_per(containing(names, texts, name, ident, text), ["name"], order, newest)
+    filed, held, sizes, slices = _prepared(names, texts, (name, ident, text), FIRST * newest)
+    latest = [F.desc("id")]
+    if slices == 1:
+        return first_per(_found(filed, held, sizes), ["name"], latest, newest)
+    found = None
+    for at in range(slices):
+        if found is not None:  # names that have all their texts are done: what is older than those is not asked for
+            done = found.groupBy("name").agg(F.count(F.lit(1)).alias("has")).filter(F.col("has") >= newest)
+            filed = saved(filed.join(done, "name", "left_anti"), "filed-names")
+            if filed.isEmpty():
+                break
+        new = first_per(_found(filed, held.filter(F.col("slice") == at), sizes), ["name"], latest, newest)
+        new = saved(new, "found-names")
+        found = new if found is None else found.unionByName(new)
+    return first_per(found, ["name"], latest, newest)
 
 
 def entity_label(key: Column) -> Column:

@@ -179,3 +179,40 @@ def test_texts_are_worked_out_once(spark):
     texts = spark.createDataFrame(rows, "id long, text string").select("id", F.udf(read).asNondeterministic()("text").alias("text"))
     found = containment.containing(spark.createDataFrame([("name 3",), ("E 5",)], "name string"), texts)
     assert {r.id for r in found.collect()} == {i for i in range(100) if i % 7 in (3, 5)} and seen.value == 100
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_newest_texts_of_names_slice_by_slice(spark, monkeypatch, kind):
+    """Slices of any kind of id give what all texts together give; ids of several texts, null ids and names with too few texts among them."""
+    monkeypatch.setattr(containment, "FIRST", 1)
+    monkeypatch.setattr(containment, "GROWTH", 2)
+    monkeypatch.setattr(containment, "PICKED", 60)
+    rng = random.Random(4)
+    made = {"long": lambda i: i, "string": lambda i: f"id {i:04}", "date": lambda i: T0.date() + dt.timedelta(days=i)}[kind]
+    texts = [(made(rng.randrange(300)), "".join(rng.choice("abcÉ ") for _ in range(rng.choice([0, 5, 40])))) for _ in range(400)]
+    texts += texts[:50] + [(made(7), "only here"), (None, "only here"), (None, "nowhere else"), (made(8), None)]
+    names = ["a", "B", "é", "ab", "abc", "abca", "abcab", "cab abcab", "only here", "nowhere else", "never", "", None]
+    want = {(n.lower(), i) for n in names if n for i, t in texts if t is not None and n.lower() in t.lower()}
+    top = {(n, i) for n in {n for n, _ in want} for i in sorted((i for m, i in want if m == n), key=lambda i: (i is not None, i or made(0)), reverse=True)[:3]}
+    given = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(texts, f"id {kind}, text string")
+    assert len(containment._bounds(given[1].select("id"), 3)) >= 4
+    got = [tuple(r) for r in containment.newest_containing(*given, newest=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == top
+
+
+def test_names_that_have_their_newest_texts_meet_no_more(spark, monkeypatch):
+    """Names in every text meet a few texts each, not all of them: what meets is not names times texts."""
+    met = []
+    whole = containment._met
+
+    def counted(*sides):
+        found = whole(*sides)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(containment, "_met", counted)
+    names = [(f"name {i:02}",) for i in range(40)] + [("text 3.",)]
+    texts = [(i, " ".join(n for n, in names[:40]) + f" text {i}.") for i in range(4000)]
+    found = containment.newest_containing(spark.createDataFrame(names, "name string"), spark.createDataFrame(texts, "id int, text string"), newest=2)
+    assert {tuple(r) for r in found.collect()} == {(n, i) for n, in names[:40] for i in (3999, 3998)} | {("text 3.", 3)}
+    assert sum(met) < 40 * 4000 / 4
