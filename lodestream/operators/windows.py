@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import shared_folder
 
@@ -87,10 +91,65 @@ def fitted(rows: Column, budget: int) -> Column:
     return F.aggregate(rows, start, step)
 
 
+class _Fit:
+    """Running least squares of one key's points, in order."""
+
+    def __init__(self) -> None:
+        self.rows = self.pairs = self.values = 0
+        self.x = self.y = self.both = self.spread = self.total = 0.0
+
+    def add(self, x: float | None, y: float | None) -> None:
+        self.rows += 1
+        if y is None:
+            return
+        self.total, self.values = self.total + y, self.values + 1
+        if x is None:
+            return
+        self.pairs += 1
+        apart = x - self.x
+        self.x += apart / self.pairs
+        self.y += (y - self.y) / self.pairs
+        self.both = math.fma(apart, y - self.y, self.both)  # rounded once
+        self.spread = math.fma(apart, x - self.x, self.spread)
+
+    def slope(self) -> float | None:
+        """Over the mean (1 at least); none where there is no spread."""
+        if self.pairs < 2 or not self.spread:
+            return None
+        return (self.both / self.pairs) / (self.spread / self.pairs) / max(self.total / self.values, 1.0)
+
+
 def slope(points: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Least-squares slope of y over x for each key, over the mean of y (1 at least); keys with fewer points have none."""
-    fit = points.groupBy(*keys).agg(F.regr_slope(y, x).alias("_slope"), F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    return fit.filter(F.col("_n") >= least).select(*keys, (F.col("_slope") / F.greatest("_mean", F.lit(1.0))).alias("slope"))
+    """Least-squares slope of y over x for each key, over the mean of y (1 at least); keys with fewer points have none.
+
+    Points are taken in the order of x, one by one, and a product is rounded with the sum that it goes into, not before:
+    where the exact slope is 0, what is left in the last digits, and whether that is above 0, is what the SQL has
+    (``regr_slope`` in DuckDB). Points stream past; no row grows with a key's points.
+    """
+    out = T.StructType([*[points.schema[k] for k in keys], T.StructField("slope", T.DoubleType())])
+    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_x", "_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(done: list) -> pa.RecordBatch:
+            done = [(key, fit.slope()) for key, fit in done if fit.rows >= least]
+            columns = [pa.array([key[i] for key, _ in done], kinds[i]) for i in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([s for _, s in done], pa.float64())], [*keys, "slope"])
+
+        key, fit = None, None
+        for batch in batches:
+            done, kinds = [], batch.schema.types
+            for *own, at, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    if fit:
+                        done.append((key, fit))
+                    key, fit = own, _Fit()
+                fit.add(at, value)
+            yield made(done)
+        if fit:
+            yield made([(key, fit)])
+
+    return rows.mapInArrow(run, out)
 
 
 def min_max_scaled(df: DataFrame, value: str, name: str, keys: list[str]) -> DataFrame:

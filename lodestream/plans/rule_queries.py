@@ -187,7 +187,8 @@ def r2_rising_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").groupBy(
         "l_partkey", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("mon")
     ).agg(F.count(F.lit(1)).alias("n"))
-    s = W.slope(W.ranked(m, "x", ["l_partkey"], [F.col("mon").asc()]), ["l_partkey"], "x", "n")
+    points = W.ranked(m, "x", ["l_partkey"], [F.col("mon").asc()]).withColumn("x", F.col("x") - 1)
+    s = W.slope(points, ["l_partkey"], "x", "n")
     totals = m.groupBy("l_partkey").agg((F.sum("n") * 5).alias("stars_velocity"), F.max("mon").alias("at"))
     rows = s.join(totals, "l_partkey").select(
         F.concat(F.lit("github:p/"), F.col("l_partkey").cast("string")).alias("entity_key"), "stars_velocity",

@@ -189,3 +189,18 @@ def test_facts_and_compact_payloads(spark):
     assert got == ["[1,2]", '{"a":null,"b":[1,{"c":null,"d":2}]}', '{"a":2,"z":1}', None, None]
     kept = json.loads(spark.range(1).select(facts.compact_raw(F.lit("github_search"), F.lit('{"license":"MIT","owner":{"login":"a"},"size":5,"x":1}'))).first()[0])
     assert kept["license"] is None and kept["owner"] == "a" and kept["size"] == 5 and "x" not in kept and set(kept) == set(facts.KEPT["github_search"])
+
+
+def test_slopes_in_their_last_digits(spark):
+    """Parts 8280 and 12439 of sf0.1: their exact slope is 0, and what regr_slope leaves above it in DuckDB decides whether they rise."""
+    counts = {
+        8280: [3, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 1, 1, 3, 1],
+        12439: [1, 2, 1, 1, 1, 1, 3, 1, 1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 2, 1, 1, 2],
+        1: [2, 4, 6], 2: [1, 5], 3: [6, 4, 2], 4: [0, 0, 0],
+    }
+    points = [(k, x, n) for k, own in counts.items() for x, n in enumerate(own)]
+    points += [(5, 7, 1), (5, 7, 2), (5, 7, 3), (6, 0, 1), (6, 1, None), (6, 2, 5), (None, 0, 1), (None, 1, 3), (None, 2, 5), (7, 0, None), (7, 1, None), (7, 2, None)]
+    random.Random(1).shuffle(points)
+    found = windows.slope(spark.createDataFrame(points, "k int, x long, n long"), ["k"], "x", "n")
+    got = {r.k: r.slope for r in found.collect()}
+    assert got == {8280: 1.8015789446250004e-18, 12439: 2.754895842742324e-18, 1: 0.5, 3: -0.5, 4: 0.0, 5: None, 6: pytest.approx(2 / 3), None: pytest.approx(2 / 3), 7: None}
